@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .mixing import mix
+from .mpeg import describe_texts
 from .packing import pack
 from .secrets import find_secrets
 from .token_counts import count_tokens
@@ -26,6 +27,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -34,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_source_mixing": op4_source_mixing,
     "op7_secret_scan": op7_secret_scan,
+    "op8_media_columns": op8_media_columns,
     "op9_token_counts": op9_token_counts,
 }
 ORACLES: dict[str, str] = {}
