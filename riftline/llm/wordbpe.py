@@ -22,7 +22,7 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE
 #: Beyond U+024F only dashes, quotes and other general punctuation keep their class in every version of Unicode.
 _UNUSUAL = re.compile("[^\\x00-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]")
 #: Distinct pre-tokens remembered by one worker; when full, the table starts again.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
