@@ -27,3 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(id_column: str, folds: int, fold: int):
     """Whether a row is kept away from training: crc32 of its id as text, modulo ``folds``, is ``fold``."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % folds == fold, F.lit(False))
+
+
+def training_ids(labels: DataFrame, column: str, folds: int, fold: int, sample: int) -> DataFrame:
+    """doc_id and label of at most ``sample`` labelled rows of each label that are not held out, by hash of the id."""
+    usable = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, fold))
+    once = usable.groupBy("doc_id").agg(F.max(column).alias("label"))
+    parts = [once.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for v in (0, 1)]
+    return parts[0].unionByName(parts[1])
