@@ -7,8 +7,8 @@ insults with gaps and inserted characters keep most of their triples.
 
 Landmarks are words: those most typical of toxic documents and the commonest of the others.  Sentences of
 labelled documents are mapped to the landmarks' space by the Nystroem formula, and a linear machine with squared
-hinge loss learns to tell them apart.  Since only documents are labelled, each toxic document is represented by
-its highest-scoring sentence, chosen anew after every round.
+hinge loss learns to tell them apart.  Since only documents are labelled, the toxic ones of a toxic document's
+sentences are chosen anew after every round: those with a positive score, or else the highest one.
 
 The machine's score of a string is a sum over landmarks of kernels, hence linear in the string's triples, so
 the landmarks fold into one weight for each triple without any approximation.  A document's evidence is the
@@ -37,14 +37,14 @@ from pyspark.sql import functions as F
 from .common import held_out, settled, training_ids
 
 DECAY, SPAN, WINDOW = 0.6, 7, 12
-LANDMARKS = 64  #: of each kind
-SAMPLE, SENTENCES, CLEAN_SENTENCES = 1500, 40, 4
+LANDMARKS = 64  #: of each kind, at most
+SAMPLE, SENTENCES, CLEAN_SENTENCES = 1500, 40, 8
 ROUNDS, RIDGE = 4, 1e-4
 FOLDS, FOLD, THRESHOLD = 5, 0, 0.5
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 
-#: Letters are 1 to 26, other letters 27 to 34, digits 35 to 38; 0 is white space, GONE is passed over.
-ALPHABET, GONE = 40, 255
+#: Letters are 1 to 26, other letters 27 to 34, digits 35 to 38, white space 39; GONE is passed over.
+ALPHABET, SPACE, GONE = 40, 39, 255
 OFFSETS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 _SENTENCE = re.compile(r"[.!?\n|]+")
 
@@ -53,7 +53,7 @@ def _code(point: int) -> int:
     c = chr(point)
     base = unicodedata.normalize("NFD", c.lower())[0]
     if c.isspace():
-        return 0
+        return SPACE
     if "a" <= base <= "z":
         return ord(base) - 96
     if c.isalpha():
@@ -65,26 +65,26 @@ _TABLE = np.array([_code(p) for p in range(0x250)] + [GONE], dtype=np.uint8)
 
 
 def letters(text: str) -> np.ndarray:
-    """Codes of a text's letters, digits and spaces."""
+    """Codes of a text's letters and digits, and one space between words and at both ends."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     codes = _TABLE[np.minimum(points, 0x24F)]
     far = points >= 0x250
     if far.any():
         mark = (points >= 0x2000) & (points < 0x2070)
         codes = np.where(far, np.where(mark, GONE, 27 + points % 8), codes)
-    return codes[codes != GONE].astype(np.int32)
+    codes = np.concatenate([[SPACE], codes[codes != GONE], [SPACE]])
+    again = (codes[1:] == SPACE) & (codes[:-1] == SPACE)
+    return codes[np.concatenate([[True], ~again])].astype(np.int32)
 
 
 def triples(x: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
-    """For each way to place a triple: its number at each start (0 where a space takes part), and its weight."""
+    """For each way to place a triple: its number at each start, and its weight."""
     n = len(x)
     high = x * (ALPHABET * ALPHABET)
     middle = x * ALPHABET
-    whole = x > 0
     for i, j in OFFSETS:
         if n > j:
-            ok = whole[: n - j] & whole[i : n - j + i] & whole[j:]
-            yield np.where(ok, high[: n - j] + middle[i : n - j + i] + x[j:], 0), DECAY ** (j - 2)
+            yield high[: n - j] + middle[i : n - j + i] + x[j:], DECAY ** (j - 2)
 
 
 def profile(text: str) -> np.ndarray:
@@ -92,7 +92,6 @@ def profile(text: str) -> np.ndarray:
     v = np.zeros(ALPHABET**3, dtype=np.float64)
     for number, weight in triples(letters(text)):
         np.add.at(v, number, weight)
-    v[0] = 0
     return (v / (np.sqrt(v @ v) or 1)).astype(np.float32)
 
 
@@ -101,7 +100,7 @@ def kernels(sentence: str, profiles: np.ndarray) -> np.ndarray:
     x = letters(sentence)
     out = np.zeros(len(profiles), dtype=np.float32)
     for number, weight in triples(x):
-        out += weight * profiles[:, number[number > 0]].sum(axis=1)
+        out += weight * profiles[:, number].sum(axis=1)
     return out / np.float32(max(1, len(x)) ** 0.5)
 
 
@@ -158,15 +157,21 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * evidence(text or "", self.table) + self.offset, -30, 30))))
 
 
-def landmark_words(texts: DataFrame) -> list[str]:
-    """Words of four letters and more: the most typical of toxic documents, and the commonest of the others."""
+def landmark_words(texts: DataFrame) -> tuple[list[str], list[str]]:
+    """Words of four letters and more: the most typical of toxic documents, and the commonest of the others.
+
+    Typical words have the largest log likelihood ratios, above what the number of words tried lets expect by chance.
+    """
     words = texts.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+"))).alias("word")).where(F.length("word") >= 4)
-    total = texts.groupBy().agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).first()
     counted = words.groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
-    typical = F.sqrt("t") * (F.log((F.col("t") + 0.1) / (total["t"] + 1)) - F.log((F.col("c") + 0.5) / (total["c"] + 1)))
-    toxic = counted.where(F.col("t") > 0).orderBy(typical.desc(), "word").limit(LANDMARKS).collect()
-    common = counted.where(F.col("c") > 0).orderBy(F.col("c").desc(), "word").limit(LANDMARKS).collect()
-    return [r["word"] for r in [*toxic, *common]]
+    share = texts.agg(F.avg("label")).first()[0]
+    n, t, c = F.col("t") + F.col("c"), F.col("t"), F.col("c")
+    ratio = t * F.log(t / n / F.lit(share)) + F.when(c > 0, c * F.log(c / n / F.lit(1 - share))).otherwise(0)
+    tried = counted.where(t > 0).count()
+    toxic = counted.where((t > 0) & (t / n > share)).select("word", ratio.alias("ratio")).orderBy(F.desc("ratio"), "word").limit(LANDMARKS).collect()
+    common = counted.where(c > 0).orderBy(c.desc(), "word").limit(LANDMARKS).collect()
+    typical = [r["word"] for r in toxic if r["ratio"] > np.log(max(tried, 1)) + 1]
+    return typical or [r["word"] for r in toxic[:8]], [r["word"] for r in common]
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = FOLDS, fold: int = FOLD) -> Model | float:
@@ -175,10 +180,13 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int =
     share = labels.where(F.col(column).isin(0, 1) & ~held_out("doc_id", folds, fold)).agg(F.avg(F.col(column).cast("double"))).first()[0] or 0.0
     texts = settled(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")))
     kinds = {r["label"] for r in texts.select("label").distinct().collect()}
-    words = landmark_words(texts)
-    if len(kinds) < 2 or not words:
-        return float(1 in kinds and 0 not in kinds)
-    profiles = np.stack([profile(f" {w} ") for w in words])
+    if len(kinds) < 2:
+        return float(1 in kinds)
+    insults, others = landmark_words(texts)
+    if not insults:
+        return float(share)
+    words = insults + others
+    profiles = np.stack([profile(w) for w in words])
     gram = (profiles @ profiles.T).astype(np.float64)
     values, vectors = np.linalg.eigh(gram)
     held = values > 1e-6 * values[-1]
@@ -195,19 +203,20 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int =
             yield pd.DataFrame(rows, columns=["doc_id", "label", "k"])
 
     rows = sorted((r["doc_id"], r["label"], bytes(r["k"])) for r in texts.mapInPandas(units, "doc_id bigint, label int, k binary").collect())
-    mapped = np.stack([np.frombuffer(r[2], dtype=np.float32) for r in rows]) @ nystroem
+    raw = np.stack([np.frombuffer(r[2], dtype=np.float32) for r in rows])
+    mapped = raw @ nystroem
     label = np.array([r[1] for r in rows])
     clean, toxic = mapped[label == 0], mapped[label == 1]
     if not len(clean) or not len(toxic):
         return float(share)
     owners = np.array([r[0] for r in rows if r[1] == 1])
-    bags = [toxic[owners == o] for o in np.unique(owners)]
-    chosen = np.stack([b.mean(axis=0) for b in bags])
-    for _ in range(ROUNDS):
-        v = separate(np.vstack([clean, chosen]), np.r_[-np.ones(len(clean)), np.ones(len(chosen))])
-        chosen = np.stack([b[np.argmax(b @ v[:-1])] for b in bags])
+    bags = [np.flatnonzero(owners == o) for o in np.unique(owners)]
+    score, least = raw[label == 1, : len(insults)].max(axis=1), np.inf  # first, the three nearest to a typical word
+    for round_ in range(ROUNDS):
+        chosen = np.concatenate([b[(score[b] > least) | (np.argsort(np.argsort(-score[b])) < (1 if round_ else 3))] for b in bags])
+        v = separate(np.vstack([clean, toxic[chosen]]), np.r_[-np.ones(len(clean)), np.ones(len(chosen))])
+        score, least = toxic @ v[:-1] + v[-1], 0.0
     table = ((nystroem @ v[:-1]) @ profiles).astype(np.float32)
-    table[0] = 0
     folded = docs.sparkSession.sparkContext.broadcast(table)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
