@@ -12,6 +12,7 @@ from .common import table
 from .licenses import scan_licenses
 from .mixing import mix
 from .mpeg import describe_texts
+from .near_dup import near_duplicates
 from .packing import pack
 from .quality import score_quality
 from .secrets import find_secrets
@@ -24,6 +25,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_source_mixing": op4_source_mixing,
     "op5_nearest_neighbours": op5_nearest_neighbours,
