@@ -52,11 +52,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return leveled.withColumn("shared", shared).select("source", "source_size", F.least(F.col("limit"), F.coalesce(F.col("shared") * F.col("weight"), F.col("limit"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+def _columns(id_column: str, text_column: str, source_column: str) -> list[Column]:
+    """doc_id, source, size and hash of a document, from columns of any name."""
     id_, text = F.col(f"`{id_column}`"), F.col(f"`{text_column}`")
-    hashed = F.xxhash64(id_.cast("string"), text)
-    sizes = settled(docs.select(id_.alias("doc_id"), F.col(f"`{source_column}`").alias("source"), words(text).alias("size"), hashed.alias("hash")))
+    return [id_.alias("doc_id"), F.col(f"`{source_column}`").alias("source"), words(text).alias("size"), F.xxhash64(id_.cast("string"), text).alias("hash")]
+
+
+def budget_ends(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> tuple[DataFrame, bool]:
+    """For each source s: source_size, target, whole copies, and the hash prefix in which the rest ends; whether it is small.
+
+    sizes: settled rows of source, size and hash.
+    """
     targets = settled(source_targets(sizes, weights, most))
     small = F.broadcast if targets.count() <= BROADCAST_SOURCES else lambda t: t
     budgets = targets.select(
@@ -84,11 +90,32 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_c
     single = sizes.join(small(ends), F.col("source").eqNullSafe(F.col("e")) & (F.shiftrightunsigned("hash", shift) == F.col("prefix"))).groupBy("e").agg(F.count("*").alias("edge_rows"))
     threshold = ends.join(single.withColumnRenamed("e", "e2"), F.col("e").eqNullSafe(F.col("e2"))).drop("e2")
     known = settled(budgets.join(threshold, F.col("s").eqNullSafe(F.col("e")), "left"))
+    return known, small is F.broadcast
 
-    own, left = F.shiftrightunsigned("hash", shift), F.col("rest") - F.col("below")
+
+def taken_words(most: int) -> Column:
+    """Words taken of a document, given its size, its hash and its source's row of budget_ends."""
+    own, left = F.shiftrightunsigned("hash", 64 - sum(LEVELS)), F.col("rest") - F.col("below")
     edge = F.when(F.col("edge_rows") == 1, F.when(2 * left >= F.col("size"), F.col("size")).otherwise(0)).otherwise(
         F.when(F.col("edge_words") > 0, F.floor(F.col("size") * F.least(F.lit(1.0), left / F.col("edge_words")))).otherwise(0)
     )
     more = F.when(own < F.col("prefix"), F.col("size")).when(own == F.col("prefix"), edge).otherwise(0)
     taken = F.col("copies") * F.col("size") + F.when(F.col("copies") < most, F.coalesce(more, F.lit(0))).otherwise(0)
-    return sizes.join(small(known), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return taken.cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken."""
+    sizes = settled(docs.select(*_columns(id_column, text_column, source_column)))
+    known, small = budget_ends(sizes, weights, most)
+    placed = sizes.join(F.broadcast(known) if small else known, F.col("source").eqNullSafe(F.col("s")))
+    return placed.select("doc_id", "size", "source_size", "target", taken_words(most).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """The documents themselves, each as often as the mix takes it, with the columns of ``docs``."""
+    described = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_columns(id_column, text_column, source_column))
+    known, small = budget_ends(settled(described.drop("row")), weights, most)
+    placed = described.join(F.broadcast(known) if small else known, F.col("source").eqNullSafe(F.col("s")))
+    copies = F.when(F.col("size") > 0, F.round(taken_words(most) / F.col("size"))).otherwise(0).cast("int")
+    return placed.select("row", copies.alias("times")).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
