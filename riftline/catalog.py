@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from riftline.plans import series_queries
+
+QUERIES = dict(series_queries.QUERIES)
+ORACLES = dict(series_queries.ORACLES)
