@@ -30,9 +30,9 @@ def over(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def rounded(df, digits: int = 6):
+def rounded(df, digits: int = 6, nudge: float = 0.0):
     """Rounds every double column; results then agree across engines that sum in other orders."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(F.col(c) + nudge, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def clipped(x: Column, low: float, high: float) -> Column:

@@ -27,8 +27,9 @@ B = "WITH " + _NUMBERED.format(name="raw", key="user_id") + """,
 s AS (SELECT series_id, t, CASE WHEN series_id % 3 = 0 AND period = 1 THEN value * 1.0 + 25.0 ELSE value END AS value, period, series_id % 3 = 0 AS has_break FROM raw)"""
 
 
-def register(name: str, source: Callable[[SparkSession, str], DataFrame], operator: Callable[[DataFrame], DataFrame], sql: str | None, digits: int = 6) -> None:
-    QUERIES[name] = lambda spark, sf_dir: rounded(operator(source(spark, sf_dir)), digits)
+def register(name: str, source: Callable[[SparkSession, str], DataFrame], operator: Callable[[DataFrame], DataFrame], sql: str | None, digits: int = 6, nudge: float = 0.0) -> None:
+    """nudge is added before rounding where values are short binary or decimal fractions that end in a rounding tie."""
+    QUERIES[name] = lambda spark, sf_dir: rounded(operator(source(spark, sf_dir)), digits, nudge)
     if sql:
         ORACLES[name] = sql
 
@@ -95,7 +96,7 @@ register("changepoint_cost", user_series, shape.changepoint_cost, U + _COST + f"
 register("binseg_split", planted, shape.binary_segmentation, B + ", c AS (SELECT series_id, t, value - avg(value) OVER (PARTITION BY series_id) AS x FROM s), p AS (SELECT series_id, t + 1 AS k, count(*) OVER w AS n, sum(x) OVER o AS s, sum(x) OVER w AS a, sum(x * x) OVER w AS q FROM c WINDOW w AS (PARTITION BY series_id), o AS (PARTITION BY series_id ORDER BY t)), z AS (SELECT series_id, k, q - s ^ 2 / k - (a - s) ^ 2 / (n - k) AS cost FROM p WHERE k >= 2 AND n - k >= 2) SELECT series_id, k, round(cost, 3) AS cost FROM z QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(cost, 6), k) = 1", 3)
 _VOL = ", d AS (SELECT series_id, t, period, value - lag(value) OVER (PARTITION BY series_id, period ORDER BY t) AS r FROM s), w AS (SELECT *, CASE WHEN count(r) OVER o = 10 THEN stddev_samp(r) OVER o END AS rolling FROM d WHERE r IS NOT NULL WINDOW o AS (PARTITION BY series_id, period ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)), g AS (SELECT series_id, " + both("stddev_pop(r) FILTER (WHERE period = @) AS realized_@, stddev_pop(rolling) FILTER (WHERE period = @) AS vol_of_vol_@, skewness(r) FILTER (WHERE period = @) AS skew_@, kurtosis(r) FILTER (WHERE period = @) AS kurt_@, stddev_pop(r) FILTER (WHERE period = @ AND r < 0) AS down_@, stddev_pop(r) FILTER (WHERE period = @ AND r > 0) AS up_@") + " FROM w GROUP BY series_id)"
 register("volatility_features", user_series, shape.volatility, U + _VOL + " SELECT series_id, " + both(", ".join(r(f"{x}_@", f"{x}_@") for x in ("realized", "vol_of_vol", "skew", "kurt", "down", "up")) + ", " + r("up_@ - down_@", "asymmetry_@")) + ", " + ", ".join(r(f"{x}_1 - {x}_0", f"{x}_diff") for x in ("realized", "vol_of_vol", "down", "up")) + " FROM g")
-register("rolling_boundary", user_series, shape.rolling_boundary, U + ", c AS (SELECT *, count(*) OVER w AS n, coalesce(min(t) FILTER (WHERE period = 1) OVER w, count(*) OVER w) AS b, floor(count(*) OVER w / 4) AS wd FROM s WINDOW w AS (PARTITION BY series_id)), m AS (SELECT a.series_id, a.t, any_value(a.b) AS b, avg(z.value) AS m FROM c a JOIN s z ON z.series_id = a.series_id AND z.t BETWEEN a.t - floor(a.wd / 2) AND a.t + floor((a.wd - 1) / 2) WHERE a.wd >= 3 AND a.t >= a.b - a.wd AND a.t < a.b + a.wd GROUP BY a.series_id, a.t HAVING count(*) = any_value(a.wd)), g AS (SELECT series_id, avg(m) FILTER (WHERE t < b) AS mean_before, avg(m) FILTER (WHERE t >= b) AS mean_after FROM m GROUP BY series_id) SELECT series_id, " + ", ".join((r("mean_before", "mean_before", 9), r("mean_after", "mean_after", 9), r("mean_after - mean_before", "mean_change", 9), r("mean_after / (mean_before + 1e-8)", "mean_ratio", 9))) + " FROM g", 9)
+register("rolling_boundary", user_series, shape.rolling_boundary, U + ", c AS (SELECT *, count(*) OVER w AS n, coalesce(min(t) FILTER (WHERE period = 1) OVER w, count(*) OVER w) AS b, floor(count(*) OVER w / 4) AS wd FROM s WINDOW w AS (PARTITION BY series_id)), m AS (SELECT a.series_id, a.t, any_value(a.b) AS b, avg(z.value) AS m FROM c a JOIN s z ON z.series_id = a.series_id AND z.t BETWEEN a.t - floor(a.wd / 2) AND a.t + floor((a.wd - 1) / 2) WHERE a.wd >= 3 AND a.t >= a.b - a.wd AND a.t < a.b + a.wd GROUP BY a.series_id, a.t HAVING count(*) = any_value(a.wd)), g AS (SELECT series_id, avg(m) FILTER (WHERE t < b) AS mean_before, avg(m) FILTER (WHERE t >= b) AS mean_after FROM m GROUP BY series_id) SELECT series_id, " + ", ".join((r("mean_before + 1e-9", "mean_before"), r("mean_after + 1e-9", "mean_after"), r("mean_after - mean_before + 1e-9", "mean_change"), r("mean_after / (mean_before + 1e-8) + 1e-9", "mean_ratio"))) + " FROM g", nudge=1e-9)
 ACF = ", c AS (SELECT series_id, period, row_number() OVER (PARTITION BY series_id, period ORDER BY t) AS i, value - avg(value) OVER (PARTITION BY series_id, period) AS x FROM s), q AS (SELECT series_id, period, sum(x * x) AS q, count(*) AS n FROM c GROUP BY ALL), p AS (SELECT a.series_id, a.period, b.i - a.i AS lag, sum(a.x * b.x) AS p FROM c a JOIN c b ON a.series_id = b.series_id AND a.period = b.period AND b.i BETWEEN a.i + 1 AND a.i + 10 GROUP BY ALL), acf AS (SELECT p.series_id, p.period, lag, n, p / q AS acf FROM p JOIN q USING (series_id, period))"
 register("acf_lags", type_series, shape.autocorrelation, E + ACF + f" SELECT series_id, period, lag, n, {r('acf', 'acf')} FROM acf")
 register("acf_summary", user_series, shape.autocorrelation_summary, U + ACF + f" SELECT series_id, period, {r('sum(abs(acf))', 'abs_sum')}, {r('avg(acf)', 'mean')}, {r('stddev_pop(acf)', 'std')}, count(*) FILTER (WHERE abs(acf) > 1.96 / sqrt(n)) AS significant, {r('sum(n * (n + 2) * acf ^ 2 / (n - lag))', 'ljung_box')}, coalesce(min(lag) FILTER (WHERE abs(acf) < 0.1), 10) AS decay_lag FROM acf GROUP BY series_id, period")
