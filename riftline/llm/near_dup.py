@@ -186,16 +186,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     crowded = settled(members.join(members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket"), "bucket"))
 
     edges = settled(star_edges(crowded))
-    touched = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    sets = settled(sets_of(texts, touched))
+    sets = settled(sets_of(texts, crowded.select("node").distinct()))
     links = settled(confirmed(edges, sets))
     first = settled(connected_components(links))
 
     placed = crowded.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
     unsettled = placed.join(split, "bucket").select("node").distinct()
-    rest_sets = settled(sets_of(texts, unsettled))
-    more = confirmed(settled(remaining_pairs(rest_sets, first)), rest_sets)
+    rest = sets.join(unsettled, "node", "left_semi")
+    more = confirmed(settled(remaining_pairs(rest, first)), rest)
     final = settled(connected_components(links.unionByName(more)))
 
     of_print = owners.join(final, "node", "left").select("high", "low", F.coalesce("component", "node").alias("component_id"))
