@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riftline.plans import series_queries
+from riftline.plans import model_queries, series_queries
 
-QUERIES = dict(series_queries.QUERIES)
+QUERIES = series_queries.QUERIES | model_queries.QUERIES
 ORACLES = dict(series_queries.ORACLES)

@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _erfc = np.vectorize(math.erfc, otypes=[float])
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
@@ -91,36 +92,36 @@ def _guarded(function):
         out = np.full(len(data), np.nan)
         if ok.any():
             out[ok] = function(*(data.to_numpy()[ok, k] for k in range(data.shape[1])))
-        return pd.Series(out).replace({np.nan: None}).astype(object)
+        return pd.Series(out)
 
     return run
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided normal p-value."""
     return _guarded(lambda v: 2 * normal_tail(np.abs(v)))(z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p-value of a t statistic."""
     return _guarded(student_two_sided)(t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """Upper-tail p-value of an F statistic."""
     return _guarded(f_tail)(f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     """Upper-tail p-value of a chi-square statistic."""
     return _guarded(lambda v, k: gamma_tail(k / 2, v / 2))(x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ks_p(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     """P-value of a two-sample Kolmogorov-Smirnov distance."""
     return _guarded(kolmogorov_tail)(d, n, m)

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from riftline.functions.moments import over
 
 PARAMETERS = 2
-ORDERED = Window.partitionBy("series_id").orderBy("t")
+
+
+def ordered() -> WindowSpec:
+    """A series in order of time."""
+    return Window.partitionBy("series_id").orderBy("t")
 
 
 def lagged(series: DataFrame, within: bool) -> DataFrame:
     """Rows (x, y) of value on the one before; within: only where both are in one period."""
-    w = Window.partitionBy("series_id", "period").orderBy("t") if within else ORDERED
+    w = Window.partitionBy("series_id", "period").orderBy("t") if within else ordered()
     return series.withColumn("x", F.lag("value").over(w)).where("x IS NOT NULL").withColumnRenamed("value", "y")
 
 
@@ -46,7 +50,7 @@ def residuals(series: DataFrame) -> DataFrame:
     rows = lagged(series, False)
     g = rows.groupBy("series_id").agg(*_line(F.col("y"), F.col("x"), ""), F.count(F.when(F.col("period") == 0, 1)).alias("before"))
     e = F.col("y") - F.coalesce(F.col("intercept") + F.col("slope") * F.col("x"), F.lit(None).cast("double"))
-    number = F.row_number().over(ORDERED)
+    number = F.row_number().over(ordered())
     return rows.join(g, "series_id").select("series_id", "t", "period", e.alias("e"), number.alias("i"), "n", "before", "rss", F.sqrt(over(F.col("rss"), F.col("n") - PARAMETERS)).alias("sigma"))
 
 
@@ -63,7 +67,7 @@ def cusum(series: DataFrame) -> DataFrame:
 
 def cusum_scan(series: DataFrame) -> DataFrame:
     """The candidate in the first half after the boundary with the largest absolute CUSUM; ties to the earliest."""
-    upto = ORDERED.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     u = F.col("i") / F.col("n")
     r = residuals(series).withColumn("s", F.sum("e").over(upto)).where("i < n AND i >= before AND i <= before + floor((n - before) / 2)")
     scored = r.withColumn("t_k", over(F.col("s"), F.col("sigma") * F.sqrt(F.col("n") * u * (1 - u))))
@@ -88,10 +92,10 @@ def sup_f(series: DataFrame, trim: float = 0.15) -> DataFrame:
     rows = lagged(series, False)
     mean = rows.groupBy("series_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
     r = rows.join(mean, "series_id").select("series_id", "t", "period", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"))
-    upto, whole = ORDERED.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy("series_id")
+    upto, whole = ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy("series_id")
     products = {"c": F.lit(1.0), "x": F.col("x"), "y": F.col("y"), "xx": F.col("x") ** 2, "xy": F.col("x") * F.col("y"), "yy": F.col("y") ** 2}
     r = r.select("series_id", "t", "period", *[F.sum(v).over(upto).alias(f"l_{k}") for k, v in products.items()], *[F.sum(v).over(whole).alias(f"a_{k}") for k, v in products.items()])
-    r = r.withColumn("i", F.row_number().over(ORDERED)).withColumn("n1", F.sum("period").over(whole)).withColumn("before", F.col("a_c") - F.col("n1"))
+    r = r.withColumn("i", F.row_number().over(ordered())).withColumn("n1", F.sum("period").over(whole)).withColumn("before", F.col("a_c") - F.col("n1"))
 
     def rss(get) -> Column:
         n, x, y = get("c"), get("x"), get("y")

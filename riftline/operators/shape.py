@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from riftline.functions.moments import TINY, kurt, over, side, skew
 
-ORDERED = Window.partitionBy("series_id").orderBy("t")
-WITHIN = Window.partitionBy("series_id", "period").orderBy("t")
+
+def ordered() -> WindowSpec:
+    """A series in order of time."""
+    return Window.partitionBy("series_id").orderBy("t")
+
+
+def within() -> WindowSpec:
+    """A period of a series in order of time."""
+    return Window.partitionBy("series_id", "period").orderBy("t")
 
 
 def changepoint_cost(series: DataFrame) -> DataFrame:
@@ -26,7 +33,7 @@ def binary_segmentation(series: DataFrame) -> DataFrame:
     """The one split with the least sum of squares around the two means; at least two values on each side, ties earliest."""
     mean = Window.partitionBy("series_id")
     c = series.select("series_id", "t", "period", (F.col("value") - F.avg("value").over(mean)).alias("x"))
-    upto = ORDERED.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = c.select("series_id", "t", (F.col("t") + 1).alias("k"), F.count("*").over(mean).alias("n"), F.sum("x").over(upto).alias("s"), F.sum("x").over(mean).alias("a"), F.sum(F.col("x") ** 2).over(mean).alias("q"))
     cost = F.col("q") - F.col("s") ** 2 / F.col("k") - over((F.col("a") - F.col("s")) ** 2, F.col("n") - F.col("k"))
     return s.where("k >= 2 AND n - k >= 2").groupBy("series_id").agg(F.min_by(F.struct("k", cost.alias("cost")), F.struct(F.round(cost, 6), F.col("k"))).alias("b")).select("series_id", "b.k", F.col("b.cost").alias("cost"))
@@ -34,13 +41,13 @@ def binary_segmentation(series: DataFrame) -> DataFrame:
 
 def returns(series: DataFrame) -> DataFrame:
     """First differences within each period."""
-    return series.withColumn("r", F.col("value") - F.lag("value").over(WITHIN)).where("r IS NOT NULL").select("series_id", "t", "period", "r")
+    return series.withColumn("r", F.col("value") - F.lag("value").over(within())).where("r IS NOT NULL").select("series_id", "t", "period", "r")
 
 
 def volatility(series: DataFrame, window: int = 10) -> DataFrame:
     """Spread, shape and asymmetry of first differences by period; the rolling spread needs ``window`` differences."""
     r = returns(series)
-    recent = WITHIN.rowsBetween(-(window - 1), Window.currentRow)
+    recent = within().rowsBetween(-(window - 1), Window.currentRow)
     r = r.withColumn("rolling", F.when(F.count("r").over(recent) == window, F.stddev_samp("r").over(recent)))
     at = lambda c, p: side(F.col(c), p)
     down, up = (lambda p: F.stddev_pop(F.when(F.col("r") < 0, at("r", p)))), (lambda p: F.stddev_pop(F.when(F.col("r") > 0, at("r", p))))
@@ -56,7 +63,7 @@ def rolling_boundary(series: DataFrame) -> DataFrame:
     position.  Values are centred first, which keeps the running sums small.
     """
     whole = Window.partitionBy("series_id")
-    c = series.select("series_id", "t", F.avg("value").over(whole).alias("mean"), F.count("*").over(whole).alias("n"), F.coalesce(F.min(F.when(F.col("period") == 1, F.col("t"))).over(whole), F.count("*").over(whole)).alias("b"), F.sum("value").over(ORDERED.rowsBetween(Window.unboundedPreceding, 0)).alias("raw"))
+    c = series.select("series_id", "t", F.avg("value").over(whole).alias("mean"), F.count("*").over(whole).alias("n"), F.coalesce(F.min(F.when(F.col("period") == 1, F.col("t"))).over(whole), F.count("*").over(whole)).alias("b"), F.sum("value").over(ordered().rowsBetween(Window.unboundedPreceding, 0)).alias("raw"))
     c = c.withColumn("run", F.col("raw") - F.col("mean") * (F.col("t") + 1)).withColumn("w", F.floor(F.col("n") / 4)).where("w >= 3")
     run = c.select("series_id", F.col("t").alias("at"), F.col("run").alias("sum"))
     inner = c.select("series_id", "t", "mean", "b", "w", (F.col("t") + F.floor((F.col("w") - 1) / 2)).alias("last"), (F.col("t") - F.floor(F.col("w") / 2) - 1).alias("first"))
@@ -71,7 +78,7 @@ def rolling_boundary(series: DataFrame) -> DataFrame:
 def autocorrelation(series: DataFrame, lags: int = 10) -> DataFrame:
     """Biased autocorrelation at lags 1..lags of each period, one row per series, period and lag."""
     each = Window.partitionBy("series_id", "period")
-    c = series.select("series_id", "period", F.row_number().over(WITHIN).alias("i"), (F.col("value") - F.avg("value").over(each)).alias("x"))
+    c = series.select("series_id", "period", F.row_number().over(within()).alias("i"), (F.col("value") - F.avg("value").over(each)).alias("x"))
     later = c.select("series_id", "period", F.col("i").alias("j"), F.col("x").alias("y"))
     pairs = c.select("series_id", "period", "x", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"), "i").withColumn("j", F.col("i") + F.col("lag")).join(later, ["series_id", "period", "j"])
     total = c.groupBy("series_id", "period").agg(F.sum(F.col("x") ** 2).alias("q"), F.count("*").alias("n"))
@@ -98,7 +105,7 @@ def autocorrelation_distance(series: DataFrame, lags: int = 10) -> DataFrame:
 
 def permutation_entropy(series: DataFrame) -> DataFrame:
     """Entropy in bits of the ordinal patterns of three successive values, by period; equal values keep their order."""
-    a, b = F.lag("value", 2).over(WITHIN), F.lag("value").over(WITHIN)
+    a, b = F.lag("value", 2).over(within()), F.lag("value").over(within())
     p = series.select("series_id", "period", a.alias("a"), b.alias("b"), F.col("value").alias("c")).where("a IS NOT NULL")
     pattern = (F.col("a") > F.col("b")).cast("int") * 4 + (F.col("a") > F.col("c")).cast("int") * 2 + (F.col("b") > F.col("c")).cast("int")
     counted = p.groupBy("series_id", "period", pattern.alias("pattern")).agg(F.count("*").alias("k"))
@@ -109,7 +116,7 @@ def permutation_entropy(series: DataFrame) -> DataFrame:
 
 def block_spread(series: DataFrame, sizes: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """Mean spread of tumbling blocks of each size in each period, and the ratio of the two."""
-    rows = series.withColumn("i", F.row_number().over(WITHIN) - 1).select("*", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
+    rows = series.withColumn("i", F.row_number().over(within()) - 1).select("*", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
     blocks = rows.groupBy("series_id", "period", "size", F.floor(F.col("i") / F.col("size")).alias("block")).agg(F.stddev_pop("value").alias("s"), F.count("*").alias("k")).where("k = size")
     g = blocks.groupBy("series_id", "size").agg(F.avg(side(F.col("s"), 0)).alias("spread_0"), F.avg(side(F.col("s"), 1)).alias("spread_1"), F.count(side(F.col("s"), 0)).alias("blocks_0"), F.count(side(F.col("s"), 1)).alias("blocks_1"))
     return g.withColumn("ratio", over(F.col("spread_1"), F.col("spread_0"))).withColumn("size", F.col("size").cast("long"))
@@ -119,7 +126,7 @@ def break_characteristics(series: DataFrame) -> DataFrame:
     """How large, how sudden and how lasting the change of spread at the boundary is."""
     whole = Window.partitionBy("series_id")
     n1 = F.sum("period").over(whole)
-    rows = series.select("*", n1.alias("n1"), (F.row_number().over(WITHIN) - 1).alias("i"))
+    rows = series.select("*", n1.alias("n1"), (F.row_number().over(within()) - 1).alias("i"))
     late = F.col("i") >= F.floor(F.col("n1") / 2)
     after = F.col("period") == 1
     g = rows.groupBy("series_id").agg(F.stddev_pop(side(F.col("value"), 0)).alias("s0"), F.stddev_pop(side(F.col("value"), 1)).alias("s1"), F.stddev_pop(F.when(after & ~late, F.col("value"))).alias("early"), F.stddev_pop(F.when(after & late, F.col("value"))).alias("late"))
