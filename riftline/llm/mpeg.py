@@ -6,7 +6,7 @@ higher bit rate, so streams are of variable bit rate; a leading frame holds the
 100 seek points).  An ID3v2.3 tag precedes the frames and an ID3v1 tag ends the stream.
 
 The reader relies on nothing but the bytes: it parses the tags, resynchronises on frame headers (a header
-counts if the next one or the end of the audio follows where it should), reads the table, verifies each
+counts if its checksum holds, or the next one or the end of the audio follows where it should), reads the table, verifies each
 checksum, and gives exact durations (samples over rate) and the byte offset of every frame.
 
 Edge cases: null text is empty and becomes one frame of padding; bytes that belong to no frame are skipped and
@@ -135,20 +135,20 @@ def read_stream(media: bytes) -> Stream:
     while at + 4 <= end:
         head = media[at : at + 4]
         size = frame_size(head)
-        if not size or at + size > end or (at + size < end and not frame_size(media[at + size : at + size + 4])):
+        protected = not head[1] & 1
+        side = at + 4 + 2 * protected
+        holds = bool(size) and protected and checksum(head[2:] + media[side : side + SIDE_BYTES]) == int.from_bytes(media[at + 4 : at + 6], "big")
+        if not size or at + size > end or not (holds or at + size == end or frame_size(media[at + size : at + size + 4])):
             nearest = media.find(b"\xff", at + 1, end)
             step = (nearest if nearest >= 0 else end) - at
             out.skipped += step
             at += step
             continue
-        protected = not head[1] & 1
-        side = at + 4 + 2 * protected
         if out.table is None and not out.offsets and media[side + SIDE_BYTES : side + SIDE_BYTES + 4] in (b"Xing", b"Info"):
             flags, frames, total = struct.unpack(">III", media[side + SIDE_BYTES + 4 : side + SIDE_BYTES + 16])
             out.table, out.seek_points = (frames, total), media[side + SIDE_BYTES + 16 : side + SIDE_BYTES + 116] if flags & 4 else b""
         else:
-            if protected:
-                out.wrong += checksum(head[2:] + media[side : side + SIDE_BYTES]) != int.from_bytes(media[at + 4 : at + 6], "big")
+            out.wrong += protected and not holds
             out.offsets.append(at)
             rate = BIT_RATES[head[2] >> 4]
             out.rates[rate] = out.rates.get(rate, 0) + 1
