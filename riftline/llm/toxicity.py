@@ -7,8 +7,8 @@ insults with gaps and inserted characters keep most of their triples.
 
 Landmarks are words: those most typical of toxic documents and the commonest of the others.  Sentences of
 labelled documents are mapped to the landmarks' space by the Nystroem formula, and a linear machine with squared
-hinge loss learns to tell them apart.  Since only documents are labelled, the toxic ones of a toxic document's
-sentences are chosen anew after every round: those with a positive score, or else the highest one.
+hinge loss learns to tell them apart.  Since only documents are labelled, each toxic document is represented by
+its highest-scoring sentence, chosen anew after every round.
 
 The machine's score of a string is a sum over landmarks of kernels, hence linear in the string's triples, so
 the landmarks fold into one weight for each triple without any approximation.  A document's evidence is the
@@ -211,11 +211,10 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int =
         return float(share)
     owners = np.array([r[0] for r in rows if r[1] == 1])
     bags = [np.flatnonzero(owners == o) for o in np.unique(owners)]
-    score, least = raw[label == 1, : len(insults)].max(axis=1), np.inf  # first, the three nearest to a typical word
-    for round_ in range(ROUNDS):
-        chosen = np.concatenate([b[(score[b] > least) | (np.argsort(np.argsort(-score[b])) < (1 if round_ else 3))] for b in bags])
-        v = separate(np.vstack([clean, toxic[chosen]]), np.r_[-np.ones(len(clean)), np.ones(len(chosen))])
-        score, least = toxic @ v[:-1] + v[-1], 0.0
+    chosen = np.stack([toxic[b].mean(axis=0) for b in bags])  # first, the mean of its sentences
+    for _ in range(ROUNDS):
+        v = separate(np.vstack([clean, chosen]), np.r_[-np.ones(len(clean)), np.ones(len(chosen))])
+        chosen = np.stack([toxic[b][np.argmax(toxic[b] @ v[:-1])] for b in bags])
     table = ((nystroem @ v[:-1]) @ profiles).astype(np.float32)
     folded = docs.sparkSession.sparkContext.broadcast(table)
 
