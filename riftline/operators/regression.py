@@ -54,6 +54,13 @@ def residuals(series: DataFrame) -> DataFrame:
     return rows.join(g, "series_id").select("series_id", "t", "period", e.alias("e"), number.alias("i"), "n", "before", "rss", F.sqrt(over(F.col("rss"), F.col("n") - PARAMETERS)).alias("sigma"))
 
 
+def period_residuals(series: DataFrame) -> DataFrame:
+    """Residuals of each period's own fit, in the form of a series, for the tests on distributions."""
+    f = fits(series).select("series_id", *[f"{c}_{p}" for c in ("slope", "intercept") for p in (0, 1)])
+    own = lambda c: F.when(F.col("period") == 0, F.col(f"{c}_0")).otherwise(F.col(f"{c}_1"))
+    return lagged(series, True).join(f, "series_id").select("series_id", "t", (F.col("y") - own("intercept") - own("slope") * F.col("x")).alias("value"), "period").where("value IS NOT NULL")
+
+
 def cusum(series: DataFrame) -> DataFrame:
     """Sum and sum of squares of the residuals before the boundary, standardised."""
     r = residuals(series)

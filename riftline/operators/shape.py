@@ -131,3 +131,48 @@ def break_characteristics(series: DataFrame) -> DataFrame:
     after = F.col("period") == 1
     g = rows.groupBy("series_id").agg(F.stddev_pop(side(F.col("value"), 0)).alias("s0"), F.stddev_pop(side(F.col("value"), 1)).alias("s1"), F.stddev_pop(F.when(after & ~late, F.col("value"))).alias("early"), F.stddev_pop(F.when(after & late, F.col("value"))).alias("late"))
     return g.select("series_id", F.abs(over(F.col("s1"), F.col("s0")) - 1).alias("magnitude"), F.abs(F.log(over(F.col("s1"), F.col("s0")))).alias("log_ratio"), over(F.abs(F.col("late") - F.col("s0")), F.abs(F.col("early") - F.col("s0"))).alias("persistence"))
+
+
+def rolling_spread(series: DataFrame, width: int, least: int) -> DataFrame:
+    """Adds s, the spread of the last ``width`` values of the series, where there are ``least`` of them."""
+    recent = ordered().rowsBetween(-(width - 1), Window.currentRow)
+    return series.withColumn("s", F.when(F.count("value").over(recent) >= least, F.stddev_samp("value").over(recent))).where("s IS NOT NULL")
+
+
+def spread_persistence(series: DataFrame, lags: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """Correlation of changes of the rolling spread with their own past."""
+    d = rolling_spread(series, 20, 5).withColumn("d", F.col("s") - F.lag("s").over(ordered())).where("d IS NOT NULL")
+    past = d.select("series_id", "d", *[F.lag("d", k).over(ordered()).alias(f"d{k}") for k in lags])
+    return past.groupBy("series_id").agg(*[F.corr("d", f"d{k}").alias(f"persistence_{k}") for k in lags])
+
+
+def spread_regimes(series: DataFrame) -> DataFrame:
+    """Changes between spreads above and below their upper quartile, and the mean length of a stay."""
+    s = rolling_spread(series, 20, 5)
+    limit = s.groupBy("series_id").agg(F.percentile("s", F.lit(0.75)).alias("limit"))
+    high = s.join(limit, "series_id").select("series_id", "t", (F.col("s") > F.col("limit")).cast("int").alias("high"))
+    flips = high.withColumn("flip", F.abs(F.col("high") - F.lag("high").over(ordered()))).groupBy("series_id").agg(F.count("*").alias("n"), F.sum("flip").alias("flips"))
+    return flips.select("series_id", "flips", over(F.col("n"), F.col("flips")).alias("mean_stay"))
+
+
+def spread_reversion(series: DataFrame) -> DataFrame:
+    """Slope of the rolling spread on the one before, by period, with its change and whether that exceeds 0.3."""
+    recent = within().rowsBetween(-9, Window.currentRow)
+    s = series.withColumn("s", F.when(F.count("value").over(recent) >= 5, F.stddev_samp("value").over(recent))).where("s IS NOT NULL")
+    s = s.withColumn("p", F.lag("s").over(within())).where("p IS NOT NULL")
+    g = s.groupBy("series_id").agg(*[F.regr_slope(side(F.col("s"), k), side(F.col("p"), k)).alias(f"reversion_{k}") for k in (0, 1)])
+    change = F.abs(F.col("reversion_1") - F.col("reversion_0"))
+    return g.select("*", change.alias("reversion_change"), (change > 0.3).cast("int").alias("changed"))
+
+
+def period_correlation(series: DataFrame) -> DataFrame:
+    """Correlation of the two periods, value by value from their beginnings."""
+    i = series.withColumn("i", F.row_number().over(within()))
+    pairs = i.groupBy("series_id", "i").agg(F.max(side(F.col("value"), 0)).alias("a"), F.max(side(F.col("value"), 1)).alias("b"))
+    return pairs.where("a IS NOT NULL AND b IS NOT NULL").groupBy("series_id").agg(F.count("*").alias("n"), F.corr("a", "b").alias("correlation"))
+
+
+def winsorised(series: DataFrame, share: float = 0.01) -> DataFrame:
+    """The series with values beyond its lowest and highest ``share`` set to those quantiles."""
+    q = series.groupBy("series_id").agg(F.percentile("value", F.lit(share)).alias("low"), F.percentile("value", F.lit(1 - share)).alias("high"))
+    return series.join(q, "series_id").select("series_id", "t", F.greatest(F.least("value", "high"), "low").alias("value"), "period")

@@ -105,6 +105,23 @@ register("perm_entropy", user_series, shape.permutation_entropy, U + ", o AS (SE
 register("multiscale_blocks", user_series, shape.block_spread, U + ", i AS (SELECT *, row_number() OVER (PARTITION BY series_id, period ORDER BY t) - 1 AS i FROM s), b AS (SELECT series_id, period, size, i // size AS block, stddev_pop(value) AS sd FROM i, (VALUES (5), (10), (20)) z(size) GROUP BY ALL HAVING count(*) = size), g AS (SELECT series_id, size, " + both("avg(sd) FILTER (WHERE period = @) AS spread_@, count(*) FILTER (WHERE period = @) AS blocks_@") + f" FROM b GROUP BY ALL) SELECT series_id, CAST(size AS BIGINT) AS size, {r('spread_0', 'spread_0')}, {r('spread_1', 'spread_1')}, blocks_0, blocks_1, {r('spread_1 / spread_0', 'ratio')} FROM g")
 register("break_characteristics", planted, shape.break_characteristics, B + ", i AS (SELECT *, sum(period) OVER (PARTITION BY series_id) AS n1, row_number() OVER (PARTITION BY series_id, period ORDER BY t) - 1 AS i FROM s), g AS (SELECT series_id, stddev_pop(value) FILTER (WHERE period = 0) AS s0, stddev_pop(value) FILTER (WHERE period = 1) AS s1, stddev_pop(value) FILTER (WHERE period = 1 AND i < floor(n1 / 2)) AS early, stddev_pop(value) FILTER (WHERE period = 1 AND i >= floor(n1 / 2)) AS late FROM i GROUP BY series_id) SELECT series_id, " + ", ".join((r("abs(s1 / s0 - 1)", "magnitude"), r("abs(ln(s1 / s0))", "log_ratio"), r("abs(late - s0) / abs(early - s0)", "persistence"))) + " FROM g")
 
+_SPREAD = ", sp AS (SELECT * FROM (SELECT series_id, t, CASE WHEN count(value) OVER w >= 5 THEN stddev_samp(value) OVER w END AS s FROM s WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE s IS NOT NULL)"
+register("vol_persistence", user_series, shape.spread_persistence, U + _SPREAD + ", d AS (SELECT series_id, t, s - lag(s) OVER (PARTITION BY series_id ORDER BY t) AS d FROM sp), p AS (SELECT series_id, d, lag(d, 1) OVER w AS d1, lag(d, 5) OVER w AS d5, lag(d, 10) OVER w AS d10 FROM d WHERE d IS NOT NULL WINDOW w AS (PARTITION BY series_id ORDER BY t)) SELECT series_id, " + ", ".join(r(f"corr(d, d{k})", f"persistence_{k}") for k in (1, 5, 10)) + " FROM p GROUP BY series_id")
+register("vol_regime", user_series, shape.spread_regimes, U + _SPREAD + ", q AS (SELECT series_id, quantile_cont(s, 0.75) AS lim FROM sp GROUP BY series_id), h AS (SELECT series_id, t, CASE WHEN s > lim THEN 1 ELSE 0 END AS high FROM sp JOIN q USING (series_id)), f AS (SELECT series_id, abs(high - lag(high) OVER (PARTITION BY series_id ORDER BY t)) AS flip FROM h) SELECT series_id, CAST(sum(flip) AS BIGINT) AS flips, round(count(*) / nullif(sum(flip), 0), 6) AS mean_stay FROM f GROUP BY series_id")
+register("vol_mean_reversion", user_series, shape.spread_reversion, U + ", sp AS (SELECT * FROM (SELECT series_id, t, period, CASE WHEN count(value) OVER w >= 5 THEN stddev_samp(value) OVER w END AS s FROM s WINDOW w AS (PARTITION BY series_id, period ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) WHERE s IS NOT NULL), p AS (SELECT *, lag(s) OVER (PARTITION BY series_id, period ORDER BY t) AS p FROM sp), g AS (SELECT series_id, " + both("regr_slope(s, p) FILTER (WHERE period = @ AND p IS NOT NULL) AS b@") + f" FROM p GROUP BY series_id) SELECT series_id, {r('b0', 'reversion_0')}, {r('b1', 'reversion_1')}, {r('abs(b1 - b0)', 'reversion_change')}, CASE WHEN abs(b1 - b0) > 0.3 THEN 1 ELSE 0 END AS changed FROM g")
+register("period_correlation", user_series, shape.period_correlation, U + ", i AS (SELECT *, row_number() OVER (PARTITION BY series_id, period ORDER BY t) AS i FROM s) SELECT a.series_id, count(*) AS n, round(corr(a.value, b.value), 6) AS correlation FROM i a JOIN i b ON a.series_id = b.series_id AND a.i = b.i AND a.period = 0 AND b.period = 1 GROUP BY a.series_id")
+register("winsorised_profile", user_series, lambda s: datasets.value_profile(shape.winsorised(s)).select("period", "n", "mean", "std", "low", "high"), U + ", q AS (SELECT series_id, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM s GROUP BY series_id), v AS (SELECT period, greatest(least(value, hi), lo) AS value FROM s JOIN q USING (series_id)), b AS (SELECT -1 AS period, value FROM v UNION ALL SELECT period, value FROM v) SELECT CAST(period AS BIGINT) AS period, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS low, round(max(value), 6) AS high FROM b GROUP BY period")
+_OWN = FITS + ", rs AS (SELECT lp.series_id, t, period, value - CASE WHEN period = 0 THEN intercept_0 + slope_0 * x ELSE intercept_1 + slope_1 * x END AS value FROM lp JOIN f USING (series_id) WHERE x IS NOT NULL)"
+register("residual_welch", user_series, lambda s: distribution.welch_t(regression.period_residuals(s)).select("series_id", "df"), U + _OWN + COUNTS.replace(" FROM s ", " FROM rs ") + f" SELECT series_id, CASE WHEN {TESTABLE} THEN round((v0 / n0 + v1 / n1) ^ 2 / ((v0 / n0) ^ 2 / (n0 - 1) + (v1 / n1) ^ 2 / (n1 - 1)), 6) END AS df FROM c")
+register("residual_levene", user_series, lambda s: distribution.levene(regression.period_residuals(s)), U + _OWN + ", q AS (SELECT series_id, period, quantile_cont(value, 0.5) AS med FROM rs GROUP BY ALL), z AS (SELECT rs.*, abs(value - med) AS z FROM rs JOIN q USING (series_id, period)), c AS (SELECT series_id, avg(z) AS zz, " + both("count(*) FILTER (WHERE period = @) AS n@, var_samp(value) FILTER (WHERE period = @) AS v@, avg(z) FILTER (WHERE period = @) AS z@, var_pop(z) FILTER (WHERE period = @) AS s@") + f" FROM z GROUP BY series_id) SELECT series_id, CASE WHEN {TESTABLE} THEN round((n0 + n1 - 2) * (n0 * (z0 - zz) ^ 2 + n1 * (z1 - zz) ^ 2) / (n0 * s0 + n1 * s1), 6) END AS w FROM c")
+
+
+def _firing(series: DataFrame) -> DataFrame:
+    return evaluation.joint_firing(regression.cusum(series).join(datasets.labels_of(series).withColumn("label", F.col("has_break").cast("int")), "series_id"), "cusum_t", "cusumsq_z", 1.96)
+
+
+register("joint_firing", planted, _firing, B + RESIDUALS + ", h AS (SELECT series_id, any_value(n) AS n, any_value(before) AS k, any_value(rss) AS rss, any_value(sigma) AS sigma, sum(e) FILTER (WHERE period = 0) AS s, sum(e * e) FILTER (WHERE period = 0) AS q, any_value(before) / any_value(n) AS u FROM e GROUP BY series_id), z AS (SELECT series_id, CASE WHEN abs(s / (sigma * sqrt(n * u * (1 - u)))) > 1.96 THEN 1 ELSE 0 END AS a, CASE WHEN abs((q / rss - u) / sqrt(2 * u * (1 - u) / (n + 2))) > 1.96 THEN 1 ELSE 0 END AS b FROM h WHERE k BETWEEN 1 AND n - 1) SELECT CAST(a AS BIGINT) AS cusum_t_fires, CAST(b AS BIGINT) AS cusumsq_z_fires, count(*) AS n, round(avg(CASE WHEN series_id % 3 = 0 THEN 1.0 ELSE 0.0 END), 6) AS break_rate FROM z GROUP BY ALL")
+
 # --- likelihood ---------------------------------------------------------------------------------------------------
 _SIDES = ", m AS (SELECT series_id, CAST(count(*) AS DOUBLE) AS n, avg(value) AS m, var_pop(value) AS v, " + both("CAST(count(*) FILTER (WHERE period = @) AS DOUBLE) AS n@, avg(value) FILTER (WHERE period = @) AS m@, var_pop(value) FILTER (WHERE period = @) AS v@") + " FROM s GROUP BY series_id)"
 _LL = lambda n, v: f"(-{n} / 2 * (ln(2 * pi() * greatest({v}, 1e-12)) + 1))"
