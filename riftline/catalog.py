@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riftline.plans import model_queries, series_queries
+from riftline.plans import model_queries, series_queries, table_queries  # noqa: F401 - table_queries adds to series_queries
 
 QUERIES = series_queries.QUERIES | model_queries.QUERIES
 ORACLES = dict(series_queries.ORACLES)

@@ -106,3 +106,53 @@ def correlations(features: DataFrame, names: list[str]) -> DataFrame:
     pairs = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
     one = features.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs])).alias("x")).select("x.*")
+
+
+def inference_windows(arrays: DataFrame, size: int, stride: int) -> DataFrame:
+    """Sliding windows of every series; one that is shorter than a window is padded by its last value."""
+    whole = arrays.select("series_id", F.concat("before", "after").alias("v")).where(F.size("v") > 0)
+    padded = whole.select("series_id", F.concat("v", F.array_repeat(F.element_at("v", -1), F.greatest(size - F.size("v"), F.lit(0)))).alias("after"))
+    return sliding_windows(padded.select("series_id", F.array().cast("array<double>").alias("before"), "after", F.size("after").cast("long").alias("length")), size, stride)
+
+
+def standardised(windows: DataFrame) -> DataFrame:
+    """Long rows of windows with each position's values less their mean over all windows, by their spread.
+
+    The table of positions has as many rows as a window is long, so it is broadcast.
+    """
+    cells = windows.select("series_id", "window_start", F.posexplode("window").alias("position", "value"))
+    by = cells.groupBy("position").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    return cells.join(F.broadcast(by), "position").select("series_id", "window_start", F.col("position").cast("long").alias("position"), over(F.col("value") - F.col("m"), F.col("s")).alias("z"))
+
+
+def uniform(*key: Column) -> Column:
+    """A number in [0, 1) that is a function of the key."""
+    return F.pmod(F.xxhash64(*key), F.lit(1 << 52)) / float(1 << 52)
+
+
+def augmented(series: DataFrame, kind: str, copy: int = 0, around: int = 10) -> DataFrame:
+    """A changed copy of each series, renumbered, with ``_aug`` and the copy's number after its id.
+
+    shift keeps a stretch of 80 to 100 % with the boundary inside; subsample keeps 70 to 95 % of the rows and all
+    within ``around`` of the boundary; noise adds a hundredth of the series' spread.  The choices are functions of
+    id, position and copy, so a lost task gives the same rows again.  A series without a second period
+    has its boundary at its end.
+    """
+    id_, seed = F.col("series_id"), F.lit(copy)
+    per = series.groupBy("series_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("period") == 0, 1)).alias("b"), F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("s"))
+    rows = series.join(per, "series_id")
+    if kind == "shift":
+        length = F.ceil(F.col("n") * (0.8 + 0.2 * uniform(id_, seed, F.lit("length"))))
+        low, high = F.greatest(F.col("b") - length + 1, F.lit(0)), F.least(F.greatest(F.col("b") - 1, F.lit(0)), F.col("n") - length)
+        start = F.least(low, high) + F.floor(uniform(id_, seed, F.lit("start")) * (F.greatest(high - low, F.lit(0)) + 1))
+        rows = rows.where((F.col("t") >= start) & (F.col("t") < start + length))
+    elif kind == "subsample":
+        share = 0.7 + 0.25 * uniform(id_, seed, F.lit("share"))
+        rows = rows.where((F.abs(F.col("t") - F.col("b")) <= around) | (uniform(id_, F.col("t"), seed) < share))
+    elif kind == "noise":
+        normal = F.sqrt(-2 * F.log(1 - uniform(id_, F.col("t"), seed, F.lit("r")))) * F.cos(2 * F.pi() * uniform(id_, F.col("t"), seed, F.lit("a")))
+        rows = rows.withColumn("value", F.col("value") + 0.01 * F.col("s") * normal)
+    else:
+        raise ValueError(f"no such change: {kind}")
+    number = (F.row_number().over(Window.partitionBy("series_id").orderBy("t")) - 1).cast("long")
+    return rows.withColumn("t", number).select(F.concat(id_.cast("string"), F.lit(f"_aug{copy}")).alias("series_id"), "t", "value", "period")

@@ -52,3 +52,27 @@ def joint_firing(features: DataFrame, a: str, b: str, level: float) -> DataFrame
     """How often two statistics exceed a level alone, together or not at all, with the share of breaks."""
     fires = lambda c: (F.abs(F.col(c)) > level).cast("long")
     return features.groupBy(fires(a).alias(f"{a}_fires"), fires(b).alias(f"{b}_fires")).agg(F.count("*").alias("n"), F.avg(F.col("label").cast("double")).alias("break_rate"))
+
+
+def cohens_d(features: DataFrame, names: list[str]) -> DataFrame:
+    """Difference of the classes' means over their pooled deviation, for each feature, in one pass."""
+    of = lambda c, k: F.when(F.col("label") == k, F.col(c))
+    one = features.agg(*[f(of(c, k)).alias(f"{c}|{n}{k}") for c in names for k in (0, 1) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
+    x = lambda c, n: F.col(f"`{c}|{n}`")
+    pooled = lambda c: F.sqrt(over((x(c, "n0") - 1) * x(c, "v0") + (x(c, "n1") - 1) * x(c, "v1"), x(c, "n0") + x(c, "n1") - 2))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), over(x(c, "m1") - x(c, "m0"), pooled(c)).alias("d")) for c in names])).alias("r")).select("r.*")
+
+
+def signal_buckets(scores: DataFrame) -> DataFrame:
+    """Real breaks by quarter (1 weakest) of their scores."""
+    real = scores.where((F.col("label") == 1) & F.col("score").isNotNull())
+    q = real.agg(F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    above = sum(((F.col("score") > F.col("q")[k]).cast("long") for k in range(3)), F.lit(1).cast("long"))
+    return real.join(F.broadcast(q)).groupBy(above.alias("bucket")).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
+
+
+def fold_metrics(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Accuracy, precision and recall by fold."""
+    said, real = F.col("score") >= threshold, F.col("label") == 1
+    n = lambda c: F.count(F.when(c, 1))
+    return scores.groupBy(F.col("fold").cast("long").alias("fold")).agg(over(n(said == real), F.count("*")).alias("accuracy"), over(n(said & real), n(said)).alias("precision"), over(n(said & real), n(real)).alias("recall"), F.count("*").alias("n"))

@@ -319,3 +319,117 @@ def linear_autoencoder(before: np.ndarray, after: np.ndarray, window: int = 16,
 
     (e0, c0), (e1, c1) = measured(before[cut:]), measured(after)
     return {"error_0": e0, "error_1": e1, "error_ratio": e1 / (e0 + 1e-8), "error_diff": e1 - e0, "correlation_0": c0, "correlation_1": c1}
+
+
+# --- regressions on lags ------------------------------------------------------------------------------------------
+def _quadratic(x: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lags 1..lags with their squares, standardised, beside a constant; and what follows them."""
+    a, y = design(x, list(range(1, lags + 1)))
+    z = a[:, 1:]
+    z = (z - z.mean(axis=0)) / (z.std(axis=0) + 1e-8)
+    return np.column_stack([np.ones(len(z)), z, z**2]), y
+
+
+def _loss(x: np.ndarray, lags: int, quadratic: bool) -> float:
+    """Mean squared residual of a line or a ridge on squares too."""
+    if len(x) <= 2 * (2 * lags + 1):
+        return float("nan")
+    if not quadratic:
+        return float(np.mean(least_squares(x, list(range(1, lags + 1)))[1] ** 2))
+    a, y = _quadratic(x, lags)
+    w = np.linalg.solve(a.T @ a + np.eye(a.shape[1]), a.T @ y)
+    return float(np.mean((y - a @ w) ** 2))
+
+
+SEGMENT_GAINS = ["linear_gain", "quadratic_gain"]
+
+
+def segment_gains(before: np.ndarray, after: np.ndarray, lags: int = 5) -> Numbers:
+    """By how much the loss over the whole series exceeds those of models of each period, for two learners."""
+    whole = np.concatenate([before, after])
+    return {n: _loss(whole, lags, q) - _loss(before, lags, q) - _loss(after, lags, q) for n, q in zip(SEGMENT_GAINS, (False, True), strict=True)}
+
+
+HUBER = ["huber_scale", "huber_cusum"]
+
+
+def huber_cusum(before: np.ndarray, after: np.ndarray, bend: float = 1.345, rounds: int = 20) -> Numbers:
+    """Standardised sum, up to the boundary, of bounded residuals of an autoregression fitted by Huber's weights."""
+    x = np.concatenate([before, after])
+    if len(before) < 3 or len(after) < 3:
+        return {}
+    a, y = design(x, [1])
+    w = np.ones(len(y))
+    for _ in range(rounds):
+        root = np.sqrt(w)
+        beta = np.linalg.lstsq(a * root[:, None], y * root, rcond=None)[0]
+        e = y - a @ beta
+        scale = np.median(np.abs(e - np.median(e))) / 0.6745
+        if scale <= 0:
+            return {}
+        w = np.minimum(1, bend * scale / np.maximum(np.abs(e), 1e-12))
+    bounded = np.clip(e / scale, -bend, bend)
+    bounded = bounded - bounded.mean()
+    u = (len(before) - 1) / len(y)
+    return {"huber_scale": scale, "huber_cusum": bounded[: len(before) - 1].sum() / (bounded.std() * np.sqrt(len(y) * u * (1 - u)))}
+
+
+def predictability(before: np.ndarray, after: np.ndarray, lags: int = 6, folds: int = 5) -> Numbers:
+    """Mean R2 of a regression on lags over blocks of time, each predicted from all that comes before it."""
+    x = np.concatenate([before, after])
+    if len(x) < lags + 1 + 2 * (folds + 1):
+        return {}
+    a, y = design(x, list(range(1, lags + 1)))
+    ends = np.linspace(0, len(y), folds + 2).astype(int)
+    scores = []
+    for low, high in zip(ends[1:-1], ends[2:], strict=True):
+        beta = np.linalg.lstsq(a[:low], y[:low], rcond=None)[0]
+        total = np.sum((y[low:high] - y[low:high].mean()) ** 2)
+        if total > 0:
+            scores.append(1 - np.sum((y[low:high] - a[low:high] @ beta) ** 2) / total)
+    return {"r2": float(np.mean(scores))} if scores else {}
+
+
+WINDOW = ["dominant", "signal_to_noise", "window"]
+
+
+def optimal_window(before: np.ndarray, after: np.ndarray, segment: int = 64) -> Numbers:
+    """Dominant frequency of the averaged spectrum of half-overlapping Hann segments, and the power of two that holds two periods."""
+    x = np.concatenate([before, after])
+    size = min(segment, len(x))
+    if size < 8:
+        return {}
+    taper = np.hanning(size)
+    parts = embedded(x, size)[:: size // 2]
+    power = np.mean(np.abs(np.fft.rfft((parts - parts.mean(axis=1, keepdims=True)) * taper, axis=1)) ** 2, axis=0)[1:]
+    k = int(np.argmax(power))
+    frequency, rest = (k + 1) / size, np.delete(power, k).mean()
+    window = 2 ** int(np.ceil(np.log2(2 / frequency)))
+    return {"dominant": frequency, "signal_to_noise": power[k] / rest if rest > 0 else np.nan, "window": min(window, 2 ** int(np.log2(len(x))))}
+
+
+TRANSFORMS = ["jb_raw", "jb_difference", "jb_power", "power"]
+
+
+def _jarque_bera(x: np.ndarray) -> float:
+    z = (x - x.mean()) / x.std()
+    return len(x) / 6 * (np.mean(z**3) ** 2 + (np.mean(z**4) - 3) ** 2 / 4)
+
+
+def _yeo_johnson(x: np.ndarray, power: float) -> np.ndarray:
+    up, down = np.maximum(x, 0), np.maximum(-x, 0)
+    high = np.log1p(up) if abs(power) < 1e-9 else ((1 + up) ** power - 1) / power
+    low = np.log1p(down) if abs(power - 2) < 1e-9 else ((1 + down) ** (2 - power) - 1) / (2 - power)
+    return np.where(x >= 0, high, -low)
+
+
+def transforms(before: np.ndarray, after: np.ndarray) -> Numbers:
+    """Jarque-Bera of the values, their differences and their likeliest Yeo-Johnson power, found on a grid of -2..4."""
+    x = np.concatenate([before, after])
+    if len(x) < 8 or x.std() == 0:
+        return {}
+    jacobian = np.sum(np.sign(x) * np.log1p(np.abs(x)))
+    grid = np.linspace(-2, 4, 121)
+    fits = [-len(x) / 2 * np.log(np.var(_yeo_johnson(x, p))) + (p - 1) * jacobian for p in grid]
+    power = float(grid[int(np.nanargmax(fits))])
+    return {"jb_raw": _jarque_bera(x), "jb_difference": _jarque_bera(np.diff(x)), "jb_power": _jarque_bera(_yeo_johnson(x, power)), "power": power}

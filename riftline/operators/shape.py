@@ -176,3 +176,25 @@ def winsorised(series: DataFrame, share: float = 0.01) -> DataFrame:
     """The series with values beyond its lowest and highest ``share`` set to those quantiles."""
     q = series.groupBy("series_id").agg(F.percentile("value", F.lit(share)).alias("low"), F.percentile("value", F.lit(1 - share)).alias("high"))
     return series.join(q, "series_id").select("series_id", "t", F.greatest(F.least("value", "high"), "low").alias("value"), "period")
+
+
+def log_returns(series: DataFrame) -> DataFrame:
+    """Logarithms of the ratio to the value before within each period, where both are positive."""
+    before = F.lag("value").over(within())
+    return series.withColumn("x", F.when((before > 0) & (F.col("value") > 0), F.log(F.col("value")) - F.log(before))).where("x IS NOT NULL").select("series_id", "t", F.col("x").alias("value"), "period")
+
+
+def timescales(series: DataFrame, window: int = 5) -> DataFrame:
+    """Ratios, second period over first, of the spread of differences, of values, and of the rolling spread."""
+    v, run = F.col("value"), within().rowsBetween(1 - window, 0)
+    d = series.select("series_id", "period", v, (v - F.lag(v).over(within())).alias("d"), F.when(F.count(v).over(run) == window, F.stddev_pop(v).over(run)).alias("s"))
+    g = d.groupBy("series_id").agg(*[F.stddev_pop(side(F.col(c), p)).alias(f"{c}{p}") for c in ("d", "value", "s") for p in (0, 1)])
+    return g.select("series_id", *[over(F.col(f"{c}1"), F.col(f"{c}0")).alias(n) for c, n in (("d", "difference_ratio"), ("value", "spread_ratio"), ("s", "vol_of_vol_ratio"))])
+
+
+def at_detected_break(series: DataFrame) -> DataFrame:
+    """Where the best split lies in the series, and how far mean and spread differ on its two sides."""
+    k = binary_segmentation(series).select("series_id", "k")
+    left, right = F.when(F.col("t") < F.col("k"), F.col("value")), F.when(F.col("t") >= F.col("k"), F.col("value"))
+    g = series.join(k, "series_id").groupBy("series_id").agg(F.first("k").alias("k"), F.count("*").alias("n"), *[f(x).alias(f"{n}{p}") for n, f in (("m", F.avg), ("s", F.stddev_pop)) for p, x in ((0, left), (1, right))])
+    return g.select("series_id", over(F.col("k"), F.col("n")).alias("location"), F.abs(F.col("m1") - F.col("m0")).alias("mean_gap"), F.abs(F.col("s1") - F.col("s0")).alias("spread_gap"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import IsotonicRegression
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riftline.functions import special
+from riftline.functions.moments import over
 from riftline.operators import datasets, distribution, evaluation, likelihood, regression, shape
 
 EXTRACTORS = {
@@ -103,3 +107,88 @@ def vote(parts: list[DataFrame]) -> DataFrame:
 def importances(model, matrix: DataFrame, n: int = 20) -> list[tuple[str, float]]:
     """The n most important features of a fitted tree model."""
     return sorted(zip(feature_columns(matrix), model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:n]
+
+
+def stacked(matrix: DataFrame, kinds: tuple[str, ...] = ("forest", "logistic"), k: int = 3) -> DataFrame:
+    """Out-of-fold scores of a logistic model whose features are the out-of-fold scores of ``kinds``."""
+    held = matrix.persist()
+    base = held.select("series_id", "label")
+    for kind in kinds:
+        base = base.join(out_of_fold(held, k, kind).select("series_id", F.col("score").alias(kind)), "series_id")
+    return out_of_fold(base.persist(), k, "logistic")
+
+
+def calibrated(scores: DataFrame, k: int = 3) -> DataFrame:
+    """Scores with folds, each made a probability by an isotonic regression on the other folds."""
+    held = scores.persist()
+    parts = []
+    for f in range(k):
+        model = IsotonicRegression(featuresCol="score", labelCol="label").fit(held.where(F.col("fold") != f))
+        parts.append(model.transform(held.where(F.col("fold") == f)).select("series_id", "label", "fold", F.col("prediction").alias("score")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def selected(matrix: DataFrame, how: str = "tree", n: int = 10) -> list[str]:
+    """Names of features: tree (importance at least the median), l1 (weights that aren't 0) or univariate (the n best by F test)."""
+    names = feature_columns(matrix)
+    if how == "tree":
+        ranked = importances(fit(matrix, "forest"), matrix, len(names))
+        middle = sorted(x for _, x in ranked)[len(ranked) // 2]
+        return [c for c, x in ranked if x >= middle and x > 0]
+    vectors = VectorAssembler(inputCols=names, outputCol="vector").transform(matrix)
+    if how == "l1":
+        weights = LogisticRegression(labelCol="label", featuresCol="vector", regParam=0.02, elasticNetParam=1.0).fit(vectors).coefficients.toArray()
+        return [c for c, w in zip(names, weights, strict=True) if w != 0]
+    chooser = UnivariateFeatureSelector(labelCol="label", featuresCol="vector", outputCol="best", selectionMode="numTopFeatures")
+    return [names[i] for i in chooser.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(n).fit(vectors).selectedFeatures]
+
+
+def random_search(matrix: DataFrame, tries: int = 3, k: int = 2, seed: int = 42) -> DataFrame:
+    """depth, rounds and AUC over all folds of boosted trees with parameters drawn by a seeded generator."""
+    draw = random.Random(seed)
+    parts, matrix = [], matrix.persist()
+    for _ in range(tries):
+        depth, rounds = draw.randint(2, 5), draw.randint(5, 30)
+        scored = out_of_fold(matrix, k, "gbt", depth=depth, rounds=rounds)
+        parts.append(evaluation.auc(scored).select(F.lit(depth).cast("long").alias("depth"), F.lit(rounds).cast("long").alias("rounds"), "auc"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _at_least(observed: Column):
+    return lambda v: v >= observed
+
+
+def null_tests(gains: DataFrame, names: list[str], least: int = 20, sample: int = 10_000) -> DataFrame:
+    """Where each series' gains lie among those of series without a break (label 0), by learner and combined.
+
+    The null distribution is fitted on at most ``sample`` series without a break, chosen by hash of the id; it is
+    one row of sorted numbers.  With fewer than ``least`` of them the results are null.
+    """
+    chosen = gains.where(F.col("label") == 0).orderBy(F.xxhash64("series_id"), "series_id").limit(sample)
+    null = chosen.agg(*[f(c).alias(f"{c}_{n}") for c in names for n, f in (("null", F.collect_list), ("mean", F.avg), ("std", F.stddev_samp))])
+    x = gains.join(F.broadcast(null))
+    out = []
+    for c in names:
+        size, observed = F.size(f"{c}_null"), F.col(c)
+        share = F.size(F.filter(f"{c}_null", _at_least(observed))) / size
+        known = (size >= least) & F.col(c).isNotNull()
+        out += [F.when(known, F.greatest(share, 1 / (size + 1))).alias(f"{c}_p"), F.when(known, over(F.col(c) - F.col(f"{c}_mean"), F.col(f"{c}_std"))).alias(f"{c}_effect"), F.when(known, 1 - share).alias(f"{c}_rank")]
+    tested = x.select("series_id", *out)
+    fisher = -2 * sum((F.log(f"{c}_p") for c in names), F.lit(0.0))
+    smallest = F.array_min(F.array(*[F.col(f"{c}_p") for c in names]))
+    bonferroni = F.when(smallest.isNotNull(), F.least(F.lit(1.0), len(names) * smallest))
+    return tested.select("*", special.chi2_p(fisher, F.lit(2.0 * len(names))).alias("fisher_p"), bonferroni.alias("bonferroni_p"))
+
+
+def direction_scores(series: DataFrame, lags: int = 5) -> DataFrame:
+    """Chance that a value is above its series' first-period median, from the values before it.
+
+    One logistic model for all series learns on first periods and scores second ones.
+    """
+    order = regression.ordered()
+    middle = series.groupBy("series_id").agg(F.percentile(F.when(F.col("period") == 0, F.col("value")), F.lit(0.5)).alias("m"))
+    rows = series.join(middle, "series_id").select("series_id", "t", "period", (F.col("value") > F.col("m")).cast("double").alias("label"), *[(F.lag("value", j).over(order) - F.col("m")).alias(f"lag{j}") for j in range(1, lags + 1)]).na.drop()
+    names = [f"lag{j}" for j in range(1, lags + 1)]
+    vectors = VectorAssembler(inputCols=names, outputCol="vector").transform(rows)
+    model = LogisticRegression(labelCol="label", featuresCol="vector", maxIter=50, regParam=0.001).fit(vectors.where("period = 0"))
+    return model.transform(vectors.where("period = 1")).select("series_id", "t", "label", vector_to_array("probability")[1].alias("score"))

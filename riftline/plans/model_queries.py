@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riftline.functions import special
 from riftline.functions.moments import rounded
-from riftline.operators import distribution, grouped, regression
+from riftline.operators import datasets, distribution, evaluation, grouped, regression
 from riftline.plans import features
 from riftline.plans.series_queries import planted
 from riftline.sources.series import type_series, user_series
@@ -61,6 +61,33 @@ def cross_validated(kind: str, k: int = 3):
     return run
 
 
+FEW = ("descriptive", "distances", "cusum")
+
+
+def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.labelled(planted(spark, sf_dir), FEW)
+
+
+def null_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = planted(spark, sf_dir)
+    labels = datasets.labels_of(series).select("series_id", F.col("has_break").cast("int").alias("label"))
+    gains = grouped.per_series(series, lambda before, after: grouped.segment_gains(before, after, 2), grouped.SEGMENT_GAINS).join(labels, "series_id")
+    return rounded(features.null_tests(gains, grouped.SEGMENT_GAINS))
+
+
+def chosen_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matrix = _matrix(spark, sf_dir).persist()
+    rows = [(how, c) for how in ("tree", "l1", "univariate") for c in features.selected(matrix, how)]
+    return spark.createDataFrame(rows, "how string, feature string")
+
+
+def augmented_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths, boundaries and means of changed copies of the users' series, one of each kind."""
+    parts = [datasets.augmented(user_series(spark, sf_dir), kind, k) for k, kind in enumerate(("shift", "subsample", "noise"))]
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rounded(whole.groupBy("series_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("period") == 0, 1)).alias("boundary"), F.avg("value").alias("mean")))
+
+
 QUERIES = {
     "test_p_values": lambda spark, sf_dir: p_values(user_series(spark, sf_dir)),
     "model_free_scores": lambda spark, sf_dir: model_free_scores(planted(spark, sf_dir)),
@@ -80,4 +107,16 @@ QUERIES = {
     "feature_matrix": lambda spark, sf_dir: rounded(features.filled(features.feature_matrix(planted(spark, sf_dir)))),
     "logistic_cv_auc": cross_validated("logistic"),
     "gbt_cv_auc": cross_validated("gbt"),
+    "ml_null": null_p_values,
+    "huber_cusum": _grouped(user_series, grouped.huber_cusum, grouped.HUBER),
+    "ar_predictability": _grouped(type_series, grouped.predictability, ["r2"]),
+    "optimal_window": _grouped(type_series, grouped.optimal_window, grouped.WINDOW),
+    "best_transform": _grouped(user_series, grouped.transforms, grouped.TRANSFORMS),
+    "augmented_profile": augmented_profile,
+    "stacked_auc": lambda spark, sf_dir: features.fold_auc(features.stacked(_matrix(spark, sf_dir)), 3),
+    "calibrated_scores": lambda spark, sf_dir: features.calibrated(features.out_of_fold(_matrix(spark, sf_dir), 3, "logistic")),
+    "cv_metrics": lambda spark, sf_dir: evaluation.fold_metrics(features.out_of_fold(_matrix(spark, sf_dir), 3, "forest")),
+    "selected_features": chosen_features,
+    "search_auc": lambda spark, sf_dir: features.random_search(_matrix(spark, sf_dir)),
+    "direction_auc": lambda spark, sf_dir: evaluation.auc(features.direction_scores(user_series(spark, sf_dir))),
 }

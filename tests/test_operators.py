@@ -149,3 +149,46 @@ def test_online_cusum_alarms_after_the_shift(spark, tmp_path):
     q.awaitTermination()
     rows = spark.table("alarms").orderBy("t").collect()
     assert OUTPUT.count(",") == 4 and not any(r["alarm"] for r in rows[:35]) and rows[-1]["alarm"]
+
+
+def test_augmented_copies_keep_their_boundary_and_repeat(spark):
+    s = frame(spark, (np.arange(60.0), 40), (np.arange(30.0), 30))
+    for kind in ("shift", "subsample", "noise"):
+        a = {k: [tuple(r) for r in datasets.augmented(s, kind, 1).where(F.col("series_id") == k).orderBy("t").collect()] for k in ("0_aug1", "1_aug1")}
+        assert a["0_aug1"] == [tuple(r) for r in datasets.augmented(s, kind, 1).where("series_id = '0_aug1'").orderBy("t").collect()]
+        periods = [r[3] for r in a["0_aug1"]]
+        assert set(periods) == {0, 1} and periods == sorted(periods)
+        assert [r[1] for r in a["0_aug1"]] == list(range(len(periods)))
+        assert 0.6 * 60 <= len(periods) <= 60 and len(a["1_aug1"]) >= 18
+    with pytest.raises(ValueError):
+        datasets.augmented(s, "other")
+
+
+def test_short_series_are_padded(spark):
+    w = datasets.inference_windows(to_arrays(frame(spark, ([1.0, 2.0, 3.0], 2), ([], 0))), 5, 2).collect()
+    assert [r["window"] for r in w] == [[1.0, 2.0, 3.0, 3.0, 3.0]]
+
+
+def test_null_tests_bound_and_combine(spark):
+    gains = spark.createDataFrame([(k, float(k), 0) for k in range(30)] + [(99, 1000.0, 1), (98, None, 1)], "series_id long, g double, label int")
+    out = {r["series_id"]: r for r in features.null_tests(gains, ["g"]).collect()}
+    assert out[99]["g_p"] == pytest.approx(1 / 31) and out[0]["g_p"] == 1
+    assert out[99]["g_rank"] == 1 and out[98]["g_p"] is None
+    assert out[99]["fisher_p"] == pytest.approx(1 / 31, rel=1e-3)
+    few = features.null_tests(gains.where("series_id < 5"), ["g"]).collect()
+    assert all(r["g_p"] is None for r in few)
+
+
+def test_lag_regressions():
+    rng = np.random.default_rng(3)
+    x = np.zeros(400)
+    for k in range(1, 400):
+        x[k] = 0.8 * x[k - 1] + rng.normal()
+    assert grouped.predictability(x[:200], x[200:])["r2"] > 0.4
+    assert abs(grouped.huber_cusum(x[:200], x[200:])["huber_cusum"]) < 3
+    assert abs(grouped.huber_cusum(x[:200], x[200:] + 8)["huber_cusum"]) > abs(grouped.huber_cusum(x[:200], x[200:])["huber_cusum"])
+    wave = np.sin(2 * np.pi * np.arange(256) / 16)
+    got = grouped.optimal_window(wave[:128], wave[128:])
+    assert got["dominant"] == pytest.approx(1 / 16) and got["window"] == 32
+    assert grouped.transforms(np.exp(rng.normal(size=200)), np.exp(rng.normal(size=200)))["jb_power"] < 20
+    assert grouped.optimal_window(np.zeros(2), np.zeros(2)) == {} and grouped.transforms(np.ones(10), np.ones(10)) == {}
