@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from riftline.functions import special
 from riftline.functions.moments import over
 from riftline.operators import datasets, distribution, evaluation, likelihood, regression, shape
+from riftline.sources.checkpoints import cut
 
 EXTRACTORS = {
     "descriptive": distribution.descriptive,
@@ -111,11 +112,11 @@ def importances(model, matrix: DataFrame, n: int = 20) -> list[tuple[str, float]
 
 def stacked(matrix: DataFrame, kinds: tuple[str, ...] = ("forest", "logistic"), k: int = 3) -> DataFrame:
     """Out-of-fold scores of a logistic model whose features are the out-of-fold scores of ``kinds``."""
-    held = matrix.persist()
+    held = cut(matrix)
     base = held.select("series_id", "label")
     for kind in kinds:
         base = base.join(out_of_fold(held, k, kind).select("series_id", F.col("score").alias(kind)), "series_id")
-    return out_of_fold(base.persist(), k, "logistic")
+    return out_of_fold(cut(base), k, "logistic")
 
 
 def calibrated(scores: DataFrame, k: int = 3) -> DataFrame:
@@ -146,7 +147,7 @@ def selected(matrix: DataFrame, how: str = "tree", n: int = 10) -> list[str]:
 def random_search(matrix: DataFrame, tries: int = 3, k: int = 2, seed: int = 42) -> DataFrame:
     """depth, rounds and AUC over all folds of boosted trees with parameters drawn by a seeded generator."""
     draw = random.Random(seed)
-    parts, matrix = [], matrix.persist()
+    parts, matrix = [], cut(matrix)
     for _ in range(tries):
         depth, rounds = draw.randint(2, 5), draw.randint(5, 30)
         scored = out_of_fold(matrix, k, "gbt", depth=depth, rounds=rounds)
