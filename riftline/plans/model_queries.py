@@ -110,7 +110,7 @@ QUERIES = {
     "ml_null": null_p_values,
     "huber_cusum": _grouped(user_series, grouped.huber_cusum, grouped.HUBER),
     "ar_predictability": _grouped(type_series, grouped.predictability, ["r2"]),
-    "optimal_window": _grouped(type_series, grouped.optimal_window, grouped.WINDOW),
+    "welch_window": _grouped(type_series, grouped.optimal_window, grouped.WINDOW),
     "best_transform": _grouped(user_series, grouped.transforms, grouped.TRANSFORMS),
     "augmented_profile": augmented_profile,
     "stacked_auc": lambda spark, sf_dir: features.fold_auc(features.stacked(_matrix(spark, sf_dir)), 3),
