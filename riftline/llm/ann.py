@@ -6,12 +6,14 @@ share long prefixes.  Within a tree, vectors are kept in sorted arrays by string
 character (and for each block of rows where there are many), and a prefix is found there by binary search.
 
 A query descends all trees to its longest prefixes and ascends in all of them at once, a character at a time,
-until the prefixes hold at least ``least`` vectors together; at the root it meets every vector.  Those vectors
+until the prefixes hold at least a certain number of vectors together; at the root it meets every vector.  Those vectors
 are scored by exact Euclidean distance in double precision inside the task that holds the array, so only the
 best of each array travel on.
 
-Recall is measured against brute force in the tests; on 64-dimensional vectors without structure it depends
-on ``trees`` (0.9 needs about 40 of them at 50,000 rows), and for much larger tables of such vectors ``trees`` has to grow.
+That number follows from the table: up to CALIBRATED of its queries are compared with every vector first, and it
+is the smallest one, ``least`` or more, with which they find the share ``recall`` of their neighbours, two standard
+errors allowed for.  At the root all are found, so there always is one; vectors without structure get there, or to
+the first character, whatever the table's size.
 
 Equal vectors are hashed and scored once, with their smallest ids: more than k + 1 of them can't be among k
 neighbours.  Vectors that are null, zero, or hold null or non-finite components take no part; vectors of
@@ -21,6 +23,7 @@ ignored; a repeated id counts once; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +37,8 @@ TREES, DEPTH, LEAST = 48, 3, 2500
 #: Rows of a block; each tree's arrays hold one block's rows, so no array grows with the table.
 BLOCK_ROWS = 200_000
 SEED = 20_240_117
+#: Share of the neighbours to be found, and queries compared with the whole table to see to it.
+RECALL, CALIBRATED = 0.9, 200
 
 _rotations: dict[tuple[int, int, int], np.ndarray] = {}
 
@@ -78,6 +83,52 @@ def with_strings(rows: DataFrame, trees: int, depth: int) -> DataFrame:
     return rows.mapInPandas(run, f"{columns}, strings array<bigint>")
 
 
+def shared_level(a: np.ndarray, b: np.ndarray, dim: int, depth: int) -> np.ndarray:
+    """The longest prefix, in characters, that rows of strings have in common in any tree."""
+    out = np.zeros(len(a), dtype=np.int64)
+    for level in range(1, depth + 1):
+        step = (2 * dim) ** (depth - level)
+        out[(a // step == b // step).any(axis=1)] = level
+    return out
+
+
+def true_neighbours(indexed: DataFrame, asked: list[tuple], k: int, depth: int) -> DataFrame:
+    """query_id, vec_id, score, shared: at least the k nearest of all vectors to each of a few queries (id, vector, strings)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for dim, part in b.groupby(b["embedding"].map(len).to_numpy()):
+                vectors, codes, ids = np.stack(part["embedding"].to_numpy()).astype(np.float64), np.stack(part["strings"].to_numpy()), part["ids"].to_numpy()
+                for query_id, vector, own in asked:
+                    if len(vector) != dim:
+                        continue
+                    distance = np.sqrt(((vectors - np.asarray(vector, dtype=np.float64)) ** 2).sum(axis=1))
+                    near = np.argsort(distance, kind="stable")[: k + 1]  # one more than k: the query itself is there
+                    shared = shared_level(codes[near], np.asarray(own)[None], int(dim), depth)
+                    out = [(query_id, i, distance[at], level) for at, level in zip(near, shared, strict=True) for i in ids[at] if i != query_id]
+                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "score", "shared"])
+
+    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = indexed.mapInPandas(run, "query_id bigint, vec_id bigint, score double, shared bigint")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def enough(held: np.ndarray, shared: list[np.ndarray], least: int, recall: float) -> int:
+    """The smallest number of vectors, ``least`` or more, to ascend to for the recall.
+
+    held: (queries, depth) vectors under each query's prefixes of 1, 2, ... characters; shared: each query's
+    longest prefixes in common with its true neighbours.
+    """
+    if not len(held):
+        return least
+    for n in [least, *sorted({int(x) + 1 for x in held.ravel() if x >= least})]:
+        level = ((held >= n) * np.arange(1, held.shape[1] + 1)).max(axis=1)
+        each = np.array([(s >= at).mean() for s, at in zip(shared, level, strict=True)])
+        if each.mean() - 2 * each.std() / len(each) ** 0.5 >= recall:
+            return n
+    return max(least, int(held.max()) + 1)
+
+
 def score_array(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame, k: int, depth: int) -> pd.DataFrame:
     """The best of one sorted array for each query that has come to it."""
     dim = key[0]
@@ -106,6 +157,7 @@ def nearest(
     trees: int = TREES,
     depth: int = DEPTH,
     least: int = LEAST,
+    recall: float = RECALL,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
 ) -> DataFrame:
@@ -126,7 +178,16 @@ def nearest(
     prefix = F.floor(F.col("string") / F.pow(F.col("dim") * 2, F.lit(depth) - F.col("level"))).cast("long").alias("prefix")
     held = by_tree(indexed, F.size("ids").alias("n")).select("*", levels).select("dim", "tree", "level", prefix, "n").groupBy("dim", "tree", "level", "prefix").agg(F.sum("n").alias("n"))
     sought = by_tree(queries, "query_id").select("*", levels).select("query_id", "dim", "tree", "level", prefix)
-    reached = sought.join(held, ["dim", "tree", "level", "prefix"]).groupBy("query_id", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    met = settled(sought.join(held, ["dim", "tree", "level", "prefix"]).groupBy("query_id", "level").agg(F.sum("n").alias("n")))
+    sample = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(CALIBRATED).collect()
+    shared, counts = defaultdict(list), defaultdict(lambda: [0] * depth)
+    for r in true_neighbours(indexed, [(r["query_id"], r["embedding"], r["strings"]) for r in sample], k, depth).collect() if sample else ():
+        shared[r["query_id"]].append(r["shared"])
+    for r in met.where(F.col("query_id").isin([r["query_id"] for r in sample])).collect() if sample else ():
+        counts[r["query_id"]][r["level"] - 1] = r["n"]
+    tried = sorted(shared)
+    least = enough(np.array([counts[q] for q in tried]), [np.array(shared[q]) for q in tried], least, recall)
+    reached = met.where(F.col("n") >= least)
     level = reached.groupBy("query_id").agg(F.max("level").alias("level"))
 
     leveled = queries.join(level, "query_id", "left").withColumn("level", F.coalesce("level", F.lit(0)))
