@@ -23,9 +23,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+#: Per cent of shared shingles from which the pipeline takes documents for copies; op2's own threshold is higher.
+DEDUP_THRESHOLD = 80
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies; rows without an id can't be told apart and stay."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
+    kept = near_duplicates(docs, threshold=DEDUP_THRESHOLD).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -1,8 +1,9 @@
 """Near-duplicate documents by one-permutation MinHash with optimal densification.
 
 1. A document is the set of its distinct five-word shingles (64-bit hashes).  One permutation deals the set
-   into BINS bins that each keep their smallest hash; an empty bin takes the value of a bin that is chosen by
-   hashing until one with a value is met.  BANDS bands of the sketch give bucket keys.
+   into bins that each keep their smallest hash; an empty bin takes the value of a bin that is chosen by
+   hashing until one with a value is met.  Bands of the sketch give bucket keys; how many and how wide follows
+   from the threshold.
 2. Documents with equal sets become one node, so exact copies are never paired.
 3. In every bucket, candidate edges form a star: all members to the member that meets most others over all its
    buckets.  A star has as many edges as members, whatever the bucket's size.
@@ -12,7 +13,8 @@
    with length and positional filters and only across components, and confirmed on full sets.  In each
    prefix list the largest component meets the others, never itself.
 
-A pair of the threshold's similarity shares no bucket with probability (1 - 0.85**6)**32, below 3 in 10 million.
+A pair of the threshold's similarity shares no bucket with a probability below 3 in 10 million: (1 - 0.85**6)**32 at
+85 per cent, (1 - 0.8**5)**38 at 80.
 
 Edge cases: null and empty texts, or texts of white space, have an empty set and are linked with nothing;
 texts of fewer than five words are one shingle of all their words; repeated rows are copies; rows without an id
@@ -22,6 +24,7 @@ get a null component and are not kept; an empty table gives an empty result; onl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log, log1p
 
 import numpy as np
 import pandas as pd
@@ -32,12 +35,22 @@ from pyspark.sql import functions as F
 from .common import settled
 from .components import connected_components
 
-SHINGLE, BANDS, BAND_SIZE = 5, 32, 6
-BINS = BANDS * BAND_SIZE
-THRESHOLD = 85  #: per cent
+SHINGLE = 5
+THRESHOLD = 85  #: per cent, unless a caller asks for another
+#: Probability that a pair of the threshold's similarity shares no bucket, and the most bins of a sketch.
+MISSED, MOST_BINS = 3e-7, 192
 #: Words remembered by one worker; when full, the table starts again.
 REMEMBERED = 200_000
 
+
+def layout(threshold: int) -> tuple[int, int]:
+    """Bands and bins a band: the widest bands that keep within MISSED and MOST_BINS; 32 of 6 for 85 per cent."""
+    fits = [(ceil(log(MISSED) / log1p(-((threshold / 100) ** size))), size) for size in range(1, 17)] if threshold < 100 else [(1, 1)]
+    return max((f for f in fits if f[0] * f[1] <= MOST_BINS), key=lambda f: f[1], default=fits[0])
+
+
+BANDS, BAND_SIZE = layout(THRESHOLD)
+
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,33 +86,33 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
+def sketch(values: np.ndarray, n_bins: int = BANDS * BAND_SIZE) -> np.ndarray:
     """One-permutation MinHash of a non-empty set, densified."""
     spread = mixed(values + _ODD)
-    bins = ((spread >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
-    out = np.full(BINS, _EMPTY)
+    bins = ((spread >> np.uint64(32)) * np.uint64(n_bins) >> np.uint64(32)).astype(np.int64)
+    out = np.full(n_bins, _EMPTY)
     np.minimum.at(out, bins, spread)
     empty = out == _EMPTY
     if empty.any():
         full, todo, attempt = out.copy(), np.flatnonzero(empty), 1
         while len(todo):
-            chosen = (mixed((todo + attempt * BINS).astype(np.uint64) * _ODD) % np.uint64(BINS)).astype(np.int64)
+            chosen = (mixed((todo + attempt * n_bins).astype(np.uint64) * _ODD) % np.uint64(n_bins)).astype(np.int64)
             met = ~empty[chosen]
             out[todo[met]] = full[chosen[met]]
             todo, attempt = todo[~met], attempt + 1
     return out
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
+def band_keys(values: np.ndarray, bands: int = BANDS, size: int = BAND_SIZE) -> np.ndarray:
     """A 64-bit bucket key for each band."""
-    rows = sketch(values).reshape(BANDS, BAND_SIZE)
-    keys = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
-    for k in range(BAND_SIZE):
+    rows = sketch(values, bands * size).reshape(bands, size)
+    keys = mixed(np.arange(1, bands + 1, dtype=np.uint64))
+    for k in range(size):
         keys = mixed((keys ^ rows[:, k]) * _ODD)
     return keys.view(np.int64)
 
 
-def describe(texts: DataFrame) -> DataFrame:
+def describe(texts: DataFrame, bands: int = BANDS, size: int = BAND_SIZE) -> DataFrame:
     """doc_id, n_shingles, the set's fingerprint (two longs) and its bucket keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,7 +126,7 @@ def describe(texts: DataFrame) -> DataFrame:
                     "n_shingles": [len(s) for s in sets],
                     "high": [signed(p >> 64) for p in prints],
                     "low": [signed(p & (1 << 64) - 1) for p in prints],
-                    "keys": [band_keys(s) if len(s) else None for s in sets],
+                    "keys": [band_keys(s, bands, size) if len(s) else None for s in sets],
                 }
             )
 
@@ -131,37 +144,37 @@ def sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return wanted.select(F.col("doc_id").alias("node"), "text").mapInPandas(run, "node bigint, tokens array<bigint>")
 
 
-def long_enough(a: Column, b: Column) -> Column:
+def long_enough(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
     """Whether sets of these sizes can reach the threshold."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * THRESHOLD
+    return F.least(a, b) * 100 >= F.greatest(a, b) * threshold
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Those of the pairs (a, b) whose full sets reach the threshold."""
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
     held = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("shared"), (F.size("x") + F.size("y")).cast("long").alias("total"))
-    return held.where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * THRESHOLD).select("a", "b")
+    return held.where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * threshold).select("a", "b")
 
 
-def star_edges(members: DataFrame) -> DataFrame:
+def star_edges(members: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Edges (a, b) from each bucket's centre a to its other members b; members: bucket, node, n."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     shared = members.join(sizes, "bucket")
     popular = shared.groupBy("node").agg(F.sum("members").alias("met"))
     ranked = shared.join(popular, "node").select("bucket", "node", "n", "met")
     centres = ranked.groupBy("bucket").agg(F.max_by(F.struct(F.col("node").alias("a"), F.col("n").alias("an")), F.struct("met", -F.col("node"))).alias("c")).select("bucket", "c.a", "c.an")
-    return shared.join(centres, "bucket").where((F.col("a") != F.col("node")) & long_enough(F.col("an"), F.col("n"))).select("a", F.col("node").alias("b")).distinct()
+    return shared.join(centres, "bucket").where((F.col("a") != F.col("node")) & long_enough(F.col("an"), F.col("n"), threshold)).select("a", F.col("node").alias("b")).distinct()
 
 
-def remaining_pairs(sets: DataFrame, component: DataFrame) -> DataFrame:
+def remaining_pairs(sets: DataFrame, component: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """All pairs across components that can reach the threshold, by the prefix join of step 5."""
     tokens = sets.join(component, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     frequency = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     counted = tokens.join(frequency, "token").select("node", "component", "n", F.struct("df", "token", (F.col("c0") != F.col("c1")).alias("mixed")).alias("t"))
     ordered = counted.groupBy("node", "component", "n").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    length = F.col("n") - F.ceil(F.col("n") * F.lit(THRESHOLD) / 100).cast("int") + 1
+    length = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) / 100).cast("int") + 1
     prefix = ordered.select("node", "component", "n", F.posexplode(F.slice("ts", F.lit(1), length)).alias("at", "t")).where("t.mixed").select(F.col("t.token").alias("token"), "node", "component", "n", "at")
     prefix = settled(prefix)
     by_component = prefix.groupBy("token", "component").agg(F.count("*").alias("k"))
@@ -169,32 +182,32 @@ def remaining_pairs(sets: DataFrame, component: DataFrame) -> DataFrame:
     listed = prefix.join(main, "token")
     few = listed.where("component <> main").select("token", F.col("node").alias("a"), F.col("component").alias("ac"), F.col("n").alias("an"), F.col("at").alias("aat"))
     all_ = listed.select("token", F.col("node").alias("b"), F.col("component").alias("bc"), F.col("n").alias("bn"), F.col("at").alias("bat"), "main")
-    needed = F.ceil((F.col("an") + F.col("bn")) * F.lit(THRESHOLD) / (100 + THRESHOLD))
+    needed = F.ceil((F.col("an") + F.col("bn")) * F.lit(threshold) / (100 + threshold))
     possible = F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat")) >= needed  # only rarer words precede, none shared before the first
-    meets = (F.col("ac") != F.col("bc")) & ((F.col("bc") == F.col("main")) | (F.col("a") < F.col("b"))) & long_enough(F.col("an"), F.col("bn")) & possible
+    meets = (F.col("ac") != F.col("bc")) & ((F.col("bc") == F.col("main")) | (F.col("a") < F.col("b"))) & long_enough(F.col("an"), F.col("bn"), threshold) & possible
     return few.join(all_, "token").where(meets).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
-    described = settled(describe(texts))
+    described = settled(describe(texts, *layout(threshold)))
     owners = described.where("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n")).where("node IS NOT NULL")
     owners = settled(owners)
     keyed = described.select("doc_id", "keys").where("keys IS NOT NULL").dropDuplicates(["doc_id"]).join(owners.select(F.col("node").alias("doc_id"), "n"), "doc_id")
     members = keyed.select(F.explode("keys").alias("bucket"), F.col("doc_id").alias("node"), F.col("n").cast("long").alias("n"))
     crowded = settled(members.join(members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket"), "bucket"))
 
-    edges = settled(star_edges(crowded))
+    edges = settled(star_edges(crowded, threshold))
     sets = settled(sets_of(texts, crowded.select("node").distinct()))
-    links = settled(confirmed(edges, sets))
+    links = settled(confirmed(edges, sets, threshold))
     first = settled(connected_components(links))
 
     placed = crowded.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
     unsettled = placed.join(split, "bucket").select("node").distinct()
     rest = sets.join(unsettled, "node", "left_semi")
-    more = confirmed(settled(remaining_pairs(rest, first)), rest)
+    more = confirmed(settled(remaining_pairs(rest, first, threshold)), rest, threshold)
     final = settled(connected_components(links.unionByName(more)))
 
     of_print = owners.join(final, "node", "left").select("high", "low", F.coalesce("component", "node").alias("component_id"))
