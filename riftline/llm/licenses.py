@@ -10,6 +10,10 @@ order a matching line
 Lines that pass are compared in full, so no match is lost.  The template list is fixed and small, so it goes
 to every task; only counts of its own words are gathered from the corpus.
 
+Notices are also found over line ends: blocks are windows of words, a quarter longer than a long template
+and exactly as long as a short one, so words scattered over a text or a long line don't add up.  A block has to
+hold ``CONTAINMENT`` of a long template, all of a short one, and no word that makes the licence another one.
+
 Besides, the base phrases are found wherever their words stand one after the other.
 
 Edge cases: a null text is empty: no words, no labels, score 0; a document without base phrases has null
@@ -48,7 +52,11 @@ TEMPLATES = (
 )
 #: Share of a template's distinct words that a line has to hold.
 CONTAINMENT = 0.8
-SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
+#: Templates of fewer distinct words have to be held whole by a block.
+SHORT = 10
+# Words by label that mean another licence when they stand in a block.
+EXCLUDED = {"cc-by": frozenset({b"nc", b"sa", b"nd", b"noncommercial", b"sharealike", b"noderivatives", b"noderivs"})}
+SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, notice_labels string, notice_score double"
 
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz\n" + bytes(range(128, 256))
 #: Lower-cases A-Z and blanks what isn't part of a word; line ends stay, to tell lines apart.
@@ -64,6 +72,7 @@ class Template:
     label: str
     words: tuple[bytes, ...]  #: distinct, rarest first
     needed: int
+    span: int = 0  #: words of a block
 
     @property
     def prefix(self) -> tuple[bytes, ...]:
@@ -78,6 +87,15 @@ def ordered(templates: tuple[tuple[str, str], ...], frequency: dict[bytes, int],
     return out
 
 
+def blocks(templates: tuple[tuple[str, str], ...], frequency: dict[bytes, int], containment: float) -> list[Template]:
+    """The templates as blocks have to hold them: short ones whole."""
+    out = []
+    for t, (_, text) in zip(ordered(templates, frequency, containment), templates, strict=True):
+        length, short = len(folded(text).split()), len(t.words) < SHORT
+        out.append(Template(t.label, t.words, len(t.words) if short else t.needed, length if short else length + length // 4))
+    return out
+
+
 class Join:
     """The templates indexed by their prefix words."""
 
@@ -104,6 +122,34 @@ class Join:
                     yield t, n / len(t.words)
 
 
+def best_block(words: list[bytes], t: Template) -> float:
+    """The highest share of a template's words in one block, 0 if none has enough of them."""
+    wanted, excluded = set(t.words), EXCLUDED.get(t.label, frozenset())
+    places = [(i, w) for i, w in enumerate(words) if w in wanted or w in excluded]
+    held: dict[bytes, int] = defaultdict(int)
+    first, own, wrong, best = 0, 0, 0, 0
+    for at, w in places:
+        while places[first][0] <= at - t.span:
+            gone = places[first][1]
+            held[gone] -= 1
+            own -= gone in wanted and not held[gone]
+            wrong -= gone in excluded
+            first += 1
+        held[w] += 1
+        own += w in wanted and held[w] == 1
+        wrong += w in excluded
+        if not wrong:
+            best = max(best, own)
+    return best / len(t.words) if best >= t.needed else 0.0
+
+
+def scan_notices(text: str, join: Join) -> tuple[str, float]:
+    """Labels of the notices in a text, over line ends, and the highest share of a template in a block."""
+    words = folded(text).split()
+    shares = [(t.label, best_block(words, t)) for t, _ in join.matches(words)]  # a block's words are the text's
+    return ",".join(sorted({label for label, share in shares if share})), max((share for _, share in shares), default=0.0)
+
+
 def word_frequencies(texts: DataFrame, words: set[bytes]) -> dict[bytes, int]:
     """Number of documents, over the whole table, that have each of some words."""
 
@@ -151,15 +197,16 @@ def scan_licenses(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """One row per document: words, places of base phrases, labels, and the highest share of a template."""
+    """One row per document: words, places of base phrases, labels and highest share of a template by line and by block."""
     texts = docs.selectExpr(f"`{id_column}` AS doc_id", f"`{text_column}` AS text")
     frequency = word_frequencies(texts.select("text"), {w for _, t in templates for w in folded(t).split()})
-    shared = docs.sparkSession.sparkContext.broadcast(Join(ordered(templates, frequency, containment), frequency))
+    shared = docs.sparkSession.sparkContext.broadcast((Join(ordered(templates, frequency, containment), frequency), Join(blocks(templates, frequency, containment), frequency)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+        lines, notices = shared.value
+        names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "notice_labels", "notice_score"]
         for b in batches:
-            out = pd.DataFrame([scan_text(t or "", shared.value, phrases) for t in b["text"]], columns=names)
+            out = pd.DataFrame([scan_text(t or "", lines, phrases) + scan_notices(t or "", notices) for t in b["text"]], columns=names)
             for c in ("first_word", "last_word"):
                 out[c] = out[c].astype("Int64")
             out.insert(0, "doc_id", pd.array(b["doc_id"], dtype="Int64"))
