@@ -86,12 +86,12 @@ def autocorrelation(series: DataFrame, lags: int = 10) -> DataFrame:
 
 
 def autocorrelation_summary(series: DataFrame, lags: int = 10) -> DataFrame:
-    """Sum, mean and deviation of absolute autocorrelations, lags beyond the white-noise band, Ljung-Box statistic, decay lag."""
+    """Sum, mean and deviation of absolute autocorrelations, lags beyond the white-noise band, Ljung-Box statistic of 10 lags, decay lag."""
     a = autocorrelation(series, lags)
     return a.groupBy("series_id", "period").agg(
         F.sum(F.abs("acf")).alias("abs_sum"), F.avg("acf").alias("mean"), F.stddev_pop("acf").alias("std"),
         F.count(F.when(F.abs("acf") > 1.96 / F.sqrt("n"), 1)).alias("significant"),
-        F.sum(F.col("n") * (F.col("n") + 2) * over(F.col("acf") ** 2, F.col("n") - F.col("lag"))).alias("ljung_box"),
+        F.sum(F.when(F.col("lag") <= 10, F.col("n") * (F.col("n") + 2) * over(F.col("acf") ** 2, F.col("n") - F.col("lag")))).alias("ljung_box"),
         F.coalesce(F.min(F.when(F.abs("acf") < 0.1, F.col("lag"))), F.lit(lags)).alias("decay_lag"),
     )
 

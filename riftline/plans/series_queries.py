@@ -101,6 +101,12 @@ ACF = ", c AS (SELECT series_id, period, row_number() OVER (PARTITION BY series_
 register("acf_lags", type_series, shape.autocorrelation, E + ACF + f" SELECT series_id, period, lag, n, {r('acf', 'acf')} FROM acf")
 register("acf_summary", user_series, shape.autocorrelation_summary, U + ACF + f" SELECT series_id, period, {r('sum(abs(acf))', 'abs_sum')}, {r('avg(acf)', 'mean')}, {r('stddev_pop(acf)', 'std')}, count(*) FILTER (WHERE abs(acf) > 1.96 / sqrt(n)) AS significant, {r('sum(n * (n + 2) * acf ^ 2 / (n - lag))', 'ljung_box')}, coalesce(min(lag) FILTER (WHERE abs(acf) < 0.1), 10) AS decay_lag FROM acf GROUP BY series_id, period")
 register("acf_distance", user_series, shape.autocorrelation_distance, U + ACF + f", d AS (SELECT series_id, lag, coalesce(sum(acf) FILTER (WHERE period = 1), 0) - coalesce(sum(acf) FILTER (WHERE period = 0), 0) AS d FROM acf GROUP BY ALL) SELECT series_id, {r('sqrt(sum(d * d))', 'l2')}, {r('sum(abs(d))', 'l1')} FROM d GROUP BY series_id")
+#: The same over min(100, n - 1) lags; Ljung-Box stays at 10.
+LONG = 100
+_LONG_ACF = ACF.replace("a.i + 10", f"a.i + {LONG}")
+for _name, _source, _operator in (("acf_lags", type_series, shape.autocorrelation), ("acf_summary", user_series, shape.autocorrelation_summary), ("acf_distance", user_series, shape.autocorrelation_distance)):
+    _sql = ORACLES[_name].replace(ACF, _LONG_ACF).replace("sum(n * (n + 2) * acf ^ 2 / (n - lag))", "sum(n * (n + 2) * acf ^ 2 / (n - lag)) FILTER (WHERE lag <= 10)").replace("< 0.1), 10)", f"< 0.1), {LONG})")
+    register(f"{_name}_{LONG}", _source, lambda s, _operator=_operator: _operator(s, LONG), _sql)
 register("perm_entropy", user_series, shape.permutation_entropy, U + ", o AS (SELECT series_id, period, lag(value, 2) OVER w AS a, lag(value) OVER w AS b, value AS c FROM s WINDOW w AS (PARTITION BY series_id, period ORDER BY t)), k AS (SELECT series_id, period, (a > b, a > c, b > c) AS pattern, count(*) AS k FROM o WHERE a IS NOT NULL GROUP BY ALL), z AS (SELECT series_id, period, k / sum(k) OVER (PARTITION BY series_id, period) AS p FROM k), h AS (SELECT series_id, " + both("sum(-p * log2(p)) FILTER (WHERE period = @) AS e@") + f" FROM z GROUP BY series_id) SELECT series_id, {r('e0', 'entropy_0')}, {r('e1', 'entropy_1')}, {r('e1 - e0', 'entropy_diff')} FROM h")
 register("multiscale_blocks", user_series, shape.block_spread, U + ", i AS (SELECT *, row_number() OVER (PARTITION BY series_id, period ORDER BY t) - 1 AS i FROM s), b AS (SELECT series_id, period, size, i // size AS block, stddev_pop(value) AS sd FROM i, (VALUES (5), (10), (20)) z(size) GROUP BY ALL HAVING count(*) = size), g AS (SELECT series_id, size, " + both("avg(sd) FILTER (WHERE period = @) AS spread_@, count(*) FILTER (WHERE period = @) AS blocks_@") + f" FROM b GROUP BY ALL) SELECT series_id, CAST(size AS BIGINT) AS size, {r('spread_0', 'spread_0')}, {r('spread_1', 'spread_1')}, blocks_0, blocks_1, {r('spread_1 / spread_0', 'ratio')} FROM g")
 register("break_characteristics", planted, shape.break_characteristics, B + ", i AS (SELECT *, sum(period) OVER (PARTITION BY series_id) AS n1, row_number() OVER (PARTITION BY series_id, period ORDER BY t) - 1 AS i FROM s), g AS (SELECT series_id, stddev_pop(value) FILTER (WHERE period = 0) AS s0, stddev_pop(value) FILTER (WHERE period = 1) AS s1, stddev_pop(value) FILTER (WHERE period = 1 AND i < floor(n1 / 2)) AS early, stddev_pop(value) FILTER (WHERE period = 1 AND i >= floor(n1 / 2)) AS late FROM i GROUP BY series_id) SELECT series_id, " + ", ".join((r("abs(s1 / s0 - 1)", "magnitude"), r("abs(ln(s1 / s0))", "log_ratio"), r("abs(late - s0) / abs(early - s0)", "persistence"))) + " FROM g")
