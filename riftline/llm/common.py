@@ -3,20 +3,41 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys that are joined on their own because each holds more than this share (one in so many) of the rows.
+HOT_KEYS, LEAST_HOT = 10_000, 512
 
-def settled(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and go on from there.
+ARROW = {
+    "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
+    "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
+}
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only where that is unset, as in tests on one
-    machine, a temporary folder is taken.
+    Only in local mode, as in tests on one machine, is a temporary folder taken where that is unset; on a cluster
+    a folder of one machine would lose the rows, so there it is an error.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="riftline-")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the session's checkpoint folder and go on from there."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riftline-"))
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -24,9 +45,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named_texts(docs: DataFrame, id_column: str, text_column: str, *also: Column) -> DataFrame:
+    """Columns doc_id, those of ``also``, and text, whatever else a table has and however it calls them."""
+    return docs.select(F.col(f"`{id_column}`").alias("doc_id"), *also, F.col(f"`{text_column}`").cast("string").alias("text"))
+
+
+def parts(schema: str) -> list[tuple[str, str]]:
+    return [tuple(c.split()) for c in schema.split(", ")]
+
+
+def with_results(texts: DataFrame, schema: str, function: Callable[[list[str | None]], dict[str, Sequence]]) -> DataFrame:
+    """The columns of ``texts`` but its text, and those that ``function`` gives for the texts of a batch.
+
+    What isn't text passes as it is, in Arrow's own form: ids keep their type and every digit beside nulls.
+    """
+    kept = [f for f in texts.schema.fields if f.name != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = function(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *(pa.array(got[n], ARROW[t]) for n, t in parts(schema))], [*(f.name for f in kept), *(n for n, _ in parts(schema))])
+
+    return texts.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), schema]))
+
+
+def joined_back(rows: DataFrame, by_key: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of rows with a table of one row for each key, which has the key's number of rows in ``count``.
+
+    A key with more than a HOT_KEYS-th of all ``total`` rows would land in one task.  There are at most HOT_KEYS such
+    keys, so their part is broadcast; the others are joined by shuffle.  Both tables should be settled.
+    """
+    limit = max(LEAST_HOT, total // HOT_KEYS)
+    hot = F.broadcast(by_key.where(F.col(count) > limit))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(by_key.where(F.col(count) <= limit), key))
+
+
 def held_out(id_column: str, folds: int, fold: int):
     """Whether a row is kept away from training: crc32 of its id as text, modulo ``folds``, is ``fold``."""
-    return F.coalesce(F.crc32(F.col(id_column).cast("string")) % folds == fold, F.lit(False))
+    return F.coalesce(F.crc32(F.col(f"`{id_column}`").cast("string")) % folds == fold, F.lit(False))
 
 
 def training_ids(labels: DataFrame, column: str, folds: int, fold: int, sample: int) -> DataFrame:

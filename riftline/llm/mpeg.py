@@ -18,12 +18,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import named_texts, parts, with_results
 
 UNIT = 576  #: payload bytes, and samples, of a frame
 PAD = b"\xff"
@@ -34,7 +36,7 @@ SAMPLE_RATES = (22050, 24000, 16000, None)
 SIDE_BYTES = 9
 
 SCHEMA = (
-    "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, "
+    "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, "
     "duration_ms double, seek_offsets array<int>"
 )
 
@@ -171,15 +173,18 @@ def feature(s: Stream) -> str:
     )
 
 
+def utf8(texts: list[str | None]) -> list[bytes]:
+    return [(t or "").encode("utf-8") for t in texts]
+
+
 def encode_audio(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes and the stored stream of each text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            data = [(t or "").encode("utf-8") for t in b["text"]]
-            yield pd.DataFrame({"doc_id": pd.array(b["doc_id"], dtype="Int64"), "n_bytes": list(map(len, data)), "media": list(map(write_stream, data))})
+    def encoded(texts: list[str | None]) -> dict[str, Sequence]:
+        data = utf8(texts)
+        return {"n_bytes": list(map(len, data)), "media": list(map(write_stream, data))}
 
-    return docs.selectExpr(f"`{id_column}` AS doc_id", f"`{text_column}` AS text").mapInPandas(run, "doc_id bigint, n_bytes bigint, media binary")
+    return with_results(named_texts(docs, id_column, text_column), "n_bytes bigint, media binary", encoded)
 
 
 def described(media: bytes) -> dict:
@@ -196,24 +201,22 @@ def described(media: bytes) -> dict:
     }
 
 
-def read_audio(media: DataFrame) -> DataFrame:
-    """Features of stored streams (doc_id, n_bytes, media)."""
+def _columns(streams: list[bytes]) -> dict[str, Sequence]:
+    rows = [described(m) for m in streams]
+    return {name: [r[name] for r in rows] for name, _ in parts(SCHEMA)}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = pd.DataFrame([described(m) for m in b["media"]])
-            yield pd.concat([pd.DataFrame({"doc_id": pd.array(b["doc_id"], dtype="Int64"), "n_bytes": b["n_bytes"].to_numpy()}), rows], axis=1)
 
-    return media.mapInPandas(run, SCHEMA)
+def read_audio(media: DataFrame) -> DataFrame:
+    """Features of stored streams (doc_id, n_bytes, media); a null stream is read as an empty one."""
+    rows = media.select("doc_id", "n_bytes", F.col("media").alias("text"))  # the column that is read
+    return with_results(rows, SCHEMA, lambda streams: _columns([m or b"" for m in streams]))
 
 
 def describe_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Stores each text as a stream and reads the stored bytes back, a document at a time."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            data = [(t or "").encode("utf-8") for t in b["text"]]
-            rows = pd.DataFrame([described(write_stream(d)) for d in data])
-            yield pd.concat([pd.DataFrame({"doc_id": pd.array(b["doc_id"], dtype="Int64"), "n_bytes": list(map(len, data))}), rows], axis=1)
+    def stored(texts: list[str | None]) -> dict[str, Sequence]:
+        data = utf8(texts)
+        return {"n_bytes": list(map(len, data))} | _columns(list(map(write_stream, data)))
 
-    return docs.selectExpr(f"`{id_column}` AS doc_id", f"`{text_column}` AS text").mapInPandas(run, SCHEMA)
+    return with_results(named_texts(docs, id_column, text_column), "n_bytes bigint, " + SCHEMA, stored)

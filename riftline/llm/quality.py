@@ -10,28 +10,30 @@ id.  Scoring reads every text whole and is a function of the text only.
 
 Edge cases: null and empty texts are a bag with one empty passage and get a score; a label that is null or
 other than 0 and 1 is ignored, a repeated one counts once; without labels of both kinds every score is the
-share of label 1 (1 with no labels at all, so nothing is rejected); repeated rows each give a row.
+share of label 1 (1 with no labels at all, so nothing is rejected); repeated rows each give a row; a null id stays
+null, is not held out, and leaves the others as they are; an empty table gives an empty result; of the documents only
+doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, training_ids
+from .common import held_out, named_texts, training_ids, with_results
 
 PASSAGE_WORDS = 60
 #: Labelled documents of each label that training reads, at most.
 SAMPLE = 2000
 HIDDEN, GATE, ROUNDS, RATE, DECAY = 16, 8, 300, 0.02, 1e-4
 FOLDS, FOLD, THRESHOLD = 4, 2, 0.7
-SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
+SCHEMA = "score double, predicted int"
 
 _UPPER, _DIGIT, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"abcdefghijklmnopqrstuvwxyz"
 _STOPS, _LOUD, _BARS = b".,;:", b"!?", b"|"
@@ -129,12 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: int
     """The model, or the share of label 1 where one label is missing.  The sample's codes come to the driver."""
     ids = training_ids(labels, column, folds, fold, sample)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "codes": [encode(t).tobytes() for t in b["text"]]})
-
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
-    rows = sorted((r["doc_id"], r["label"], bytes(r["codes"])) for r in texts.mapInPandas(run, "doc_id bigint, label int, codes binary").collect())
+    coded = with_results(texts, "codes binary", lambda batch: {"codes": [encode(t).tobytes() for t in batch]})
+    rows = sorted((r["doc_id"], r["label"], bytes(r["codes"])) for r in coded.collect())
     y = np.array([r[1] for r in rows])
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 1.0
@@ -153,20 +152,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """One row per document: doc_id, held_out, score, predicted."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds=folds, fold=fold, sample=sample))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            p = score_texts(model.value, list(b["text"]))
-            yield pd.DataFrame({"doc_id": pd.array(b["doc_id"], dtype="Int64"), "held_out": b["held_out"], "score": p, "predicted": (p >= threshold).astype(int)})
+    def scored(texts: list[str | None]) -> dict[str, Sequence]:
+        p = score_texts(model.value, texts)
+        return {"score": p, "predicted": (p >= threshold).astype(np.int32)}
 
-    return docs.select("doc_id", "text", held_out("doc_id", folds, fold).alias("held_out")).mapInPandas(run, SCHEMA)
+    return with_results(named_texts(docs, "doc_id", "text", held_out("doc_id", folds, fold).alias("held_out")), SCHEMA, scored)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score at least ``threshold``, with all their columns."""
+    """The documents that score at least ``threshold``, with all their columns as they are."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b[score_texts(model.value, list(b["text"])) >= threshold]
+            yield b.filter(pa.array(score_texts(model.value, b.column("text").to_pylist()) >= threshold))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

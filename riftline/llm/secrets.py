@@ -6,19 +6,22 @@ automata.  A rule may set a least length for the whole match or for what follows
 that fail it are dropped after they have taken their place, as leftmost non-overlapping matching has it.
 
 Edge cases: a null text scans as empty; texts of any length are scanned whole; offsets are code points, end
-exclusive; overlapping spans of different kinds are all reported; repeated rows each give a row.
+exclusive; overlapping spans of different kinds are all reported; repeated rows each give a row; a null id stays
+null and leaves the others as they are; an empty table gives an empty result; only id and text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import named_texts, with_results
 from .automaton import Spans, accepted, compile_rules, parse
 
 
@@ -51,7 +54,7 @@ ADDED = (
     Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 1),
 )
 RULES = BASE + ADDED
-SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
+SCHEMA = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
 
 
 class Scanner:
@@ -82,17 +85,15 @@ def _joined(rules: tuple[Rule, ...], found: list[tuple[int, int, int]]) -> str:
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document with counts and digest of the base rules' spans, and all spans."""
     compiled = docs.sparkSession.sparkContext.broadcast(Scanner(rules))
+    base = {k: r.kind for k, r in enumerate(rules) if r in BASE}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = compiled.value
-        base = {k: r.kind for k, r in enumerate(rules) if r in BASE}
-        for b in batches:
-            found = [s.scan(t or "") for t in b["text"]]
-            own = [[x for x in f if x[1] in base] for f in found]
-            counts = {f"n_{kind}": [sum(base[x[1]] == kind for x in f) for f in own] for kind in ("assign", "access", "hex")}
-            yield pd.DataFrame({"doc_id": pd.array(b["doc_id"], dtype="Int64"), **counts, "base_sha256": [hashlib.sha256(_joined(rules, f).encode()).hexdigest() for f in own], "spans": [_joined(rules, f) for f in found]})
+    def scanned(texts: list[str | None]) -> dict[str, Sequence]:
+        found = [compiled.value.scan(t or "") for t in texts]
+        own = [[x for x in f if x[1] in base] for f in found]
+        counts = {f"n_{kind}": [sum(base[x[1]] == kind for x in f) for f in own] for kind in ("assign", "access", "hex")}
+        return counts | {"base_sha256": [hashlib.sha256(_joined(rules, f).encode()).hexdigest() for f in own], "spans": [_joined(rules, f) for f in found]}
 
-    return docs.selectExpr(f"`{id_column}` AS doc_id", f"`{text_column}` AS text").mapInPandas(run, SCHEMA)
+    return with_results(named_texts(docs, id_column, text_column), SCHEMA, scanned)
 
 
 def redact(text: str, found: list[tuple[int, int, int]], rules: tuple[Rule, ...]) -> str:
@@ -106,13 +107,14 @@ def redact(text: str, found: list[tuple[int, int, int]], rules: tuple[Rule, ...]
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_column: str = "text") -> DataFrame:
-    """The same rows and columns, with secrets in the text replaced; a null text stays null."""
+    """The same rows and columns, with secrets in the text replaced; a null text stays null, other columns pass as they are."""
     compiled = docs.sparkSession.sparkContext.broadcast(Scanner(rules))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = compiled.value
         for b in batches:
-            b[text_column] = [None if t is None else redact(t, s.scan(t), rules) for t in b[text_column]]
-            yield b
+            at = b.schema.get_field_index(text_column)
+            texts = [None if t is None else redact(t, s.scan(t), rules) for t in b.column(at).to_pylist()]
+            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

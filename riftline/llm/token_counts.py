@@ -10,14 +10,14 @@ gives an empty result; only the id and text columns are read, so other columns m
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import named_texts, with_results
 from .wordbpe import REMEMBERED, merger
 
-SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
+SCHEMA = "n_bytes bigint, n_tokens bigint, over_limit boolean"
 
 
 def prove_whole_tokens(path: str) -> list[str]:
@@ -63,12 +63,12 @@ class Counts(dict):
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: UTF-8 bytes, tokens without specials, and whether they exceed ``limit``."""
     proven = docs.sparkSession.sparkContext.broadcast(prove_whole_tokens(vocabulary))
+    kept: dict[str, Counts] = {}  # filled in each worker
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = Counts(vocabulary, proven.value)
-        for b in batches:
-            texts = b["text"].fillna("")
-            n = [counts.of(t) for t in texts]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len(t.encode("utf-8")) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]})
+    def counted(texts: list[str | None]) -> dict[str, Sequence]:
+        if not kept:
+            kept["counts"] = Counts(vocabulary, proven.value)
+        n = [kept["counts"].of(t or "") for t in texts]
+        return {"n_bytes": [len((t or "").encode("utf-8")) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
-    return docs.selectExpr(f"`{id_column}` AS doc_id", f"`{text_column}` AS text").mapInPandas(run, SCHEMA)
+    return with_results(named_texts(docs, id_column, text_column), SCHEMA, counted)

@@ -2,51 +2,57 @@
 
 The kernel of two strings is the sum, over all triples of letters, of the products of their weights in both; a
 triple's weight in a string is the sum of DECAY ** (letters spanned - 3) over its places that span at most SPAN
-letters.  Punctuation inside or between letters is passed over and other letters between cost a decay, so
-insults with gaps and inserted characters keep most of their triples.
-
-Landmarks are words: those most typical of toxic documents and the commonest of the others.  Sentences of
-labelled documents are mapped to the landmarks' space by the Nystroem formula, and a linear machine with squared
-hinge loss learns to tell them apart.  Since only documents are labelled, each toxic document is represented by
-its highest-scoring sentence, chosen anew after every round.
-
-The machine's score of a string is a sum over landmarks of kernels, hence linear in the string's triples, so
-the landmarks fold into one weight for each triple without any approximation.  A document's evidence is the
-largest sum of triple weights in any stretch of WINDOW letters; a logistic curve, fitted on the labelled sample,
-makes it a score.
-
-Training reads at most SAMPLE labelled documents of each label, and SENTENCES of each, chosen by hash.  Edge
-cases: null and empty texts get a score; other labels than 0 and 1 are ignored, repeated ones count once;
-without labels of both kinds every score is 0 or 1, whichever label there is (0 with none); repeated rows each
-give a row; texts are scored whole.
+letters.  It is normalised: divided by the root of the two strings' kernels with themselves.  Punctuation inside or
+between letters is passed over and other letters between cost a decay, so insults with gaps and inserted characters
+keep most of their triples.
+
+A document is a bag of strings: its words, runs of single characters taken as one word, and words of more than LONGEST
+characters as stretches that overlap by half.  Landmarks are words: those most typical of toxic documents and the
+commonest of the others.  Strings of labelled documents are mapped to the landmarks' space by the Nystroem formula, and a
+linear machine with squared hinge loss learns to tell them apart.  Since only documents are labelled, each toxic document
+is represented by its highest-scoring string, beside the toxic landmarks themselves with as much weight, chosen anew after every step, and in every round the strings to choose from
+are the highest ones under the machine so far.
+
+A document's evidence is the highest decision value of the machine among all its strings.  The value is a sum over
+landmarks of kernels, hence linear in a string's triples, so the landmarks fold into one weight for each triple without
+any approximation.  A logistic curve, fitted on the labelled sample, makes the evidence a score.
+
+Training reads at most SAMPLE labelled documents of each label, whole, and of each the CANDIDATES highest strings (in the
+first round by mean kernels with toxic landmarks less those with the others) and as many that come first by hash.  Edge cases: null and empty texts get a score; other labels than
+0 and 1 are ignored, repeated ones count once; without labels of both kinds every score is 0 or 1, whichever label there
+is (0 with none); repeated rows each give a row; texts are scored whole; a null id stays null, is not held out, and leaves
+the others as they are; an empty table gives an empty result; of the documents only doc_id and text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, settled, training_ids
+from .common import held_out, named_texts, settled, training_ids, with_results
 
-DECAY, SPAN, WINDOW = 0.6, 7, 12
+DECAY, SPAN, LONGEST = 0.6, 7, 24
 LANDMARKS = 64  #: of each kind, at most
-SAMPLE, SENTENCES, CLEAN_SENTENCES = 1500, 40, 8
-ROUNDS, RIDGE = 4, 1e-4
+SAMPLE, CANDIDATES = 1500, 8
+ROUNDS, CHOICES, RIDGE = 3, 3, 1e-4
 FOLDS, FOLD, THRESHOLD = 5, 0, 0.5
-SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
+SCHEMA = "score double, predicted int"
 
 #: Letters are 1 to 26, other letters 27 to 34, digits 35 to 38, white space 39; GONE is passed over.
 ALPHABET, SPACE, GONE = 40, 39, 255
 OFFSETS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
-_SENTENCE = re.compile(r"[.!?\n|]+")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+#: Strings whose values one worker remembers; when full, the table starts again.
+REMEMBERED = 500_000
 
 
 def _code(point: int) -> int:
@@ -64,17 +70,18 @@ def _code(point: int) -> int:
 _TABLE = np.array([_code(p) for p in range(0x250)] + [GONE], dtype=np.uint8)
 
 
-def letters(text: str) -> np.ndarray:
-    """Codes of a text's letters and digits, and one space between words and at both ends."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+def codes_of(points: np.ndarray) -> np.ndarray:
     codes = _TABLE[np.minimum(points, 0x24F)]
     far = points >= 0x250
     if far.any():
         mark = (points >= 0x2000) & (points < 0x2070)
         codes = np.where(far, np.where(mark, GONE, 27 + points % 8), codes)
-    codes = np.concatenate([[SPACE], codes[codes != GONE], [SPACE]])
-    again = (codes[1:] == SPACE) & (codes[:-1] == SPACE)
-    return codes[np.concatenate([[True], ~again])].astype(np.int32)
+    return codes
+
+
+def letters(word: str) -> np.ndarray:
+    """Codes of a word's letters and digits, between two spaces."""
+    return coded([word])[0]
 
 
 def triples(x: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
@@ -87,37 +94,79 @@ def triples(x: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
             yield high[: n - j] + middle[i : n - j + i] + x[j:], DECAY ** (j - 2)
 
 
+def strings(text: str) -> set[str]:
+    """The bag of a text: words, runs of three and more single characters, overlapping stretches of long words."""
+    out = set(text.split())
+    out.update("".join(m[0].split()) for m in _SPACED.finditer(text))
+    for w in [w for w in out if len(w) > LONGEST]:
+        out.remove(w)
+        out.update(w[at : at + LONGEST] for at in range(0, len(w) - LONGEST // 2, LONGEST // 2))
+    return out
+
+
 def profile(text: str) -> np.ndarray:
     """Weights of all triples in a short string, scaled to length 1."""
     v = np.zeros(ALPHABET**3, dtype=np.float64)
     for number, weight in triples(letters(text)):
         np.add.at(v, number, weight)
-    return (v / (np.sqrt(v @ v) or 1)).astype(np.float32)
-
-
-def kernels(sentence: str, profiles: np.ndarray) -> np.ndarray:
-    """Kernels of a sentence with the landmarks, over the root of its length."""
-    x = letters(sentence)
-    out = np.zeros(len(profiles), dtype=np.float32)
-    for number, weight in triples(x):
-        out += weight * profiles[:, number].sum(axis=1)
-    return out / np.float32(max(1, len(x)) ** 0.5)
-
-
-def evidence(text: str, table: np.ndarray) -> float:
-    """Largest sum of triple weights whose triples begin within WINDOW letters."""
-    x = letters(text)
-    s = np.zeros(len(x) + WINDOW, dtype=np.float64)
-    for number, weight in triples(x):
-        s[: len(number)] += weight * table[number]
-    sums = np.concatenate([[0.0], np.cumsum(s)])
-    return float((sums[WINDOW:] - sums[:-WINDOW]).max())
+    return v / (np.sqrt(v @ v) or 1)
+
+
+def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of all words in one array, one space before, between and after; and where the spaces are."""
+    points = np.frombuffer("\n".join(["", *words, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    codes = codes_of(points)
+    codes = codes[codes != GONE].astype(np.int64)
+    return codes, np.flatnonzero(codes == SPACE)
+
+
+def linear(words: list[str], tables: np.ndarray) -> np.ndarray:
+    """(words, tables): sums of each word's triple weights times a table's, over the length of its profile."""
+    codes, spaces = coded(words)
+    sizes = np.diff(spaces) + 1
+    out = np.zeros((len(words), len(tables)))
+    for n in np.unique(sizes[sizes > 2]):
+        rows = np.flatnonzero(sizes == n)
+        x = codes[spaces[rows][:, None] + np.arange(n)]
+        placed = [(x[:, : n - j] * (ALPHABET * ALPHABET) + x[:, i : n - j + i] * ALPHABET + x[:, j:], DECAY ** (j - 2)) for i, j in OFFSETS if n > j]
+        number = np.hstack([p for p, _ in placed])
+        weight = np.concatenate([np.full(p.shape[1], w) for p, w in placed])
+        keys = (number + np.arange(len(rows))[:, None] * ALPHABET**3).ravel()
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        length = np.bincount(keys[starts] // ALPHABET**3, np.add.reduceat(np.tile(weight, len(rows))[order], starts) ** 2, minlength=len(rows))
+        out[rows] = np.stack([table[number] @ weight for table in tables], axis=1) / np.sqrt(length)[:, None]
+    return out
+
+
+class Values(dict):
+    """Decision values by string; those not met before are computed together."""
+
+    def __init__(self, table: np.ndarray):
+        super().__init__()
+        self.table = table[None]
+
+    def of(self, bag: list[str]) -> np.ndarray:
+        new = sorted(set(bag) - self.keys())
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            self.update(zip(some, linear(some, self.table)[:, 0].tolist(), strict=True))
+        return np.fromiter(map(self.__getitem__, bag), dtype=float, count=len(bag))
+
+    def highest(self, texts: list[str | None]) -> np.ndarray:
+        """The highest value among each text's strings, 0 for a text without any."""
+        bags = [list(strings(t or "")) for t in texts]
+        if len(self) > REMEMBERED:
+            self.clear()
+        self.of([s for bag in bags for s in bag])
+        return np.array([max(map(self.__getitem__, bag), default=0.0) for bag in bags])
 
 
 def separate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Linear machine with squared hinge loss and balanced labels, by Newton steps; the last weight is the offset."""
+    """Linear machine with squared hinge loss and half-balanced labels, by Newton steps; the last weight is the offset."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    cost = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
+    cost = np.where(y > 0, ((y < 0).sum() / (y > 0).sum()) ** 0.5, 1.0)
     ridge = np.eye(x.shape[1]) * RIDGE * len(y)
     v = np.zeros(x.shape[1])
     for _ in range(30):
@@ -153,8 +202,8 @@ class Model:
     slope: float
     offset: float
 
-    def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * evidence(text or "", self.table) + self.offset, -30, 30))))
+    def scores(self, values: Values, texts: list[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * values.highest(texts) + self.offset, -30, 30)))
 
 
 def landmark_words(texts: DataFrame) -> tuple[list[str], list[str]]:
@@ -187,42 +236,41 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int =
         return float(share)
     words = insults + others
     profiles = np.stack([profile(w) for w in words])
-    gram = (profiles @ profiles.T).astype(np.float64)
+    gram = profiles @ profiles.T
     values, vectors = np.linalg.eigh(gram)
     held = values > 1e-6 * values[-1]
     nystroem = vectors[:, held] / np.sqrt(values[held])
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)
-
-    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc_id, label, text in zip(b["doc_id"], b["label"], b["text"], strict=True):
-                some = sorted({s.strip() for s in _SENTENCE.split(text)} - {""}, key=lambda s: (zlib.crc32(s.encode("utf-8", "surrogatepass")), s))
-                for s in some[: SENTENCES if label else CLEAN_SENTENCES]:
-                    rows.append((doc_id, label, kernels(s, shared.value).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "label", "k"])
-
-    rows = sorted((r["doc_id"], r["label"], bytes(r["k"])) for r in texts.mapInPandas(units, "doc_id bigint, label int, k binary").collect())
-    raw = np.stack([np.frombuffer(r[2], dtype=np.float32) for r in rows])
-    mapped = raw @ nystroem
-    label = np.array([r[1] for r in rows])
-    clean, toxic = mapped[label == 0], mapped[label == 1]
-    if not len(clean) or not len(toxic):
-        return float(share)
-    owners = np.array([r[0] for r in rows if r[1] == 1])
-    bags = [np.flatnonzero(owners == o) for o in np.unique(owners)]
-    chosen = np.stack([toxic[b].mean(axis=0) for b in bags])  # first, the mean of its sentences
+    context = docs.sparkSession.sparkContext
+    every, known_insults = context.broadcast(profiles.astype(np.float32)), gram[: len(insults)] @ nystroem
+    table, clean = profiles[: len(insults)].mean(axis=0) - profiles[len(insults) :].mean(axis=0), np.zeros((0, nystroem.shape[1]))
     for _ in range(ROUNDS):
-        v = separate(np.vstack([clean, chosen]), np.r_[-np.ones(len(clean)), np.ones(len(chosen))])
-        chosen = np.stack([toxic[b][np.argmax(toxic[b] @ v[:-1])] for b in bags])
-    table = ((nystroem @ v[:-1]) @ profiles).astype(np.float32)
-    folded = docs.sparkSession.sparkContext.broadcast(table)
-
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "e": [evidence(t, folded.value) for t in b["text"]]})
-
-    known = texts.mapInPandas(measured, "doc_id bigint, label int, e double").orderBy("doc_id").toPandas()
+        shared = context.broadcast(table)
+
+        def candidates(batch: list[str | None], shared=shared) -> dict[str, Sequence]:
+            values, chosen = Values(shared.value), []
+            bags = [sorted(strings(t or ""), key=lambda s: (xxhash.xxh3_64_intdigest(s), s)) for t in batch]
+            values.of([s for bag in bags for s in bag])
+            for bag in bags:
+                near = np.argsort(-values.of(bag), kind="stable")[:CANDIDATES].tolist()
+                chosen.append([bag[n] for n in [*near, *(n for n in range(min(CANDIDATES, len(bag))) if n not in near)]])
+            once = sorted(set().union(*chosen))
+            mapped = dict(zip(once, linear(once, every.value).astype(np.float32), strict=True))
+            return {"k": [b"".join(mapped[s].tobytes() for s in some) for some in chosen]}
+
+        rows = sorted((r["doc_id"], r["label"], bytes(r["k"])) for r in with_results(texts, "k binary", candidates).collect() if len(r["k"]))
+        bags = {wanted: [np.frombuffer(k, dtype=np.float32).reshape(-1, len(words)) @ nystroem for _, label, k in rows if label == wanted] for wanted in (0, 1)}
+        if not bags[0] or not bags[1]:
+            return float(share)
+        clean = np.vstack([clean, *bags[0]])
+        chosen = np.stack([bag[0] for bag in bags[1]])  # the string with the highest value so far
+        typical = np.tile(known_insults, (-(-len(chosen) // len(known_insults)), 1))
+        for _ in range(CHOICES):
+            rows = np.vstack([clean, typical, chosen])
+            v = separate(rows, np.r_[-np.ones(len(clean)), np.ones(len(rows) - len(clean))])
+            chosen = np.stack([bag[np.argmax(bag @ v[:-1])] for bag in bags[1]])
+        table = ((nystroem @ v[:-1]) @ profiles).astype(np.float32)
+    folded = context.broadcast(table)
+    known = with_results(texts, "e double", lambda batch: {"e": Values(folded.value).highest(batch)}).orderBy("doc_id").toPandas()
     label = known["label"].to_numpy()
     weight = np.where(label == 1, share / (label == 1).sum(), (1 - share) / (label == 0).sum()) * len(label)
     return Model(table, *logistic(known["e"].to_numpy(), label, weight))
@@ -232,10 +280,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     """One row per document: doc_id, held_out, score, predicted."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds=folds, fold=fold))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kept: dict[str, Values] = {}  # filled in each task
+
+    def scored(texts: list[str | None]) -> dict[str, Sequence]:
         m = model.value
-        for b in batches:
-            p = np.array([m if isinstance(m, float) else m.score(t) for t in b["text"]], dtype=np.float64)
-            yield pd.DataFrame({"doc_id": pd.array(b["doc_id"], dtype="Int64"), "held_out": b["held_out"], "score": p, "predicted": (p >= threshold).astype(int)})
+        if not isinstance(m, float) and not kept:
+            kept["values"] = Values(m.table)
+        p = np.full(len(texts), m) if isinstance(m, float) else m.scores(kept["values"], texts)
+        return {"score": p, "predicted": (p >= threshold).astype(np.int32)}
 
-    return docs.select("doc_id", "text", held_out("doc_id", folds, fold).alias("held_out")).mapInPandas(run, SCHEMA)
+    return with_results(named_texts(docs, "doc_id", "text", held_out("doc_id", folds, fold).alias("held_out")), SCHEMA, scored)
