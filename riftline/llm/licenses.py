@@ -1,40 +1,46 @@
-"""Licence scan: an exact containment join between lines of text and licence templates.
+"""Licence scan: an exact containment join between blocks of text and licence templates.
 
-A line matches a template if it holds at least ``CONTAINMENT`` of the template's distinct words.  Words are
-ordered by how many documents of the whole table have them, rarest first, and then by themselves.  With that
-order a matching line
+A template is the wording of a notice, or one paragraph of a licence.  A block is a window of words, over line ends and
+whatever else stands between words: exactly as long as a template of fewer than ``SHORT`` distinct words, a quarter
+longer than a longer one.  So words that are scattered over a text or a long line don't add up, and a notice is found
+however its lines are broken.  A text has a template's label if one of its blocks
+  * holds at least ``CONTAINMENT`` of the template's distinct words, or all of a short template's, and
+  * holds no word that makes the licence another one (``EXCLUDED``).
+
+Words are ordered by how many documents of the whole table have them, rarest first, and then by themselves.  With
+that order a block that meets the threshold
   * has at least as many distinct words as it has to share (length filter),
   * has one of the template's first ``size - needed + 1`` words (prefix filter), since at most size - needed
     are missing, and
-  * has enough words left, in itself and in the template, from that word on (positional filter).
-Lines that pass are compared in full, so no match is lost.  The template list is fixed and small, so it goes
-to every task; only counts of its own words are gathered from the corpus.
-
-Notices are also found over line ends: blocks are windows of words, a quarter longer than a long template
-and exactly as long as a short one, so words scattered over a text or a long line don't add up.  A block has to
-hold ``CONTAINMENT`` of a long template, all of a short one, and no word that makes the licence another one.
+  * has enough words left, in itself and in the template, from its first shared word on (positional filter).
+The first two are asked of the stretch of words around each place of a prefix word, the third of the words met
+there; stretches that pass are searched block by block, so no match is lost.  The template list is fixed and small, so it
+goes to every task; only counts of its own words are gathered from the corpus.
 
 Besides, the base phrases are found wherever their words stand one after the other.
 
 Edge cases: a null text is empty: no words, no labels, score 0; a document without base phrases has null
-first and last words; lines of any number and length are read whole; repeated rows each give a row; an empty
-table gives an empty result.
+first and last words; texts of any length are read whole; repeated rows each give a row; a null id stays null and
+leaves the others as they are; an empty table gives an empty result; only id and text are read, so other columns may have
+any name.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Sequence
 from dataclasses import dataclass
 from math import ceil
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import named_texts, with_results
+
 # Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# Templates by label, the usual wording of licence notices.
+# Templates by label, the usual wording of licence notices and paragraphs of licences.
 TEMPLATES = (
     ("cc-by", "Licensed under CC BY 4.0."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
@@ -46,25 +52,32 @@ TEMPLATES = (
     ("apache", "Licensed under the Apache License, Version 2.0."),
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("apache", "distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program."),
     ("mozilla", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("reserved", "All rights reserved."),
 )
-#: Share of a template's distinct words that a line has to hold.
+#: Share of a template's distinct words that a block has to hold.
 CONTAINMENT = 0.8
-#: Templates of fewer distinct words have to be held whole by a block.
+#: Templates of fewer distinct words have to be held whole.
 SHORT = 10
 # Words by label that mean another licence when they stand in a block.
-EXCLUDED = {"cc-by": frozenset({b"nc", b"sa", b"nd", b"noncommercial", b"sharealike", b"noderivatives", b"noderivs"})}
-SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, notice_labels string, notice_score double"
+EXCLUDED = {"cc-by": frozenset({"nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives", "noderivs"}), "gpl": frozenset({"lesser", "affero"})}
+SCHEMA = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
 
-_KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz\n" + bytes(range(128, 256))
-#: Lower-cases A-Z and blanks what isn't part of a word; line ends stay, to tell lines apart.
+_KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
+#: Lower-cases A-Z and blanks what isn't part of a word.
 _FOLD = bytes(c if (c := (b | 32 if 65 <= b <= 90 else b)) in _KEPT else 32 for b in range(256))
+#: The same in Spark's expressions: what stands between words.
+_BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
-def folded(text: str) -> bytes:
-    return text.encode("utf-8", "surrogatepass").translate(_FOLD)
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
 @dataclass(frozen=True)
@@ -72,7 +85,8 @@ class Template:
     label: str
     words: tuple[bytes, ...]  #: distinct, rarest first
     needed: int
-    span: int = 0  #: words of a block
+    span: int  #: words of a block
+    excluded: frozenset[bytes]
 
     @property
     def prefix(self) -> tuple[bytes, ...]:
@@ -82,111 +96,103 @@ class Template:
 def ordered(templates: tuple[tuple[str, str], ...], frequency: dict[bytes, int], containment: float) -> list[Template]:
     out = []
     for label, text in templates:
-        words = sorted(set(folded(text).split()), key=lambda w: (frequency.get(w, 0), w))
-        out.append(Template(label, tuple(words), ceil(containment * len(words) - 1e-9)))
+        all_ = words_of(text)
+        words = sorted(set(all_), key=lambda w: (frequency.get(w, 0), w))
+        short = len(words) < SHORT
+        excluded = frozenset(w.encode() for w in EXCLUDED.get(label, ())) - set(words)
+        out.append(Template(label, tuple(words), len(words) if short else ceil(containment * len(words) - 1e-9), len(all_) if short else len(all_) + len(all_) // 4, excluded))
     return out
 
 
-def blocks(templates: tuple[tuple[str, str], ...], frequency: dict[bytes, int], containment: float) -> list[Template]:
-    """The templates as blocks have to hold them: short ones whole."""
-    out = []
-    for t, (_, text) in zip(ordered(templates, frequency, containment), templates, strict=True):
-        length, short = len(folded(text).split()), len(t.words) < SHORT
-        out.append(Template(t.label, t.words, len(t.words) if short else t.needed, length if short else length + length // 4))
-    return out
+def best_block(words: list[bytes], first: int, last: int, t: Template) -> float:
+    """The highest share of a template's words in a block that holds a word from number ``first`` to ``last``; 0 if none has enough."""
+    wanted, low = set(t.words), max(0, first - t.span + 1)
+    held: dict[bytes, int] = defaultdict(int)
+    own, wrong, best = 0, 0, 0
+    for at in range(low, last + t.span):  # blocks may reach over the text's end
+        if at - t.span >= low and (w := words[at - t.span]) in held:
+            held[w] -= 1
+            own -= w in wanted and not held[w]
+            wrong -= w in t.excluded
+        if at < len(words) and ((w := words[at]) in wanted or w in t.excluded):
+            held[w] += 1
+            own += w in wanted and held[w] == 1
+            wrong += w in t.excluded
+        if at >= first and not wrong:
+            best = max(best, own)
+    return best / len(t.words) if best >= t.needed else 0.0
 
 
 class Join:
     """The templates indexed by their prefix words."""
 
-    def __init__(self, templates: list[Template], frequency: dict[bytes, int]):
+    def __init__(self, templates: list[Template]):
         self.templates = templates
-        self.rank = {w: k for k, w in enumerate(sorted({w for t in templates for w in t.words}, key=lambda w: (frequency.get(w, 0), w)))}
         self.index: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for k, t in enumerate(templates):
             for position, w in enumerate(t.prefix):
                 self.index[w].append((k, position))
 
-    def matches(self, line: list[bytes]) -> Iterator[tuple[Template, float]]:
-        """Templates that the line contains to the threshold, with the share of their words."""
-        own = set(line)
-        known = sorted(own & self.rank.keys(), key=self.rank.__getitem__)
-        tried: set[int] = set()
-        for at, w in enumerate(known):
-            for k, position in self.index.get(w, ()):
-                t = self.templates[k]
-                if k in tried or len(own) < t.needed:
-                    continue
-                tried.add(k)  # this is the first word that they share: what comes before is in one of them only
-                if min(len(known) - at, len(t.words) - position) >= t.needed and (n := sum(x in own for x in t.words)) >= t.needed:
-                    yield t, n / len(t.words)
-
-
-def best_block(words: list[bytes], t: Template) -> float:
-    """The highest share of a template's words in one block, 0 if none has enough of them."""
-    wanted, excluded = set(t.words), EXCLUDED.get(t.label, frozenset())
-    places = [(i, w) for i, w in enumerate(words) if w in wanted or w in excluded]
-    held: dict[bytes, int] = defaultdict(int)
-    first, own, wrong, best = 0, 0, 0, 0
-    for at, w in places:
-        while places[first][0] <= at - t.span:
-            gone = places[first][1]
-            held[gone] -= 1
-            own -= gone in wanted and not held[gone]
-            wrong -= gone in excluded
-            first += 1
-        held[w] += 1
-        own += w in wanted and held[w] == 1
-        wrong += w in excluded
-        if not wrong:
-            best = max(best, own)
-    return best / len(t.words) if best >= t.needed else 0.0
-
-
-def scan_notices(text: str, join: Join) -> tuple[str, float]:
-    """Labels of the notices in a text, over line ends, and the highest share of a template in a block."""
-    words = folded(text).split()
-    shares = [(t.label, best_block(words, t)) for t, _ in join.matches(words)]  # a block's words are the text's
-    return ",".join(sorted({label for label, share in shares if share})), max((share for _, share in shares), default=0.0)
+    def matches(self, words: list[bytes]) -> dict[int, float]:
+        """Numbers of the templates that some block of the words holds, with the highest share of their words."""
+        own = self.index.keys() & set(words)
+        by_template: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        if own:
+            for at, w in enumerate(words):
+                if w in own:
+                    for k, position in self.index[w]:
+                        by_template[k].append((at, position))
+        out = {}
+        for k, starts in by_template.items():
+            t, share, n = self.templates[k], 0.0, 0
+            while n < len(starts):  # places whose blocks touch are searched as one
+                first = last = starts[n][0]
+                rarest = starts[n][1]
+                n += 1
+                while n < len(starts) and starts[n][0] - last < 2 * t.span:
+                    last, rarest = starts[n][0], min(rarest, starts[n][1])
+                    n += 1
+                around = set(words[max(0, first - t.span + 1) : last + t.span])
+                if len(around) >= t.needed and len(around.intersection(t.words[rarest:])) >= t.needed:
+                    share = max(share, best_block(words, first, last, t))
+            if share:
+                out[k] = share
+        return out
 
 
 def word_frequencies(texts: DataFrame, words: set[bytes]) -> dict[bytes, int]:
     """Number of documents, over the whole table, that have each of some words."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: dict[bytes, int] = defaultdict(int)
-        for b in batches:
-            for text in b["text"]:
-                for w in words.intersection(folded(text or "").split()):
-                    n[w] += 1
-        yield pd.DataFrame({"word": list(n), "n": list(n.values())})
-
-    counted = texts.mapInPandas(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r["word"]): r["n"] for r in counted.collect()}
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    known = F.array(*[F.lit(w.decode()) for w in sorted(words)])
+    found = texts.select(F.explode(F.array_intersect(known, F.split(lower, _BETWEEN))).alias("word"))
+    return {r["word"].encode(): r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
 def base_places(words: list[bytes], phrases: dict[str, str]) -> list[tuple[int, str]]:
     """(start word, label) of every place of every phrase."""
-    joined, found = b" " + b" ".join(words) + b" ", []
+    joined, found, starts = b" " + b" ".join(words) + b" ", [], None
     for phrase, label in phrases.items():
         sought = b" " + phrase.encode() + b" "
         at = joined.find(sought)
         while at >= 0:
-            found.append((joined.count(b" ", 0, at), label))
+            if starts is None:  # where each word begins: the blank before it
+                starts, reached = [], 0
+                for w in words:
+                    starts.append(reached)
+                    reached += len(w) + 1
+            found.append((bisect_left(starts, at), label))
             at = joined.find(sought, at + 1)
     return sorted(found)
 
 
 def scan_text(text: str, join: Join, phrases: dict[str, str]) -> tuple:
-    data = folded(text)
-    places = base_places(data.split(), phrases)
+    words = words_of(text)
+    places = base_places(words, phrases)
     base = {label for _, label in places}
-    labels, score = set(base), float(bool(base))
-    for line in data.split(b"\n"):
-        for t, share in join.matches(line.split()):
-            labels.add(t.label)
-            score = max(score, share)
-    return len(data.split()), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(labels)), score
+    shares = join.matches(words)
+    labels = base | {join.templates[k].label for k in shares}
+    score = max(float(bool(base)), *shares.values(), 0.0)
+    return len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
 def scan_licenses(
@@ -197,19 +203,13 @@ def scan_licenses(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """One row per document: words, places of base phrases, labels and highest share of a template by line and by block."""
-    texts = docs.selectExpr(f"`{id_column}` AS doc_id", f"`{text_column}` AS text")
-    frequency = word_frequencies(texts.select("text"), {w for _, t in templates for w in folded(t).split()})
-    shared = docs.sparkSession.sparkContext.broadcast((Join(ordered(templates, frequency, containment), frequency), Join(blocks(templates, frequency, containment), frequency)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lines, notices = shared.value
-        names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "notice_labels", "notice_score"]
-        for b in batches:
-            out = pd.DataFrame([scan_text(t or "", lines, phrases) + scan_notices(t or "", notices) for t in b["text"]], columns=names)
-            for c in ("first_word", "last_word"):
-                out[c] = out[c].astype("Int64")
-            out.insert(0, "doc_id", pd.array(b["doc_id"], dtype="Int64"))
-            yield out
-
-    return texts.mapInPandas(run, SCHEMA)
+    """One row per document: words, places of base phrases, labels and highest share of a template in a block."""
+    texts = named_texts(docs, id_column, text_column)
+    frequency = word_frequencies(texts, {w for _, t in templates for w in words_of(t)})
+    shared = docs.sparkSession.sparkContext.broadcast(Join(ordered(templates, frequency, containment)))
+
+    def scanned(batch: list[str | None]) -> dict[str, Sequence]:
+        rows = [scan_text(t or "", shared.value, phrases) for t in batch]
+        return {c.split()[0]: [r[k] for r in rows] for k, c in enumerate(SCHEMA.split(", "))}
+
+    return with_results(texts, SCHEMA, scanned)
