@@ -4,35 +4,37 @@
    into bins that each keep their smallest hash; an empty bin takes the value of a bin that is chosen by
    hashing until one with a value is met.  Bands of the sketch give bucket keys; how many and how wide follows
    from the threshold.
-2. Documents with equal sets become one node, so exact copies are never paired.
+2. Documents with equal sets become one node, known by the set's fingerprint and not by any document's id, so exact
+   copies are never paired and an id that is repeated with another text is not mistaken for one.
 3. In every bucket, candidate edges form a star: all members to the member that meets most others over all its
    buckets.  A star has as many edges as members, whatever the bucket's size.
 4. Edges are confirmed on full sets; confirmed ones make components.
 5. Stars alone could miss a link between two members that aren't linked to a centre.  For buckets in which several
    components are left, the rest is found exactly: their members' shingles, rarest first, are joined by prefix,
    with length and positional filters and only across components, and confirmed on full sets.  In each
-   prefix list the largest component meets the others, never itself.
+   prefix list the largest component meets the others, never itself; long lists are dealt over several tasks.
 
 A pair of the threshold's similarity shares no bucket with a probability below 3 in 10 million: (1 - 0.85**6)**32 at
 85 per cent, (1 - 0.8**5)**38 at 80.
 
 Edge cases: null and empty texts, or texts of white space, have an empty set and are linked with nothing;
-texts of fewer than five words are one shingle of all their words; repeated rows are copies; rows without an id
-get a null component and are not kept; an empty table gives an empty result; only id and text are read.
+texts of fewer than five words are one shingle of all their words; repeated rows are copies; rows that share an id but
+not a text each link on their own, and may have different components; rows without an id link nothing, get a null
+component and are not kept; an empty table gives an empty result; only id and text are read, so other columns may have
+any name; ids may be of any type that can be ordered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 from math import ceil, log, log1p
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import HOT_KEYS, LEAST_HOT, joined_back, named_texts, settled, with_results
 from .components import connected_components
 
 SHINGLE = 5
@@ -113,35 +115,21 @@ def band_keys(values: np.ndarray, bands: int = BANDS, size: int = BAND_SIZE) ->
 
 
 def describe(texts: DataFrame, bands: int = BANDS, size: int = BAND_SIZE) -> DataFrame:
-    """doc_id, n_shingles, the set's fingerprint (two longs) and its bucket keys."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [shingles(t) for t in b["text"]]
-            prints = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            signed = lambda x: x - (1 << 64) if x >> 63 else x
-            yield pd.DataFrame(
-                {
-                    "doc_id": pd.array(b["doc_id"], dtype="Int64"),
-                    "n_shingles": [len(s) for s in sets],
-                    "high": [signed(p >> 64) for p in prints],
-                    "low": [signed(p & (1 << 64) - 1) for p in prints],
-                    "keys": [band_keys(s, bands, size) if len(s) else None for s in sets],
-                }
-            )
-
-    return texts.mapInPandas(run, "doc_id bigint, n_shingles bigint, high bigint, low bigint, keys array<bigint>")
+    """The columns of ``texts`` but its text, n_shingles, the set's fingerprint (two longs) and its bucket keys."""
 
+    def described(batch: list[str | None]) -> dict[str, Sequence]:
+        sets = [shingles(t) for t in batch]
+        prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), dtype=">i8").astype(np.int64).reshape(-1, 2)
+        keys = [band_keys(s, bands, size) if len(s) else None for s in sets]
+        return {"n_shingles": [len(s) for s in sets], "high": prints[:, 0], "low": prints[:, 1], "keys": keys}
 
-def sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and its whole shingle set, for the documents that stand for some nodes."""
+    return with_results(texts, "n_shingles bigint, high bigint, low bigint, keys array<bigint>", described)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"node": b["node"], "tokens": [shingles(t).view(np.int64) for t in b["text"]]})
 
-    wanted = texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return wanted.select(F.col("doc_id").alias("node"), "text").mapInPandas(run, "node bigint, tokens array<bigint>")
+def sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and its whole shingle set, from the row (doc_id, text_hash) that stands for each node."""
+    wanted = texts.join(nodes.select("doc_id", "text_hash", "node"), ["doc_id", "text_hash"]).dropDuplicates(["node"]).select("node", "text")
+    return with_results(wanted, "tokens array<bigint>", lambda batch: {"tokens": [shingles(t).view(np.int64) for t in batch]})
 
 
 def long_enough(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
@@ -159,13 +147,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) ->
 
 
 def star_edges(members: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Edges (a, b) from each bucket's centre a to its other members b; members: bucket, node, n."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    shared = members.join(sizes, "bucket")
-    popular = shared.groupBy("node").agg(F.sum("members").alias("met"))
-    ranked = shared.join(popular, "node").select("bucket", "node", "n", "met")
-    centres = ranked.groupBy("bucket").agg(F.max_by(F.struct(F.col("node").alias("a"), F.col("n").alias("an")), F.struct("met", -F.col("node"))).alias("c")).select("bucket", "c.a", "c.an")
-    return shared.join(centres, "bucket").where((F.col("a") != F.col("node")) & long_enough(F.col("an"), F.col("n"), threshold)).select("a", F.col("node").alias("b")).distinct()
+    """Edges (a, b) from each bucket's centre a to its other members b; members: settled rows bucket, node, n."""
+    total = members.count()
+    sizes = settled(members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
+    popular = joined_back(members, sizes, "bucket", "members", total).groupBy("node").agg(F.sum("members").alias("met"))
+    ranked = members.join(popular, "node")  # a node has one row for each of its bands, no more
+    centre = F.max_by(F.struct(F.col("node").alias("a"), F.col("n").alias("an")), F.struct("met", -F.col("node")))
+    centres = settled(ranked.groupBy("bucket").agg(centre.alias("c"), F.count("*").alias("members")).where("members > 1").select("bucket", "c.a", "c.an", "members"))
+    starred = joined_back(members, centres, "bucket", "members", total)
+    return starred.where((F.col("a") != F.col("node")) & long_enough(F.col("an"), F.col("n"), threshold)).select("a", F.col("node").alias("b")).distinct()
 
 
 def remaining_pairs(sets: DataFrame, component: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -178,28 +168,38 @@ def remaining_pairs(sets: DataFrame, component: DataFrame, threshold: int = THRE
     prefix = ordered.select("node", "component", "n", F.posexplode(F.slice("ts", F.lit(1), length)).alias("at", "t")).where("t.mixed").select(F.col("t.token").alias("token"), "node", "component", "n", "at")
     prefix = settled(prefix)
     by_component = prefix.groupBy("token", "component").agg(F.count("*").alias("k"))
-    main = by_component.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    listed = prefix.join(main, "token")
-    few = listed.where("component <> main").select("token", F.col("node").alias("a"), F.col("component").alias("ac"), F.col("n").alias("an"), F.col("at").alias("aat"))
-    all_ = listed.select("token", F.col("node").alias("b"), F.col("component").alias("bc"), F.col("n").alias("bn"), F.col("at").alias("bat"), "main")
+    main = by_component.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("kinds"), F.sum("k").alias("rows"))
+    main = settled(main.where("kinds > 1").select("token", "main", "rows"))
+    # Lists of more than a HOT_KEYS-th of all rows, of which there are at most HOT_KEYS, are dealt by salt over several tasks.
+    limit = max(LEAST_HOT, prefix.count() // HOT_KEYS)
+    hot = F.broadcast(main.where(F.col("rows") > limit).select("token", F.ceil(F.col("rows") / limit).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    every = F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
+    listed = prefix.join(hot, "token", "left").withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).drop("salts")
+    listed = listed.join(main.join(hot, "token", "left").select("token", "main", every), ["token", "salt"])
+    few = listed.where("component <> main").join(hot, "token", "left").drop("salt")
+    few = few.select("token", every, F.col("node").alias("a"), F.col("component").alias("ac"), F.col("n").alias("an"), F.col("at").alias("aat"))
+    all_ = listed.select("token", "salt", F.col("node").alias("b"), F.col("component").alias("bc"), F.col("n").alias("bn"), F.col("at").alias("bat"), "main")
     needed = F.ceil((F.col("an") + F.col("bn")) * F.lit(threshold) / (100 + threshold))
     possible = F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat")) >= needed  # only rarer words precede, none shared before the first
     meets = (F.col("ac") != F.col("bc")) & ((F.col("bc") == F.col("main")) | (F.col("a") < F.col("b"))) & long_enough(F.col("an"), F.col("bn"), threshold) & possible
-    return few.join(all_, "token").where(meets).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return few.join(all_, ["token", "salt"]).where(meets).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
+    """One row per document: doc_id, n_shingles, component_id, kept, and the set's fingerprint in high and low."""
+    texts = named_texts(docs, id_column, text_column, F.xxhash64(F.col(f"`{text_column}`")).alias("text_hash"))
     described = settled(describe(texts, *layout(threshold)))
-    owners = described.where("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n")).where("node IS NOT NULL")
-    owners = settled(owners)
-    keyed = described.select("doc_id", "keys").where("keys IS NOT NULL").dropDuplicates(["doc_id"]).join(owners.select(F.col("node").alias("doc_id"), "n"), "doc_id")
-    members = keyed.select(F.explode("keys").alias("bucket"), F.col("doc_id").alias("node"), F.col("n").cast("long").alias("n"))
+    sets_met = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    owners = sets_met.groupBy("high", "low").agg(F.min(F.struct("doc_id", "text_hash")).alias("o"), F.first("n_shingles").alias("n"))
+    owners = settled(owners.select("high", "low", "n", "o.doc_id", "o.text_hash"))
+    owners = settled(owners.withColumn("node", F.monotonically_increasing_id()))
+    standing = described.select("doc_id", "text_hash", "high", "low", "keys").join(owners.select("doc_id", "text_hash", "high", "low", "n", "node"), ["doc_id", "text_hash", "high", "low"]).dropDuplicates(["node"])
+    members = standing.select(F.explode("keys").alias("bucket"), "node", "n")
     crowded = settled(members.join(members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket"), "bucket"))
 
     edges = settled(star_edges(crowded, threshold))
-    sets = settled(sets_of(texts, crowded.select("node").distinct()))
+    sets = settled(sets_of(texts, owners.join(crowded.select("node").distinct(), "node", "left_semi")))
     links = settled(confirmed(edges, sets, threshold))
     first = settled(connected_components(links))
 
@@ -210,7 +210,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     more = confirmed(settled(remaining_pairs(rest, first, threshold)), rest, threshold)
     final = settled(connected_components(links.unionByName(more)))
 
-    of_print = owners.join(final, "node", "left").select("high", "low", F.coalesce("component", "node").alias("component_id"))
-    linked = described.where("n_shingles > 0").select("doc_id", "n_shingles", "high", "low").join(of_print, ["high", "low"]).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    alone = described.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    grouped = owners.join(final, "node", "left").select("high", "low", "doc_id", F.coalesce("component", "node").alias("component"))
+    named = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_print = grouped.join(named, "component").select("high", "low", "component_id")
+    linked = sets_met.select("doc_id", "n_shingles", "high", "low").join(of_print, ["high", "low"])
+    alone = described.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", "high", "low", F.col("doc_id").alias("component_id"))
+    both = linked.select("doc_id", "n_shingles", "high", "low", "component_id").unionByName(alone)
+    return both.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "high", "low")
