@@ -113,9 +113,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_c
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """The documents themselves, each as often as the mix takes it, with the columns of ``docs``."""
+    """The documents themselves, each as often as the mix takes it, with the columns of ``docs``.
+
+    Whole rows are given until the budget ends, also among repeated rows: of those at the threshold, alike ones are
+    counted first and then as many given as the rest of the budget holds.  Rows of size 0 are not given.
+    """
     described = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_columns(id_column, text_column, source_column))
     known, small = budget_ends(settled(described.drop("row")), weights, most)
-    placed = described.join(F.broadcast(known) if small else known, F.col("source").eqNullSafe(F.col("s")))
-    copies = F.when(F.col("size") > 0, F.round(taken_words(most) / F.col("size"))).otherwise(0).cast("int")
-    return placed.select("row", copies.alias("times")).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
+    placed = described.join(F.broadcast(known) if small else known, F.col("source").eqNullSafe(F.col("s"))).where("size > 0")
+    at_end = (F.col("edge_rows") > 1) & (F.shiftrightunsigned("hash", 64 - sum(LEVELS)) == F.col("prefix")) & (F.col("copies") < most)
+    at_end = F.coalesce(at_end, F.lit(False))
+    whole = placed.where(~at_end).select("row", F.floor(taken_words(most) / F.col("size")).cast("int").alias("times"))
+    alike = placed.where(at_end).groupBy("s", "row", "size", "copies", (F.col("rest") - F.col("below")).alias("left")).agg(F.count("*").alias("rows"))
+    order = Window.partitionBy("s").orderBy(F.xxhash64("row"), "row").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("rows").over(order), F.lit(0))
+    more = F.greatest(F.lit(0), F.least(F.col("rows"), F.round(F.col("left") / F.col("size")) - before))
+    some = alike.select("row", (F.col("copies") * F.col("rows") + more).cast("int").alias("times"))
+    return whole.unionByName(some).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")

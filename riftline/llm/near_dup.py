@@ -186,8 +186,8 @@ def remaining_pairs(sets: DataFrame, component: DataFrame, threshold: int = THRE
     return few.join(all_, ["token", "salt"]).where(meets).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, and the set's fingerprint in high and low."""
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD, mark: str | None = None) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept; ``mark`` names a column for the text's xxhash64."""
     texts = named_texts(docs, id_column, text_column, F.xxhash64(F.col(f"`{text_column}`")).alias("text_hash"))
     described = settled(describe(texts, *layout(threshold)))
     sets_met = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     grouped = owners.join(final, "node", "left").select("high", "low", "doc_id", F.coalesce("component", "node").alias("component"))
     named = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_print = grouped.join(named, "component").select("high", "low", "component_id")
-    linked = sets_met.select("doc_id", "n_shingles", "high", "low").join(of_print, ["high", "low"])
-    alone = described.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", "high", "low", F.col("doc_id").alias("component_id"))
-    both = linked.select("doc_id", "n_shingles", "high", "low", "component_id").unionByName(alone)
-    return both.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "high", "low")
+    linked = sets_met.drop("keys").join(of_print, ["high", "low"])
+    alone = described.drop("keys").where("n_shingles = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return linked.unionByName(alone).select("doc_id", "n_shingles", "component_id", kept, *([F.col("text_hash").alias(mark)] if mark else []))

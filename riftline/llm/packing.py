@@ -8,12 +8,14 @@ has at most ``capacity`` rows however many documents there are:
 2. smaller pieces, from the longest down, go where the remaining gap is smallest (best fit), and open new
    sequences only when no gap is wide enough.
 
-The plan is a list of patterns with multiplicities.  Pieces are numbered within their length (in salted
-groups, so that no length has to be sorted by one task) and look up their place by that number.
+The plan is a list of patterns with multiplicities.  Pieces are numbered within their length (in groups of about
+GROUP_ROWS, so that no length has to be sorted by one task) and look up their place by that number.  Pieces of the full
+capacity share with none: they get sequences of their own without being numbered or moved.
 
 Edge cases: a null or empty text is the single end id; a document over the capacity is cut into pieces of
-the capacity and a rest; ties in length are settled by id and piece; repeated rows are packed each; an empty
-table gives an empty result.
+the capacity and a rest; ties in length are settled by id, row and piece; repeated rows are packed each, and ``row``
+tells them apart; a null id stays null and leaves the others as they are; an empty table gives an empty result; only id
+and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,36 +24,44 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import named_texts, settled
 from .wordbpe import merger
 
 END = (0).to_bytes(4, "little")
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-#: Groups into which the pieces of each length are dealt before they are numbered.
-SALTS = 64
+PIECES = "row bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+#: Pieces of one length that are numbered by one task, about.
+GROUP_ROWS = 100_000
 
 
-def cut_into_pieces(docs: DataFrame, vocabulary: str, capacity: int, with_ids: bool = False) -> DataFrame:
-    """Pieces of at most ``capacity`` ids; with_ids adds the little-endian 32-bit ids themselves."""
+def cut_into_pieces(texts: DataFrame, vocabulary: str, capacity: int, with_ids: bool = False) -> DataFrame:
+    """Pieces of at most ``capacity`` ids of texts (doc_id, text); ``row`` is a number of the text's row of its own.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, step = merger(vocabulary), 4 * capacity
+    with_ids adds the little-endian 32-bit ids themselves.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, step, row = merger(vocabulary), 4 * capacity, TaskContext.get().partitionId() << 40
         for b in batches:
-            rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+            of, rows, parts = [], [], []
+            for n, text in enumerate(b.column("text").to_pylist()):
                 ids = m.packed(text or "") + END
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
-                    rows.append((doc_id, k, k * capacity, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
-            out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
-            yield out
+                    of.append(n)
+                    rows.append((row, k, k * capacity, len(part) // 4, zlib.crc32(part)))
+                    parts.append(part)
+                row += 1
+            table = np.array(rows, dtype=np.int64).reshape(-1, 5).T
+            columns = [b.column("doc_id").take(pa.array(of, pa.int64())), pa.array(table[0]), pa.array(table[1].astype(np.int32)), *map(pa.array, table[2:])]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(parts, pa.binary())] if with_ids else [])], ["doc_id", "row", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    return docs.mapInPandas(run, PIECES + (", ids binary" if with_ids else ""))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"doc_id {kind}, {PIECES}" + (", ids binary" if with_ids else ""))
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -116,38 +126,42 @@ def places(patterns: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.nd
     return dict(zip(("length", "begin", "copies", "first", "offset"), columns, strict=True))
 
 
-def number_within_length(pieces: DataFrame) -> DataFrame:
-    """Adds ``rank``, from 0 within each length, without sorting a whole length in one task."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
+def number_within_length(pieces: DataFrame, most: int) -> DataFrame:
+    """Adds ``rank``, from 0 within each length, without sorting a whole length, of at most ``most`` pieces, in one task."""
+    salts = most // GROUP_ROWS + 1
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    within = Window.partitionBy("length", "salt").orderBy("doc_id", "row", "piece")
     return salted.withColumn("r", F.row_number().over(within) - 1).join(starts, ["length", "salt"]).withColumn("rank", F.col("r") + F.col("before")).drop("r", "before", "salt")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to settled pieces; only the histogram of lengths comes to the driver."""
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    where = places(plan(histogram, capacity))
-    numbered = number_within_length(pieces)
+    full = histogram.pop(capacity, 0)
+    patterns = plan(histogram, capacity)
+    where, planned = places(patterns), sum(n for _, n in patterns)
+    numbered = number_within_length(pieces.where(F.col("length") < capacity), max(histogram.values(), default=0))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = (where["length"] << 48) | where["begin"]
         for b in batches:
-            at = np.searchsorted(keys, (b["length"].to_numpy(np.int64) << 48) | b["rank"].to_numpy(np.int64), side="right") - 1
-            k = b["rank"].to_numpy(np.int64) - where["begin"][at]
-            b["sequence_id"] = where["first"][at] + k // where["copies"][at]
-            b["offset"] = where["offset"][at] + (k % where["copies"][at]) * b["length"].to_numpy(np.int64)
-            b["doc_id"] = pd.array(b["doc_id"], dtype="Int64")
-            yield b.drop(columns="rank")
+            length, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
+            at = np.searchsorted(keys, (length << 48) | rank, side="right") - 1
+            k = rank - where["begin"][at]
+            out = [where["first"][at] + k // where["copies"][at], where["offset"][at] + (k % where["copies"][at]) * length]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *map(pa.array, out)], [*kept, "sequence_id", "offset"])
 
-    kept = [f for f in numbered.schema.fields if f.name != "rank"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sequence_id bigint, offset bigint"
-    return numbered.mapInPandas(run, schema).select(*pieces.columns, "sequence_id", "offset")
+    kept = pieces.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id bigint, offset bigint"
+    shared = numbered.select(*kept, "rank").mapInArrow(run, schema)
+    alone = pieces.where(F.col("length") == capacity).select("*", (F.monotonically_increasing_id() + planned).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return shared.unionByName(alone) if full else shared
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
     """Cuts documents into pieces and packs them: one row per piece with its sequence and offset."""
-    texts = docs.selectExpr(f"`{id_column}` AS doc_id", f"`{text_column}` AS text")
+    texts = named_texts(docs, id_column, text_column)
     return pack_pieces(settled(cut_into_pieces(texts, vocabulary, capacity, with_ids)), capacity)

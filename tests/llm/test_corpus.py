@@ -15,7 +15,7 @@ from riftline.llm.near_dup import near_duplicates, remaining_pairs, shingles
 DATA = "/root/testdata/sf0.001"
 
 
-def brute_components(texts):
+def brute_components(texts, threshold=85):
     sets = [frozenset(shingles(t).tolist()) for t in texts]
     parent = list(range(len(texts)))
 
@@ -27,7 +27,7 @@ def brute_components(texts):
     for a in range(len(texts)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if sets[a] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if sets[a] and 100 * both >= threshold * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return {k: (len(sets[k]), root(k)) for k in range(len(texts))}
@@ -214,7 +214,7 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "dedup":
             texts = [r["text"] for r in before.orderBy("doc_id").collect()]
             ids = [r["doc_id"] for r in before.orderBy("doc_id").collect()]
-            assert {r["doc_id"] for r in after.collect()} == {ids[c] for _, c in brute_components(texts).values()}
+            assert {r["doc_id"] for r in after.collect()} == {ids[c] for _, c in brute_components(texts, corpus_pipeline.DEDUP_THRESHOLD).values()}
         if name == "secrets":
             assert after.count() == before.count()
         if name != "packing":
