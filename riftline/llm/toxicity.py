@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -163,11 +163,14 @@ class Values(dict):
         return np.array([max(map(self.__getitem__, bag), default=0.0) for bag in bags])
 
 
-def separate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Linear machine with squared hinge loss and half-balanced labels, by Newton steps; the last weight is the offset."""
+def separate(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Linear machine with squared hinge loss and half-balanced labels, by Newton steps; the last weight is the offset.
+
+    Row k counts ``times[k]`` times.
+    """
     x = np.hstack([x, np.ones((len(x), 1))])
-    cost = np.where(y > 0, ((y < 0).sum() / (y > 0).sum()) ** 0.5, 1.0)
-    ridge = np.eye(x.shape[1]) * RIDGE * len(y)
+    cost = times * np.where(y > 0, (times[y < 0].sum() / times[y > 0].sum()) ** 0.5, 1.0)
+    ridge = np.eye(x.shape[1]) * RIDGE * times.sum()
     v = np.zeros(x.shape[1])
     for _ in range(30):
         inside = y * (x @ v) < 1
@@ -235,14 +238,15 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int =
     if not insults:
         return float(share)
     words = insults + others
-    profiles = np.stack([profile(w) for w in words])
-    gram = profiles @ profiles.T
+    profiles = np.stack([profile(w).astype(np.float32) for w in words])
+    gram = (profiles @ profiles.T).astype(np.float64)
     values, vectors = np.linalg.eigh(gram)
     held = values > 1e-6 * values[-1]
     nystroem = vectors[:, held] / np.sqrt(values[held])
-    context = docs.sparkSession.sparkContext
-    every, known_insults = context.broadcast(profiles.astype(np.float32)), gram[: len(insults)] @ nystroem
-    table, clean = profiles[: len(insults)].mean(axis=0) - profiles[len(insults) :].mean(axis=0), np.zeros((0, nystroem.shape[1]))
+    context, known_insults = docs.sparkSession.sparkContext, gram[: len(insults)] @ nystroem
+    table = profiles[: len(insults)].mean(axis=0) - profiles[len(insults) :].mean(axis=0)
+    number: dict[str, int] = {}  # strings met so far, and where they lie in the landmarks' space
+    mapped, clean = np.zeros((0, nystroem.shape[1])), Counter()
     for _ in range(ROUNDS):
         shared = context.broadcast(table)
 
@@ -253,21 +257,24 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int =
             for bag in bags:
                 near = np.argsort(-values.of(bag), kind="stable")[:CANDIDATES].tolist()
                 chosen.append([bag[n] for n in [*near, *(n for n in range(min(CANDIDATES, len(bag))) if n not in near)]])
-            once = sorted(set().union(*chosen))
-            mapped = dict(zip(once, linear(once, every.value).astype(np.float32), strict=True))
-            return {"k": [b"".join(mapped[s].tobytes() for s in some) for some in chosen]}
-
-        rows = sorted((r["doc_id"], r["label"], bytes(r["k"])) for r in with_results(texts, "k binary", candidates).collect() if len(r["k"]))
-        bags = {wanted: [np.frombuffer(k, dtype=np.float32).reshape(-1, len(words)) @ nystroem for _, label, k in rows if label == wanted] for wanted in (0, 1)}
-        if not bags[0] or not bags[1]:
+            return {"some": list(map(" ".join, chosen))}
+
+        rows = sorted((r["doc_id"], r["label"], r["some"]) for r in with_results(texts, "some string", candidates).collect() if r["some"])
+        new = sorted({s for _, _, some in rows for s in some.split()} - number.keys())
+        number |= {s: len(mapped) + k for k, s in enumerate(new)}
+        mapped = np.vstack([mapped, *(linear(new[at : at + 2000], profiles) @ nystroem for at in range(0, len(new), 2000))])
+        bags = [[number[s] for s in some.split()] for _, label, some in rows if label == 1]
+        clean.update(number[s] for _, label, some in rows if label == 0 for s in some.split())
+        if not clean or not bags:
             return float(share)
-        clean = np.vstack([clean, *bags[0]])
-        chosen = np.stack([bag[0] for bag in bags[1]])  # the string with the highest value so far
-        typical = np.tile(known_insults, (-(-len(chosen) // len(known_insults)), 1))
+        negative = np.array(sorted(clean))
+        chosen = np.array([bag[0] for bag in bags])  # the string with the highest value so far
+        typical = np.full(len(insults), max(1.0, len(bags) / len(insults)))
         for _ in range(CHOICES):
-            rows = np.vstack([clean, typical, chosen])
-            v = separate(rows, np.r_[-np.ones(len(clean)), np.ones(len(rows) - len(clean))])
-            chosen = np.stack([bag[np.argmax(bag @ v[:-1])] for bag in bags[1]])
+            rows = np.vstack([mapped[negative], known_insults, mapped[chosen]])
+            times = np.concatenate([[clean[k] for k in negative], typical, np.ones(len(chosen))])
+            v = separate(rows, np.r_[-np.ones(len(negative)), np.ones(len(rows) - len(negative))], times)
+            chosen = np.array([bag[np.argmax(mapped[bag] @ v[:-1])] for bag in bags])
         table = ((nystroem @ v[:-1]) @ profiles).astype(np.float32)
     folded = context.broadcast(table)
     known = with_results(texts, "e double", lambda batch: {"e": Values(folded.value).highest(batch)}).orderBy("doc_id").toPandas()
