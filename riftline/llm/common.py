@@ -69,17 +69,6 @@ def with_results(texts: DataFrame, schema: str, function: Callable[[list[str | N
     return texts.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), schema]))
 
 
-def joined_back(rows: DataFrame, by_key: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """Inner join of rows with a table of one row for each key, which has the key's number of rows in ``count``.
-
-    A key with more than a HOT_KEYS-th of all ``total`` rows would land in one task.  There are at most HOT_KEYS such
-    keys, so their part is broadcast; the others are joined by shuffle.  Both tables should be settled.
-    """
-    limit = max(LEAST_HOT, total // HOT_KEYS)
-    hot = F.broadcast(by_key.where(F.col(count) > limit))
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(by_key.where(F.col(count) <= limit), key))
-
-
 def held_out(id_column: str, folds: int, fold: int):
     """Whether a row is kept away from training: crc32 of its id as text, modulo ``folds``, is ``fold``."""
     return F.coalesce(F.crc32(F.col(f"`{id_column}`").cast("string")) % folds == fold, F.lit(False))

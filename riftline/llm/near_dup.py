@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, LEAST_HOT, joined_back, named_texts, settled, with_results
+from .common import HOT_KEYS, LEAST_HOT, named_texts, settled, with_results
 from .components import connected_components
 
 SHINGLE = 5
@@ -147,15 +147,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) ->
 
 
 def star_edges(members: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Edges (a, b) from each bucket's centre a to its other members b; members: settled rows bucket, node, n."""
-    total = members.count()
-    sizes = settled(members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
-    popular = joined_back(members, sizes, "bucket", "members", total).groupBy("node").agg(F.sum("members").alias("met"))
-    ranked = members.join(popular, "node")  # a node has one row for each of its bands, no more
-    centre = F.max_by(F.struct(F.col("node").alias("a"), F.col("n").alias("an")), F.struct("met", -F.col("node")))
-    centres = settled(ranked.groupBy("bucket").agg(centre.alias("c"), F.count("*").alias("members")).where("members > 1").select("bucket", "c.a", "c.an", "members"))
-    starred = joined_back(members, centres, "bucket", "members", total)
-    return starred.where((F.col("a") != F.col("node")) & long_enough(F.col("an"), F.col("n"), threshold)).select("a", F.col("node").alias("b")).distinct()
+    """Edges (a, b) from each bucket's centre a to its other members b; members: bucket, node, n.
+
+    Rows of a bucket meet its centre in a join, whose large keys Spark deals anew; they are never gathered.
+    """
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    shared = members.join(sizes, "bucket")
+    popular = shared.groupBy("node").agg(F.sum("members").alias("met"))
+    ranked = shared.join(popular, "node").select("bucket", "node", "n", "met")
+    centres = ranked.groupBy("bucket").agg(F.max_by(F.struct(F.col("node").alias("a"), F.col("n").alias("an")), F.struct("met", -F.col("node"))).alias("c")).select("bucket", "c.a", "c.an")
+    return shared.join(centres, "bucket").where((F.col("a") != F.col("node")) & long_enough(F.col("an"), F.col("n"), threshold)).select("a", F.col("node").alias("b")).distinct()
 
 
 def remaining_pairs(sets: DataFrame, component: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -191,11 +192,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     texts = named_texts(docs, id_column, text_column, F.xxhash64(F.col(f"`{text_column}`")).alias("text_hash"))
     described = settled(describe(texts, *layout(threshold)))
     sets_met = described.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    owners = sets_met.groupBy("high", "low").agg(F.min(F.struct("doc_id", "text_hash")).alias("o"), F.first("n_shingles").alias("n"))
-    owners = settled(owners.select("high", "low", "n", "o.doc_id", "o.text_hash"))
-    owners = settled(owners.withColumn("node", F.monotonically_increasing_id()))
-    standing = described.select("doc_id", "text_hash", "high", "low", "keys").join(owners.select("doc_id", "text_hash", "high", "low", "n", "node"), ["doc_id", "text_hash", "high", "low"]).dropDuplicates(["node"])
-    members = standing.select(F.explode("keys").alias("bucket"), "node", "n")
+    owners = sets_met.groupBy("high", "low").agg(F.min(F.struct("doc_id", "text_hash")).alias("o"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    # Numbers of rows that are read from the checkpoint are the same at every reading.
+    owners = settled(owners.select("high", "low", "n", "o.doc_id", "o.text_hash", "keys")).withColumn("node", F.monotonically_increasing_id())
+    members = owners.select(F.explode("keys").alias("bucket"), "node", "n")
     crowded = settled(members.join(members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket"), "bucket"))
 
     edges = settled(star_edges(crowded, threshold))
@@ -203,16 +203,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     links = settled(confirmed(edges, sets, threshold))
     first = settled(connected_components(links))
 
-    placed = crowded.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
-    unsettled = placed.join(split, "bucket").select("node").distinct()
+    met = crowded.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = met.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("bucket")
+    unsettled = met.join(split, "bucket").select("node").distinct()
     rest = sets.join(unsettled, "node", "left_semi")
     more = confirmed(settled(remaining_pairs(rest, first, threshold)), rest, threshold)
     final = settled(connected_components(links.unionByName(more)))
 
-    grouped = owners.join(final, "node", "left").select("high", "low", "doc_id", F.coalesce("component", "node").alias("component"))
-    named = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_print = grouped.join(named, "component").select("high", "low", "component_id")
+    # Only nodes with links are looked up by component; the smallest id of the others' documents is theirs.
+    placed = owners.select("high", "low", "doc_id", "node").join(final, "node")
+    named = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_node = placed.select("node", "component").join(named, "component").select("node", "component_id")
+    of_print = owners.join(of_node, "node", "left").select("high", "low", F.coalesce("component_id", "doc_id").alias("component_id"))
     linked = sets_met.drop("keys").join(of_print, ["high", "low"])
     alone = described.drop("keys").where("n_shingles = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
