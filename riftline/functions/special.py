@@ -27,8 +27,9 @@ def gamma_tail(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
     scale = np.exp(a * np.log(np.maximum(x, 1e-300)) - x - _lgamma(a))
     term = total = 1 / a
+    below = np.minimum(x, a + 1)  # beyond, the fraction is taken
     for k in range(1, 500):
-        term = term * x / (a + k)
+        term = term * below / (a + k)
         total = total + term
     b = x + 1 - a
     c, d = np.full(x.shape, 1e300), 1 / np.where(b == 0, 1e-300, b)

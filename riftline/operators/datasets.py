@@ -14,7 +14,8 @@ MULTIPLIER, MODULUS = 2_654_435_761, 4_294_967_296
 
 
 def order_of(seed: int) -> list[Column]:
-    return [(F.col("series_id") * MULTIPLIER + seed) % MODULUS, F.col("series_id")]
+    """Order by a multiplicative hash of whole-number ids, in decimals, which no id can overflow."""
+    return [(F.col("series_id").cast("decimal(20,0)") * MULTIPLIER + seed) % MODULUS, F.col("series_id")]
 
 
 def sliding_windows(arrays: DataFrame, size: int, stride: int) -> DataFrame:
@@ -40,7 +41,8 @@ def boundary_windows(arrays: DataFrame, size: int) -> DataFrame:
 
 
 def labels_of(series: DataFrame) -> DataFrame:
-    return series.groupBy("series_id").agg(F.max("has_break").alias("has_break"))
+    """One label a series; a series without one counts as without a break."""
+    return series.groupBy("series_id").agg(F.coalesce(F.max("has_break"), F.lit(False)).alias("has_break"))
 
 
 def random_sample(labels: DataFrame, n: int, seed: int = 42) -> DataFrame:

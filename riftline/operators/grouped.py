@@ -89,7 +89,7 @@ def pacf_profile(before: np.ndarray, after: np.ndarray) -> Numbers:
 def significant_lags(x: np.ndarray, most: int = 15) -> list[int]:
     """Lags whose partial autocorrelation lies outside the white-noise band, up to ``most``."""
     top = min(most, len(x) // 2 - 1)
-    return [k for k in range(1, top + 1) if abs(pacf(x, top)[k]) > 1.959964 / np.sqrt(len(x))] if top >= 1 else []
+    return (1 + np.flatnonzero(np.abs(pacf(x, top)[1:]) > 1.959964 / np.sqrt(len(x)))).tolist() if top >= 1 else []
 
 
 def design(x: np.ndarray, lags: list[int]) -> tuple[np.ndarray, np.ndarray]:

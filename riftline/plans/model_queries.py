@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from riftline.functions.moments import rounded
 from riftline.operators import datasets, distribution, evaluation, grouped, regression
 from riftline.plans import features
 from riftline.plans.series_queries import planted
+from riftline.sources.checkpoints import shared_folder
 from riftline.sources.series import type_series, user_series
 from riftline.streaming.scorer import score_stream
 
@@ -42,8 +42,7 @@ def model_free_scores(series: DataFrame) -> DataFrame:
 
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model-free scores of the users' series by way of a stream of files."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riftline-")
-    place = f"{shared}/stream-{uuid.uuid4()}"
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
     user_series(spark, sf_dir).repartition(4, "series_id").write.parquet(f"{place}/in")
     query = score_stream(spark, f"{place}/in", "series_id long, t long, value double, period int", f"{place}/out", f"{place}/state", model_free_scores)
     query.awaitTermination()

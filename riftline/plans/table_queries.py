@@ -29,7 +29,9 @@ def _strongest(series: DataFrame) -> DataFrame:
 
 
 def _filled_t(series: DataFrame) -> DataFrame:
-    return features.filled(distribution.student_t(series).select("series_id", "t"))
+    """Statistics to six digits, as ttest_stat gives them, filled by their median; the fifth digit is rounded in binary, as SQL engines do."""
+    filled = features.filled(distribution.student_t(series).select("series_id", F.round("t", 6).alias("t")))
+    return filled.select("series_id", (F.signum("t") * F.floor(F.abs("t") * 1e5 + 0.5) / 1e5).alias("t"))
 
 
 def _return_profile(series: DataFrame) -> DataFrame:
