@@ -128,14 +128,17 @@ def linear(words: list[str], tables: np.ndarray) -> np.ndarray:
     for n in np.unique(sizes[sizes > 2]):
         rows = np.flatnonzero(sizes == n)
         x = codes[spaces[rows][:, None] + np.arange(n)]
-        placed = [(x[:, : n - j] * (ALPHABET * ALPHABET) + x[:, i : n - j + i] * ALPHABET + x[:, j:], DECAY ** (j - 2)) for i, j in OFFSETS if n > j]
+        placed = [(x[:, : n - j] * (ALPHABET * ALPHABET) + x[:, i : n - j + i] * ALPHABET + x[:, j:], j) for i, j in OFFSETS if n > j]
         number = np.hstack([p for p, _ in placed])
-        weight = np.concatenate([np.full(p.shape[1], w) for p, w in placed])
-        keys = (number + np.arange(len(rows))[:, None] * ALPHABET**3).ravel()
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        length = np.bincount(keys[starts] // ALPHABET**3, np.add.reduceat(np.tile(weight, len(rows))[order], starts) ** 2, minlength=len(rows))
+        span = np.concatenate([np.full(p.shape[1], j) for p, j in placed])
+        weight = DECAY ** (span - 2.0)
+        # A place's span lies in the low bits of its triple's number, so sorting each row takes the weights along.
+        keys = np.sort((number * 8 + span).astype(np.int32), axis=1)
+        first = np.ones(keys.shape, dtype=bool)
+        first[:, 1:] = keys[:, 1:] >> 3 != keys[:, :-1] >> 3
+        starts = np.flatnonzero(first)
+        total = np.add.reduceat((DECAY ** (np.arange(8) - 2.0))[keys & 7].ravel(), starts)
+        length = np.bincount(starts // keys.shape[1], total**2, minlength=len(rows))
         out[rows] = np.stack([table[number] @ weight for table in tables], axis=1) / np.sqrt(length)[:, None]
     return out
 
