@@ -10,7 +10,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riftline.functions import special
@@ -155,23 +155,42 @@ def random_search(matrix: DataFrame, tries: int = 3, k: int = 2, seed: int = 42)
     return reduce(DataFrame.unionByName, parts)
 
 
-def _at_least(observed: Column):
-    return lambda v: v >= observed
+#: Ranges of values in which counts are accumulated independently.
+RANGES = 256
 
 
-def null_tests(gains: DataFrame, names: list[str], least: int = 20, sample: int = 10_000) -> DataFrame:
-    """Where each series' gains lie among those of series without a break (label 0), by learner and combined.
+def at_least(gains: DataFrame, name: str) -> DataFrame:
+    """name, above: for each distinct value, how many series without a break (label 0) reach it.
 
-    The null distribution is fitted on at most ``sample`` series without a break, chosen by hash of the id; it is
-    one row of sorted numbers.  With fewer than ``least`` of them the results are null.
+    Equal values are counted before anything is ordered; counts run within RANGES ranges of values, each of about as
+    many rows, and the ranges' own totals are added to them.
     """
-    chosen = gains.where(F.col("label") == 0).orderBy(F.xxhash64("series_id"), "series_id").limit(sample)
-    null = chosen.agg(*[f(c).alias(f"{c}_{n}") for c in names for n, f in (("null", F.collect_list), ("mean", F.avg), ("std", F.stddev_samp))])
-    x = gains.join(F.broadcast(null))
+    known = gains.where(F.col(name).isNotNull())
+    shares = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
+    cuts = sorted(set(known.agg(F.percentile_approx(name, shares, F.lit(100 * RANGES))).first()[0] or []))
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut_: cut_ < F.col(name))) if cuts else F.lit(0)
+    each = known.groupBy(name).agg(F.count(F.when(F.col("label") == 0, 1)).alias("n")).withColumn("place", place)
+    totals = each.groupBy("place").agg(F.sum("n").alias("total"))
+    higher = totals.select(F.col("place").alias("low")).join(F.broadcast(totals), F.col("place") > F.col("low"), "left")
+    beyond = higher.groupBy("low").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("beyond")).withColumnRenamed("low", "place")
+    down = Window.partitionBy("place").orderBy(F.desc(name))
+    return each.join(F.broadcast(beyond), "place").select(name, (F.col("beyond") + F.sum("n").over(down)).alias("above"))
+
+
+def null_tests(gains: DataFrame, names: list[str], least: int = 20) -> DataFrame:
+    """Where each series' gains lie among those of all series without a break (label 0), by learner and combined.
+
+    With fewer than ``least`` of them the results are null.
+    """
+    null = F.col("label") == 0
+    sums = gains.agg(*[f(F.when(null, F.col(c))).alias(f"{c}_{n}") for c in names for n, f in (("size", F.count), ("mean", F.avg), ("std", F.stddev_samp))])
+    x = gains.join(F.broadcast(sums))
+    for c in names:
+        x = x.join(at_least(gains, c).withColumnRenamed("above", f"{c}_above"), c, "left")
     out = []
     for c in names:
-        size, observed = F.size(f"{c}_null"), F.col(c)
-        share = F.size(F.filter(f"{c}_null", _at_least(observed))) / size
+        size = F.col(f"{c}_size")
+        share = F.col(f"{c}_above") / size
         known = (size >= least) & F.col(c).isNotNull()
         out += [F.when(known, F.greatest(share, 1 / (size + 1))).alias(f"{c}_p"), F.when(known, over(F.col(c) - F.col(f"{c}_mean"), F.col(f"{c}_std"))).alias(f"{c}_effect"), F.when(known, 1 - share).alias(f"{c}_rank")]
     tested = x.select("series_id", *out)

@@ -12,7 +12,7 @@ from riftline.functions.moments import rounded
 from riftline.operators import datasets, distribution, evaluation, grouped, regression
 from riftline.plans import features
 from riftline.plans.series_queries import planted
-from riftline.sources.checkpoints import shared_folder
+from riftline.sources.checkpoints import cut, shared_folder
 from riftline.sources.series import type_series, user_series
 from riftline.streaming.scorer import score_stream
 
@@ -70,8 +70,8 @@ def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def null_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = planted(spark, sf_dir)
     labels = datasets.labels_of(series).select("series_id", F.col("has_break").cast("int").alias("label"))
-    gains = grouped.per_series(series, lambda before, after: grouped.segment_gains(before, after, 2), grouped.SEGMENT_GAINS).join(labels, "series_id")
-    return rounded(features.null_tests(gains, grouped.SEGMENT_GAINS))
+    gains = grouped.per_series(series, lambda before, after: grouped.segment_gains(before, after, 2), grouped.SEGMENT_GAINS)
+    return rounded(features.null_tests(cut(gains.join(labels, "series_id")), grouped.SEGMENT_GAINS))
 
 
 def chosen_features(spark: SparkSession, sf_dir: str) -> DataFrame:
