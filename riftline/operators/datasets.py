@@ -158,3 +158,86 @@ def augmented(series: DataFrame, kind: str, copy: int = 0, around: int = 10) ->
         raise ValueError(f"no such change: {kind}")
     number = (F.row_number().over(Window.partitionBy("series_id").orderBy("t")) - 1).cast("long")
     return rows.withColumn("t", number).select(F.concat(id_.cast("string"), F.lit(f"_aug{copy}")).alias("series_id"), "t", "value", "period")
+
+
+def one_series(series: DataFrame, series_id: object) -> DataFrame:
+    """The rows of one series; the predicate reaches the scan of a stored table."""
+    return series.where(F.col("series_id") == F.lit(series_id))
+
+
+def class_sample(labels: DataFrame, has_break: bool, n: int, seed: int = 42) -> DataFrame:
+    """n series of one class; a series without a label is one without a break."""
+    return random_sample(labels.where(F.coalesce("has_break", F.lit(False)) == F.lit(has_break)), n, seed)
+
+
+def marked_windows(arrays: DataFrame, size: int, stride: int, margin: int = 10) -> DataFrame:
+    """Sliding windows with the break's position in them, null where the boundary isn't ``margin`` from both ends."""
+    w = sliding_windows(arrays, size, stride).join(arrays.select("series_id", "boundary"), "series_id")
+    at = F.col("boundary") - F.col("window_start")
+    return w.select("series_id", "window_start", F.when((at >= margin) & (at <= size - margin), at).alias("break_position"), "window")
+
+
+def break_encodings(windows: DataFrame, size: int) -> DataFrame:
+    """The break's position as a share of the window, -1 without one."""
+    return windows.select("series_id", "window_start", F.coalesce(F.col("break_position") / size, F.lit(-1.0)).alias("break_code"))
+
+
+def position_encodings(windows: DataFrame) -> DataFrame:
+    """Long rows of windows: each value with its place as a share of the window's length."""
+    cells = windows.select("series_id", "window_start", F.size("window").alias("n"), F.posexplode("window").alias("i", "value"))
+    return cells.select("series_id", "window_start", F.col("i").cast("long").alias("i"), (F.col("i") / F.col("n")).alias("place"), "value")
+
+
+def balanced_windows(windows: DataFrame, seed: int = 42) -> DataFrame:
+    """All windows with a break and 7 without for each 3 of them, the first in the order of a hash.
+
+    The rank that ends the choice is found by counts of hash buckets, so no task sorts all windows: whole buckets below
+    the one in which the number is reached are taken, and only that bucket is numbered.
+    """
+    key = F.length(F.col("series_id").cast("string")).cast("decimal(20,0)") * MULTIPLIER + F.col("window_start") * 40_503 + seed
+    order = (key % MODULUS).cast("long")
+    w = windows.withColumn("h", order).withColumn("bucket", F.shiftright("h", 16))
+    rest = w.where("break_position IS NULL")
+    want = w.agg(F.floor(F.count("break_position") * 7 / 3).alias("want"))
+    counts = rest.groupBy("bucket").agg(F.count("*").alias("k"))  # at most 65,536 rows
+    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("before", F.coalesce(F.sum("k").over(upto), F.lit(0))).join(F.broadcast(want))
+    edges = before.where("before < want").select("bucket", "k", "before", "want")
+    placed = rest.join(F.broadcast(edges), "bucket")
+    whole = placed.where("before + k <= want")
+    number = F.row_number().over(Window.partitionBy("bucket").orderBy("h", "series_id", "window_start"))
+    edge = placed.where("before + k > want").withColumn("r", number).where("r + before <= want")
+    columns = windows.columns
+    return w.where("break_position IS NOT NULL").select(columns).unionByName(whole.select(columns)).unionByName(edge.select(columns))
+
+
+def window_distribution(windows: DataFrame) -> DataFrame:
+    """One row: windows of a series, places of breaks, and balance of the classes."""
+    p = F.col("break_position")
+    by = windows.groupBy("series_id").agg(F.count("*").alias("k"), F.count(p).alias("b"), F.sum(p).cast("double").alias("s"), F.sum(p * p).cast("double").alias("q"), F.min(p).alias("low"), F.max(p).alias("high"))
+    k, b = F.sum("k"), F.sum("b")
+    mean = over(F.sum("s"), b)
+    return by.agg(F.count("*").alias("series"), F.avg("k").alias("per_series_mean"), F.stddev_pop("k").alias("per_series_std"), F.min("k").alias("per_series_min"), F.max("k").alias("per_series_max"), mean.alias("position_mean"), F.sqrt(F.greatest(over(F.sum("q"), b) - mean * mean, F.lit(0.0))).alias("position_std"), F.min("low").alias("position_min"), F.max("high").alias("position_max"), b.alias("with_break"), (k - b).alias("without_break"), over(b, k).alias("break_ratio"))
+
+
+def complete_rows(features: DataFrame, how: str, columns: list[str]) -> DataFrame:
+    """Rows without a null (``any``), or with at least one value (``all``), among the columns."""
+    return features.na.drop(how, subset=columns)
+
+
+def without_copies(features: DataFrame, copies: dict[str, str]) -> DataFrame:
+    """Fills each column from its copy where it is null, and drops the copies."""
+    for copy, column in copies.items():
+        features = features.withColumn(column, F.coalesce(F.col(column), F.col(copy))).drop(copy)
+    return features
+
+
+def aligned(features: DataFrame, columns: list[str]) -> DataFrame:
+    """The features in a saved order; missing columns and nulls are 0."""
+    return features.select("series_id", *[(F.coalesce(F.col(c), F.lit(0.0)) if c in features.columns else F.lit(0.0)).alias(c) for c in columns])
+
+
+def stacked_common(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The rows of both tables with the columns that both have."""
+    common = [c for c in a.columns if c in b.columns]
+    return a.select(common).unionByName(b.select(common))
