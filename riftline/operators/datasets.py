@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riftline.functions.moments import kurt, over, side, skew
+from riftline.operators.ranges import ranked, with_quantiles
 
 MULTIPLIER, MODULUS = 2_654_435_761, 4_294_967_296
 
@@ -18,6 +19,13 @@ def order_of(seed: int) -> list[Column]:
     return [(F.col("series_id").cast("decimal(20,0)") * MULTIPLIER + seed) % MODULUS, F.col("series_id")]
 
 
+def _numbered(labels: DataFrame, seed: int) -> DataFrame:
+    """Labels with the number r of a series within its class, in the order of the hash, and the class's size; no label is no break."""
+    h, id_ = order_of(seed)
+    known = labels.withColumn("has_break", F.coalesce("has_break", F.lit(False)))
+    return ranked(known, "has_break", F.floor(h / 65_536).cast("int"), [h, id_])
+
+
 def sliding_windows(arrays: DataFrame, size: int, stride: int) -> DataFrame:
     """Windows of each series' values; none for a series shorter than a window."""
     whole = arrays.select("series_id", F.concat("before", "after").alias("v"), "length")
@@ -25,12 +33,13 @@ def sliding_windows(arrays: DataFrame, size: int, stride: int) -> DataFrame:
     return starts.select("series_id", "window_start", F.slice("v", (F.col("window_start") + 1).cast("int"), size).alias("window"))
 
 
-def break_windows(arrays: DataFrame, size: int, stride: int, margin: int = 10, most: int = 50) -> DataFrame:
-    """Windows that hold the boundary at least ``margin`` from both ends, at most ``most`` of a series (the earliest)."""
+def break_windows(arrays: DataFrame, size: int, stride: int, margin: int = 10, most: int | None = None) -> DataFrame:
+    """Windows that hold the boundary at least ``margin`` from both ends; all, or the ``most`` earliest of a series."""
     w = sliding_windows(arrays, size, stride).join(arrays.select("series_id", "boundary"), "series_id")
     held = w.where((F.col("window_start") + margin <= F.col("boundary")) & (F.col("boundary") <= F.col("window_start") + size - margin))
-    first = F.row_number().over(Window.partitionBy("series_id").orderBy("window_start"))
-    return held.withColumn("r", first).where(F.col("r") <= most).select("series_id", "window_start", (F.col("boundary") - F.col("window_start")).alias("break_position"), "window")
+    if most is not None:
+        held = held.withColumn("r", F.row_number().over(Window.partitionBy("series_id").orderBy("window_start"))).where(F.col("r") <= most)
+    return held.select("series_id", "window_start", (F.col("boundary") - F.col("window_start")).alias("break_position"), "window")
 
 
 def boundary_windows(arrays: DataFrame, size: int) -> DataFrame:
@@ -51,49 +60,52 @@ def random_sample(labels: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 def balanced_sample(labels: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n series, half of each class; a class that has too few is made up for by the other."""
-    numbered = labels.withColumn("r", F.row_number().over(Window.partitionBy("has_break").orderBy(*order_of(seed))))
-    sizes = labels.agg(F.count(F.when(F.col("has_break"), 1)).alias("p"), F.count(F.when(~F.col("has_break"), 1)).alias("q"))
+    numbered = _numbered(labels, seed)
+    hit = F.coalesce("has_break", F.lit(False))
+    sizes = labels.agg(F.count(F.when(hit, 1)).alias("p"), F.count(F.when(~hit, 1)).alias("q"))
     want = F.when(F.col("has_break"), F.greatest(F.lit(n // 2), n - F.col("q"))).otherwise(F.greatest(F.lit(n - n // 2), n - F.col("p")))
     return numbered.join(F.broadcast(sizes)).where(F.col("r") <= want).select("series_id", "has_break")
 
 
 def stratified_split(labels: DataFrame, data_ratio: float, validation_ratio: float, seed: int = 42) -> DataFrame:
     """Of each class a share data_ratio is used, and a share validation_ratio of that validates."""
-    whole = Window.partitionBy("has_break")
-    x = labels.withColumn("r", F.row_number().over(whole.orderBy(*order_of(seed)))).withColumn("used", F.floor(F.count("*").over(whole) * data_ratio))
+    x = _numbered(labels, seed).withColumn("used", F.floor(F.col("size") * data_ratio))
     part = F.when(F.col("r") <= F.floor(F.col("used") * validation_ratio), "validation").otherwise("train")
     return x.where(F.col("r") <= F.col("used")).select("series_id", "has_break", part.alias("part"))
 
 
 def stratified_folds(labels: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    r = F.row_number().over(Window.partitionBy("has_break").orderBy(*order_of(seed)))
-    return labels.select("series_id", "has_break", ((r - 1) % k).cast("long").alias("fold"))
+    return _numbered(labels, seed).select("series_id", "has_break", ((F.col("r") - 1) % k).cast("long").alias("fold"))
 
 
 def dataset_statistics(series: DataFrame) -> DataFrame:
-    """One row: numbers of series by class, and lengths."""
-    lengths = series.groupBy("series_id").agg(F.count("*").cast("double").alias("n"), F.max("has_break").alias("b"))
+    """One row: numbers of series by class (no label is no break), and lengths."""
+    lengths = series.groupBy("series_id").agg(F.count("*").cast("double").alias("n"), F.coalesce(F.max("has_break"), F.lit(False)).alias("b"))
     return lengths.agg(F.count("*").alias("series"), F.count(F.when(F.col("b"), 1)).alias("positive"), F.count(F.when(~F.col("b"), 1)).alias("negative"), F.avg(F.col("b").cast("double")).alias("ratio"), F.min("n").alias("length_min"), F.max("n").alias("length_max"), F.avg("n").alias("length_mean"), F.stddev_pop("n").alias("length_std"))
 
 
 def length_profile(series: DataFrame) -> DataFrame:
     lengths = series.groupBy("series_id").agg(F.count("*").cast("double").alias("n"), *[F.count(side(F.col("value"), p)).cast("double").alias(f"n{p}") for p in (0, 1)]).withColumn("ratio", over(F.col("n0"), F.col("n1")))
-    out = [f(c).alias(f"{c}_{k}") for c in ("n", "n0", "n1", "ratio") for k, f in (("mean", F.avg), ("median", lambda c: F.percentile(c, F.lit(0.5))), ("min", F.min), ("max", F.max), ("std", F.stddev_samp))]
-    return lengths.agg(*out)
+    names = ("n", "n0", "n1", "ratio")
+    out = lengths.agg(*[f(c).alias(f"{c}_{k}") for c in names for k, f in (("mean", F.avg), ("min", F.min), ("max", F.max), ("std", F.stddev_samp))])
+    return with_quantiles(out, lengths, {f"{c}_median": (c, 0.5) for c in names})
 
 
 def value_profile(series: DataFrame) -> DataFrame:
     """One row per period and one (-1) for all values."""
     both = series.select("value", F.explode(F.array(F.lit(-1), F.col("period"))).alias("period"))
     v = F.col("value")
-    return both.groupBy(F.col("period").cast("long").alias("period")).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"), skew(v).alias("skew"), kurt(v).alias("kurt"))
+    both = both.withColumn("period", F.col("period").cast("long"))
+    out = both.groupBy("period").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"), skew(v).alias("skew"), kurt(v).alias("kurt"))
+    return with_quantiles(out, both, {"median": ("value", 0.5)}, "period")
 
 
 def class_comparison(series: DataFrame) -> DataFrame:
-    """Mean, deviation and median, by class, of the change of mean and of spread at the boundary."""
+    """Mean, deviation and median, by class (no label is no break), of the change of mean and of spread at the boundary."""
     v = F.col("value")
-    per = series.groupBy("series_id").agg(F.max("has_break").alias("b"), (F.avg(side(v, 1)) - F.avg(side(v, 0))).alias("dm"), (F.stddev_samp(side(v, 1)) - F.stddev_samp(side(v, 0))).alias("ds"))
-    return per.groupBy(F.col("b").cast("long").alias("has_break")).agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{k}") for c in ("dm", "ds") for k, f in (("mean", F.avg), ("std", F.stddev_samp), ("median", lambda c: F.percentile(c, F.lit(0.5))))])
+    per = series.groupBy("series_id").agg(F.coalesce(F.max("has_break"), F.lit(False)).cast("long").alias("has_break"), (F.avg(side(v, 1)) - F.avg(side(v, 0))).alias("dm"), (F.stddev_samp(side(v, 1)) - F.stddev_samp(side(v, 0))).alias("ds"))
+    out = per.groupBy("has_break").agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{k}") for c in ("dm", "ds") for k, f in (("mean", F.avg), ("std", F.stddev_samp))])
+    return with_quantiles(out, per, {f"{c}_median": (c, 0.5) for c in ("dm", "ds")}, "has_break")
 
 
 def histogram(series: DataFrame, bins: int = 20) -> DataFrame:
@@ -189,26 +201,13 @@ def position_encodings(windows: DataFrame) -> DataFrame:
 
 
 def balanced_windows(windows: DataFrame, seed: int = 42) -> DataFrame:
-    """All windows with a break and 7 without for each 3 of them, the first in the order of a hash.
-
-    The rank that ends the choice is found by counts of hash buckets, so no task sorts all windows: whole buckets below
-    the one in which the number is reached are taken, and only that bucket is numbered.
-    """
-    key = F.length(F.col("series_id").cast("string")).cast("decimal(20,0)") * MULTIPLIER + F.col("window_start") * 40_503 + seed
-    order = (key % MODULUS).cast("long")
-    w = windows.withColumn("h", order).withColumn("bucket", F.shiftright("h", 16))
-    rest = w.where("break_position IS NULL")
-    want = w.agg(F.floor(F.count("break_position") * 7 / 3).alias("want"))
-    counts = rest.groupBy("bucket").agg(F.count("*").alias("k"))  # at most 65,536 rows
-    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.withColumn("before", F.coalesce(F.sum("k").over(upto), F.lit(0))).join(F.broadcast(want))
-    edges = before.where("before < want").select("bucket", "k", "before", "want")
-    placed = rest.join(F.broadcast(edges), "bucket")
-    whole = placed.where("before + k <= want")
-    number = F.row_number().over(Window.partitionBy("bucket").orderBy("h", "series_id", "window_start"))
-    edge = placed.where("before + k > want").withColumn("r", number).where("r + before <= want")
-    columns = windows.columns
-    return w.where("break_position IS NOT NULL").select(columns).unionByName(whole.select(columns)).unionByName(edge.select(columns))
+    """All windows with a break and 7 without for each 3 of them, the first in the order of a hash of series, place and seed."""
+    digest = F.md5(F.concat_ws(":", F.col("series_id").cast("string"), F.col("window_start").cast("string"), F.lit(str(seed))).cast("binary"))
+    held = F.col("break_position").isNotNull()
+    bucket = F.conv(F.substring("digest", 1, 4), 16, 10).cast("int")
+    numbered = ranked(windows.withColumn("digest", digest).withColumn("held", held), "held", bucket, [F.col("digest"), F.col("series_id"), F.col("window_start")])
+    want = windows.agg(F.floor(F.count("break_position") * 7 / 3).alias("want"))  # one row
+    return numbered.join(F.broadcast(want)).where(F.col("held") | (F.col("r") <= F.col("want"))).select(windows.columns)
 
 
 def window_distribution(windows: DataFrame) -> DataFrame:

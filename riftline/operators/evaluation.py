@@ -2,30 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riftline.functions.moments import over
+from riftline.operators.ranges import area_under, running, with_quantiles
 
 
 def roc_points(scores: DataFrame) -> DataFrame:
     """One row per distinct score, from the highest: rates of true and false positives at that threshold.
 
-    Counts are summed by score first, so the running sums have a row per distinct score.
+    Counts are summed by score first and accumulated by ranges of scores.
     """
     by = scores.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
     totals = scores.agg(F.sum("label").alias("all_p"), F.sum(1 - F.col("label")).alias("all_n"))
-    upto = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = by.select("score", F.sum("p").over(upto).alias("tp"), F.sum("n").over(upto).alias("fp"))
-    return run.join(F.broadcast(totals)).select("score", over(F.col("tp"), F.col("all_p")).alias("tpr"), over(F.col("fp"), F.col("all_n")).alias("fpr"))
+    run = running(by, "score", ["p", "n"], descending=True)
+    return run.join(F.broadcast(totals)).select("score", over(F.col("run_p"), F.col("all_p")).alias("tpr"), over(F.col("run_n"), F.col("all_n")).alias("fpr"))
 
 
 def auc(scores: DataFrame) -> DataFrame:
     """Area under the ROC curve by average ranks."""
-    by = scores.groupBy("score").agg(F.sum("label").cast("double").alias("p"), F.count("*").cast("double").alias("k"))
-    below = F.coalesce(F.sum("k").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    r = by.select("p", "k", (F.col("p") * (below + (F.col("k") + 1) / 2)).alias("r"))
-    return r.agg(F.sum("r").alias("r"), F.sum("p").alias("p"), F.sum("k").alias("k")).select(over(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("k") - F.col("p"))).alias("auc"))
+    return area_under(scores.groupBy("score").agg(F.sum("label").cast("double").alias("p"), F.count("*").cast("double").alias("k")), "score")
 
 
 def confusion(scores: DataFrame, threshold: float) -> DataFrame:
@@ -66,8 +63,8 @@ def cohens_d(features: DataFrame, names: list[str]) -> DataFrame:
 def signal_buckets(scores: DataFrame) -> DataFrame:
     """Real breaks by quarter (1 weakest) of their scores."""
     real = scores.where((F.col("label") == 1) & F.col("score").isNotNull())
-    q = real.agg(F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    above = sum(((F.col("score") > F.col("q")[k]).cast("long") for k in range(3)), F.lit(1).cast("long"))
+    q = with_quantiles(real.agg(F.count("*").alias("all")), real, {f"q{k}": ("score", k / 4) for k in (1, 2, 3)})
+    above = sum(((F.col("score") > F.col(f"q{k}")).cast("long") for k in (1, 2, 3)), F.lit(1).cast("long"))
     return real.join(F.broadcast(q)).groupBy(above.alias("bucket")).agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riftline.functions.moments import over, side
 from riftline.operators import datasets, regression, shape
+from riftline.operators.ranges import with_quantiles
 
 # 95 % points of chi-squared with 1 to 10 degrees of freedom.
 CHI2_95 = (3.841459, 5.991465, 7.814728, 9.487729, 11.070498, 12.591587, 14.067140, 15.507313, 16.918978, 18.307038)
@@ -59,7 +60,9 @@ def described(series: DataFrame) -> DataFrame:
     """Count, mean, spread, range, quartiles and 5 % tails of each period."""
     v = F.col("value")
     quantile = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
-    return series.groupBy(F.col("period").cast("long").alias("period")).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"), *[F.percentile(v, F.lit(q)).alias(k) for k, q in quantile.items()])
+    rows = series.select(F.col("period").cast("long").alias("period"), "value")
+    out = rows.groupBy("period").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"))
+    return with_quantiles(out, rows, {k: ("value", q) for k, q in quantile.items()}, "period")
 
 
 def length_counts(series: DataFrame) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from riftline.functions.moments import TINY, kurt, over, side, skew
 
 
+#: Lags of autocorrelations unless told otherwise, and values in one row while products over lags are summed.
+LAGS, CHUNK = 100, 2048
+
+
 def ordered() -> WindowSpec:
     """A series in order of time."""
     return Window.partitionBy("series_id").orderBy("t")
@@ -75,17 +79,35 @@ def rolling_boundary(series: DataFrame) -> DataFrame:
     return g.select("series_id", "mean_before", "mean_after", (F.col("mean_after") - F.col("mean_before")).alias("mean_change"), (F.col("mean_after") / (F.col("mean_before") + TINY)).alias("mean_ratio"))
 
 
-def autocorrelation(series: DataFrame, lags: int = 10) -> DataFrame:
-    """Biased autocorrelation at lags 1..lags of each period, one row per series, period and lag."""
-    each = Window.partitionBy("series_id", "period")
-    c = series.select("series_id", "period", F.row_number().over(within()).alias("i"), (F.col("value") - F.avg("value").over(each)).alias("x"))
-    later = c.select("series_id", "period", F.col("i").alias("j"), F.col("x").alias("y"))
-    pairs = c.select("series_id", "period", "x", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"), "i").withColumn("j", F.col("i") + F.col("lag")).join(later, ["series_id", "period", "j"])
-    total = c.groupBy("series_id", "period").agg(F.sum(F.col("x") ** 2).alias("q"), F.count("*").alias("n"))
-    return pairs.groupBy("series_id", "period", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("p")).join(total, ["series_id", "period"]).select("series_id", "period", F.col("lag").cast("long").alias("lag"), "n", over(F.col("p"), F.col("q")).alias("acf"))
+def dot(a: Column, b: Column) -> Column:
+    """Sum of products of two arrays, as far as the shorter one goes."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+
+
+def lag_sums(series: DataFrame, lags: int) -> DataFrame:
+    """series_id, period, lag (from 0), p (sum of products of centred values that far apart), n.
+
+    Each period is cut into chunks of CHUNK values, which also get the ``lags`` values after them, so a row stays small
+    however long its series is.
+    """
+    each, size = Window.partitionBy("series_id", "period"), max(CHUNK, lags)
+    c = series.select("series_id", "period", (F.row_number().over(within()) - 1).alias("i"), (F.col("value") - F.avg("value").over(each)).alias("x"))
+    own = F.floor(F.col("i") / size)
+    dealt = c.select("*", F.explode(F.when((F.col("i") % size < lags) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))).alias("chunk"))
+    g = dealt.groupBy("series_id", "period", "chunk").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).getField("x").alias("x"), F.count(F.when(own == F.col("chunk"), 1)).cast("int").alias("own"))
+    first = F.slice("x", 1, F.col("own"))
+    sums = F.transform(F.sequence(F.lit(0), F.lit(lags)), lambda k: dot(first, F.slice("x", k + 1, F.col("own"))))
+    return g.select("series_id", "period", "own", F.posexplode(sums).alias("lag", "p")).groupBy("series_id", "period", "lag").agg(F.sum("p").alias("p"), F.sum("own").alias("n"))
+
+
+def autocorrelation(series: DataFrame, lags: int = LAGS) -> DataFrame:
+    """Biased autocorrelation of each period at lags 1 .. lags, as far as it is that long: one row per series, period and lag."""
+    s = lag_sums(series, lags).where("lag < n")
+    whole = F.max(F.when(F.col("lag") == 0, F.col("p"))).over(Window.partitionBy("series_id", "period"))
+    return s.select("series_id", "period", F.col("lag").cast("long").alias("lag"), "n", over(F.col("p"), whole).alias("acf")).where("lag > 0")
 
 
-def autocorrelation_summary(series: DataFrame, lags: int = 10) -> DataFrame:
+def autocorrelation_summary(series: DataFrame, lags: int = LAGS) -> DataFrame:
     """Sum, mean and deviation of absolute autocorrelations, lags beyond the white-noise band, Ljung-Box statistic of 10 lags, decay lag."""
     a = autocorrelation(series, lags)
     return a.groupBy("series_id", "period").agg(
@@ -96,7 +118,7 @@ def autocorrelation_summary(series: DataFrame, lags: int = 10) -> DataFrame:
     )
 
 
-def autocorrelation_distance(series: DataFrame, lags: int = 10) -> DataFrame:
+def autocorrelation_distance(series: DataFrame, lags: int = LAGS) -> DataFrame:
     """Euclidean and absolute distance between the autocorrelations of the two periods."""
     a = autocorrelation(series, lags)
     d = a.groupBy("series_id", "lag").agg((F.coalesce(F.sum(side(F.col("acf"), 1)), F.lit(0.0)) - F.coalesce(F.sum(side(F.col("acf"), 0)), F.lit(0.0))).alias("d"))

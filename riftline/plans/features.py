@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from riftline.functions import special
 from riftline.functions.moments import over
-from riftline.operators import datasets, distribution, evaluation, likelihood, regression, shape
+from riftline.operators import datasets, distribution, evaluation, likelihood, ranges, regression, shape
 from riftline.sources.checkpoints import cut
 
 EXTRACTORS = {
@@ -52,8 +52,14 @@ def filled(matrix: DataFrame, by: str = "median") -> DataFrame:
     """Nulls and non-finite values replaced by the column's median, mean or 0 (0 where a column has no value)."""
     names = feature_columns(matrix)
     finite = {c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c)) for c in names}
-    rule = {"median": lambda c: F.percentile(c, F.lit(0.5)), "mean": F.avg, "zero": lambda c: F.lit(0.0)}[by]
-    values = matrix.agg(*[F.coalesce(rule(finite[c]), F.lit(0.0)).alias(f"_{c}") for c in names])
+    if by == "median":
+        known = matrix.select([finite[c].alias(c) for c in names])
+        found = known.agg(F.count("*").alias("all"))
+        values = ranges.with_quantiles(found, known, {f"_{c}": (c, 0.5) for c in names})
+        values = values.select(*[F.coalesce(f"_{c}", F.lit(0.0)).alias(f"_{c}") for c in names])
+    else:
+        rule = {"mean": F.avg, "zero": lambda c: F.lit(0.0)}[by]
+        values = matrix.agg(*[F.coalesce(rule(finite[c]), F.lit(0.0)).alias(f"_{c}") for c in names])
     rest = [c for c in matrix.columns if c not in names]
     return matrix.join(F.broadcast(values)).select(*rest, *[F.coalesce(finite[c], F.col(f"_{c}")).alias(c) for c in names])
 
@@ -155,26 +161,13 @@ def random_search(matrix: DataFrame, tries: int = 3, k: int = 2, seed: int = 42)
     return reduce(DataFrame.unionByName, parts)
 
 
-#: Ranges of values in which counts are accumulated independently.
-RANGES = 256
-
-
 def at_least(gains: DataFrame, name: str) -> DataFrame:
     """name, above: for each distinct value, how many series without a break (label 0) reach it.
 
-    Equal values are counted before anything is ordered; counts run within RANGES ranges of values, each of about as
-    many rows, and the ranges' own totals are added to them.
+    Equal values are counted before anything is ordered, and counts are accumulated by ranges of values.
     """
-    known = gains.where(F.col(name).isNotNull())
-    shares = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
-    cuts = sorted(set(known.agg(F.percentile_approx(name, shares, F.lit(100 * RANGES))).first()[0] or []))
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut_: cut_ < F.col(name))) if cuts else F.lit(0)
-    each = known.groupBy(name).agg(F.count(F.when(F.col("label") == 0, 1)).alias("n")).withColumn("place", place)
-    totals = each.groupBy("place").agg(F.sum("n").alias("total"))
-    higher = totals.select(F.col("place").alias("low")).join(F.broadcast(totals), F.col("place") > F.col("low"), "left")
-    beyond = higher.groupBy("low").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("beyond")).withColumnRenamed("low", "place")
-    down = Window.partitionBy("place").orderBy(F.desc(name))
-    return each.join(F.broadcast(beyond), "place").select(name, (F.col("beyond") + F.sum("n").over(down)).alias("above"))
+    each = gains.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.when(F.col("label") == 0, 1)).alias("n"))
+    return ranges.running(each, name, ["n"], descending=True).select(name, F.col("run_n").alias("above"))
 
 
 def null_tests(gains: DataFrame, names: list[str], least: int = 20) -> DataFrame:

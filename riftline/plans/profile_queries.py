@@ -18,7 +18,7 @@ register("ljung_box_profile", user_series, profiles.ljung_box_profile, U + ACF +
 _TEN = "FILTER (WHERE lag <= 10)"
 register("acf_columns", user_series, profiles.lag_columns, U + _WHOLE_ACF.replace("a.i + 10", "a.i + 20") + ", z AS (SELECT *, sign(lead(acf) OVER (PARTITION BY series_id ORDER BY lag)) <> sign(acf) AS turns FROM acf WHERE n >= 40) SELECT series_id, " + ", ".join(r(f"max(acf) FILTER (WHERE lag = {k})", f"acf_{k}") for k in (1, 2, 5, 10)) + f", {r(f'sum(abs(acf)) {_TEN}', 'abs_sum')}, {r(f'avg(acf) {_TEN}', 'mean')}, {r(f'stddev_pop(acf) {_TEN}', 'std')}, coalesce(min(lag) FILTER (WHERE turns), 20) AS first_zero FROM z GROUP BY series_id")
 register("pacf_lag_relation", user_series, profiles.partial_lag_relation, U + ACF + ", a AS (SELECT series_id, period, " + ", ".join(f"max(acf * n / (n - {k})) FILTER (WHERE lag = {k}) AS r{k}" for k in (1, 2)) + " FROM acf GROUP BY series_id, period), pp AS (SELECT period, r1 AS p1, (r2 - r1 ^ 2) / nullif(1 - r1 ^ 2, 0) AS p2 FROM a) SELECT CAST(period AS BIGINT) AS period, count(*) AS series, " + ", ".join((r("avg(p1)", "mean_1", 5), r("avg(p2)", "mean_2", 5), r("regr_slope(p2, p1)", "slope", 5), r("regr_intercept(p2, p1)", "intercept", 5), r("corr(p1, p2)", "correlation", 5))) + " FROM pp WHERE abs(p1) < 1 AND p2 IS NOT NULL GROUP BY period", 5)
-register("decay_comparison", planted, profiles.decay_comparison, B + _WHOLE_ACF + ", dl AS (SELECT series_id, coalesce(min(lag) FILTER (WHERE abs(acf) < 0.1), 10) AS d FROM acf GROUP BY series_id), l AS (SELECT series_id, bool_or(has_break) AS hb FROM s GROUP BY series_id), j AS (SELECT d, hb FROM dl JOIN l USING (series_id)) SELECT (SELECT count(*) FROM j WHERE hb) AS breaks, (SELECT count(*) FROM j WHERE NOT hb) AS others, round(sum(CASE WHEN a.d > b.d THEN 1.0 WHEN a.d = b.d THEN 0.5 ELSE 0.0 END), 6) AS u FROM j a, j b WHERE a.hb AND NOT b.hb")
+register("decay_comparison", planted, profiles.decay_comparison, B + _WHOLE_ACF.replace("a.i + 10", "a.i + 100") + ", dl AS (SELECT series_id, coalesce(min(lag) FILTER (WHERE abs(acf) < 0.1), 100) AS d FROM acf GROUP BY series_id), l AS (SELECT series_id, bool_or(has_break) AS hb FROM s GROUP BY series_id), j AS (SELECT d, hb FROM dl JOIN l USING (series_id)) SELECT (SELECT count(*) FROM j WHERE hb) AS breaks, (SELECT count(*) FROM j WHERE NOT hb) AS others, round(sum(CASE WHEN a.d > b.d THEN 1.0 WHEN a.d = b.d THEN 0.5 ELSE 0.0 END), 6) AS u FROM j a, j b WHERE a.hb AND NOT b.hb")
 
 # --- whole tables -------------------------------------------------------------------------------------------------
 register("described_values", user_series, profiles.described, U + " SELECT CAST(period AS BIGINT) AS period, count(*) AS n, " + ", ".join(r(f"{f}(value)", k) for f, k in (("avg", "mean"), ("stddev_samp", "std"), ("min", "low"), ("max", "high"))) + ", " + ", ".join(r(f"quantile_cont(value, 0.{k})", f"q{k}") for k in ("05", "25", "50", "75", "95")) + " FROM s GROUP BY period")
@@ -52,7 +52,7 @@ register("series_ids", planted, lambda s: datasets.labels_of(s), B + " SELECT se
 register("point_lookup", planted, lambda s: datasets.one_series(s, 3).select("series_id", "t", "value", "period"), B + " SELECT series_id, t, round(value, 6) AS value, period FROM s WHERE series_id = 3")
 register("positive_sample", planted, lambda s: datasets.class_sample(datasets.labels_of(s), True, 5), B + _LABELS + " SELECT series_id, has_break FROM h WHERE has_break ORDER BY h, series_id LIMIT 5")
 register("negative_sample", planted, lambda s: datasets.class_sample(datasets.labels_of(s), False, 5), B + _LABELS + " SELECT series_id, has_break FROM h WHERE NOT has_break ORDER BY h, series_id LIMIT 5")
-_MARKED = E + _WINDOWS.format(size=100, stride=20) + ", m AS (SELECT series_id, window_start, CASE WHEN window_start + 10 <= boundary AND boundary <= window_start + 90 THEN boundary - window_start END AS break_position, (series_id_number * 2654435761 + window_start * 40503 + 42) % 4294967296 AS h FROM (SELECT *, length(series_id) AS series_id_number FROM w))"
+_MARKED = E + _WINDOWS.format(size=100, stride=20) + ", m AS (SELECT series_id, window_start, CASE WHEN window_start + 10 <= boundary AND boundary <= window_start + 90 THEN boundary - window_start END AS break_position, md5(series_id || ':' || window_start || ':42') AS h FROM w)"
 _MARKED_WINDOWS = lambda s: datasets.marked_windows(to_arrays(s), 100, 20)
 register("window_encodings", type_series, lambda s: datasets.break_encodings(_MARKED_WINDOWS(s), 100), _MARKED + " SELECT series_id, window_start, round(coalesce(break_position / 100, -1), 6) AS break_code FROM m")
 register("balanced_windows", type_series, lambda s: datasets.balanced_windows(_MARKED_WINDOWS(s).drop("window")), _MARKED + ", n AS (SELECT count(break_position) // 3 * 7 + count(break_position) % 3 * 7 // 3 AS want FROM m) SELECT series_id, window_start, break_position FROM m WHERE break_position IS NOT NULL UNION ALL SELECT series_id, window_start, break_position FROM (SELECT m.*, want, row_number() OVER (ORDER BY h, series_id, window_start) AS k FROM m, n WHERE break_position IS NULL) WHERE k <= want")

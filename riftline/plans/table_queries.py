@@ -29,9 +29,7 @@ def _strongest(series: DataFrame) -> DataFrame:
 
 
 def _filled_t(series: DataFrame) -> DataFrame:
-    """Statistics to six digits, as ttest_stat gives them, filled by their median; the fifth digit is rounded in binary, as SQL engines do."""
-    filled = features.filled(distribution.student_t(series).select("series_id", F.round("t", 6).alias("t")))
-    return filled.select("series_id", (F.signum("t") * F.floor(F.abs("t") * 1e5 + 0.5) / 1e5).alias("t"))
+    return features.filled(distribution.student_t(series).select("series_id", "t"))
 
 
 def _return_profile(series: DataFrame) -> DataFrame:
@@ -62,7 +60,8 @@ register("series_to_long", user_series, lambda s: from_arrays(to_arrays(s)), U +
 register("label_lookup", planted, _labelled_half, B + " SELECT series_id, CASE WHEN series_id % 2 = 0 THEN any_value(has_break) END AS has_break, count(*) AS n FROM s GROUP BY series_id")
 register("untested_series", user_series, _untested, U + COUNTS + f" SELECT series_id FROM c WHERE ({TESTABLE}) IS NOT TRUE")
 register("strongest_series", user_series, _strongest, f"SELECT series_id, t FROM ({ORACLES['ttest_stat']}) q WHERE t IS NOT NULL ORDER BY abs(t) DESC, series_id LIMIT 10")
-register("median_filled", user_series, _filled_t, f"SELECT series_id, round(coalesce(t, (SELECT quantile_cont(t, 0.5) FROM ({ORACLES['ttest_stat']}) m), 0), 5) AS t FROM ({ORACLES['ttest_stat']}) q", 5)
+_T = U + COUNTS + f", st AS (SELECT series_id, CASE WHEN {TESTABLE} THEN (m0 - m1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1)) END AS t FROM c)"
+register("median_filled", user_series, _filled_t, _T + f" SELECT series_id, {r('coalesce(t, (SELECT quantile_cont(t, 0.5) FROM st), 0)', 't', 5)} FROM st", 5)
 
 _LAG = ", b AS (SELECT *, lag(value) OVER (PARTITION BY series_id, period ORDER BY t) AS prev FROM s)"
 register("log_returns", user_series, _return_profile, U + _LAG + ", x AS (SELECT series_id, period, ln(value) - ln(prev) AS x FROM b WHERE prev > 0 AND value > 0) SELECT series_id, CAST(period AS BIGINT) AS period, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM x GROUP BY ALL")

@@ -3,5 +3,5 @@ from riftline.plans.series_queries import QUERIES
 
 def test_no_window_of_a_series_is_dropped(spark):
     """17 windows of 100 at a stride of 5 hold the boundary 10 from both ends; the last ones count too."""
-    rows = QUERIES["break_windows_all"](spark, "/root/testdata/sf0.01").groupBy("series_id").count().collect()
+    rows = QUERIES["break_windows"](spark, "/root/testdata/sf0.01").groupBy("series_id").count().collect()
     assert rows and max(r["count"] for r in rows) > 8 and all(r["count"] <= 17 for r in rows)
