@@ -94,9 +94,7 @@ QUERIES = {
     "spectral_features": _grouped(user_series, grouped.spectral, grouped.SPECTRAL),
     "pacf_lags": _grouped(user_series, grouped.pacf_profile, grouped.PACF),
     "adaptive_cusum": _grouped(user_series, grouped.adaptive_tests, grouped.ADAPTIVE),
-    "factor_break": _grouped(type_series, grouped.factor_break, grouped.FACTOR),
     "ssa_components": _grouped(user_series, grouped.singular_spectrum, grouped.SSA),
-    "approx_entropy": _grouped(user_series, grouped.entropy_change, ["apen_0", "apen_1", "apen_diff"]),
     "mutual_information": _grouped(user_series, grouped.information, grouped.MI),
     "pelt_break": _grouped(planted, grouped.pelt_first, ["break_at", "segments_cost"]),
     "epps_singleton": _grouped(user_series, grouped.epps_singleton, ["es"]),
