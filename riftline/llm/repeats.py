@@ -10,12 +10,11 @@ strings of SPAN bytes have an anchor at the same place, and about one start in 3
    of copies of any size is spread over as many tasks as it fills.  An anchor that follows one with equal
    surroundings has all of them earlier: they are removed as a whole.  (Equal means two independent hashes of 64 bits.)
 2. What is left, the first of each surroundings, matters only where its GRAM bytes have several surroundings.  Those
-   are fetched from the texts, sent to a task by GRAM bytes, and there the suffixes that start a string of SPAN bytes
-   are sorted by hash-compared mergesort (``suffixes``), apart for each distance from the anchor.  Equal
-   neighbours, verified byte by byte, are repeats of the earliest.
-3. Anchors with more than GROUP surroundings, and those at the edges of a range, of which one task doesn't see all, are
-   looked up by two hashes of each string instead: a grouped minimum, which is aggregated before it is shuffled,
-   and a join on the string's hashes.
+   are fetched from the texts and sent to a task by GRAM bytes.  There the suffixes that start at the anchors are sorted by
+   hash-compared mergesort (``suffixes``), and so is what goes before the anchors, read backwards.  The lengths that neighbours
+   share, verified byte by byte, tell which strings of SPAN bytes around the anchors are the same.
+3. The strings around anchors with more than GROUP surroundings (11 MB of bytes) are looked up by two hashes of each string
+   instead, sorted by ranges in the same way as anchors.
 
 Spans are collected by document and cut out of its text in one pass.  Texts move twice (2. and the end), anchors once.
 
@@ -28,20 +27,23 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import named_texts, stored
-from .suffixes import Hashes, Suffixes, mixed
+from .suffixes import Hashes, Suffixes, classes, mixed
 
-SPAN, GRAM, GROUP = 100, 32, 4096
+SPAN, GRAM, GROUP = 100, 32, 1 << 16
 #: Bytes that are hashed, and surroundings that are sorted, at once.
 SLICE, SORTED = 1 << 19, 4096
 REACH = SPAN - GRAM
-REPEAT, SORT, LOOK_UP = 0, 1, 2
+REPEAT, SORT, LOOK_UP, OPEN = 0, 1, 2, 3
+LATER, FIRST, LAST = 0, 1, 2
 
 
 def sliding(x: np.ndarray, width: int, function: np.ufunc) -> np.ndarray:
@@ -115,7 +117,10 @@ def anchors(rows: DataFrame) -> DataFrame:
 
 
 def judged(found: DataFrame, most: int = GROUP) -> DataFrame:
-    """gram, doc_id, tie, at and verdict of the anchors that matter, in one pass over ranges in order."""
+    """gram, doc_id, tie, at and verdict of the anchors that matter, in one pass over ranges in order.
+
+    OPEN are the first of their surroundings whose gram isn't seen whole, at the edges of a range, or is too large to wait for its end.
+    """
     kind = found.schema["doc_id"].dataType.simpleString()
     ordered = found.repartitionByRange("gram", "around", "doc_id", "tie", "at").sortWithinPartitions("gram", "around", "doc_id", "tie", "at")
 
@@ -143,20 +148,31 @@ def judged(found: DataFrame, most: int = GROUP) -> DataFrame:
                 continue
             new = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
             sizes = np.diff(np.r_[new, len(gram)])
-            verdict = np.where((sizes > most) | (gram[new] == edge) | (gram[new] == huge if huge is not None else False), LOOK_UP, np.where(sizes > 1, SORT, -1))
+            verdict = np.where((sizes > most) | (gram[new] == edge) | (gram[new] == huge if huge is not None else False), OPEN, np.where(sizes > 1, SORT, -1))
             verdict = np.repeat(verdict, sizes)
             whole = new[-1]
-            if sizes[-1] > most or gram[-1] == huge:  # too many: what follows of it is looked up too
+            if sizes[-1] > most or gram[-1] == huge:  # too many: what follows of it is open too
                 huge, whole = gram[-1], len(gram)
             keep = verdict[:whole] >= 0
             yield from told(held.slice(0, whole).filter(pa.array(keep)), verdict[:whole][keep])
             held = held.slice(whole).combine_chunks()
         if held is not None:
-            yield from told(held, LOOK_UP)
+            yield from told(held, OPEN)
 
     return ordered.mapInArrow(run, f"gram bigint, doc_id {kind}, tie bigint, at bigint, verdict int")
 
 
+def settled_verdicts(marked: DataFrame, most: int) -> DataFrame:
+    """The same with OPEN grams counted: up to ``most`` surroundings are sorted, more are looked up, a single one doesn't matter.
+
+    There are at most two open grams for each range, and one for each ``most`` anchors.
+    """
+    counts = marked.where(F.col("verdict") == OPEN).groupBy("gram").agg(F.count("*").alias("n"))
+    counted = marked.join(F.broadcast(counts), "gram", "left")
+    verdict = F.when(F.col("verdict") != OPEN, F.col("verdict")).otherwise(F.when(F.col("n") > most, LOOK_UP).otherwise(SORT))
+    return counted.where((F.col("verdict") != OPEN) | (F.col("n") > 1)).withColumn("verdict", verdict).drop("n")
+
+
 def surroundings(rows: DataFrame, leads: DataFrame) -> DataFrame:
     """verdict, gram, doc_id, tie, start and bytes of the surroundings, and how far in the anchor is."""
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -201,20 +217,40 @@ def spans_of(b: pa.Table, row: np.ndarray, number: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([*columns, pa.array(start + number[new]), pa.array(start + number[end] + SPAN)], ["doc_id", "tie", "start", "stop"])
 
 
+def equal_strings(before: np.ndarray, after: np.ndarray, group: np.ndarray, start: np.ndarray, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """row and distance of the strings around anchors that an earlier row of the group has too.
+
+    What follows the anchors is sorted, and, in the reversed buffer, what goes before them.  A string that begins ``distance`` bytes before
+    its anchor equals another one if so many bytes before the anchors are shared and the rest of SPAN bytes from the anchors on.
+    """
+    anchor = start + before
+    forward = Suffixes(buffer, SPAN).ordered(anchor, group)
+    backward = Suffixes(buffer[::-1], REACH).ordered(len(buffer) - anchor, group)
+    rows, distances = [], []
+    for distance in range(REACH + 1):
+        own = np.flatnonzero((before >= distance) & (after >= REACH - distance))
+        left, right = classes(*backward, distance)[own], classes(*forward, SPAN - distance)[own]
+        key = left * (len(start) + 1) + right
+        order = np.argsort(key, kind="stable")
+        later = own[order[1:]][key[order[1:]] == key[order[:-1]]]
+        rows.append(later)
+        distances.append(np.full(len(later), distance))
+    return np.concatenate(rows), np.concatenate(distances)
+
+
 def sorted_repeats(contexts: DataFrame) -> DataFrame:
     """doc_id, tie, start, stop of the repeats among surroundings of the same gram, all of which one task has."""
     kind = contexts.schema["doc_id"].dataType.simpleString()
     ordered = contexts.repartition("gram").sortWithinPartitions("gram", "doc_id", "tie", "start", "before")
 
     def repeats(b: pa.Table) -> pa.RecordBatch:
-        buffer, row, number, start = strings_of(b.column("around"))
-        gram = b.column("gram").to_numpy()
+        around, gram, before = b.column("around").to_pylist(), b.column("gram").to_numpy(), b.column("before").to_numpy().astype(np.int64)
+        sizes = np.array([len(x) for x in around], dtype=np.int64)
         group = np.cumsum(np.r_[0, gram[1:] != gram[:-1]])
-        segment = group[row] * 128 + b.column("before").to_numpy()[row] - number + REACH  # by distance from the anchor
-        order = np.argsort(segment, kind="stable")
-        hit = np.zeros(len(order), dtype=bool)
-        hit[order] = Suffixes(buffer, SPAN).repeats(start[order], segment[order])
-        return spans_of(b, row[hit], number[hit])
+        row, distance = equal_strings(before, sizes - before - GRAM, group, np.cumsum(sizes) - sizes, np.frombuffer(b"".join(around), dtype=np.uint8))
+        number = before[row] - distance
+        order = np.lexsort((number, row))
+        return spans_of(b, row[order], number[order])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -223,7 +259,7 @@ def sorted_repeats(contexts: DataFrame) -> DataFrame:
                 some = pa.Table.from_batches([b.slice(low, SORTED)])
                 held = some if held is None else pa.concat_tables([held, some])
                 gram = held.column("gram").to_numpy()
-                whole = int(np.searchsorted(gram, gram[-1]))  # the last gram may go on
+                whole = len(gram) - int(np.argmax(gram[::-1] != gram[-1])) if (gram != gram[-1]).any() else 0  # the last gram may go on
                 if len(held) >= SORTED and whole:
                     yield repeats(held.slice(0, whole).combine_chunks())
                     held = held.slice(whole).combine_chunks()
@@ -234,10 +270,15 @@ def sorted_repeats(contexts: DataFrame) -> DataFrame:
 
 
 def looked_up_repeats(contexts: DataFrame) -> DataFrame:
-    """The same by hashes of each string, for grams with any number of surroundings."""
+    """The same by hashes of each string, for grams with any number of surroundings.
+
+    Strings are sorted by ranges of hash and place, as anchors are, and one that follows an equal one is a repeat.  The first string
+    of a range is held against the last one before it; those, two rows for each range, meet on the driver.
+    """
     kind = contexts.schema["doc_id"].dataType.simpleString()
+    schema = f"one bigint, two bigint, doc_id {kind}, tie bigint, start bigint"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low in range(0, len(b), SORTED):
                 some = b.slice(low, SORTED)
@@ -246,11 +287,38 @@ def looked_up_repeats(contexts: DataFrame) -> DataFrame:
                 ids = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), some.column("doc_id").take(ids), some.column("tie").take(ids), pa.array(some.column("start").to_numpy()[row] + number)], ["one", "two", "doc_id", "tie", "start"])
 
-    strings = contexts.mapInArrow(run, f"one bigint, two bigint, doc_id {kind}, tie bigint, start bigint")
-    place = F.struct("doc_id", "tie", "start")
-    first = strings.groupBy("one", "two").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = strings.join(first, ["one", "two"]).where(~place.eqNullSafe(F.col("first")))
-    return later.select("doc_id", "tie", "start", (F.col("start") + SPAN).alias("stop"))
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        range_, last = TaskContext.get().partitionId(), None
+
+        def told(b: pa.RecordBatch, role: int) -> pa.RecordBatch:
+            for name, value in (("range", pa.array(np.full(len(b), range_))), ("role", pa.array(np.full(len(b), role, dtype=np.int32)))):
+                b = b.append_column(name, value)
+            return b
+
+        for b in batches:
+            if not len(b):
+                continue
+            ids = b.column("doc_id").dictionary_encode("encode").indices
+            columns = [x.to_numpy() for x in (*(b.column(c) for c in ("one", "two", "tie", "start")), ids)]
+            edge = [tuple(b.column(c)[k].as_py() for c in b.schema.names) for k in (0, len(b) - 1)]
+            if last is None:
+                yield told(b.slice(0, 1), FIRST)
+            same = [np.r_[False, c[1:] == c[:-1]] for c in columns]
+            again = same[0] & same[1] & ~(same[2] & same[3] & same[4])  # the same string at another place
+            again[0] = last is not None and last[:2] == edge[0][:2] and last != edge[0]
+            yield told(b.filter(pa.array(again)), LATER)
+            last, end = edge[1], b.slice(len(b) - 1, 1)
+        if last is not None:
+            yield told(end, LAST)
+
+    order = ["one", "two", "doc_id", "tie", "start"]
+    ranges = contexts.mapInArrow(strings, schema).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = stored(ranges.mapInArrow(later, schema + ", range bigint, role int"))
+    edges = {(r["range"], r["role"]): tuple(r[c] for c in order) for r in found.where(F.col("role") != LATER).collect()}
+    present = sorted({r for r, _ in edges})
+    again = [b for a, b in pairwise(present) if edges[a, LAST][:2] == edges[b, FIRST][:2] and edges[a, LAST] != edges[b, FIRST]]
+    hit = (F.col("role") == LATER) | ((F.col("role") == FIRST) & F.col("range").isin(again))
+    return found.where(hit).select("doc_id", "tie", "start", (F.col("start") + SPAN).alias("stop"))
 
 
 def united(spans: np.ndarray) -> np.ndarray:
@@ -304,7 +372,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     else:
         rows = rows.groupBy("doc_id", "text").agg(F.count("*").alias("copies")).withColumn("tie", F.xxhash64("text"))
     marked = stored(judged(anchors(rows), most))
-    contexts = stored(surroundings(rows, marked.where(F.col("verdict") != REPEAT)))
+    contexts = stored(surroundings(rows, settled_verdicts(marked.where(F.col("verdict") != REPEAT), most)))
     place, after = F.floor(F.col("at") / 128), F.col("at") % 128
     whole = marked.where(F.col("verdict") == REPEAT).select("doc_id", "tie", F.greatest(place - REACH, F.lit(0)).alias("start"), (place + GRAM + after).alias("stop"))
     spans = whole.unionByName(sorted_repeats(contexts.where(F.col("verdict") == SORT))).unionByName(looked_up_repeats(contexts.where(F.col("verdict") == LOOK_UP)))

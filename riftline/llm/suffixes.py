@@ -14,6 +14,8 @@ _RANDOM = np.random.default_rng(20_240_911)
 WORDS = _RANDOM.integers(0, 2**64, size=(2, 256), dtype=np.uint64)
 BASES = [int(x) | 1 for x in _RANDOM.integers(2**32, 2**63, size=2)]
 STEPS = (64, 32, 16, 8, 4, 2, 1)
+#: Bytes of a buffer up to which the hashes of all substrings of those lengths are kept; beyond, they are computed when asked for.
+TABLED = 1 << 21
 
 
 class Hashes:
@@ -49,15 +51,18 @@ class Suffixes:
 
     def __init__(self, buffer: np.ndarray, span: int):
         self.buffer, self.span = np.concatenate([buffer, np.zeros(128, dtype=np.uint8)]), span
-        hashes = Hashes(self.buffer)
-        self.of_step = {s: hashes.of_length(s) for s in STEPS}
+        self.hashes = Hashes(self.buffer)
+        self.of_step = {s: self.hashes.of_length(s) for s in STEPS} if len(buffer) <= TABLED else None
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """How many of the first ``span`` bytes after x and after y are the same, by binary search."""
         n = np.zeros(len(x), dtype=np.int64)
         for s in STEPS:
-            table = self.of_step[s]
-            n += s * ((n + s <= self.span) & (table[x + n] == table[y + n]))
+            if self.of_step:
+                a, b = self.of_step[s][x + n], self.of_step[s][y + n]
+            else:
+                a, b = self.hashes.of(x + n, x + n + s), self.hashes.of(y + n, y + n + s)
+            n += s * ((n + s <= self.span) & (a == b))
         return n
 
     def sort(self, starts: np.ndarray, segment: np.ndarray) -> np.ndarray:
@@ -93,25 +98,35 @@ class Suffixes:
             order, width = moved, 2 * width
         return order
 
-    def repeats(self, starts: np.ndarray, segment: np.ndarray) -> np.ndarray:
-        """Which starts have the same first ``span`` bytes as an earlier one of their segment."""
+    def ordered(self, starts: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted order, and how many bytes each suffix in it shares with the one before, -1 for the first of a segment.
+
+        Suffixes that share all ``span`` bytes by their hashes are compared byte by byte too.
+        """
         order = self.sort(starts, segment)
-        a, b = order[:-1], order[1:]
-        at = np.flatnonzero(segment[a] == segment[b])
-        at = at[self.common(starts[a[at]], starts[b[at]]) == self.span]
-        out = np.zeros(len(starts), dtype=bool)
-        for some in np.array_split(at, len(at) // 20_000 + 1):
-            x, y = (self.buffer[starts[side[some]][:, None] + np.arange(self.span)] for side in (a, b))
-            if not (x == y).all():
-                return self.repeats_by_bytes(starts, segment)
-        out[b[at]] = True
-        return out
-
-    def repeats_by_bytes(self, starts: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        a, b = starts[order[:-1]], starts[order[1:]]
+        shared = np.where(segment[order[:-1]] == segment[order[1:]], self.common(a, b), -1)
+        for some in np.array_split(np.flatnonzero(shared > 0), len(order) // 20_000 + 1):
+            n = np.arange(self.span)
+            same = (self.buffer[a[some][:, None] + n] == self.buffer[b[some][:, None] + n]) | (n >= shared[some][:, None])
+            if not same.all():
+                return self.ordered_by_bytes(starts, segment)
+        return order, np.r_[-1, shared][: len(order)]
+
+    def ordered_by_bytes(self, starts: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same without hashes, for the case that two strings share one."""
-        seen, out = set(), np.zeros(len(starts), dtype=bool)
-        for n, (s, g) in enumerate(zip(starts.tolist(), segment.tolist(), strict=True)):
-            key = (g, self.buffer[s : s + self.span].tobytes())
-            out[n] = key in seen
-            seen.add(key)
-        return out
+        key = [(g, self.buffer[s : s + self.span].tobytes()) for s, g in zip(starts.tolist(), segment.tolist(), strict=True)]
+        order = sorted(range(len(key)), key=key.__getitem__)
+        shared = [-1] * len(order)
+        for n in range(1, len(order)):
+            (g, a), (h, b) = key[order[n - 1]], key[order[n]]
+            if g == h:
+                shared[n] = next((k for k in range(self.span) if a[k] != b[k]), self.span)
+        return np.array(order, dtype=np.int64), np.array(shared, dtype=np.int64)
+
+
+def classes(order: np.ndarray, shared: np.ndarray, length: int) -> np.ndarray:
+    """By suffix, a number that two have in common if and only if they share ``length`` bytes (and a segment)."""
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(shared < max(length, 0))
+    return out

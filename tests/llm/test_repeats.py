@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from riftline.llm.repeats import GRAM, REACH, SPAN, anchors_in, without_repeats
-from riftline.llm.suffixes import Hashes, Suffixes
+from riftline.llm.suffixes import Hashes, Suffixes, classes
 
 SCHEMA = "doc_id long, text string"
 
@@ -55,7 +55,7 @@ def corpus(seed, n=60):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "most"), [(1, 4096), (2, 4096), (3, 2), (4, 0)])
+@pytest.mark.parametrize(("seed", "most"), [(1, 1 << 16), (2, 1 << 16), (3, 2), (4, 0)])
 def test_equals_a_table_of_all_strings(spark, seed, most):
     rows = [(3 * k - 20, t) for k, t in enumerate(corpus(seed))]
     random.Random(seed).shuffle(rows)
@@ -101,7 +101,14 @@ def test_suffix_sort(seed):
     order = suffixes.sort(starts, segment)
     want = [k for g in range(6) for k in sorted(np.flatnonzero(segment == g), key=lambda k: key(starts[k]))]
     assert [key(starts[k]) for k in order] == [key(starts[k]) for k in want] and list(order) == want
-    assert (suffixes.repeats(starts, segment) == suffixes.repeats_by_bytes(starts, segment)).all()
+    (a, b), (c, d) = suffixes.ordered(starts, segment), suffixes.ordered_by_bytes(starts, segment)
+    assert (a == c).all() and (b == d).all()
+    suffixes.of_step = None  # as for a large buffer
+    assert (suffixes.common(starts[:-1], starts[1:]) == Suffixes(buffer, SPAN).common(starts[:-1], starts[1:])).all()
+    for length in (0, 3, 50, SPAN):
+        same = classes(a, b, length)
+        keys = {(g, buffer[s : s + length].tobytes()) for s, g in zip(starts, segment, strict=True)}
+        assert len(set(same)) == len(keys) == len(set(zip(same.tolist(), [(g, buffer[s : s + length].tobytes()) for s, g in zip(starts, segment, strict=True)], strict=True)))
 
 
 def test_hashes_do_not_depend_on_their_surroundings():
@@ -114,4 +121,5 @@ def test_a_shared_hash_is_noticed(monkeypatch):
     buffer = np.random.default_rng(1).integers(97, 123, size=1000).astype(np.uint8)
     suffixes = Suffixes(buffer, SPAN)
     suffixes.of_step = {s: np.zeros_like(t) for s, t in suffixes.of_step.items()}  # every hash is the same
-    assert not suffixes.repeats(np.arange(300), np.zeros(300, dtype=np.int64)).any()
+    segment = np.zeros(300, dtype=np.int64)
+    assert all((x == y).all() for x, y in zip(suffixes.ordered(np.arange(300), segment), suffixes.ordered_by_bytes(np.arange(300), segment), strict=True))
