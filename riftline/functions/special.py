@@ -86,6 +86,74 @@ def kolmogorov_tail(d: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.clip(2 * ((-1.0) ** (k - 1) * np.exp(-2 * k**2 * x[None] ** 2)).sum(0), 0, 1)
 
 
+#: Values of the larger sample up to which Kolmogorov-Smirnov p-values are exact, and Cramer-von Mises ones.
+EXACT_KS, EXACT_CVM = 10_000, 20
+
+
+def kolmogorov_exact(d: float, n: int, m: int) -> float:
+    """P(D >= d) by counting the lattice paths from (0, 0) to (n, m) that stay nearer to the diagonal than d.
+
+    A row of the lattice is a cumulated sum over the row before, within the band; counts are kept as shares of all paths.
+    """
+    reach = math.floor(d * n * m - 1e-7)  # |i m - j n| may be as much
+    if reach < 0:
+        return 1.0
+    u = (np.arange(m + 1) * n <= reach).astype(float)
+    for i in range(1, n + 1):
+        low, high = max(0, -((reach - i * m) // n)), min(m, (i * m + reach) // n)
+        new = np.zeros(m + 1)
+        if low <= high:
+            new[low : high + 1] = np.cumsum(i / (i + m) * u[low : high + 1])
+        u = new
+    return float(min(1.0, max(0.0, 1 - u[m])))
+
+
+def kolmogorov_p(d: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Exact up to EXACT_KS values in each sample, asymptotic beyond."""
+    large = np.maximum(n, m) > EXACT_KS
+    return np.where(large, kolmogorov_tail(d, n, m), [1.0 if x else kolmogorov_exact(float(a), int(b), int(c)) for a, b, c, x in zip(d, n, m, large, strict=True)])
+
+
+def cramer_von_mises_exact(t: float, n: int, m: int) -> float:
+    """P(T >= t) over all ways to mix two samples without ties, by counting lattice paths by the sum of their squared gaps.
+
+    T is the sum of (i m - j n) ** 2 along the path, over n m (n + m) ** 2.
+    """
+    counts: dict[tuple[int, int], dict[int, int]] = {(0, 0): {0: 1}}
+    for i in range(n + 1):
+        for j in range(m + 1):
+            if i or j:
+                gap, here = (i * m - j * n) ** 2, {}
+                for before in ((i - 1, j), (i, j - 1)):
+                    for value, k in counts.get(before, {}).items():
+                        here[value + gap] = here.get(value + gap, 0) + k
+                counts[i, j] = here
+    bound = t * n * m * (n + m) ** 2 - 1e-6
+    return sum(k for value, k in counts[n, m].items() if value >= bound) / math.comb(n + m, n)
+
+
+def _bessel_quarter(z: np.ndarray) -> np.ndarray:
+    """exp(z) times the modified Bessel function of the second kind of order 1/4, by its integral."""
+    h, u = np.linspace(0, 12, 6001, retstep=True)[1], np.linspace(0, 12, 6001)
+    weight = np.where((u == 0) | (u == u[-1]), 0.5, 1.0) * h * np.cosh(u / 4)
+    return np.array([float((np.exp(-x * (np.cosh(u) - 1)) * weight).sum()) for x in np.ravel(z)]).reshape(np.shape(z))
+
+
+def cramer_von_mises_tail(t: float, n: int, m: int) -> float:
+    """P(T >= t) by the limiting distribution, with T shifted and scaled to the mean and variance that it has there."""
+    total, k = n + m, n * m
+    mean = (1 + 1 / total) / 6
+    variance = (total + 1) * (4 * k * total - 3 * (n**2 + m**2) - 2 * k) / (45 * total**2 * 4 * k)
+    x = 1 / 6 + (t - mean) / math.sqrt(45 * variance)
+    if x < 0.003:
+        return 1.0
+    j = np.arange(60)
+    y = (4 * j + 1) ** 2 / (16 * x)
+    share = np.exp(_lgamma(j + 0.5) - _lgamma(j + 1.0)) / math.sqrt(math.pi)  # (-1) ** j times the binomial of -1/2 over j
+    terms = share * np.sqrt(4 * j + 1) * np.exp(-2 * y) * _bessel_quarter(y)
+    return float(min(1.0, max(0.0, 1 - terms.sum() / (math.pi * math.sqrt(x)))))
+
+
 def _guarded(function):
     def run(*columns: pd.Series) -> pd.Series:
         data = pd.concat(columns, axis=1).astype(float)
@@ -125,4 +193,10 @@ def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def ks_p(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
     """P-value of a two-sample Kolmogorov-Smirnov distance."""
-    return _guarded(kolmogorov_tail)(d, n, m)
+    return _guarded(kolmogorov_p)(d, n, m)
+
+
+@F.pandas_udf(DoubleType())
+def cvm_p(t: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    """P-value of a two-sample Cramer-von Mises statistic, exact up to EXACT_CVM values in each sample."""
+    return _guarded(lambda t, n, m: np.array([(cramer_von_mises_exact if max(a, b) <= EXACT_CVM else cramer_von_mises_tail)(x, int(a), int(b)) for x, a, b in zip(t, n, m, strict=True)]))(t, n, m)

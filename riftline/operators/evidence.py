@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riftline.functions.moments import clipped, over, side
-from riftline.operators.shape import ordered, within
+from riftline.operators.embedding import approximate_entropy
+from riftline.operators.shape import ordered, permutation_entropy, within
 
 # Floors of spreads, scale of the MAD, shortest segments, share of a series a segment must have.
 FLOOR, MAD_SCALE = 1e-6, 1.4826
@@ -21,8 +24,10 @@ KURT_LADDER = ((2.0, 0.5), (1.0, 0.3)), 0.0
 SPREAD_LADDER = ((0.5, 0.7), (0.3, 0.5), (0.1, 0.2)), 0.05
 LOCATION_LADDER = ((2.0, 0.6), (1.0, 0.4), (0.5, 0.2)), 0.0
 SCALE_LADDER = ((0.5, 0.4), (0.3, 0.2)), 0.0
+PERMUTATION_LADDER = ((0.3, 0.5), (0.1, 0.3)), 0.0
+REGULARITY_LADDER = ((0.5, 0.5), (0.2, 0.3)), 0.0
 MOST = 0.95
-WEIGHTS = {"quantiles": 0.25, "extremes": 0.20, "moments": 0.15, "timescales": 0.15, "location_scale": 0.05}
+WEIGHTS = {"quantiles": 0.25, "entropy": 0.20, "extremes": 0.20, "moments": 0.15, "timescales": 0.15, "location_scale": 0.05}
 
 
 def around_medians(series: DataFrame) -> DataFrame:
@@ -132,10 +137,10 @@ def rolling_spreads(series: DataFrame, widths: tuple[int, ...] = (3, 4, 5)) -> D
 
 
 def evidence(series: DataFrame) -> DataFrame:
-    """Ladders of evidence from quantiles, extremes, moments, time scales, and location and scale, with their weighted sum.
+    """Ladders of evidence from quantiles, entropy, extremes, moments, time scales, and location and scale; their largest, mean and weighted sum.
 
-    A period shorter than 15 % of the series or 10 values (15 for moments) gives no evidence, 0.  The weights are those of a
-    set of six kinds, the sixth (entropy) being an operator of its own, so the sum is at most 0.8.
+    A period shorter than 15 % of the series or 10 values (15 for moments and entropy) gives no evidence, 0.  Entropy is that of ordinal
+    patterns, as a share of the highest one, and approximate entropy, 0 where a period has none.
     """
     v, half = F.col("value"), F.lit(0.5)
     c = F.col
@@ -161,6 +166,12 @@ def evidence(series: DataFrame) -> DataFrame:
         "timescales": _average([ladder(_relative(c(f"{k}0"), c(f"{k}1")), SPREAD_LADDER) for k in "rvs"]),
         "location_scale": F.when(c("mad") < NARROW, 0.0).otherwise(F.least(F.lit(MOST), ladder(F.abs(c("q1_50") - c("q0_50")) / c("mad"), LOCATION_LADDER) + F.coalesce(ladder(F.when(c("mad0") + c("mad1") > NARROW, F.abs(c("mad1") - c("mad0")) / (c("mad0") + c("mad1"))), SCALE_LADDER), F.lit(0.0)))),
     }
-    e = g.select("series_id", "n", *[F.when(enough(LEAST_MOMENTS if k == "moments" else LEAST), x).otherwise(0.0).alias(k) for k, x in kinds.items()])
+    patterns = permutation_entropy(series).select("series_id", (F.abs("entropy_diff") / math.log2(6)).alias("pattern_change"))
+    none = F.lit(0.0)
+    regular = approximate_entropy(series).select("series_id", F.abs(F.coalesce("apen_1", none) - F.coalesce("apen_0", none)).alias("regularity_change"))
+    g = g.join(patterns, "series_id", "left").join(regular, "series_id", "left")
+    kinds["entropy"] = F.least(F.lit(MOST), F.coalesce(ladder(c("pattern_change"), PERMUTATION_LADDER), none) + F.coalesce(ladder(c("regularity_change"), REGULARITY_LADDER), none))
+    e = g.select("series_id", "n", *[F.when(enough(LEAST_MOMENTS if k in ("moments", "entropy") else LEAST), x).otherwise(0.0).alias(k) for k, x in kinds.items()])
     total = F.least(F.lit(MOST), sum((F.lit(w) * c(k) for k, w in WEIGHTS.items()), F.lit(0.0)))
-    return e.select("series_id", *kinds, F.when(c("n") < 20, 0.05).otherwise(total).alias("evidence"))
+    mean = sum((c(k) for k in kinds), none) / len(kinds)
+    return e.select("series_id", *kinds, *[F.when(c("n") < 20, 0.05).otherwise(x).alias(k) for k, x in (("largest", F.greatest(*kinds)), ("average", mean), ("evidence", total))])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riftline.functions.moments import over, side
+from riftline.functions.special import student_p
 from riftline.operators import datasets, regression, shape
 from riftline.operators.ranges import with_quantiles
 
@@ -160,3 +161,32 @@ def rolling_spread_boundary(series: DataFrame) -> DataFrame:
     spread = F.sqrt(F.greatest(q - s * s / F.col("w"), F.lit(0.0)) / (F.col("w") - 1))
     g = both.select("series_id", (F.col("at") >= F.col("b")).cast("int").alias("period"), spread.alias("d")).groupBy("series_id").agg(F.avg(side(F.col("d"), 0)).alias("std_before"), F.avg(side(F.col("d"), 1)).alias("std_after"))
     return g.select("*", (F.col("std_after") - F.col("std_before")).alias("std_change"), (F.col("std_after") / (F.col("std_before") + 1e-8)).alias("std_ratio"))
+
+
+def summary(series: DataFrame) -> DataFrame:
+    """One row of 26 figures that describe a data set: sizes, lengths, values, and the changes at the boundary with and without a break."""
+    v, p = F.col("value"), lambda k: side(F.col("value"), k)
+    per = series.groupBy("series_id").agg(
+        F.coalesce(F.max("has_break"), F.lit(False)).alias("b"), F.count(v).cast("double").alias("length"), F.count(p(0)).cast("double").alias("before"), F.count(p(1)).cast("double").alias("after"),
+        F.avg(v).alias("series_mean"), F.stddev_samp(v).alias("series_std"), (F.avg(p(1)) - F.avg(p(0))).alias("dm"), (F.stddev_samp(p(1)) - F.stddev_samp(p(0))).alias("ds"),
+    ).withColumn("ratio", over(F.col("before"), F.col("after")))
+    both = lambda name, x: (F.avg(x).alias(f"{name}_mean"), F.stddev_samp(x).alias(f"{name}_std"))
+    own = lambda c, hit: F.when(F.col("b") == hit, F.col(c))
+    out = per.agg(
+        F.count("*").alias("series"), F.avg(F.col("b").cast("double")).alias("break_ratio"), *both("length", F.col("length")), F.min("length").alias("length_min"), F.max("length").alias("length_max"),
+        *[x for c in ("before", "after", "ratio", "series_mean", "series_std") for x in both(c, F.col(c))],
+        *[x for c in ("dm", "ds") for n, hit in (("break", True), ("other", False)) for x in both(f"{n}_{c}", own(c, hit))],
+    )
+    return out.join(F.broadcast(series.agg(*both("value", v))))  # one row each
+
+
+def class_t_tests(series: DataFrame) -> DataFrame:
+    """Welch's t, degrees of freedom and p of the change of mean and of spread, series with a break against the others."""
+    v = F.col("value")
+    per = series.groupBy("series_id").agg(F.coalesce(F.max("has_break"), F.lit(False)).cast("int").alias("b"), (F.avg(side(v, 1)) - F.avg(side(v, 0))).alias("dm"), (F.stddev_samp(side(v, 1)) - F.stddev_samp(side(v, 0))).alias("ds"))
+    rows = per.select("b", F.explode(F.array(*[F.struct(F.lit(c).alias("change"), F.col(c).alias("x")) for c in ("dm", "ds")])).alias("r")).select("b", "r.*")
+    of = lambda k: F.when(F.col("b") == k, F.col("x"))
+    g = rows.groupBy("change").agg(*[x for k in (0, 1) for x in (F.count(of(k)).cast("double").alias(f"n{k}"), F.avg(of(k)).alias(f"m{k}"), F.var_samp(of(k)).alias(f"v{k}"))])
+    a, b = over(F.col("v0"), F.col("n0")), over(F.col("v1"), F.col("n1"))
+    df = over((a + b) ** 2, over(a**2, F.col("n0") - 1) + over(b**2, F.col("n1") - 1))
+    return g.select("change", over(F.col("m1") - F.col("m0"), F.sqrt(a + b)).alias("t"), df.alias("df")).withColumn("p", student_p("t", "df"))

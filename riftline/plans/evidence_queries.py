@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from riftline.operators import evidence
-from riftline.plans.series_queries import B, both, planted, r, register
+from riftline.plans.embedding_queries import APEN
+from riftline.plans.series_queries import ORACLES, B, U, both, planted, r, register
 
 _MEDIANS = ", x AS (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY t) AS x FROM s), q AS (SELECT series_id, quantile_cont(value, 0.5) AS q, " + both("quantile_cont(value, 0.5) FILTER (WHERE period = @) AS q@") + " FROM s GROUP BY series_id), d AS (SELECT x.*, abs(value - q) AS d, abs(value - CASE WHEN period = 0 THEN q0 ELSE q1 END) AS own FROM x JOIN q USING (series_id))"
 
@@ -49,5 +50,9 @@ _KINDS = {
     "location_scale": "CASE WHEN mad < 1e-8 THEN 0 ELSE least(0.95, " + _STEPS("abs(q51 - q50) / mad", ((2, 0.6), (1, 0.4), (0.5, 0.2)), 0) + " + coalesce(" + _STEPS("CASE WHEN mad0 + mad1 > 1e-8 THEN abs(mad1 - mad0) / (mad0 + mad1) END", ((0.5, 0.4), (0.3, 0.2)), 0) + ", 0)) END",
 }
 _ENOUGH = "n0 >= greatest(floor(n * 0.15), {k}) AND n1 >= greatest(floor(n * 0.15), {k})"
-_EVIDENCE = B + _MEDIANS + _ROLLED + ", md AS (SELECT series_id, quantile_cont(d, 0.5) AS mad FROM d GROUP BY series_id), c AS (SELECT rl.*, mad, value - avg(value) OVER (PARTITION BY series_id, period) AS z FROM rl JOIN md USING (series_id)), g AS (SELECT series_id, count(*) AS n, any_value(mad) AS mad, " + ", ".join(f"quantile_cont(value, 0.{k}) AS all{k}" for k in (1, 5, 9)) + ", " + both(_SIDE) + " FROM c GROUP BY series_id), k AS (SELECT series_id, n, " + ", ".join(f"CAST(CASE WHEN {_ENOUGH.format(k=15 if k == 'moments' else 10)} THEN {x} ELSE 0 END AS DOUBLE) AS {k}" for k, x in _KINDS.items()) + " FROM g)"
-register("break_evidence", planted, evidence.evidence, _EVIDENCE + " SELECT series_id, " + ", ".join(r(k, k, 5) for k in _KINDS) + ", " + r("CASE WHEN n < 20 THEN 0.05 ELSE least(0.95, 0.25 * quantiles + 0.20 * extremes + 0.15 * moments + 0.15 * timescales + 0.05 * location_scale) END", "evidence", 5) + " FROM k", 5)
+_EVIDENCE = B + _MEDIANS + _ROLLED + ", md AS (SELECT series_id, quantile_cont(d, 0.5) AS mad FROM d GROUP BY series_id), c AS (SELECT rl.*, mad, value - avg(value) OVER (PARTITION BY series_id, period) AS z FROM rl JOIN md USING (series_id)), g AS (SELECT series_id, count(*) AS n, any_value(mad) AS mad, " + ", ".join(f"quantile_cont(value, 0.{k}) AS all{k}" for k in (1, 5, 9)) + ", " + both(_SIDE) + " FROM c GROUP BY series_id), k5 AS (SELECT series_id, n, n0, n1, " + ", ".join(f"CAST(CASE WHEN {_ENOUGH.format(k=15 if k == 'moments' else 10)} THEN {x} ELSE 0 END AS DOUBLE) AS {k}" for k, x in _KINDS.items()) + " FROM g)"
+_PATTERNS = ORACLES["perm_entropy"].replace(U, B, 1)
+_ENTROPIES = f", pe AS ({_PATTERNS}), ae AS ({APEN.replace(U, B, 1)}), k AS (SELECT k5.*, CAST(CASE WHEN {_ENOUGH.format(k=15)} THEN least(0.95, coalesce({_STEPS('abs(entropy_diff) / log2(6)', ((0.3, 0.5), (0.1, 0.3)), 0)}, 0) + {_STEPS('abs(coalesce(apen_1, 0) - coalesce(apen_0, 0))', ((0.5, 0.5), (0.2, 0.3)), 0)}) ELSE 0 END AS DOUBLE) AS entropy FROM k5 LEFT JOIN pe USING (series_id) LEFT JOIN ae USING (series_id))"
+_SIX = [*_KINDS, "entropy"]
+_SUMS = {"largest": "greatest(" + ", ".join(_SIX) + ")", "average": "(" + " + ".join(_SIX) + ") / 6", "evidence": "least(0.95, 0.25 * quantiles + 0.20 * entropy + 0.20 * extremes + 0.15 * moments + 0.15 * timescales + 0.05 * location_scale)"}
+register("break_evidence", planted, evidence.evidence, _EVIDENCE + _ENTROPIES + " SELECT series_id, " + ", ".join(r(k, k, 5) for k in _SIX) + ", " + ", ".join(r(f"CASE WHEN n < 20 THEN 0.05 ELSE {x} END", k, 5) for k, x in _SUMS.items()) + " FROM k", 5)

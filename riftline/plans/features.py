@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -15,27 +16,49 @@ from pyspark.sql import functions as F
 
 from riftline.functions import special
 from riftline.functions.moments import over
-from riftline.operators import datasets, distribution, evaluation, likelihood, ranges, regression, shape
+from riftline.operators import datasets, distribution, embedding, evaluation, evidence, lagged, likelihood, profiles, ranges, regression, shape
 from riftline.sources.checkpoints import cut
 
-EXTRACTORS = {
+EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "descriptive": distribution.descriptive,
     "distances": distribution.ecdf_distances,
-    "chow": lambda s: regression.chow(s).select("series_id", "chow_f", "coef_distance"),
-    "cusum": lambda s: regression.cusum(s).select("series_id", "cusum_t", "cusumsq_z"),
+    "chow": lambda s: lagged.chow(s, lagged.first_lags(2)).select("series_id", "chow_f", "chow_p", "coef_distance"),
+    "cusum": lambda s: lagged.cusum(s, lagged.first_lags(2)).drop("n", "k"),
+    "diagnostics": lambda s: lagged.diagnostics(s, lagged.first_lags(2)).drop("n"),
+    "residuals": lambda s: distribution.ecdf_distances(lagged.period_residuals(s, lagged.first_lags(5))).drop("n0", "n1"),
     "cost": shape.changepoint_cost,
     "volatility": shape.volatility,
     "acf": shape.autocorrelation_distance,
+    "acf_period": lambda s: by_period(shape.autocorrelation_summary(s)),
+    "pacf": lambda s: lagged.partial_summary(s, 30),
     "likelihood": likelihood.likelihood_ratio,
+    "rolling": shape.rolling_boundary,
+    "rolling_spread": profiles.rolling_spread_boundary,
+    "bands": embedding.band_energies,
+    "entropy": shape.permutation_entropy,
+    "regularity": embedding.approximate_entropy,
+    "factors": embedding.factors,
+    "factor_regression": embedding.factor_regression,
+    "factor_scan": embedding.factor_scan,
+    "characteristics": shape.break_characteristics,
+    "reversion": shape.spread_reversion,
+    "evidence": evidence.evidence,
+    "models": evidence.segment_models,
 }
 
 
+def by_period(rows: DataFrame) -> DataFrame:
+    """The columns of both periods side by side, one row a series."""
+    columns = [c for c in rows.columns if c not in ("series_id", "period")]
+    return rows.groupBy("series_id").agg(*[F.max(F.when(F.col("period") == p, F.col(c))).alias(f"{c}_{p}") for p in (0, 1) for c in columns])
+
+
 def feature_matrix(series: DataFrame, names: tuple[str, ...] = tuple(EXTRACTORS)) -> DataFrame:
     """All extractors' columns by series; a column's name is prefixed by its extractor's.
 
     Series are dealt by id once, and grouping, windows and joins on the id keep that layout.
     """
-    dealt = series.repartition("series_id")
+    dealt = cut(series.repartition("series_id"))
 
     def named(name: str) -> DataFrame:
         f = EXTRACTORS[name](dealt)
@@ -72,13 +95,26 @@ def rejected(series: DataFrame, matrix: DataFrame) -> DataFrame:
 CLASSIFIERS = {
     "gbt": lambda **k: GBTClassifier(labelCol="label", featuresCol="vector", maxIter=k.get("rounds", 20), maxDepth=k.get("depth", 3), stepSize=0.1, seed=42),
     "forest": lambda **k: RandomForestClassifier(labelCol="label", featuresCol="vector", numTrees=k.get("trees", 50), maxDepth=k.get("depth", 5), seed=42),
+    # class weights make both classes count alike
+    "tuned": lambda **k: GBTClassifier(labelCol="label", featuresCol="vector", weightCol="weight", seed=42, featureSubsetStrategy=str(k.get("featureShare", 1.0)), **{n: v for n, v in k.items() if n != "featureShare"}),
+    "tree": lambda **k: DecisionTreeClassifier(labelCol="label", featuresCol="vector", weightCol="weight", maxDepth=k.get("depth", 5), seed=42),
+    "bayes": lambda **k: NaiveBayes(labelCol="label", featuresCol="vector", weightCol="weight", modelType="gaussian"),
     "logistic": lambda **k: LogisticRegression(labelCol="label", featuresCol="vector", maxIter=100, regParam=0.01),
 }
 
 
 def fit(matrix: DataFrame, kind: str = "gbt", **parameters):
     """A fitted pipeline on a filled matrix with label; its model can be written and read by Spark's own means."""
-    return Pipeline(stages=[VectorAssembler(inputCols=feature_columns(matrix), outputCol="vector"), CLASSIFIERS[kind](**parameters)]).fit(matrix)
+    classifier = CLASSIFIERS[kind](**parameters)
+    rows = weighted(matrix) if classifier.hasParam("weightCol") and classifier.isDefined("weightCol") else matrix
+    return Pipeline(stages=[VectorAssembler(inputCols=feature_columns(matrix), outputCol="vector"), classifier]).fit(rows)
+
+
+def weighted(matrix: DataFrame) -> DataFrame:
+    """Adds weight, with which both classes have half the sum of weights; one row of counts is broadcast."""
+    sizes = matrix.agg(F.count("*").alias("_n"), F.count(F.when(F.col("label") == 1, 1)).alias("_p"))
+    own = F.when(F.col("label") == 1, F.col("_p")).otherwise(F.col("_n") - F.col("_p"))
+    return matrix.join(F.broadcast(sizes)).withColumn("weight", F.col("_n") / (2.0 * own)).drop("_n", "_p")
 
 
 def predict(model, matrix: DataFrame) -> DataFrame:
@@ -98,6 +134,20 @@ def out_of_fold(matrix: DataFrame, k: int = 3, kind: str = "gbt", **parameters)
     folds = datasets.stratified_folds(matrix.select("series_id", (F.col("label") == 1).alias("has_break")), k).select("series_id", "fold")
     m = matrix.join(folds, "series_id").persist()
     parts = [predict(fit(m.where(F.col("fold") != f).drop("fold"), kind, **parameters), m.where(F.col("fold") == f)) for f in range(k)]
+    scores = cut(reduce(DataFrame.unionByName, parts))
+    m.unpersist()
+    return scores
+
+
+def fold_gaps(matrix: DataFrame, k: int = 3, kind: str = "forest", **parameters) -> DataFrame:
+    """AUC by fold on the rows that a model has learnt from and on the others, and the gap between the two."""
+    folds = datasets.stratified_folds(matrix.select("series_id", (F.col("label") == 1).alias("has_break")), k).select("series_id", "fold")
+    m = cut(matrix.join(folds, "series_id"))
+    parts = []
+    for f in range(k):
+        model = fit(m.where(F.col("fold") != f).drop("fold"), kind, **parameters)
+        train, held = (evaluation.auc(predict(model, m.where(c))).withColumnRenamed("auc", n) for n, c in (("train_auc", F.col("fold") != f), ("held_auc", F.col("fold") == f)))
+        parts.append(train.join(F.broadcast(held)).select(F.lit(f).cast("long").alias("fold"), "train_auc", "held_auc", (F.col("train_auc") - F.col("held_auc")).alias("gap")))  # one row each
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -127,7 +177,7 @@ def stacked(matrix: DataFrame, kinds: tuple[str, ...] = ("forest", "logistic"),
 
 def calibrated(scores: DataFrame, k: int = 3) -> DataFrame:
     """Scores with folds, each made a probability by an isotonic regression on the other folds."""
-    held = scores.persist()
+    held = cut(scores)
     parts = []
     for f in range(k):
         model = IsotonicRegression(featuresCol="score", labelCol="label").fit(held.where(F.col("fold") != f))
@@ -170,6 +220,20 @@ def at_least(gains: DataFrame, name: str) -> DataFrame:
     return ranges.running(each, name, ["n"], descending=True).select(name, F.col("run_n").alias("above"))
 
 
+#: Rows up to which a table of counts is broadcast, and shares of equal gains beyond.
+BROADCAST_ROWS, SALTS = 500_000, 16
+
+
+def looked_up(rows: DataFrame, counts: DataFrame, name: str) -> DataFrame:
+    """Joins a table of distinct values; rows of equal or null value don't have to meet in one task."""
+    counts = cut(counts)
+    if counts.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(counts), name, "left")
+    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.pmod(F.xxhash64("series_id"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("salt", own).join(salted, [name, "salt"], "left").drop("salt")
+
+
 def null_tests(gains: DataFrame, names: list[str], least: int = 20) -> DataFrame:
     """Where each series' gains lie among those of all series without a break (label 0), by learner and combined.
 
@@ -179,7 +243,7 @@ def null_tests(gains: DataFrame, names: list[str], least: int = 20) -> DataFrame
     sums = gains.agg(*[f(F.when(null, F.col(c))).alias(f"{c}_{n}") for c in names for n, f in (("size", F.count), ("mean", F.avg), ("std", F.stddev_samp))])
     x = gains.join(F.broadcast(sums))
     for c in names:
-        x = x.join(at_least(gains, c).withColumnRenamed("above", f"{c}_above"), c, "left")
+        x = looked_up(x, at_least(gains, c).withColumnRenamed("above", f"{c}_above"), c)
     out = []
     for c in names:
         size = F.col(f"{c}_size")
@@ -205,3 +269,51 @@ def direction_scores(series: DataFrame, lags: int = 5) -> DataFrame:
     vectors = VectorAssembler(inputCols=names, outputCol="vector").transform(rows)
     model = LogisticRegression(labelCol="label", featuresCol="vector", maxIter=50, regParam=0.001).fit(vectors.where("period = 0"))
     return model.transform(vectors.where("period = 1")).select("series_id", "t", "label", vector_to_array("probability")[1].alias("score"))
+
+
+# --- null distributions kept between runs ---------------------------------------------------------------------------
+def save_nulls(gains: DataFrame, names: list[str], path: str) -> None:
+    """For each learner the gains of all series without a break (label 0): how many reach each distinct value, by range of values, and their moments."""
+    parts = []
+    for c in names:
+        x = gains.where((F.col("label") == 0) & F.col(c).isNotNull())
+        each = x.groupBy(F.col(c).alias("gain")).agg(F.count("*").alias("n"))
+        parts.append(ranges.running(each, "gain", ["n"], descending=True).select(F.lit(c).alias("learner"), "gain", F.col("run_n").alias("above")))
+    reduce(DataFrame.unionByName, parts).write.mode("overwrite").partitionBy("learner").parquet(f"{path}/counts")
+    null = F.col("label") == 0
+    rows = [gains.agg(*[f(F.when(null, F.col(c))).alias(n) for n, f in (("size", F.count), ("mean", F.avg), ("std", F.stddev_samp))]).withColumn("learner", F.lit(c)) for c in names]
+    reduce(DataFrame.unionByName, rows).write.mode("overwrite").parquet(f"{path}/moments")
+
+
+def as_of(gains: DataFrame, name: str, counts: DataFrame) -> DataFrame:
+    """name, above: for each distinct gain, the count stored with the least value that is not below it, 0 beyond all.
+
+    Gains and stored values run down together within ranges of values; what a range has no stored value for comes from the
+    nearest one above it, of which there is one for each range.
+    """
+    asked = gains.where(F.col(name).isNotNull()).select(F.col(name).alias("v")).distinct()
+    both = counts.select(F.col("gain").alias("v"), F.col("above").alias("n")).unionByName(asked.select("v", F.lit(None).cast("long").alias("n")))
+    shares = F.array(*[F.lit(k / ranges.RANGES) for k in range(1, ranges.RANGES)])
+    cuts = sorted(set(both.agg(F.percentile_approx("v", shares, F.lit(100 * ranges.RANGES))).first()[0] or []))
+    both = both.withColumn("place", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("v"))) if cuts else F.lit(0))
+    least = both.where("n IS NOT NULL").groupBy("place").agg(F.max("n").alias("most"))  # the count at the range's least stored value
+    higher = both.select("place").distinct().withColumnRenamed("place", "low").join(F.broadcast(least), F.col("place") > F.col("low"), "left")
+    beyond = higher.groupBy("low").agg(F.coalesce(F.max("most"), F.lit(0)).alias("beyond")).withColumnRenamed("low", "place")
+    down = Window.partitionBy("place").orderBy(F.desc("v"), F.asc_nulls_last("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled_ = both.withColumn("seen", F.last("n", ignorenulls=True).over(down)).where("n IS NULL").join(F.broadcast(beyond), "place")
+    return filled_.select(F.col("v").alias(name), F.coalesce("seen", "beyond").alias("above"))
+
+
+def stored_null_tests(gains: DataFrame, names: list[str], path: str, least: int = 20) -> DataFrame:
+    """``null_tests`` against a store instead of the table itself: p, effect and rank by learner."""
+    spark = gains.sparkSession
+    moments = {r["learner"]: r for r in spark.read.parquet(f"{path}/moments").collect()}  # a row for each learner
+    counts = spark.read.parquet(f"{path}/counts")
+    x, out = gains, []
+    for c in names:
+        x = looked_up(x, as_of(gains, c, counts.where(F.col("learner") == c)).withColumnRenamed("above", f"{c}_above"), c)
+        m = moments[c]
+        known = F.col(c).isNotNull() & F.lit(m["size"] >= least)
+        share = F.col(f"{c}_above") / F.lit(float(m["size"] or 1))
+        out += [F.when(known, F.greatest(share, F.lit(1 / (m["size"] + 1)))).alias(f"{c}_p"), F.when(known, over(F.col(c) - F.lit(m["mean"]), F.lit(m["std"]))).alias(f"{c}_effect"), F.when(known, 1 - share).alias(f"{c}_rank")]
+    return x.select("series_id", *out)

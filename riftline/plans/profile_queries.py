@@ -67,3 +67,11 @@ def _repeated(series: DataFrame) -> DataFrame:
 register("complete_rows", user_series, _repeated, f"SELECT series_id, skew_0, skew_1 FROM ({ORACLES['dist_descriptive']}) d WHERE skew_0 IS NOT NULL OR skew_1 IS NOT NULL")
 register("aligned_features", user_series, lambda s: datasets.aligned(distribution.descriptive(s).select("series_id", "mean_diff", "std_diff"), ["mean_diff", "not_there"]), f"SELECT series_id, coalesce(mean_diff, 0) AS mean_diff, CAST(0 AS DOUBLE) AS not_there FROM ({ORACLES['dist_descriptive']}) d")
 register("common_features", user_series, lambda s: datasets.stacked_common(distribution.descriptive(s).select("series_id", "mean_0", "std_0"), distribution.descriptive(s).select("series_id", "mean_0", "skew_0")), f"SELECT series_id, mean_0 FROM ({ORACLES['dist_descriptive']}) a UNION ALL SELECT series_id, mean_0 FROM ({ORACLES['dist_descriptive']}) b")
+
+# --- summary of a data set ------------------------------------------------------------------------------------------
+_PER = ", p AS (SELECT series_id, bool_or(has_break) AS b, CAST(count(*) AS DOUBLE) AS length, " + both("avg(value) FILTER (WHERE period = @) AS m@, stddev_samp(value) FILTER (WHERE period = @) AS s@, CAST(count(*) FILTER (WHERE period = @) AS DOUBLE) AS k@") + ", avg(value) AS series_mean, stddev_samp(value) AS series_std FROM s GROUP BY series_id), q AS (SELECT series_id, b, length, k0 AS before, k1 AS after, CASE WHEN k1 > 0 THEN k0 / k1 END AS ratio, series_mean, series_std, m1 - m0 AS dm, s1 - s0 AS ds FROM p)"
+_BOTH = lambda name, x: f"{r(f'avg({x})', f'{name}_mean')}, {r(f'stddev_samp({x})', f'{name}_std')}"
+_CHANGES = ", ".join(f"round({f}({c}) FILTER (WHERE {hit}), 6) AS {n}_{c}_{k}" for c in ("dm", "ds") for n, hit in (("break", "b"), ("other", "NOT b")) for f, k in (("avg", "mean"), ("stddev_samp", "std")))
+register("dataset_summary", planted, profiles.summary, B + _PER + ", z AS (SELECT " + _BOTH("value", "value") + " FROM s), y AS (SELECT count(*) AS series, round(avg(CASE WHEN b THEN 1.0 ELSE 0.0 END), 6) AS break_ratio, " + ", ".join(_BOTH(c, c) for c in ("length", "before", "after", "ratio", "series_mean", "series_std")) + f", min(length) AS length_min, max(length) AS length_max, {_CHANGES} FROM q) SELECT * FROM y, z")
+_WELCH = "(v0 / n0 + v1 / n1)"
+register("class_t_tests", planted, lambda s: profiles.class_t_tests(s).drop("p"), B + _PER + ", l AS (SELECT b, 'dm' AS change, dm AS x FROM q UNION ALL SELECT b, 'ds', ds FROM q), g AS (SELECT change, " + both("count(x) FILTER (WHERE CAST(b AS INTEGER) = @) AS n@, avg(x) FILTER (WHERE CAST(b AS INTEGER) = @) AS m@, var_samp(x) FILTER (WHERE CAST(b AS INTEGER) = @) AS v@") + f" FROM l GROUP BY change) SELECT change, {r(f'(m1 - m0) / sqrt({_WELCH})', 't', 5)}, {r(f'{_WELCH} ^ 2 / ((v0 / n0) ^ 2 / (n0 - 1) + (v1 / n1) ^ 2 / (n1 - 1))', 'df', 5)} FROM g", 5)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riftline.operators import datasets, distribution, evaluation, shape
-from riftline.plans import features
+from riftline.plans import features, selection
 from riftline.plans.series_queries import COUNTS, ORACLES, TESTABLE, B, E, U, both, planted, r, register
+from riftline.sources.checkpoints import shared_folder
+from riftline.sources.feature_store import cached
 from riftline.sources.series import from_arrays, to_arrays, type_series, user_series, with_labels
 
 SIZE, STRIDE = 60, 20
@@ -80,3 +84,20 @@ _N = ", n AS (SELECT series_id, count(*) AS n FROM s GROUP BY series_id)"
 _STARTS = ", st AS (SELECT series_id, n, unnest(range(0, {last} + 1, {stride})) AS window_start FROM n), j AS (SELECT unnest(range({size})) AS j)"
 register("inference_windows", user_series, _padded_sums, U + _N + _STARTS.format(last=f"greatest(n - {SIZE}, 0)", stride=STRIDE, size=SIZE) + " SELECT st.series_id, st.window_start, round(sum(s.value), 3) AS total FROM st CROSS JOIN j JOIN s ON s.series_id = st.series_id AND s.t = least(st.window_start + j.j, st.n - 1) GROUP BY ALL", 3)
 register("standardised_windows", type_series, _standardised_sums, E + _N + _STARTS.format(last="n - 100", stride=STRIDE, size=100) + ", c AS (SELECT st.series_id, st.window_start, j.j, s.value FROM st CROSS JOIN j JOIN s ON s.series_id = st.series_id AND s.t = st.window_start + j.j WHERE st.n >= 100), p AS (SELECT j, avg(value) AS m, stddev_pop(value) AS d FROM c GROUP BY j) SELECT series_id, window_start, round(sum((value - m) / nullif(d, 0)), 4) AS z FROM c JOIN p USING (j) GROUP BY ALL", 4)
+
+# --- information of features on the label, in ten bins of equal counts -------------------------------------------------
+_BINNED = lambda c: f"q_{c} AS (SELECT " + ", ".join(f"quantile_cont({c}, {k / 10}) AS q{k}" for k in range(1, 10)) + f" FROM g), b_{c} AS (SELECT '{c}' AS feature, " + " + ".join(f"CASE WHEN {c} > q{k} THEN 1 ELSE 0 END" for k in range(1, 10)) + f" AS bin, b AS label FROM g, q_{c} WHERE {c} IS NOT NULL)"
+_COUNTED = "k AS (SELECT feature, bin, label, count(*) AS k FROM (SELECT * FROM b_mean_diff UNION ALL SELECT * FROM b_std_diff) GROUP BY ALL), i AS (SELECT feature, k / sum(k) OVER (PARTITION BY feature) * ln(k * sum(k) OVER (PARTITION BY feature) / (sum(k) OVER (PARTITION BY feature, bin) * sum(k) OVER (PARTITION BY feature, label))) AS i FROM k)"
+register("mi_scores", planted, lambda s: selection.mutual_information(_changes(s), ["mean_diff", "std_diff"]), B + _CHANGES + f", {_BINNED('mean_diff')}, {_BINNED('std_diff')}, {_COUNTED} SELECT feature, {r('sum(i)', 'information')} FROM i GROUP BY feature")
+
+
+# --- a store that holds some of the series already -------------------------------------------------------------------
+def _from_store(series: DataFrame) -> DataFrame:
+    """Descriptive features by way of a store that was filled from the series before a break was planted in every third."""
+    place = f"{shared_folder(series.sparkSession)}/features-{uuid.uuid4()}"
+    before = series.withColumn("value", F.when(F.col("has_break") & (F.col("period") == 1), F.col("value") - 25.0).otherwise(F.col("value")))
+    cached(before, place, "descriptive", distribution.descriptive)
+    return cached(series, place, "descriptive", distribution.descriptive)
+
+
+register("cached_features", planted, _from_store, ORACLES["dist_descriptive"].replace(U, B, 1))

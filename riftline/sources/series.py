@@ -73,14 +73,3 @@ def from_arrays(arrays: DataFrame) -> DataFrame:
     """The long form of to_arrays."""
     both = arrays.select("series_id", F.size("before").alias("k"), F.posexplode(F.concat("before", "after")).alias("t", "value"))
     return both.select("series_id", F.col("t").cast("long").alias("t"), "value", (F.col("t") >= F.col("k")).cast("int").alias("period"))
-
-
-def save_features(features: DataFrame, path: str, extractor: str, parameters: str) -> None:
-    """A feature store: one folder for each extractor and hash of its parameters, replaced as a whole."""
-    key = features.select(F.sha2(F.lit(parameters), 256)).first()[0] if features.columns else ""
-    features.write.mode("overwrite").parquet(f"{path}/extractor={extractor}/parameters={key[:16]}")
-
-
-def load_features(spark: SparkSession, path: str, extractor: str, parameters: str) -> DataFrame:
-    key = spark.range(1).select(F.sha2(F.lit(parameters), 256)).first()[0]
-    return spark.read.parquet(f"{path}/extractor={extractor}/parameters={key[:16]}")
