@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from riftline.functions.moments import over, side
 from riftline.functions.special import chi2_p, f_p, normal_p
 from riftline.operators.shape import autocorrelation, dot, ordered, within
+from riftline.sources.checkpoints import cut
 
 #: A pivot below this share of its diagonal entry counts as 0, and so does its coefficient.
 SINGULAR = 1e-12
@@ -212,9 +213,9 @@ def adaptive_lags(series: DataFrame, most: int = 15) -> DataFrame:
 
 def adaptive(series: DataFrame, operator, most: int = 15) -> DataFrame:
     """The operator with as many lags as each series calls for; series are dealt by that number, of which there are ``most``."""
-    lags = adaptive_lags(series, most)
+    dealt = cut(series.join(adaptive_lags(series, most), "series_id"))
     out = None
-    for k in range(1, most + 1):
-        one = operator(series.join(lags.where(F.col("lags") == k), "series_id").drop("lags"), first_lags(k)).withColumn("lags", F.lit(k).cast("long"))
+    for k in sorted(r["lags"] for r in dealt.select("lags").distinct().collect()):
+        one = operator(dealt.where(F.col("lags") == k).drop("lags"), first_lags(k)).withColumn("lags", F.lit(k).cast("long"))
         out = one if out is None else out.unionByName(one)
-    return out
+    return operator(dealt.drop("lags"), (1,)).withColumn("lags", F.lit(1).cast("long")) if out is None else out

@@ -16,24 +16,24 @@ from riftline.functions.moments import over
 RANGES, BINS = 256, 4096
 
 
-def quantiles(rows: DataFrame, column: str, shares: list[float], by: str | None = None) -> DataFrame:
-    """by, share, value: exact quantiles of a column, between two ranks by linear interpolation, nulls left out.
+def quantiles(rows: DataFrame, columns: list[str], shares: list[float], by: str | None = None) -> DataFrame:
+    """by, column, share, value: exact quantiles of columns, between two ranks by linear interpolation, nulls left out.
 
-    Meant for few groups (``by``; null is one): for each of them and each share a row comes to the driver.  A pass counts the
-    values of BINS equal bins of the ranges that still hold a wanted rank, and keeps the bin with the rank, narrowed to the least
-    and the greatest value in it; it ends where these are one value.
+    Meant for few groups (``by``; null is one): for each of them, each column and each share a row comes to the driver.  A pass counts,
+    for all of them together, the values in BINS equal bins of the ranges that still hold a wanted rank, and keeps the bin with the rank,
+    narrowed to the least and the greatest value in it; passes end where these are one value.
     """
     spark = rows.sparkSession
-    v, g = F.col(column).cast("double"), F.col(by) if by else F.lit(0)
-    x = rows.select(g.alias("g"), v.alias("v")).where("v IS NOT NULL")
-    schema = f"{by or 'g'} {dict(x.dtypes)['g']}, share double, value double"
+    g = F.col(by) if by else F.lit(0)
+    stacked = F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for k, c in enumerate(columns)]))
+    x = rows.select(g.alias("g"), stacked.alias("s")).select("g", "s.*").where("v IS NOT NULL")
+    kind = dict(x.dtypes)["g"]
     wanted, found = {}, {}
-    for r in x.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect():
+    for r in x.groupBy("g", "c").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect():
         for s in shares:
-            at = s * (r["n"] - 1)
+            at = found[r["g"], r["c"], s] = s * (r["n"] - 1)
             for rank in {math.floor(at), math.ceil(at)}:
-                wanted[r["g"], rank] = (r["low"], r["high"], 0)
-            found[r["g"], s] = at
+                wanted[r["g"], r["c"], rank] = (r["low"], r["high"], 0)
     values = {}
     while True:
         values |= {k: low for k, (low, high, _) in wanted.items() if low == high}
@@ -41,41 +41,34 @@ def quantiles(rows: DataFrame, column: str, shares: list[float], by: str | None
         if not wanted:
             break
         keys = list(wanted)
-        kind = x.schema["g"].dataType
-        targets = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k[0]).cast(kind).alias("g"), F.lit(wanted[k][0]).alias("low"), F.lit(wanted[k][1]).alias("high"), F.lit(k[1] - wanted[k][2]).cast("long").alias("rank")) for n, k in enumerate(keys)])
-        mine = F.filter(targets, lambda t: t["g"].eqNullSafe(F.col("g")) & (F.col("v") >= t["low"]) & (F.col("v") <= t["high"]))
-        hit = x.select("v", F.explode(mine).alias("t")).select("v", "t.*")
+        targets = spark.createDataFrame([(n, k[0], k[1], *wanted[k][:2], k[2] - wanted[k][2]) for n, k in enumerate(keys)], f"n int, tg {kind}, tc int, low double, high double, rank long")
+        # two rows at most for each group, column and share
+        hit = x.join(F.broadcast(targets), F.col("g").eqNullSafe(F.col("tg")) & (F.col("c") == F.col("tc"))).where("v >= low AND v <= high")
         # halves, so that the width of a range can't overflow
         bin_ = F.least(F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * BINS), F.lit(BINS - 1))
         counted = hit.groupBy("n", "rank", bin_.alias("bin")).agg(F.count("*").alias("k"), F.min("v").alias("low"), F.max("v").alias("high"))
-        upto = Window.partitionBy("n").orderBy("bin")
-        place = counted.withColumn("upto", F.sum("k").over(upto)).where("rank < upto AND rank >= upto - k")
+        place = counted.withColumn("upto", F.sum("k").over(Window.partitionBy("n").orderBy("bin"))).where("rank < upto AND rank >= upto - k")
         for r in place.collect():
             k = keys[r["n"]]
             low, high, before = r["low"], r["high"], wanted[k][2] + r["upto"] - r["k"]
             if (low, high) == wanted[k][:2] and high == math.nextafter(low, math.inf):  # two values that a bin can't part
-                least = x.where(F.col("g").eqNullSafe(F.lit(k[0]).cast(kind)) & (F.col("v") == low)).count()
-                low = high = low if k[1] - before < least else high
+                least = x.where(F.col("g").eqNullSafe(F.lit(k[0]).cast(kind)) & (F.col("c") == k[1]) & (F.col("v") == low)).count()
+                low = high = low if k[2] - before < least else high
             wanted[k] = (low, high, before)
     out = []
-    for (group, share), at in found.items():
-        a, b = values[group, math.floor(at)], values[group, math.ceil(at)]
-        out.append((group, share, a + (b - a) * (at - math.floor(at))))
-    return spark.createDataFrame(out, schema)
+    for (group, c, share), at in found.items():
+        a, b = values[group, c, math.floor(at)], values[group, c, math.ceil(at)]
+        out.append((group, columns[c], share, a + (b - a) * (at - math.floor(at))))
+    return spark.createDataFrame(out, f"{by or 'g'} {kind}, column string, share double, value double")
 
 
-def with_quantiles(grouped: DataFrame, rows: DataFrame, columns: dict[str, tuple[str, float]], by: str | None = None) -> DataFrame:
+def with_quantiles(grouped: DataFrame, rows: DataFrame, named: dict[str, tuple[str, float]], by: str | None = None) -> DataFrame:
     """Adds named quantiles (name: column, share) to a table of a row per group, or of one row."""
-    needed: dict[str, list[float]] = {}
-    for column, share in columns.values():
-        needed.setdefault(column, []).append(share)
-    for column, shares in needed.items():
-        q = quantiles(rows, column, sorted(set(shares)), by)
-        named = [(n, s) for n, (c, s) in columns.items() if c == column]
-        wide = q.groupBy(*([F.col(by).alias("_by")] if by else [])).agg(*[F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for n, s in named])
-        # one row for each of few groups
-        grouped = grouped.join(F.broadcast(wide), F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by") if by else grouped.join(F.broadcast(wide))
-    return grouped
+    columns, shares = sorted({c for c, _ in named.values()}), sorted({s for _, s in named.values()})
+    q = quantiles(rows, columns, shares, by)
+    wide = q.groupBy(*([F.col(by).alias("_by")] if by else [])).agg(*[F.max(F.when((F.col("column") == c) & (F.col("share") == s), F.col("value"))).alias(n) for n, (c, s) in named.items()])
+    # one row for each of few groups
+    return grouped.join(F.broadcast(wide), F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by") if by else grouped.join(F.broadcast(wide))
 
 
 def running(each: DataFrame, value: str, sums: list[str], descending: bool = False) -> DataFrame:

@@ -73,7 +73,7 @@ def feature_columns(matrix: DataFrame) -> list[str]:
 
 def filled(matrix: DataFrame, by: str = "median") -> DataFrame:
     """Nulls and non-finite values replaced by the column's median, mean or 0 (0 where a column has no value)."""
-    names = feature_columns(matrix)
+    matrix, names = cut(matrix), feature_columns(matrix)
     finite = {c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c)) for c in names}
     if by == "median":
         known = matrix.select([finite[c].alias(c) for c in names])

@@ -21,9 +21,9 @@ def mutual_information(matrix: DataFrame, names: list[str], bins: int = 10) -> D
     Bins are divided by exact quantiles (equal values share a bin), nulls are left out; one pass counts all features.
     """
     shares = [k / bins for k in range(1, bins)]
-    cells = []
+    cells, edges = [], ranges.quantiles(matrix, names, shares).collect()
     for c in names:
-        cuts = sorted({r["value"] for r in ranges.quantiles(matrix, c, shares).collect()})
+        cuts = sorted({r["value"] for r in edges if r["column"] == c})
         bin_ = sum((F.when(F.col(c) > x, 1).otherwise(0) for x in cuts), F.lit(0))
         cells.append(F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("feature"), bin_.alias("bin"))))
     rows = matrix.select("label", F.explode(F.array(*cells)).alias("cell")).where("cell IS NOT NULL AND label IS NOT NULL").groupBy("cell.feature", "cell.bin", "label").agg(F.count("*").cast("double").alias("k"))

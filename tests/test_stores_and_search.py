@@ -26,12 +26,12 @@ def test_quantiles_are_exact(spark, kind):
     x = {"normal": rng.normal(size=3000), "ties": rng.integers(0, 4, size=3000).astype(float), "heavy": np.exp(30 * rng.normal(size=3000)) * rng.choice([-1, 1], size=3000), "two": np.array([1.0, np.nextafter(1.0, 2)] * 50)}[kind]
     rows = [(("a", "b", None)[k % 3], float(v)) for k, v in enumerate(x)] + [("a", None), ("c", 5.0), ("d", None)]
     shares = [0.0, 0.05, 0.25, 0.5, 0.77, 1.0]
-    got = {(r["g"], r["share"]): r["value"] for r in ranges.quantiles(spark.createDataFrame(rows, "g string, v double"), "v", shares, "g").collect()}
+    got = {(r["g"], r["share"]): r["value"] for r in ranges.quantiles(spark.createDataFrame(rows, "g string, v double"), ["v"], shares, "g").collect()}
     groups = {g: [v for h, v in rows if h == g and v is not None] for g in ("a", "b", None, "c")}
     assert set(got) == {(g, s) for g in groups for s in shares}
     for (g, s), v in got.items():
         assert v == pytest.approx(np.quantile(groups[g], s), rel=1e-12)
-    assert ranges.quantiles(spark.createDataFrame([], "v double"), "v", [0.5]).count() == 0
+    assert ranges.quantiles(spark.createDataFrame([], "v double"), ["v"], [0.5]).count() == 0
 
 
 def test_running_sums_and_ranks(spark):
