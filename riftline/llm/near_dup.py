@@ -161,12 +161,16 @@ def star_edges(members: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def remaining_pairs(sets: DataFrame, component: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """All pairs across components that can reach the threshold, by the prefix join of step 5."""
-    tokens = sets.join(component, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    frequency = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    counted = tokens.join(frequency, "token").select("node", "component", "n", F.struct("df", "token", (F.col("c0") != F.col("c1")).alias("mixed")).alias("t"))
-    ordered = counted.groupBy("node", "component", "n").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    length = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) / 100).cast("int") + 1
-    prefix = ordered.select("node", "component", "n", F.posexplode(F.slice("ts", F.lit(1), length)).alias("at", "t")).where("t.mixed").select(F.col("t.token").alias("token"), "node", "component", "n", "at")
+    sizes = sets.join(component, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.size("tokens").alias("n"), "tokens")
+    tokens = sizes.select("node", "component", F.explode("tokens").alias("token"))
+    frequency = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("df > 1")
+    # A shingle of one set alone precedes all others in the order and meets nothing: it is counted, not carried.
+    counted = tokens.select("node", "token").join(frequency, "token").select("node", F.struct("df", "token", (F.col("c0") != F.col("c1")).alias("mixed")).alias("t"))
+    ordered = counted.groupBy("node").agg(F.array_sort(F.collect_list("t")).alias("ts")).join(sizes.drop("tokens"), "node")
+    alone = F.col("n") - F.size("ts")
+    length = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) / 100).cast("int") + 1 - alone
+    prefix = ordered.select("node", "component", "n", alone.alias("alone"), F.posexplode(F.slice("ts", F.lit(1), F.greatest(length, F.lit(0)))).alias("at", "t")).where("t.mixed")
+    prefix = prefix.select(F.col("t.token").alias("token"), "node", "component", "n", (F.col("alone") + F.col("at")).alias("at"))
     prefix = settled(prefix)
     by_component = prefix.groupBy("token", "component").agg(F.count("*").alias("k"))
     main = by_component.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("kinds"), F.sum("k").alias("rows"))

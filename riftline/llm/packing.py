@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import named_texts, settled
+from .common import named_texts, stored
 from .wordbpe import merger
 
 END = (0).to_bytes(4, "little")
@@ -164,4 +164,4 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
     """Cuts documents into pieces and packs them: one row per piece with its sequence and offset."""
     texts = named_texts(docs, id_column, text_column)
-    return pack_pieces(settled(cut_into_pieces(texts, vocabulary, capacity, with_ids)), capacity)
+    return pack_pieces(stored(cut_into_pieces(texts, vocabulary, capacity, with_ids)), capacity)
