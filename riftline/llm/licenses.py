@@ -1,11 +1,11 @@
 """Licence scan: an exact containment join between blocks of text and licence templates.
 
 A template is the wording of a notice, or one paragraph of a licence.  A block is a window of words, over line ends and
-whatever else stands between words: exactly as long as a template of fewer than ``SHORT`` distinct words, a quarter
-longer than a longer one.  So words that are scattered over a text or a long line don't add up, and a notice is found
-however its lines are broken.  A text has a template's label if one of its blocks
-  * holds at least ``CONTAINMENT`` of the template's distinct words, or all of a short template's, and
+whatever else stands between words, a quarter longer than the template.  So words that are scattered over a text or a
+long line don't add up, and a notice is found however its lines are broken.  A text has a template's label if one of its blocks
+  * holds at least ``CONTAINMENT`` of the template's distinct words, among them those that name the licence (``NAMING``), and
   * holds no word that makes the licence another one (``EXCLUDED``).
+The first block with the highest share is given too, as label:first word:end (exclusive, within the text).
 
 Words are ordered by how many documents of the whole table have them, rarest first, and then by themselves.  With
 that order a block that meets the threshold
@@ -63,11 +63,14 @@ TEMPLATES = (
 )
 #: Share of a template's distinct words that a block has to hold.
 CONTAINMENT = 0.8
-#: Templates of fewer distinct words have to be held whole.
-SHORT = 10
+# Words by label that name the licence; those that a template has must be in the block.
+NAMING = {
+    "cc-by": frozenset({"cc", "by", "creative", "commons", "attribution"}), "cc-by-nc": frozenset({"cc", "by", "nc"}), "cc-by-sa": frozenset({"cc", "by", "sa"}), "cc0": frozenset({"waived"}),
+    "gpl": frozenset({"gnu", "general", "public"}), "apache": frozenset({"apache"}), "mit": frozenset({"mit"}), "mozilla": frozenset({"mozilla"}), "reserved": frozenset({"rights", "reserved"}),
+}
 # Words by label that mean another licence when they stand in a block.
 EXCLUDED = {"cc-by": frozenset({"nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives", "noderivs"}), "gpl": frozenset({"lesser", "affero"})}
-SCHEMA = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
+SCHEMA = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, blocks string"
 
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 #: Lower-cases A-Z and blanks what isn't part of a word.
@@ -87,6 +90,7 @@ class Template:
     needed: int
     span: int  #: words of a block
     excluded: frozenset[bytes]
+    naming: frozenset[bytes]
 
     @property
     def prefix(self) -> tuple[bytes, ...]:
@@ -98,29 +102,31 @@ def ordered(templates: tuple[tuple[str, str], ...], frequency: dict[bytes, int],
     for label, text in templates:
         all_ = words_of(text)
         words = sorted(set(all_), key=lambda w: (frequency.get(w, 0), w))
-        short = len(words) < SHORT
         excluded = frozenset(w.encode() for w in EXCLUDED.get(label, ())) - set(words)
-        out.append(Template(label, tuple(words), len(words) if short else ceil(containment * len(words) - 1e-9), len(all_) if short else len(all_) + len(all_) // 4, excluded))
+        naming = frozenset(w.encode() for w in NAMING.get(label, ())) & set(words)
+        out.append(Template(label, tuple(words), ceil(containment * len(words) - 1e-9), len(all_) + len(all_) // 4, excluded, naming))
     return out
 
 
-def best_block(words: list[bytes], first: int, last: int, t: Template) -> float:
-    """The highest share of a template's words in a block that holds a word from number ``first`` to ``last``; 0 if none has enough."""
+def best_block(words: list[bytes], first: int, last: int, t: Template) -> tuple[float, int]:
+    """The highest share of a template's words in a block that holds a word from number ``first`` to ``last``, and the first such block's start; 0 if none has enough."""
     wanted, low = set(t.words), max(0, first - t.span + 1)
     held: dict[bytes, int] = defaultdict(int)
-    own, wrong, best = 0, 0, 0
+    own, wrong, named, best, start = 0, 0, 0, 0, 0
     for at in range(low, last + t.span):  # blocks may reach over the text's end
         if at - t.span >= low and (w := words[at - t.span]) in held:
             held[w] -= 1
             own -= w in wanted and not held[w]
+            named -= w in t.naming and not held[w]
             wrong -= w in t.excluded
         if at < len(words) and ((w := words[at]) in wanted or w in t.excluded):
             held[w] += 1
             own += w in wanted and held[w] == 1
+            named += w in t.naming and held[w] == 1
             wrong += w in t.excluded
-        if at >= first and not wrong:
-            best = max(best, own)
-    return best / len(t.words) if best >= t.needed else 0.0
+        if at >= first and not wrong and named == len(t.naming) and own > best:
+            best, start = own, max(0, at - t.span + 1)
+    return (best / len(t.words), start) if best >= t.needed else (0.0, 0)
 
 
 class Join:
@@ -133,8 +139,8 @@ class Join:
             for position, w in enumerate(t.prefix):
                 self.index[w].append((k, position))
 
-    def matches(self, words: list[bytes]) -> dict[int, float]:
-        """Numbers of the templates that some block of the words holds, with the highest share of their words."""
+    def matches(self, words: list[bytes]) -> dict[int, tuple[float, int]]:
+        """Numbers of the templates that some block of the words holds, with the highest share of their words and the block's start."""
         own = self.index.keys() & set(words)
         by_template: dict[int, list[tuple[int, int]]] = defaultdict(list)
         if own:
@@ -144,7 +150,7 @@ class Join:
                         by_template[k].append((at, position))
         out = {}
         for k, starts in by_template.items():
-            t, share, n = self.templates[k], 0.0, 0
+            t, best, n = self.templates[k], (0.0, 0), 0
             while n < len(starts):  # places whose blocks touch are searched as one
                 first = last = starts[n][0]
                 rarest = starts[n][1]
@@ -154,9 +160,9 @@ class Join:
                     n += 1
                 around = set(words[max(0, first - t.span + 1) : last + t.span])
                 if len(around) >= t.needed and len(around.intersection(t.words[rarest:])) >= t.needed:
-                    share = max(share, best_block(words, first, last, t))
-            if share:
-                out[k] = share
+                    best = max(best, best_block(words, first, last, t), key=lambda b: (b[0], -b[1]))
+            if best[0]:
+                out[k] = best
         return out
 
 
@@ -189,10 +195,12 @@ def scan_text(text: str, join: Join, phrases: dict[str, str]) -> tuple:
     words = words_of(text)
     places = base_places(words, phrases)
     base = {label for _, label in places}
-    shares = join.matches(words)
-    labels = base | {join.templates[k].label for k in shares}
-    score = max(float(bool(base)), *shares.values(), 0.0)
-    return len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(labels)), score
+    found = join.matches(words)
+    labels = base | {join.templates[k].label for k in found}
+    score = max(float(bool(base)), *(share for share, _ in found.values()), 0.0)
+    blocks = sorted({(start, min(len(words), start + join.templates[k].span), join.templates[k].label) for k, (_, start) in found.items()})
+    base_columns = (len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)))
+    return *base_columns, ",".join(sorted(labels)), score, ",".join(f"{label}:{a}:{b}" for a, b, label in blocks)
 
 
 def scan_licenses(

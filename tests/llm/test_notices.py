@@ -33,3 +33,12 @@ def test_notice_columns(spark, documents):
     got = {r["doc_id"]: r for r in scan_licenses(documents([text, "Licensed under CC BY-NC 4.0.", None, "all the rooms were reserved and their rights kept"])).collect()}
     assert [got[k]["labels"] for k in range(4)] == ["mit", "cc-by,cc-by-nc", "", ""] and got[0]["score"] == 1 and got[3]["score"] == 0
     assert PHRASES["cc by"] == "cc-by" and got[1]["base_labels"] == "cc-by"
+
+
+def test_places_of_blocks():
+    text = "One two three. Released today under the MIT License. Four five."
+    words = "one two three released today under the mit license four five".split()
+    row = scan_text(text, JOIN, {})
+    label, first, end = row[7].split(":")
+    assert label == "mit" == row[5] and {"released", "under", "the", "mit", "license"} <= set(words[int(first) : int(end)])
+    assert scan_text("Released under the License.", JOIN, {})[5:] == ("", 0.0, "")  # four of five words, but not the one that names it

@@ -66,11 +66,10 @@ def brute_licenses(text):
     for label, t in TEMPLATES:
         all_ = split(t.lower())
         need = set(all_)
-        short = len(need) < licenses.SHORT
-        span, least = (len(all_), len(need)) if short else (len(all_) + len(all_) // 4, licenses.CONTAINMENT * len(need) - 1e-9)
+        span, least, naming = len(all_) + len(all_) // 4, licenses.CONTAINMENT * len(need) - 1e-9, licenses.NAMING.get(label, frozenset()) & need
         for i in range(-span + 1, len(words)):
             block = set(words[max(0, i) : i + span])
-            if len(need & block) >= least and not block & (licenses.EXCLUDED.get(label, frozenset()) - need):
+            if len(need & block) >= least and naming <= block and not block & (licenses.EXCLUDED.get(label, frozenset()) - need):
                 labels.add(label)
     base = {label for _, label in places}
     return len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(labels | base))
