@@ -5,12 +5,16 @@ main data, and 576 bytes of payload as ancillary data.  A frame with bytes above
 higher bit rate, so streams are of variable bit rate; a leading frame holds the Xing table (frames, bytes,
 100 seek points).  An ID3v2.3 tag precedes the frames and an ID3v1 tag ends the stream.
 
-The reader relies on nothing but the bytes: it parses the tags, resynchronises on frame headers (a header
-counts if its checksum holds, or the next one or the end of the audio follows where it should), reads the table, verifies each
-checksum, and gives exact durations (samples over rate) and the byte offset of every frame.
+The reader takes MPEG-1, 2 and 2.5 audio of Layers I to III, mono or stereo, and relies on nothing but the bytes: it parses the
+tags (ID3v2.2 to 2.4 and ID3v1), resynchronises on frame headers (a header counts if its checksum holds, or one of the same kind or the
+end of the audio follows where it should), reads a Xing, Info or VBRI table, verifies the checksums of Layer III (those of the
+other layers cover tables that it doesn't decode), and gives exact durations (each frame's samples over its rate) and the
+byte offset of every frame.
 
 Edge cases: null text is empty and becomes one frame of padding; bytes that belong to no frame are skipped and
-counted; frames with a wrong checksum are counted and their payload kept; repeated rows each give a row.
+counted; frames with a wrong checksum are counted and their payload kept; repeated rows each give a row; a null id stays null
+and leaves the others as they are; an empty table gives an empty result; only id and text are read, so other columns may
+have any name; texts of any length are stored whole, one document at a time.
 """
 
 from __future__ import annotations
@@ -30,9 +34,19 @@ from .common import named_texts, parts, with_results
 UNIT = 576  #: payload bytes, and samples, of a frame
 PAD = b"\xff"
 
-# Fixed values of the format: kilobits per second by index and samples per second by index, MPEG-2 Layer III.
-BIT_RATES = (None, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160, None)
-SAMPLE_RATES = (22050, 24000, 16000, None)
+# Fixed values of the format: kilobits per second by index from 1, of MPEG-1 Layers I, II and III, of the others' Layer I, and of their Layers II and III.
+KILOBITS = {
+    (1, 1): (32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
+    (1, 2): (32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
+    (1, 3): (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320),
+    (2, 1): (32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
+    (2, 2): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
+# Fixed values of the format: version and layer by their bits, samples a second by version, bytes of Layer III's side information for one and two channels.
+VERSIONS, LAYERS = (2.5, None, 2, 1), (None, 3, 2, 1)
+SAMPLES_A_SECOND = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 2.5: (11025, 12000, 8000)}
+SIDE = {1: (17, 32), 2: (9, 17), 2.5: (9, 17)}
+VBRI_AT = 36  # bytes from a frame's start
 SIDE_BYTES = 9
 
 SCHEMA = (
@@ -57,13 +71,53 @@ def header(rate_index: int, protected: bool) -> bytes:
     return bytes((0xFF, 0xF2 | (not protected), rate_index << 4 | 2 << 2, 0xC0))
 
 
-@lru_cache(maxsize=1024)
+@dataclass(frozen=True)
+class Header:
+    version: float
+    layer: int
+    protected: bool
+    kilobits: int
+    rate: int
+    padded: bool
+    stereo: bool
+
+    @property
+    def samples(self) -> int:
+        return 384 if self.layer == 1 else 1152 if self.layer == 2 or self.version == 1 else 576
+
+    @property
+    def size(self) -> int:
+        """Bytes of the frame."""
+        if self.layer == 1:
+            return (12_000 * self.kilobits // self.rate + self.padded) * 4
+        return self.samples // 8 * 1000 * self.kilobits // self.rate + self.padded
+
+    @property
+    def side(self) -> int:
+        """Bytes of Layer III's side information, 0 for the others."""
+        return SIDE[self.version][self.stereo] if self.layer == 3 else 0
+
+    def like(self, other: Header | None) -> bool:
+        """Whether both may be frames of one stream."""
+        return other is not None and (self.version, self.layer, self.rate) == (other.version, other.layer, other.rate)
+
+
+@lru_cache(maxsize=4096)
+def parsed(head: bytes) -> Header | None:
+    """What four bytes say if they are a frame header with a bit rate of its own."""
+    if len(head) < 4 or head[0] != 0xFF or head[1] & 0xE0 != 0xE0:
+        return None
+    version, layer, index, rate = VERSIONS[head[1] >> 3 & 3], LAYERS[head[1] >> 1 & 3], head[2] >> 4, head[2] >> 2 & 3
+    if version is None or layer is None or index in (0, 15) or rate == 3:
+        return None
+    kilobits = KILOBITS[(1, layer) if version == 1 else (2, min(layer, 2))][index - 1]
+    return Header(version, layer, not head[1] & 1, kilobits, SAMPLES_A_SECOND[version][rate], bool(head[2] & 2), head[3] >> 6 != 3)
+
+
 def frame_size(head: bytes) -> int:
-    """Bytes of the frame that a header announces; 0 if it isn't a header of MPEG-2 Layer III."""
-    if len(head) < 4 or head[0] != 0xFF or head[1] & 0xFE != 0xF2:
-        return 0
-    rate, samples = BIT_RATES[head[2] >> 4], SAMPLE_RATES[head[2] >> 2 & 3]
-    return 72_000 * rate // samples + (head[2] >> 1 & 1) if rate and samples else 0
+    """Bytes of the frame that a header announces; 0 if it isn't one."""
+    h = parsed(head)
+    return h.size if h else 0
 
 
 def syncsafe(n: int) -> bytes:
@@ -112,51 +166,89 @@ class Stream:
     rates: dict[int, int] = field(default_factory=dict)
     samples: int = 0
     sample_rate: int = 16000
+    duration: float = 0.0  #: milliseconds
+
+
+def unsyncsafe(b: bytes) -> int:
+    return sum((x & 0x7F) << s for x, s in zip(b, (21, 14, 7, 0), strict=True))
+
+
+def tag_text(b: bytes) -> str:
+    """A text frame's value: the first byte names the encoding."""
+    encoding = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(b[0], "latin-1") if b else "latin-1"
+    return b[1:].decode(encoding, "replace").rstrip("\x00")
 
 
 def read_tags(media: bytes) -> tuple[dict[str, str], int, int]:
-    """Tags, and where the audio begins and ends."""
+    """Text tags of ID3v2.2, 2.3 and 2.4 and ID3v1's title, and where the audio begins and ends."""
     tags, begin, end = {}, 0, len(media)
-    if media[:3] == b"ID3":
-        begin = 10 + sum(b << s for b, s in zip(media[6:10], (21, 14, 7, 0), strict=True))
-        at = 10
-        while at + 10 < begin and media[at]:
-            size = int.from_bytes(media[at + 4 : at + 8], "big")
-            tags[media[at : at + 4].decode("latin-1")] = media[at + 11 : at + 10 + size].decode("latin-1")
-            at += 10 + size
-    if media[-128:-125] == b"TAG":
+    if media[:3] == b"ID3" and len(media) >= 10 and 2 <= media[3] <= 4:
+        version, flags, size = media[3], media[5], unsyncsafe(media[6:10])
+        begin = min(len(media), 10 + size + 10 * (version == 4 and bool(flags & 0x10)))
+        body = media[10 : 10 + size]
+        if flags & 0x80:  # unsynchronised: a zero byte was put after each 255
+            body = body.replace(b"\xff\x00", b"\xff")
+        at = 0
+        if flags & 0x40 and version > 2 and len(body) >= 4:
+            at = unsyncsafe(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+        name, wide = (3, 6) if version == 2 else (4, 10)
+        while at + wide <= len(body) and body[at]:
+            length = int.from_bytes(body[at + 3 : at + 6], "big") if version == 2 else unsyncsafe(body[at + 4 : at + 8]) if version == 4 else int.from_bytes(body[at + 4 : at + 8], "big")
+            tag = body[at : at + name].decode("latin-1")
+            if tag[:1] == "T":
+                tags[tag] = tag_text(body[at + wide : at + wide + length])
+            at += wide + length
+    if media[-128:-125] == b"TAG" and end - 128 >= begin:
         end -= 128
         tags["title"] = media[end + 3 : end + 33].rstrip(b"\x00 ").decode("latin-1")
     return tags, begin, end
 
 
+def read_table(frame: bytes, h: Header) -> tuple[int, int, bytes] | None:
+    """Frames, bytes and seek points of a variable-bitrate table, if the frame holds one."""
+    at = 4 + 2 * h.protected + h.side
+    if h.layer == 3 and frame[at : at + 4] in (b"Xing", b"Info") and len(frame) >= at + 8:
+        flags, at, values = int.from_bytes(frame[at + 4 : at + 8], "big"), at + 8, [0, 0]
+        for k in (0, 1):
+            if flags & 1 << k:
+                values[k], at = int.from_bytes(frame[at : at + 4], "big"), at + 4
+        return *values, frame[at : at + 100] if flags & 4 else b""
+    if frame[VBRI_AT : VBRI_AT + 4] == b"VBRI" and len(frame) >= VBRI_AT + 26:
+        total, frames, entries, _, width, _ = struct.unpack(">IIHHHH", frame[VBRI_AT + 10 : VBRI_AT + 26])
+        return frames, total, frame[VBRI_AT + 26 : VBRI_AT + 26 + entries * width]
+    return None
+
+
 def read_stream(media: bytes) -> Stream:
     out = Stream()
     out.tags, at, end = read_tags(media)
-    units = []
+    units, known = [], None
     while at + 4 <= end:
-        head = media[at : at + 4]
-        size = frame_size(head)
-        protected = not head[1] & 1
-        side = at + 4 + 2 * protected
-        holds = bool(size) and protected and checksum(head[2:] + media[side : side + SIDE_BYTES]) == int.from_bytes(media[at + 4 : at + 6], "big")
-        if not size or at + size > end or not (holds or at + size == end or frame_size(media[at + size : at + size + 4])):
+        h = parsed(media[at : at + 4])
+        size = h.size if h else 0
+        holds = checked = False
+        if h and h.layer == 3 and h.protected:
+            side, checked = at + 6, True
+            holds = checksum(media[at + 2 : at + 4] + media[side : side + h.side]) == int.from_bytes(media[at + 4 : at + 6], "big")
+        if not h or size < 4 or at + size > end or not (holds or at + size == end or h.like(parsed(media[at + size : at + size + 4]))) or (known and not holds and not h.like(known)):
             nearest = media.find(b"\xff", at + 1, end)
             step = (nearest if nearest >= 0 else end) - at
             out.skipped += step
             at += step
             continue
-        if out.table is None and not out.offsets and media[side + SIDE_BYTES : side + SIDE_BYTES + 4] in (b"Xing", b"Info"):
-            flags, frames, total = struct.unpack(">III", media[side + SIDE_BYTES + 4 : side + SIDE_BYTES + 16])
-            out.table, out.seek_points = (frames, total), media[side + SIDE_BYTES + 16 : side + SIDE_BYTES + 116] if flags & 4 else b""
+        table = read_table(media[at : at + size], h) if out.table is None and not out.offsets else None
+        if table:
+            out.table, out.seek_points = table[:2], table[2]
         else:
-            out.wrong += protected and not holds
+            known = h
+            out.wrong += checked and not holds
             out.offsets.append(at)
-            rate = BIT_RATES[head[2] >> 4]
-            out.rates[rate] = out.rates.get(rate, 0) + 1
-            out.samples += UNIT
-            out.sample_rate = SAMPLE_RATES[head[2] >> 2 & 3]
-            units.append(media[side + SIDE_BYTES : side + SIDE_BYTES + UNIT])
+            out.rates[h.kilobits] = out.rates.get(h.kilobits, 0) + 1
+            out.samples += h.samples
+            out.sample_rate = h.rate
+            out.duration += h.samples * 1000 / h.rate
+            begin = at + 4 + 2 * h.protected + h.side
+            units.append(media[begin : min(begin + UNIT, at + size)])
         at += size
     out.payload = b"".join(units)
     return out
@@ -196,7 +288,7 @@ def described(media: bytes) -> dict:
         "media_bytes": len(media),
         "media_sha256": hashlib.sha256(media).hexdigest(),
         "feature": feature(s),
-        "duration_ms": s.samples * 1000 / s.sample_rate,
+        "duration_ms": s.duration,
         "seek_offsets": s.offsets,
     }
 
