@@ -12,7 +12,8 @@ to its target; several rows with one hash (repeated rows) share the rest of the
 
 Edge cases: null text has size 0; the null source comes last and is a source like any other; documents of
 size 0 take nothing; an empty table gives an empty result; ties are settled by the hash of id and text only,
-so reruns agree.
+so reruns agree; a null id stays null and is hashed like any other; only id, text and source are read, so other columns
+may have any name (``mixed_documents`` keeps them).
 """
 
 from __future__ import annotations

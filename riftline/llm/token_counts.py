@@ -4,8 +4,9 @@ Before any text is read, every word-final vocabulary string is merged on its own
 exactly one token are *proven*.  A pre-token in the proven table counts 1 by a lookup; only the others are
 merged (once per worker) and their counts remembered.
 
-Edge cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows each give a row; an empty table
-gives an empty result; only the id and text columns are read, so other columns may have any name.
+Edge cases: a null text counts as empty (0 bytes, 0 tokens); texts of any length are counted whole; repeated rows each give
+a row; a null id stays null and leaves the others as they are; an empty table gives an empty result; only the id and text
+columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -153,6 +153,6 @@ def test_folded_table_is_the_machine():
 
 
 def test_bags_of_strings():
-    assert toxicity.strings("you i d i o t!") == {"you", "i", "d", "o", "t!", "idio"} or "idio" in toxicity.strings("you i d i o t!")
+    assert toxicity.strings("you i d i o t!") == {"you", "i", "d", "o", "t!", "idio"}
     long = "x" * 10 + "clown" + "y" * 60
     assert all(len(s) <= toxicity.LONGEST for s in toxicity.strings(long)) and any("clown" in s for s in toxicity.strings(long))
