@@ -179,19 +179,14 @@ class Automaton:
     labels: list[frozenset[int]]
 
 
-def compile_rules(trees: list[Node], search: bool, shortest: bool = False) -> Automaton:
-    """One automaton for all trees; search lets a match begin anywhere, else it begins at the first byte.
-
-    shortest: a rule's progress ends with its shortest match, enough to tell that it matches; this keeps the
-    states of the other rules from being multiplied by it.
-    """
-    g, accepts, owner = Graph(), {}, {}
+def compile_rules(trees: list[Node], search: bool) -> Automaton:
+    """One automaton for all trees; search lets a match begin anywhere, else it begins at the first byte."""
+    g, accepts = Graph(), {}
     start = g.state()
     for k, tree in enumerate(trees):
         entry = g.state()
         g.free[start].append(entry)
         accepts[g.build(tree, entry)] = k
-        owner.update((s, k) for s in range(entry, len(g.moves)))
     sets = list({s for moves in g.moves for s, _ in moves})
     signature: dict[tuple[bool, ...], int] = {}
     classes = bytes(signature.setdefault(tuple(b in s for s in sets), len(signature)) for b in range(256))
@@ -204,9 +199,6 @@ def compile_rules(trees: list[Node], search: bool, shortest: bool = False) -> Au
         for b in examples:
             reached = {t for s in states for on, t in g.moves[s] if b in on}
             target = g.closure(frozenset(reached))
-            if shortest:
-                met = {accepts[s] for s in target if s in accepts}
-                target = frozenset(s for s in target if s in accepts or owner.get(s) not in met)
             if search:
                 target |= first
             if target not in numbers:
@@ -233,44 +225,50 @@ def compile_rules(trees: list[Node], search: bool, shortest: bool = False) -> Au
     return Automaton(classes, width, table, place[block[0]] * width, next((k for k, x in enumerate(kept) if x), len(kept)) * width, stuck * width, kept)
 
 
-def accepted(a: Automaton, data: bytes) -> set[int]:
-    """Rules of which some match ends in ``data``: one pass over the bytes."""
-    state, table, accepting, hits = a.start, a.table, a.accepting, set()
-    for c in data.translate(a.classes):
-        state = table[state + c]
-        if state >= accepting:
-            hits.add(state)
-    return {rule for s in hits for rule in a.labels[s // a.width]}
+class Scan:
+    """Leftmost-longest, non-overlapping matches of each of several rules, all found together.
 
+    One pass backwards over the bytes, through an automaton of all rules read backwards, gives every place where a match of some
+    rule starts.  From the first such place on that no match of the rule covers, an automaton of all rules runs ahead to the
+    match's end; a text without matches costs the one pass.
+    """
 
-class Spans:
-    """Leftmost-longest, non-overlapping matches of one rule: starts by a backward pass, ends by forward runs."""
-
-    def __init__(self, tree: Node):
-        self.back = compile_rules([mirrored(tree)], search=True)
-        self.ahead = compile_rules([tree], search=False)
+    def __init__(self, trees: list[Node]):
+        self.back = compile_rules([mirrored(t) for t in trees], search=True)
+        self.ahead = compile_rules(trees, search=False)
 
-    def find(self, data: bytes) -> list[tuple[int, int]]:
-        a, starts = self.back, []
+    def starts(self, data: bytes) -> list[tuple[int, int]]:
+        """Places where matches start, from the last, with the state that tells of which rules."""
+        a, found, at = self.back, [], len(data)
         state, table, accepting = a.start, a.table, a.accepting
-        at = len(data)
         for c in reversed(data.translate(a.classes)):
             state = table[state + c]
             at -= 1
             if state >= accepting:
-                starts.append(at)
-        a, spans, free = self.ahead, [], 0
+                found.append((at, state))
+        return found
+
+    def find(self, data: bytes) -> list[tuple[int, int, int]]:
+        """(start, rule, end) of all matches."""
+        found = self.starts(data)
+        if not found:
+            return []
+        a, out, free = self.ahead, [], {}
         table, accepting, dead, columns = a.table, a.accepting, a.dead, data.translate(a.classes)
-        for start in reversed(starts):
-            if start < free:
+        rules = {state: sorted(self.back.labels[state // self.back.width]) for state in {s for _, s in found}}
+        for start, told in reversed(found):
+            wanted = [k for k in rules[told] if start >= free.get(k, 0)]
+            if not wanted:
                 continue
-            state, end = a.start, start
+            state, ends = a.start, {}
             for at in range(start, len(columns)):
                 state = table[state + columns[at]]
                 if state == dead:
                     break
                 if state >= accepting:
-                    end = at + 1
-            spans.append((start, end))
-            free = end
-        return spans
+                    for k in a.labels[state // a.width]:
+                        ends[k] = at + 1
+            for k in wanted:
+                out.append((start, k, ends[k]))
+                free[k] = ends[k]
+        return out

@@ -1,8 +1,8 @@
 """Secret scan: every rule in one deterministic automaton, one pass over the bytes of a text.
 
-The rules' expressions are compiled together by subset construction and minimisation (``automaton``).  The
-pass says which rules match anywhere in a text; only for those are spans resolved, by the rule's own
-automata.  A rule may set a least length for the whole match or for what follows its separator; matches
+The rules' expressions are compiled together by subset construction and minimisation (``automaton``).  One pass over the
+bytes, backwards, gives all places where a match of any rule starts; ends follow by running ahead from them, through one
+automaton of all rules too.  A rule may set a least length for the whole match or for what follows its separator; matches
 that fail it are dropped after they have taken their place, as leftmost non-overlapping matching has it.
 
 Edge cases: a null text scans as empty; texts of any length are scanned whole; offsets are code points, end
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import named_texts, with_results
-from .automaton import Spans, accepted, compile_rules, parse
+from .automaton import Scan, parse
 
 
 @dataclass(frozen=True)
@@ -60,18 +60,12 @@ SCHEMA = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, sp
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        self.trees = [parse(r.pattern, r.fold) for r in rules]
-        self.all = compile_rules(self.trees, search=True, shortest=True)
-        self.own: dict[int, Spans] = {}
+        self.all = Scan([parse(r.pattern, r.fold) for r in rules])
 
     def scan(self, text: str) -> list[tuple[int, int, int]]:
         """(start, rule, end) in code points, by start and then by rule."""
         data = text.encode("utf-8", "surrogatepass")
-        found = []
-        for k in accepted(self.all, data):
-            if k not in self.own:
-                self.own[k] = Spans(self.trees[k])
-            found += [(s, k, e) for s, e in self.own[k].find(data) if self.rules[k].holds(data[s:e])]
+        found = [(s, k, e) for s, k, e in self.all.find(data) if self.rules[k].holds(data[s:e])]
         if found and len(data) != len(text):
             count = lambda b: len(data[:b].decode("utf-8", "surrogatepass"))
             found = [(count(s), k, count(e)) for s, k, e in found]
