@@ -163,10 +163,10 @@ def diagnostics(series: DataFrame, lags: tuple[int, ...]) -> DataFrame:
 def partial(series: DataFrame, lags: int, adjusted: bool = True) -> DataFrame:
     """Partial autocorrelations of each period by the Durbin-Levinson recursion, a fold over its autocorrelations.
 
-    adjusted: products are divided by their number instead of n.  One row per series, period and lag; null from where the
-    recursion breaks down.
+    adjusted: products are divided by their number instead of n.  One row per series, period and lag below half the
+    period's length, beyond which the estimates are mostly noise; null from where the recursion breaks down.
     """
-    a = autocorrelation(series, lags).withColumn("r", F.col("acf") * F.col("n") / (F.col("n") - F.col("lag")) if adjusted else F.col("acf"))
+    a = autocorrelation(series, lags).where(F.col("lag") < F.floor(F.col("n") / 2)).withColumn("r", F.col("acf") * F.col("n") / (F.col("n") - F.col("lag")) if adjusted else F.col("acf"))
     g = a.groupBy("series_id", "period").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("lag", "r"))).getField("r").alias("r"))
     r = F.col("r")
 

@@ -64,8 +64,8 @@ register(
 )
 
 # --- tests on the residuals of each period's own regression on five lags ---------------------------------------------
-_OWN5 = U + ar_sql(5, "o5", True) + ", rs AS (SELECT series_id, t, period, y AS value FROM o5)"
-_five = lambda s: lagged.period_residuals(s, lagged.first_lags(5))
+_OWN5 = U + ar_sql(5, "o5", True) + ", rs AS (SELECT series_id, t, period, round(y, 8) AS value FROM o5)"
+_five = lambda s: lagged.period_residuals(s, lagged.first_lags(5)).withColumn("value", F.round("value", 8))  # equal ones stay ties
 _distances = ", ".join(f"CASE WHEN any_value(n0) >= 2 AND any_value(n1) >= 2 THEN {r(x, n, 5)[: -len(f' AS {n}')]} END AS {n}" for x, n in (("max(abs(c0 / n0 - c1 / n1))", "ks"), ("sum(abs(c0 / n0 - c1 / n1) * gap)", "wasserstein"), ("sqrt(2 * sum((c0 / n0 - c1 / n1) ^ 2 * gap))", "energy")))
 register("residual5_distances", user_series, lambda s: distribution.ecdf_distances(_five(s)), _OWN5 + ECDF.replace(" FROM s ", " FROM rs ") + f" SELECT series_id, CAST(any_value(n0) AS BIGINT) AS n0, CAST(any_value(n1) AS BIGINT) AS n1, {_distances} FROM e GROUP BY series_id", 5)
 _CVM = ", i AS (SELECT *, row_number() OVER (PARTITION BY series_id, period ORDER BY value, t) AS i FROM rk), c AS (SELECT series_id, " + both("CAST(count(*) FILTER (WHERE period = @) AS DOUBLE) AS n@, sum((rank - i) ^ 2) FILTER (WHERE period = @) AS q@") + " FROM i GROUP BY series_id) SELECT series_id, CASE WHEN n0 >= 2 AND n1 >= 2 THEN round((n0 * q0 + n1 * q1) / (n0 * n1 * (n0 + n1)) - (4 * n0 * n1 - 1) / (6 * (n0 + n1)), 5) END AS cvm FROM c"
@@ -76,13 +76,14 @@ _AT = lambda lags, sql=ACF: sql.replace("a.i + 10", f"a.i + {lags}")  # noqa: E7
 WHOLE_ACF = ACF.replace("SELECT series_id, period, row_number() OVER (PARTITION BY series_id, period", "SELECT series_id, 0 AS period, row_number() OVER (PARTITION BY series_id").replace("avg(value) OVER (PARTITION BY series_id, period)", "avg(value) OVER (PARTITION BY series_id)")
 #: The same recursion over lists, a row for each series, period and lag.
 PARTIAL = (
-    ", ra AS (SELECT series_id, period, any_value(n) AS n, list(acf * n / (n - lag) ORDER BY lag) AS r FROM acf GROUP BY series_id, period)"
+    ", ra AS (SELECT series_id, period, any_value(n) AS n, list(acf * n / (n - lag) ORDER BY lag) AS r FROM acf WHERE lag < n // 2 GROUP BY series_id, period)"
     ", dl(series_id, period, n, k, r, phi, pacf) AS (SELECT series_id, period, n, 1, r, [r[1]], r[1] FROM ra UNION ALL SELECT series_id, period, n, k + 1, r, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - x * phi[k + 1 - j]), x), x"
     " FROM (SELECT *, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 1 - j]))) / (1 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j]))) AS x FROM dl WHERE k < len(r)))"
     ", pa AS (SELECT series_id, period, n, CAST(k AS BIGINT) AS lag, pacf FROM dl)"
 )
 _RECURSIVE = U.replace("WITH ", "WITH RECURSIVE ", 1)
-register("pacf_lags_100", user_series, lambda s: lagged.partial(s, LONG), _RECURSIVE + _AT(LONG) + PARTIAL + f" SELECT series_id, CAST(period AS INTEGER) AS period, lag, n, {r('pacf', 'pacf', 4)} FROM pa", 4)
+#: Far lags of short periods by products divided by n, with which the recursion can't break down.
+register("pacf_lags_100", user_series, lambda s: lagged.partial(s, LONG, adjusted=False), _RECURSIVE + _AT(LONG) + PARTIAL.replace("acf * n / (n - lag)", "acf") + f" SELECT series_id, CAST(period AS INTEGER) AS period, lag, n, {r('pacf', 'pacf', 4)} FROM pa", 4)
 _PROFILE = "SELECT CAST(period AS BIGINT) AS period, lag, count({c}) AS series, " + ", ".join(r(f"{f}({{c}})", n, 4) for f, n in (("avg", "mean"), ("stddev_pop", "std"), ("min", "low"), ("max", "high"))) + ", round(avg(CASE WHEN abs({c}) > 1.96 / sqrt(n) THEN 1.0 WHEN {c} IS NOT NULL THEN 0.0 END), 4) AS significant FROM {t} GROUP BY period, lag"
 register("acf_profile", user_series, lambda s: lagged.lag_profile(lagged.autocorrelation(lagged.whole_series(s), LONG), "acf"), U + _AT(LONG, WHOLE_ACF) + " " + _PROFILE.format(c="acf", t="acf"), 4)
 register("acf_profile_by_period", user_series, lambda s: lagged.lag_profile(lagged.autocorrelation(s, BY_PERIOD), "acf"), U + _AT(BY_PERIOD) + " " + _PROFILE.format(c="acf", t="acf"), 4)
