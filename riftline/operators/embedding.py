@@ -55,7 +55,7 @@ def correlation_matrix(n: int, products: np.ndarray, first: np.ndarray, last: np
     """
     w = n - size + 1
     tail = last[len(last) - size :]
-    heads = lambda d: np.r_[0, np.cumsum(first[: size - 1] * first[d : size - 1 + d])]
+    heads = lambda d: np.r_[0, np.cumsum(first[: size - 1 - d] * first[d : size - 1])]
     sums = -np.r_[0, np.cumsum(first[: size - 1])] - np.r_[np.cumsum(tail[::-1])[: size - 1][::-1], 0]
     out = np.empty((size, size))
     for d in range(size):
