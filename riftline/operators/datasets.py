@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from riftline.functions.moments import kurt, over, side, skew
 from riftline.operators.ranges import ranked, with_quantiles
+from riftline.operators.shape import CHUNK
+from riftline.sources.series import from_arrays
 
 MULTIPLIER, MODULUS = 2_654_435_761, 4_294_967_296
 
@@ -26,27 +28,53 @@ def _numbered(labels: DataFrame, seed: int) -> DataFrame:
     return ranked(known, "has_break", F.floor(h / 65_536).cast("int"), [h, id_])
 
 
-def sliding_windows(arrays: DataFrame, size: int, stride: int) -> DataFrame:
-    """Windows of each series' values; none for a series shorter than a window."""
-    whole = arrays.select("series_id", F.concat("before", "after").alias("v"), "length")
-    starts = whole.where(F.col("length") >= size).select("series_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - size, F.lit(stride).cast("long"))).alias("window_start"))
-    return starts.select("series_id", "window_start", F.slice("v", (F.col("window_start") + 1).cast("int"), size).alias("window"))
+def _long(series: DataFrame) -> DataFrame:
+    """The long form, whether the series come in it or as arrays."""
+    return series if "t" in series.columns else from_arrays(series)
 
 
-def break_windows(arrays: DataFrame, size: int, stride: int, margin: int = 10, most: int | None = None) -> DataFrame:
+def _boundaries(series: DataFrame) -> DataFrame:
+    """Where each series' second period begins (its length where there is none), and its length."""
+    return series.groupBy("series_id").agg(F.coalesce(F.min(F.when(F.col("period") == 1, F.col("t"))), F.count("*")).alias("boundary"), F.count("*").alias("length"))
+
+
+def _chunks(series: DataFrame, size: int, stride: int) -> DataFrame:
+    """Each series in stretches from ``first`` on, about CHUNK values long, which hold all windows that begin in them whole.
+
+    A stretch also gets the values after it that its last windows need, so no row grows with a series.
+    """
+    step = -(-max(CHUNK, size) // stride) * stride
+    own, i = F.floor(F.col("t") / step), F.col("t") % step
+    before = F.when((i < size - stride) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    dealt = series.select("series_id", "t", "value", F.explode(before).alias("chunk"))
+    g = dealt.groupBy("series_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).getField("value").alias("v"))
+    return g.select("series_id", (F.col("chunk") * step).cast("long").alias("first"), "v")
+
+
+def _windows(chunks: DataFrame, size: int, stride: int, *also: str) -> DataFrame:
+    starts = F.sequence(F.lit(0), F.size("v") - size, F.lit(stride))
+    each = F.transform(starts, lambda k: F.struct((F.col("first") + k).alias("window_start"), F.slice("v", k + 1, size).alias("window")))
+    return chunks.where(F.size("v") >= size).select("series_id", *also, F.explode(each).alias("w")).select("series_id", *also, "w.window_start", "w.window")
+
+
+def sliding_windows(series: DataFrame, size: int, stride: int) -> DataFrame:
+    """Windows of each series' values, given in the long form or as arrays; none for a series shorter than a window."""
+    return _windows(_chunks(_long(series), size, stride), size, stride)
+
+
+def break_windows(series: DataFrame, size: int, stride: int, margin: int = 10, most: int | None = None) -> DataFrame:
     """Windows that hold the boundary at least ``margin`` from both ends; all, or the ``most`` earliest of a series."""
-    w = sliding_windows(arrays, size, stride).join(arrays.select("series_id", "boundary"), "series_id")
-    held = w.where((F.col("window_start") + margin <= F.col("boundary")) & (F.col("boundary") <= F.col("window_start") + size - margin))
+    held = marked_windows(series, size, stride, margin).where("break_position IS NOT NULL")
     if most is not None:
         held = held.withColumn("r", F.row_number().over(Window.partitionBy("series_id").orderBy("window_start"))).where(F.col("r") <= most)
-    return held.select("series_id", "window_start", (F.col("boundary") - F.col("window_start")).alias("break_position"), "window")
+    return held.select("series_id", "window_start", "break_position", "window")
 
 
-def boundary_windows(arrays: DataFrame, size: int) -> DataFrame:
+def boundary_windows(series: DataFrame, size: int) -> DataFrame:
     """The last half window before the boundary and the first half after it, where there are so many values."""
-    half = size // 2
-    enough = arrays.where((F.size("before") >= half) & (F.size("after") >= half))
-    return enough.select("series_id", F.concat(F.slice("before", -half, half), F.slice("after", 1, half)).alias("window"))
+    half, at, rows = size // 2, F.col("t") - F.col("boundary"), _long(series)
+    near = rows.join(_boundaries(rows).where((F.col("boundary") >= half) & (F.col("length") - F.col("boundary") >= half)), "series_id").where((at >= -half) & (at < half))
+    return near.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).getField("value").alias("window"))
 
 
 def labels_of(series: DataFrame) -> DataFrame:
@@ -122,11 +150,11 @@ def correlations(features: DataFrame, names: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs])).alias("x")).select("x.*")
 
 
-def inference_windows(arrays: DataFrame, size: int, stride: int) -> DataFrame:
+def inference_windows(series: DataFrame, size: int, stride: int) -> DataFrame:
     """Sliding windows of every series; one that is shorter than a window is padded by its last value."""
-    whole = arrays.select("series_id", F.concat("before", "after").alias("v")).where(F.size("v") > 0)
-    padded = whole.select("series_id", F.concat("v", F.array_repeat(F.element_at("v", -1), F.greatest(size - F.size("v"), F.lit(0)))).alias("after"))
-    return sliding_windows(padded.select("series_id", F.array().cast("array<double>").alias("before"), "after", F.size("after").cast("long").alias("length")), size, stride)
+    missing = F.when(F.col("first") == 0, F.greatest(size - F.size("v"), F.lit(0))).otherwise(0)
+    padded = F.concat("v", F.array_repeat(F.element_at("v", -1), missing))
+    return _windows(_chunks(_long(series), size, stride).withColumn("v", padded), size, stride)
 
 
 def standardised(windows: DataFrame) -> DataFrame:
@@ -182,9 +210,10 @@ def class_sample(labels: DataFrame, has_break: bool, n: int, seed: int = 42) ->
     return random_sample(labels.where(F.coalesce("has_break", F.lit(False)) == F.lit(has_break)), n, seed)
 
 
-def marked_windows(arrays: DataFrame, size: int, stride: int, margin: int = 10) -> DataFrame:
+def marked_windows(series: DataFrame, size: int, stride: int, margin: int = 10) -> DataFrame:
     """Sliding windows with the break's position in them, null where the boundary isn't ``margin`` from both ends."""
-    w = sliding_windows(arrays, size, stride).join(arrays.select("series_id", "boundary"), "series_id")
+    rows = _long(series)
+    w = _windows(_chunks(rows, size, stride).join(_boundaries(rows).drop("length"), "series_id"), size, stride, "boundary")
     at = F.col("boundary") - F.col("window_start")
     return w.select("series_id", "window_start", F.when((at >= margin) & (at <= size - margin), at).alias("break_position"), "window")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riftline.operators import datasets, distribution, profiles, regression
 from riftline.plans.series_queries import _LABELS, _OWN, _WINDOWS, ACF, ECDF, ORACLES, RANKED, RESIDUALS, B, E, U, both, planted, r, register
-from riftline.sources.series import to_arrays, type_series, user_series
+from riftline.sources.series import type_series, user_series
 
 _WHOLE_ACF = ACF.replace("SELECT series_id, period, row_number() OVER (PARTITION BY series_id, period", "SELECT series_id, 0 AS period, row_number() OVER (PARTITION BY series_id").replace("avg(value) OVER (PARTITION BY series_id, period)", "avg(value) OVER (PARTITION BY series_id)")
 
@@ -53,7 +53,7 @@ register("point_lookup", planted, lambda s: datasets.one_series(s, 3).select("se
 register("positive_sample", planted, lambda s: datasets.class_sample(datasets.labels_of(s), True, 5), B + _LABELS + " SELECT series_id, has_break FROM h WHERE has_break ORDER BY h, series_id LIMIT 5")
 register("negative_sample", planted, lambda s: datasets.class_sample(datasets.labels_of(s), False, 5), B + _LABELS + " SELECT series_id, has_break FROM h WHERE NOT has_break ORDER BY h, series_id LIMIT 5")
 _MARKED = E + _WINDOWS.format(size=100, stride=20) + ", m AS (SELECT series_id, window_start, CASE WHEN window_start + 10 <= boundary AND boundary <= window_start + 90 THEN boundary - window_start END AS break_position, md5(series_id || ':' || window_start || ':42') AS h FROM w)"
-_MARKED_WINDOWS = lambda s: datasets.marked_windows(to_arrays(s), 100, 20)
+_MARKED_WINDOWS = lambda s: datasets.marked_windows(s, 100, 20)
 register("window_encodings", type_series, lambda s: datasets.break_encodings(_MARKED_WINDOWS(s), 100), _MARKED + " SELECT series_id, window_start, round(coalesce(break_position / 100, -1), 6) AS break_code FROM m")
 register("balanced_windows", type_series, lambda s: datasets.balanced_windows(_MARKED_WINDOWS(s).drop("window")), _MARKED + ", n AS (SELECT count(break_position) // 3 * 7 + count(break_position) % 3 * 7 // 3 AS want FROM m) SELECT series_id, window_start, break_position FROM m WHERE break_position IS NOT NULL UNION ALL SELECT series_id, window_start, break_position FROM (SELECT m.*, want, row_number() OVER (ORDER BY h, series_id, window_start) AS k FROM m, n WHERE break_position IS NULL) WHERE k <= want")
 register("window_distribution", type_series, lambda s: datasets.window_distribution(_MARKED_WINDOWS(s)), _MARKED + ", c AS (SELECT series_id, count(*) AS k FROM m GROUP BY series_id) SELECT (SELECT count(*) FROM c) AS series, " + ", ".join(f"(SELECT {r(f'{f}(k)', n).split(' AS ')[0]} FROM c) AS {n}" for f, n in (("avg", "per_series_mean"), ("stddev_pop", "per_series_std"))) + ", (SELECT min(k) FROM c) AS per_series_min, (SELECT max(k) FROM c) AS per_series_max, round(avg(break_position), 6) AS position_mean, round(stddev_pop(break_position), 6) AS position_std, min(break_position) AS position_min, max(break_position) AS position_max, count(break_position) AS with_break, count(*) - count(break_position) AS without_break, round(count(break_position) / count(*), 6) AS break_ratio FROM m")

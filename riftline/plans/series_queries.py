@@ -150,9 +150,9 @@ def _window_sums(windows: DataFrame) -> DataFrame:
 
 
 register("series_profile", vector_series, lambda s: to_arrays(s).select("series_id", "boundary", "length", F.size("before").cast("long").alias("n0"), F.size("after").cast("long").alias("n1")), V + " SELECT series_id, coalesce(min(t) FILTER (WHERE period = 1), count(*)) AS boundary, count(*) AS length, count(*) FILTER (WHERE period = 0) AS n0, count(*) FILTER (WHERE period = 1) AS n1 FROM s GROUP BY series_id")
-register("sliding_windows", type_series, lambda s: _window_sums(datasets.sliding_windows(to_arrays(s), 100, 20)), E + _WINDOWS.format(size=100, stride=20) + f" SELECT series_id, window_start, round({_SUMMED.format(size=100)}, 3) AS total FROM w", 3)
-register("break_windows", type_series, lambda s: _window_sums(datasets.break_windows(to_arrays(s), 100, 5)), E + _WINDOWS.format(size=100, stride=5) + f" SELECT series_id, window_start, boundary - window_start AS break_position, round({_SUMMED.format(size=100)}, 3) AS total FROM w WHERE window_start + 10 <= boundary AND boundary <= window_start + 90", 3)
-register("boundary_windows", user_series, lambda s: _window_sums(datasets.boundary_windows(to_arrays(s), 20)), U + ", i AS (SELECT *, row_number() OVER (PARTITION BY series_id, period ORDER BY CASE WHEN period = 0 THEN -t ELSE t END) AS i, count(*) FILTER (WHERE period = 0) OVER (PARTITION BY series_id) AS n0, count(*) FILTER (WHERE period = 1) OVER (PARTITION BY series_id) AS n1 FROM s) SELECT series_id, round(sum(value), 3) AS total FROM i WHERE i <= 10 AND n0 >= 10 AND n1 >= 10 GROUP BY series_id", 3)
+register("sliding_windows", type_series, lambda s: _window_sums(datasets.sliding_windows(s, 100, 20)), E + _WINDOWS.format(size=100, stride=20) + f" SELECT series_id, window_start, round({_SUMMED.format(size=100)}, 3) AS total FROM w", 3)
+register("break_windows", type_series, lambda s: _window_sums(datasets.break_windows(s, 100, 5)), E + _WINDOWS.format(size=100, stride=5) + f" SELECT series_id, window_start, boundary - window_start AS break_position, round({_SUMMED.format(size=100)}, 3) AS total FROM w WHERE window_start + 10 <= boundary AND boundary <= window_start + 90", 3)
+register("boundary_windows", user_series, lambda s: _window_sums(datasets.boundary_windows(s, 20)), U + ", i AS (SELECT *, row_number() OVER (PARTITION BY series_id, period ORDER BY CASE WHEN period = 0 THEN -t ELSE t END) AS i, count(*) FILTER (WHERE period = 0) OVER (PARTITION BY series_id) AS n0, count(*) FILTER (WHERE period = 1) OVER (PARTITION BY series_id) AS n1 FROM s) SELECT series_id, round(sum(value), 3) AS total FROM i WHERE i <= 10 AND n0 >= 10 AND n1 >= 10 GROUP BY series_id", 3)
 _LABELS = ", l AS (SELECT series_id, bool_or(has_break) AS has_break FROM s GROUP BY series_id), h AS (SELECT *, (series_id * 2654435761 + 42) % 4294967296 AS h FROM l)"
 register("random_sample", planted, lambda s: datasets.random_sample(datasets.labels_of(s), 10), B + _LABELS + " SELECT series_id, has_break FROM h ORDER BY h, series_id LIMIT 10")
 register("balanced_sample", planted, lambda s: datasets.balanced_sample(datasets.labels_of(s), 12), B + _LABELS + ", n AS (SELECT count(*) FILTER (WHERE has_break) AS p, count(*) FILTER (WHERE NOT has_break) AS q FROM l) SELECT series_id, has_break FROM h, n QUALIFY row_number() OVER (PARTITION BY has_break ORDER BY h, series_id) <= CASE WHEN has_break THEN greatest(6, 12 - q) ELSE greatest(6, 12 - p) END")

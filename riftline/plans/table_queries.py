@@ -51,12 +51,12 @@ def _buckets(series: DataFrame) -> DataFrame:
 
 
 def _padded_sums(series: DataFrame) -> DataFrame:
-    w = datasets.inference_windows(to_arrays(series), SIZE, STRIDE)
+    w = datasets.inference_windows(series, SIZE, STRIDE)
     return w.select("series_id", "window_start", F.aggregate("window", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 def _standardised_sums(series: DataFrame) -> DataFrame:
-    z = datasets.standardised(datasets.sliding_windows(to_arrays(series), 100, STRIDE))
+    z = datasets.standardised(datasets.sliding_windows(series, 100, STRIDE))
     return z.groupBy("series_id", "window_start").agg(F.sum("z").alias("z"))
 
 
