@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import named_texts, stored
+from .common import in_portions, named_texts, stored
 from .wordbpe import merger
 
 END = (0).to_bytes(4, "little")
@@ -46,7 +46,7 @@ def cut_into_pieces(texts: DataFrame, vocabulary: str, capacity: int, with_ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, step, row = merger(vocabulary), 4 * capacity, TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in in_portions(batches):
             of, rows, parts = [], [], []
             for n, text in enumerate(b.column("text").to_pylist()):
                 ids = m.packed(text or "") + END

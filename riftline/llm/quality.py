@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, named_texts, training_ids, with_results
+from .common import held_out, in_portions, named_texts, training_ids, with_results
 
 PASSAGE_WORDS = 60
 #: Labelled documents of each label that training reads, at most.
@@ -164,7 +164,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_portions(batches):
             yield b.filter(pa.array(score_texts(model.value, b.column("text").to_pylist()) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

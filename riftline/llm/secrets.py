@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import named_texts, with_results
+from .common import in_portions, named_texts, with_results
 from .automaton import Scan, parse
 
 
@@ -106,7 +106,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = compiled.value
-        for b in batches:
+        for b in in_portions(batches, text_column):
             at = b.schema.get_field_index(text_column)
             texts = [None if t is None else redact(t, s.scan(t), rules) for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))

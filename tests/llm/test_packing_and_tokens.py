@@ -1,11 +1,13 @@
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from riftline.llm.common import TEXT_BYTES, in_portions
 from riftline.llm.packing import pack, places, plan
 from riftline.llm.token_counts import count_tokens, prove_whole_tokens
 from riftline.llm.wordbpe import merger, vocabulary_path
@@ -76,3 +78,14 @@ def test_pack(spark, documents, odd_texts, library):
 def test_empty_table(spark, documents):
     assert pack(documents([]), PATH).count() == 0
     assert count_tokens(documents([]), PATH).count() == 0
+
+
+def test_texts_reach_a_worker_in_bounded_portions():
+    """Every row once and in order; beside its longest text, which stays whole, a portion is bounded in bytes."""
+    texts = ["x" * 1000] * 5000 + [None, ""] * 50 + ["y" * 3 * TEXT_BYTES, "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    portions = list(in_portions(iter([batch, batch.slice(0, 0), batch.slice(7, 3)])))
+    assert [i for p in portions for i in p.column("doc_id").to_pylist()] == [*range(len(texts)), 7, 8, 9]
+    assert [t for p in portions for t in p.column("text").to_pylist()] == [*texts, *texts[7:10]]
+    sizes = [[len(t or "") for t in p.column("text").to_pylist()] for p in portions]
+    assert len(portions) > 3 and all(sum(s) - max(s) <= TEXT_BYTES for s in sizes)
