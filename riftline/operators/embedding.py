@@ -147,7 +147,8 @@ def factor_regression(series: DataFrame, lags: int = 3) -> DataFrame:
     """R squared of each period's regression on its lags with the difference and Chow's F, and how far the lags' correlations change."""
     k, m = lags, lags + 1
     f = fits(series, first_lags(k))
-    co = lambda i, j, p: F.col(f"p{min(i, j)}_{max(i, j)}_{p}") - over(F.col(f"s{i}_{p}") * F.col(f"s{j}_{p}"), F.col(f"n_{p}"))
+    part = lambda i, j, p: F.col(f"p{min(i, j)}_{max(i, j)}_{p}") - over(F.col(f"s{i}_{p}") * F.col(f"s{j}_{p}"), F.col(f"n_{p}"))
+    co = lambda i, j, p: sum((part(a, b, p) for a in range(i, m) for b in range(j, m)), F.lit(0.0))  # a lag is the sum of the differences from it on
     r2 = lambda p: 1 - over(F.col(f"rss_{p}"), co(0, 0, p))
     corr = lambda i, j, p: over(co(i, j, p), F.sqrt(co(i, i, p) * co(j, j, p)))
     changes = F.array(*[F.abs(corr(i, j, "1") - corr(i, j, "0")) for i in range(m) for j in range(i + 1, m)])

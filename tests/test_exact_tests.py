@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from riftline.functions import special
-from riftline.operators import normality
+from riftline.operators import lagged, normality
 
 
 def mixed(n, m):
@@ -73,3 +73,18 @@ def test_size_of_the_tests(spark):
     df = spark.createDataFrame([(k, t, float(v), 0) for k, row in enumerate(x) for t, v in enumerate(row)], "series_id long, t long, value double, period int")
     got = normality.tests(df).toPandas()
     assert 0.02 < (got["shapiro_p"] < 0.05).mean() < 0.09 and 0.02 < (got["ad_p"] < 0.05).mean() < 0.09
+
+
+def test_lags_that_are_almost_equal_keep_their_digits(spark):
+    """A series of values repeated 60 times: equal residuals stay equal, and sums of squares are those of a long-double fit."""
+    v = np.repeat(np.round(np.random.default_rng(5).gamma(2, 40, size=60), 2), 60)
+    s = spark.createDataFrame([(1, t, float(x), int(t >= 2400)) for t, x in enumerate(v)], "series_id long, t long, value double, period int")
+    e = {r["t"]: r["value"] for r in lagged.period_residuals(s, (1, 2, 3, 4, 5)).collect()}
+    for a, b in ((0, 2400), (2400, 3600)):
+        w = v[a:b]
+        x = np.column_stack([w[5 - j : len(w) - j] for j in range(6)]) * 100
+        d = np.column_stack([x[:, :-1] - x[:, 1:], x[:, -1]]) / 100  # whole hundredths, so differences are right to the last digit
+        d = d - d.mean(0)
+        exact = d[:, 0] - d[:, 1:] @ np.linalg.lstsq(d[:, 1:], d[:, 0], rcond=None)[0]
+        got = np.array([e[t] for t in range(a + 5, b)])
+        assert np.abs(got - exact).max() < 5e-12
