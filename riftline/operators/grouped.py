@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 Numbers = dict[str, float]
+#: Windows or rows of lags that are made at a time where sums of them are enough.
+BLOCK = 65_536
 
 
 def per_series(series: DataFrame, function: Callable[[np.ndarray, np.ndarray], Numbers], names: list[str]) -> DataFrame:
@@ -308,14 +310,24 @@ def linear_autoencoder(before: np.ndarray, after: np.ndarray, window: int = 16,
     if cut < 2 * window or len(before) - cut < window or len(after) < window:
         return {}
     train = embedded(before[:cut], window)
-    mean, scale = train.mean(), train.std() + 1e-8
-    centre = ((train - mean) / scale).mean(0)
-    v = np.linalg.svd((train - mean) / scale - centre, full_matrices=False)[2][:width]
+    mean = train.mean()
+    scale = np.sqrt(sum(((train[at : at + BLOCK] - mean) ** 2).sum() for at in range(0, len(train), BLOCK)) / train.size) + 1e-8
+    centre = (train.mean(0) - mean) / scale
+
+    def standard(x: np.ndarray):
+        w = embedded(x, window)
+        return ((w[at : at + BLOCK] - mean) / scale - centre for at in range(0, len(w), BLOCK))
+
+    v = np.linalg.eigh(sum(z.T @ z for z in standard(before[:cut])))[1].T[::-1][:width]
 
     def measured(x: np.ndarray) -> tuple[float, float]:
-        z = (embedded(x, window) - mean) / scale - centre
-        back = z @ v.T @ v
-        return ((z - back) ** 2).mean(), np.corrcoef(z.ravel(), back.ravel())[0, 1]
+        n, error, sums, products = 0, 0.0, np.zeros(2), np.zeros((2, 2))
+        for z in standard(x):
+            back = z @ v.T @ v
+            both = np.stack([z.ravel(), back.ravel()])
+            n, error, sums, products = n + z.size, error + ((z - back) ** 2).sum(), sums + both.sum(1), products + both @ both.T
+        c = products / n - np.outer(sums, sums) / n**2
+        return error / n, c[0, 1] / np.sqrt(c[0, 0] * c[1, 1])
 
     (e0, c0), (e1, c1) = measured(before[cut:]), measured(after)
     return {"error_0": e0, "error_1": e1, "error_ratio": e1 / (e0 + 1e-8), "error_diff": e1 - e0, "correlation_0": c0, "correlation_1": c1}

@@ -2,13 +2,14 @@
 
 import itertools
 import math
+import tracemalloc
 from statistics import NormalDist
 
 import numpy as np
 import pytest
 
 from riftline.functions import special
-from riftline.operators import lagged, normality
+from riftline.operators import grouped, lagged, normality
 
 
 def mixed(n, m):
@@ -88,3 +89,27 @@ def test_lags_that_are_almost_equal_keep_their_digits(spark):
         exact = d[:, 0] - d[:, 1:] @ np.linalg.lstsq(d[:, 1:], d[:, 0], rcond=None)[0]
         got = np.array([e[t] for t in range(a + 5, b)])
         assert np.abs(got - exact).max() < 5e-12
+
+
+def peak_mb(function, *series):
+    tracemalloc.start()
+    got = function(*series)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return got, peak
+
+
+def test_autoencoder_in_blocks():
+    """The same numbers as with all windows at once, in memory that grows with the values, not with the windows."""
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(50, 3, size=400_000).cumsum() % 97, rng.normal(size=150_000)
+    got, peak = peak_mb(grouped.linear_autoencoder, a, b)
+    assert peak < 60
+    train = np.lib.stride_tricks.sliding_window_view(a[:280_000], 16)
+    m, s = train.mean(), train.std() + 1e-8
+    centre = ((train - m) / s).mean(0)
+    v = np.linalg.eigh(np.cov((train - m).T / s))[1][:, -4:]
+    for k, x in ((0, a[280_000:]), (1, b)):
+        z = (np.lib.stride_tricks.sliding_window_view(x, 16) - m) / s - centre
+        back = z @ v @ v.T
+        assert np.isclose(got[f"error_{k}"], ((z - back) ** 2).mean()) and np.isclose(got[f"correlation_{k}"], np.corrcoef(z.ravel(), back.ravel())[0, 1])
