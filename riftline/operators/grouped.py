@@ -391,14 +391,24 @@ def predictability(before: np.ndarray, after: np.ndarray, lags: int = 6, folds:
     x = np.concatenate([before, after])
     if len(x) < lags + 1 + 2 * (folds + 1):
         return {}
-    a, y = design(x, list(range(1, lags + 1)))
-    ends = np.linspace(0, len(y), folds + 2).astype(int)
-    scores = []
+    x = x - x.mean()
+    ends = np.linspace(0, len(x) - lags, folds + 2).astype(int)
+
+    def blocks(low: int, high: int):
+        for at in range(low, high, BLOCK):
+            yield design(x[at : min(at + BLOCK, high) + lags], list(range(1, lags + 1)))
+
+    def products(low: int, high: int) -> np.ndarray:
+        return sum(b.T @ b for b in (np.column_stack(parts) for parts in blocks(low, high)))
+
+    scores, known = [], products(0, ends[1])
     for low, high in zip(ends[1:-1], ends[2:], strict=True):
-        beta = np.linalg.lstsq(a[:low], y[:low], rcond=None)[0]
-        total = np.sum((y[low:high] - y[low:high].mean()) ** 2)
+        beta = np.linalg.lstsq(known[:-1, :-1], known[:-1, -1], rcond=None)[0]
+        y = x[low + lags : high + lags]
+        total = np.sum((y - y.mean()) ** 2)
         if total > 0:
-            scores.append(1 - np.sum((y[low:high] - a[low:high] @ beta) ** 2) / total)
+            scores.append(1 - sum(np.sum((y - a @ beta) ** 2) for a, y in blocks(low, high)) / total)
+        known = known + products(low, high)
     return {"r2": float(np.mean(scores))} if scores else {}
 
 

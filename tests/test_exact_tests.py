@@ -113,3 +113,16 @@ def test_autoencoder_in_blocks():
         z = (np.lib.stride_tricks.sliding_window_view(x, 16) - m) / s - centre
         back = z @ v @ v.T
         assert np.isclose(got[f"error_{k}"], ((z - back) ** 2).mean()) and np.isclose(got[f"correlation_{k}"], np.corrcoef(z.ravel(), back.ravel())[0, 1])
+
+
+def test_autoregression_in_blocks():
+    rng = np.random.default_rng(6)
+    x = np.convolve(rng.normal(size=700_005), [1, 0.6, 0.3, 0.2, 0.1, 0.05], "valid")
+    got, peak = peak_mb(grouped.predictability, x[:500_000], x[500_000:])
+    assert peak < 45
+    a = np.column_stack([np.ones(len(x) - 6), *(x[6 - k : len(x) - k] for k in range(1, 7))])
+    ends, y, scores = np.linspace(0, len(x) - 6, 7).astype(int), x[6:], []
+    for low, high in zip(ends[1:-1], ends[2:], strict=True):
+        e = y[low:high] - a[low:high] @ np.linalg.lstsq(a[:low], y[:low], rcond=None)[0]
+        scores.append(1 - e @ e / ((y[low:high] - y[low:high].mean()) ** 2).sum())
+    assert np.isclose(got["r2"], np.mean(scores))
