@@ -166,9 +166,10 @@ def evidence(series: DataFrame) -> DataFrame:
         "timescales": _average([ladder(_relative(c(f"{k}0"), c(f"{k}1")), SPREAD_LADDER) for k in "rvs"]),
         "location_scale": F.when(c("mad") < NARROW, 0.0).otherwise(F.least(F.lit(MOST), ladder(F.abs(c("q1_50") - c("q0_50")) / c("mad"), LOCATION_LADDER) + F.coalesce(ladder(F.when(c("mad0") + c("mad1") > NARROW, F.abs(c("mad1") - c("mad0")) / (c("mad0") + c("mad1"))), SCALE_LADDER), F.lit(0.0)))),
     }
-    patterns = permutation_entropy(series).select("series_id", (F.abs("entropy_diff") / math.log2(6)).alias("pattern_change"))
+    # Entropies are compared as their own queries give them, rounded: a change on a bound then doesn't depend on the order of sums.
+    patterns = permutation_entropy(series).select("series_id", (F.abs(F.round("entropy_diff", 6)) / math.log2(6)).alias("pattern_change"))
     none = F.lit(0.0)
-    regular = approximate_entropy(series).select("series_id", F.abs(F.coalesce("apen_1", none) - F.coalesce("apen_0", none)).alias("regularity_change"))
+    regular = approximate_entropy(series).select("series_id", F.abs(F.coalesce(F.round("apen_1", 5), none) - F.coalesce(F.round("apen_0", 5), none)).alias("regularity_change"))
     g = g.join(patterns, "series_id", "left").join(regular, "series_id", "left")
     kinds["entropy"] = F.least(F.lit(MOST), F.coalesce(ladder(c("pattern_change"), PERMUTATION_LADDER), none) + F.coalesce(ladder(c("regularity_change"), REGULARITY_LADDER), none))
     e = g.select("series_id", "n", *[F.when(enough(LEAST_MOMENTS if k in ("moments", "entropy") else LEAST), x).otherwise(0.0).alias(k) for k, x in kinds.items()])

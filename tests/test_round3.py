@@ -4,9 +4,12 @@ import math
 
 import duckdb
 
-from riftline.operators import shape
+from riftline.operators import evidence, shape
+from riftline.plans.evidence_queries import ORACLES as EVIDENCES
 from riftline.plans.series_queries import ORACLES
 
+EVIDENCE = EVIDENCES["break_evidence"]
+
 
 def test_reversion_of_short_and_constant_periods_is_the_sql(spark):
     """Periods of one spread, of one pair of spreads and of equal spreads; a series without any pair keeps its row."""
@@ -26,3 +29,17 @@ def test_reversion_of_short_and_constant_periods_is_the_sql(spark):
         for n, y in row.items():
             x = got[k][n]
             assert x == y or (math.isnan(x) and math.isnan(y)) or abs(x - y) < 1e-6, (k, n, x, y)
+
+
+def test_evidence_of_a_change_of_regularity_on_its_bound(spark):
+    """The approximate entropies, 0.60937 and 0.40937, differ by the bound 0.2, which isn't exceeded."""
+    before = [27.35, 100.31, 12.7, 34.92, 40.98, 168.78, 215.27, 14.22, 19.97, 22.01, 32.8, 22.58, 6.96, 36.68, 55.4, 86.66, 132.16, 39.02, 75.07, 96.1, 32.03, 13.8, 86.13, 40.45, 28.58, 47.92, 62.9, 9.83, 18.73, 34.23, 5.72, 59.72, 75.97, 59.69, 42.45, 34.84, 404.27, 20.65]
+    after = [7.15, 16.92, 61.11, 13.53, 30.48, 57.68, 122.74, 15.36, 19.32, 169.78, 36.51, 24.95, 53.42, 8.07, 29.86, 0.06, 55.26, 111.12, 22.31, 59.83, 6.86, 69.67, 25.66, 188.27, 223.47, 63.72, 10.06, 18.82]
+    rows = [(1, t, v, int(t >= len(before))) for t, v in enumerate(before + after)]
+    got = evidence.evidence(spark.createDataFrame(rows, "series_id long, t long, value double, period int")).first()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (user_id BIGINT, event_id BIGINT, ts TIMESTAMP, value DOUBLE)")
+    con.executemany("INSERT INTO events VALUES (?, ?, TIMESTAMP '2024-01-01' + to_days(CAST(? AS INTEGER)) + to_seconds(?), ?)", [(k, t, 22 * p, t, v) for k, t, v, p in rows])
+    cursor = con.execute(EVIDENCE)
+    want = dict(zip([d[0] for d in cursor.description], cursor.fetchone(), strict=True))
+    assert want["entropy"] == 0.0 and all(abs(got[n] - x) < 1e-5 for n, x in want.items())
