@@ -79,19 +79,22 @@ def usable(vector: Column) -> Column:
 
 
 def with_strings(rows: DataFrame, trees: int) -> DataFrame:
-    """Adds ``strings``, and a place among all vectors: block and place, to rows with ``embedding``."""
+    """Adds ``strings`` to rows with ``embedding``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, n = TaskContext.get().partitionId(), 0
         for b in batches:
             for _, part in b.groupby(b["embedding"].map(len).to_numpy()):
-                number = n + np.arange(len(part))
-                n += len(part)
-                codes = strings(np.stack(part["embedding"].to_numpy()).astype(np.float64), trees)
-                yield part.assign(strings=list(codes), block=(task << 32) + number // BLOCK_ROWS, place=(number % BLOCK_ROWS).astype(np.int32))
+                yield part.assign(strings=list(strings(np.stack(part["embedding"].to_numpy()).astype(np.float64), trees)))
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(run, f"{columns}, strings array<bigint>, block bigint, place int")
+    return rows.mapInPandas(run, f"{columns}, strings array<bigint>")
+
+
+def placed(rows: DataFrame, total: int) -> DataFrame:
+    """Adds a place among all ``total`` vectors: block, of about BLOCK_ROWS however the table is dealt, and place in it."""
+    dealt = settled(rows.repartition(total // BLOCK_ROWS + 1, F.xxhash64("ids")))
+    number = F.monotonically_increasing_id()  # of rows that are read from the checkpoint: the partition above 33 bits, the row below
+    return dealt.withColumn("number", number).select(*rows.columns, F.shiftright("number", 33).alias("block"), F.col("number").bitwiseAND(F.lit((1 << 33) - 1)).cast("int").alias("place"))
 
 
 def shared_level(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -175,26 +178,32 @@ def prefix_ranges(array: np.ndarray, strings_: np.ndarray, level: int | np.ndarr
 
 
 def count_prefixes(rows: pd.DataFrame, asked: pd.DataFrame, level: int) -> pd.DataFrame:
-    """How many other vectors of the array share each query's prefix of each level from ``level`` on."""
-    array, own, out = np.sort(rows["string"].to_numpy()), asked["string"].to_numpy(), []
+    """How many other vectors of the array share each query's prefix of each level from ``level`` on: one row for each query, up to the last level that another shares."""
+    array, own = np.sort(rows["string"].to_numpy()), asked["string"].to_numpy()
+    shared = []
     for at in range(level, LEVELS + 1):
         low, high = prefix_ranges(array, own, np.full(len(own), at))
         if not (high - low > 1).any():
             break
-        out.append(pd.DataFrame({"query_id": asked["query_id"].to_numpy(), "level": at, "n": high - low - 1})[high - low > 1])
-    return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "level", "n"], dtype=object)
+        shared.append(high - low - 1)
+    if not shared:
+        return pd.DataFrame(columns=["query_id", "counts"], dtype=object)
+    counts = np.stack(shared, axis=1)
+    met = counts[:, 0] > 0  # counts fall from level to level
+    return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[met], "counts": [c[c > 0] for c in counts[met]]})
 
 
 def list_candidates(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """The places, by block, of the vectors under each query's prefix of its level."""
+    """The vectors under each query's prefix of its level: one row for each query, with blocks and the places in each."""
     order = np.argsort(rows["string"].to_numpy(), kind="stable")
     array, block, place = (rows[c].to_numpy()[order] for c in ("string", "block", "place"))
     low, high = prefix_ranges(array, asked["string"].to_numpy(), asked["level"].to_numpy(np.int64))
     out = []
     for query_id, a, b in zip(asked["query_id"], low, high, strict=True):
-        for one in np.unique(block[a:b]):
-            out.append((query_id, one, place[a:b][block[a:b] == one]))
-    return pd.DataFrame(out, columns=["query_id", "block", "places"], dtype=object)
+        by_block = np.argsort(block[a:b], kind="stable")
+        blocks, starts = np.unique(block[a:b][by_block], return_index=True)
+        out.append((query_id, blocks, np.split(place[a:b][by_block], starts[1:]) if len(blocks) else []))
+    return pd.DataFrame(out, columns=["query_id", "blocks", "places"], dtype=object)
 
 
 def score_block(rows: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -246,11 +255,13 @@ def candidates(indexed: DataFrame, queries: DataFrame, total: int, trees: int, l
     found, open_ = None, queries
     while True:
         forest = Forest(indexed, level, total, trees)
-        counts = forest.ask(open_, lambda a, b, level=level: count_prefixes(a, b, level), "query_id bigint, level int, n bigint")
-        met = counts.groupBy("query_id", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        counts = forest.ask(open_, lambda a, b, level=level: count_prefixes(a, b, level), "query_id bigint, counts array<bigint>")
+        each = counts.select("query_id", F.posexplode("counts").alias("at", "n")).select("query_id", (F.col("at") + level).alias("level"), "n")
+        met = each.groupBy("query_id", "level").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         reached = settled(open_.join(met.groupBy("query_id").agg(F.max("level").alias("level")), "query_id", "left"))
         ready = reached.withColumn("level", F.coalesce("level", F.lit(0))) if level == 0 else reached.where("level IS NOT NULL")
-        part = settled(forest.ask(ready, list_candidates, "query_id bigint, block bigint, places array<int>", "level"))
+        listed = forest.ask(ready, list_candidates, "query_id bigint, blocks array<bigint>, places array<array<int>>", "level")
+        part = settled(listed.select("query_id", F.explode(F.arrays_zip("blocks", "places")).alias("one")).select("query_id", "one.blocks", "one.places").withColumnRenamed("blocks", "block"))
         found = part if found is None else found.unionByName(part)
         open_ = reached.where("level IS NULL").drop("level")
         if level == 0 or open_.isEmpty():
@@ -276,10 +287,11 @@ def nearest(
     equal = [F.xxhash64("embedding"), F.xxhash64(F.lit(SEED), "embedding"), F.size("embedding")]
     numbered = rows.withColumn("r", F.row_number().over(Window.partitionBy(*equal).orderBy("vec_id"))).where(F.col("r") <= k + 1)
     distinct = numbered.groupBy(*[e.alias(f"e{n}") for n, e in enumerate(equal)]).agg(F.array_sort(F.collect_set("vec_id")).alias("ids"), F.first("embedding").alias("embedding"))
-    indexed = settled(with_strings(distinct.select("ids", "embedding"), trees))
+    coded = settled(with_strings(distinct.select("ids", "embedding"), trees))
+    total = coded.count()
+    indexed = placed(coded, total)
     asked = rows.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
-    queries = settled(with_strings(asked, trees).drop("block", "place"))
-    total = indexed.count()
+    queries = settled(with_strings(asked, trees))
     met = settled(candidates(indexed, queries, total, trees, needed(indexed, queries, k, trees, least, recall)))
 
     # Blocks with very many candidates are scored by several tasks, each with some of the queries.

@@ -3,6 +3,10 @@
 import math
 
 import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from riftline.operators import evidence, shape
 from riftline.plans.evidence_queries import ORACLES as EVIDENCES
@@ -43,3 +47,21 @@ def test_evidence_of_a_change_of_regularity_on_its_bound(spark):
     cursor = con.execute(EVIDENCE)
     want = dict(zip([d[0] for d in cursor.description], cursor.fetchone(), strict=True))
     assert want["entropy"] == 0.0 and all(abs(got[n] - x) < 1e-5 for n, x in want.items())
+
+
+def test_candidates_of_near_copies_are_one_row_a_query_and_tree(spark):
+    """Near copies share prefixes of every level, and the table lies in many partitions: rows still are one for each query, tree and block."""
+    ann = pytest.importorskip("riftline.llm.ann")
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 2, 400) + (5 << ann.BITS)  # strings that differ in the last bit only
+    rows = pd.DataFrame({"string": codes, "block": np.arange(400) % 3, "place": np.arange(400) // 3})
+    asked = pd.DataFrame({"query_id": np.arange(50), "string": codes[:50], "level": np.full(50, 1)})
+    counts = ann.count_prefixes(rows, asked, 1)
+    assert counts["query_id"].tolist() == list(range(50)) and all(len(c) == ann.LEVELS and c[0] == 399 for c in counts["counts"])
+    assert [c[-1] + 1 for c in counts["counts"]] == [(codes == x).sum() for x in codes[:50]]
+    listed = ann.list_candidates(rows, asked)
+    assert listed["query_id"].tolist() == list(range(50))
+    assert all(sorted(zip(np.repeat(b, [len(p) for p in ps]), np.concatenate(ps))) == sorted(zip(rows["block"], rows["place"])) for b, ps in zip(listed["blocks"], listed["places"]))
+    vectors = spark.range(500).select(F.array("id").alias("ids"), F.col("id").alias("v")).repartition(60)
+    blocks = ann.placed(vectors, 500).groupBy("block").agg(F.count("*").alias("n"), F.countDistinct("place").alias("k"), F.max("place").alias("m")).collect()
+    assert [(r["n"], r["k"], r["m"]) for r in blocks] == [(500, 500, 499)]
