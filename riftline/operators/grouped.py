@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 Numbers = dict[str, float]
 #: Windows or rows of lags that are made at a time where sums of them are enough.
 BLOCK = 65_536
+#: Variances of a grid of models that are held at a time.
+GRID_VALUES = 1_000_000
 
 
 def per_series(series: DataFrame, function: Callable[[np.ndarray, np.ndarray], Numbers], names: list[str]) -> DataFrame:
@@ -251,22 +253,34 @@ def epps_singleton(before: np.ndarray, after: np.ndarray, points: tuple[float, .
     return {"es": w}
 
 
+def garch_likelihoods(e: np.ndarray, v: float, grid: list[tuple[float, float]]) -> np.ndarray:
+    """Log likelihoods of GARCH(1, 1) on deviations e of variance v, for all (alpha, beta) of the grid at once.
+
+    One step in time serves the whole grid; variances are kept for about GRID_VALUES numbers at a time.
+    """
+    alpha, beta = np.array(grid).T
+    squares, omega = e**2, (1 - alpha - beta) * v
+    h, total, block = np.full(len(alpha), v), np.zeros(len(alpha)), max(1, GRID_VALUES // len(alpha))
+    for at in range(0, len(squares), block):
+        part = squares[at : at + block]
+        variances = np.empty((len(part), len(alpha)))
+        shocks = omega + np.multiply.outer(part, alpha)
+        for k in range(len(part)):
+            variances[k] = h
+            h = shocks[k] + beta * h
+        losses = 0.5 * (np.log(2 * np.pi * variances) + part[:, None] / variances)
+        total = np.subtract.reduce(np.concatenate([total[None], losses]), axis=0)
+    return total
+
+
 def garch_fit(x: np.ndarray) -> tuple[np.ndarray, float]:
     """(omega, alpha, beta) of the best GARCH(1, 1) on a refined grid, and its log likelihood."""
     e = x - x.mean()
     v = e.var()
-
-    def loglik(alpha: float, beta: float) -> float:
-        h, total = v, 0.0
-        for r in e**2:
-            total -= 0.5 * (np.log(2 * np.pi * h) + r / h)
-            h = (1 - alpha - beta) * v + alpha * r + beta * h
-        return total
-
     best, step, centre = (-np.inf, 0.05, 0.8), 0.2, (0.25, 0.5)
     for _ in range(4):
         grid = [(a, b) for a in centre[0] + step * np.arange(-2, 3) / 2 for b in centre[1] + step * np.arange(-2, 3) if 0 <= a and 0 <= b and a + b < 0.999]
-        best = max([best, *((loglik(a, b), a, b) for a, b in grid)])
+        best = max([best, *((l, a, b) for l, (a, b) in zip(garch_likelihoods(e, v, grid), grid, strict=True))])
         centre, step = best[1:], step / 3
     return np.array([(1 - best[1] - best[2]) * v, best[1], best[2]]), best[0]
 
