@@ -39,12 +39,21 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="riftline-")
 
 
+#: Spark's setting by which an execution's shuffle files go when it ends, instead of with the driver's objects.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and go on from there."""
-    sc = df.sparkSession.sparkContext
+    """Write ``df`` to the session's checkpoint folder and go on from there; the shuffle files that led to it go at once."""
+    sc, conf = df.sparkSession.sparkContext, df.sparkSession.conf
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    before = conf.get(CLEANED, "false")
+    conf.set(CLEANED, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the setting is read when a frame is made
+    finally:
+        conf.set(CLEANED, before)
 
 
 def stored(df: DataFrame) -> DataFrame:
