@@ -129,16 +129,24 @@ def labelled(series: DataFrame, names: tuple[str, ...] = tuple(EXTRACTORS)) -> D
     return filled(feature_matrix(series, names).join(labels, "series_id"))
 
 
-def out_of_fold(matrix: DataFrame, k: int = 3, kind: str = "gbt", **parameters) -> DataFrame:
-    """Scores of each series by a model of the other folds."""
+def out_of_folds(matrix: DataFrame, k: int, kinds: tuple[str, ...], **parameters) -> list[DataFrame]:
+    """For each kind, scores of each series by a model of the other folds; matrix and folds are made once for all."""
+    matrix = cut(matrix) if len(kinds) > 1 else matrix
     folds = datasets.stratified_folds(matrix.select("series_id", (F.col("label") == 1).alias("has_break")), k).select("series_id", "fold")
     m = matrix.join(folds, "series_id").persist()
-    parts = [predict(fit(m.where(F.col("fold") != f).drop("fold"), kind, **parameters), m.where(F.col("fold") == f)) for f in range(k)]
-    scores = cut(reduce(DataFrame.unionByName, parts))
+    scores = []
+    for kind in kinds:
+        parts = [predict(fit(m.where(F.col("fold") != f).drop("fold"), kind, **parameters), m.where(F.col("fold") == f)) for f in range(k)]
+        scores.append(cut(reduce(DataFrame.unionByName, parts)))
     m.unpersist()
     return scores
 
 
+def out_of_fold(matrix: DataFrame, k: int = 3, kind: str = "gbt", **parameters) -> DataFrame:
+    """Scores of each series by a model of the other folds."""
+    return out_of_folds(matrix, k, (kind,), **parameters)[0]
+
+
 def fold_gaps(matrix: DataFrame, k: int = 3, kind: str = "forest", **parameters) -> DataFrame:
     """AUC by fold on the rows that a model has learnt from and on the others, and the gap between the two."""
     folds = datasets.stratified_folds(matrix.select("series_id", (F.col("label") == 1).alias("has_break")), k).select("series_id", "fold")

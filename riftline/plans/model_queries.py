@@ -116,7 +116,7 @@ QUERIES = {
     "adaptive_cusum": lambda spark, sf_dir: rounded(lagged.adaptive(user_series(spark, sf_dir), lagged.cusum)),
     "adaptive_chow": lambda spark, sf_dir: rounded(lagged.adaptive(user_series(spark, sf_dir), lagged.chow)),
     "fold_gaps": lambda spark, sf_dir: features.fold_gaps(_matrix(spark, sf_dir)),
-    "five_models_auc": lambda spark, sf_dir: evaluation.auc(features.vote([features.out_of_fold(_matrix(spark, sf_dir), 3, kind) for kind in ("gbt", "forest", "logistic", "tree", "bayes")])),
+    "five_models_auc": lambda spark, sf_dir: evaluation.auc(features.vote(features.out_of_folds(_matrix(spark, sf_dir), 3, ("gbt", "forest", "logistic", "tree", "bayes")))),
     "augmented_gain": lambda spark, sf_dir: selection.augmented_gain(planted(spark, sf_dir), FEW),
     "tpe_auc": lambda spark, sf_dir: selection.search_trees(_matrix(spark, sf_dir), tries=4, first=2),
     "synthetic_ar1": lambda spark, sf_dir: rounded(distribution.descriptive(synthetic.like_first_period(user_series(spark, sf_dir)))),

@@ -11,7 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from riftline.operators import evidence, grouped, shape
+from riftline.plans import features
 from riftline.plans.evidence_queries import ORACLES as EVIDENCES
+from riftline.plans.model_queries import QUERIES
 from riftline.plans.series_queries import ORACLES
 
 EVIDENCE = EVIDENCES["break_evidence"]
@@ -100,3 +102,11 @@ def test_garch_steps_once_in_time_for_the_whole_grid():
         assert grouped.garch_likelihoods(e, v, grid).tolist() == want
     finally:
         grouped.GRID_VALUES = kept
+
+
+def test_five_models_share_one_matrix(spark, monkeypatch):
+    made = []
+    whole = features.feature_matrix
+    monkeypatch.setattr(features, "feature_matrix", lambda *a: made.append(a) or whole(*a))
+    row = QUERIES["five_models_auc"](spark, "/root/testdata/sf0.001").collect()
+    assert len(made) == 1 and len(row) == 1
