@@ -110,3 +110,19 @@ def test_five_models_share_one_matrix(spark, monkeypatch):
     monkeypatch.setattr(features, "feature_matrix", lambda *a: made.append(a) or whole(*a))
     row = QUERIES["five_models_auc"](spark, "/root/testdata/sf0.001").collect()
     assert len(made) == 1 and len(row) == 1
+
+
+def test_models_learn_from_few_partitions(spark, monkeypatch):
+    """Each step of a model is a job over all partitions of its rows: they follow their size, not the number of shuffle partitions."""
+    rng = np.random.default_rng(4)
+    rows = [(i, float(i % 2), float(x)) for i, x in enumerate(rng.normal(size=200))]
+    setting, parts = spark.conf.get("spark.sql.shuffle.partitions"), []
+    fit = features.fit
+    monkeypatch.setattr(features, "fit", lambda m, *a, **k: parts.append(m.rdd.getNumPartitions()) or fit(m, *a, **k))
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        matrix = spark.createDataFrame(rows, "series_id long, label double, x double").repartition("series_id")
+        scores = features.out_of_fold(matrix, 2, "tree", depth=2)
+        assert scores.count() == 200 and len(parts) == 2 and max(parts) <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", setting)
