@@ -126,3 +126,26 @@ def test_autoregression_in_blocks():
         e = y[low:high] - a[low:high] @ np.linalg.lstsq(a[:low], y[:low], rcond=None)[0]
         scores.append(1 - e @ e / ((y[low:high] - y[low:high].mean()) ** 2).sum())
     assert np.isclose(got["r2"], np.mean(scores))
+
+
+def test_tail_evaluates_only_terms_that_count(monkeypatch):
+    """The limiting Cramer-von Mises tail with three or so of its 60 terms, to the last digit of the sum of all; lattice paths are counted once for each pair of sizes."""
+    asked, bessel = [], special._bessel_quarter
+    monkeypatch.setattr(special, "_bessel_quarter", lambda z: asked.append(np.size(z)) or bessel(z))
+    u = np.linspace(0, 12, 6001)
+    weight = np.where((u == 0) | (u == u[-1]), 0.5, 1.0) * u[1] * np.cosh(u / 4)
+    for t, n, m in ((0.05, 45, 22), (0.2, 30, 50), (1.3, 45, 22), (9.0, 21, 400)):
+        total, k = n + m, n * m
+        variance = (total + 1) * (4 * k * total - 3 * (n**2 + m**2) - 2 * k) / (45 * total**2 * 4 * k)
+        x = 1 / 6 + (t - (1 + 1 / total) / 6) / math.sqrt(45 * variance)
+        want = 0.0
+        for j in range(60):
+            y = (4 * j + 1) ** 2 / (16 * x)
+            want += math.exp(math.lgamma(j + 0.5) - math.lgamma(j + 1)) / math.sqrt(math.pi) * math.sqrt(4 * j + 1) * math.exp(-2 * y) * float((np.exp(-y * (np.cosh(u) - 1)) * weight).sum())
+        want = min(1.0, max(0.0, 1 - want / (math.pi * math.sqrt(x))))
+        assert special.cramer_von_mises_tail(t, n, m) == pytest.approx(want, abs=1e-14)
+    assert max(asked[:2]) <= 4 and max(asked) <= 30
+    special.cramer_von_mises_exact(0.3, 9, 8)
+    before = special._squared_gaps.cache_info().misses
+    special.cramer_von_mises_exact(0.4, 9, 8)
+    assert special._squared_gaps.cache_info().misses == before
