@@ -91,10 +91,18 @@ def with_strings(rows: DataFrame, trees: int) -> DataFrame:
 
 
 def placed(rows: DataFrame, total: int) -> DataFrame:
-    """Adds a place among all ``total`` vectors: block, of about BLOCK_ROWS however the table is dealt, and place in it."""
-    dealt = settled(rows.repartition(total // BLOCK_ROWS + 1, F.xxhash64("ids")))
-    number = F.monotonically_increasing_id()  # of rows that are read from the checkpoint: the partition above 33 bits, the row below
-    return dealt.withColumn("number", number).select(*rows.columns, F.shiftright("number", 33).alias("block"), F.col("number").bitwiseAND(F.lit((1 << 33) - 1)).cast("int").alias("place"))
+    """Adds a place among all ``total`` vectors, whose partitions must be settled: block, of about BLOCK_ROWS however the table is dealt, and place in it.
+
+    Vectors are numbered from 0 by what lies in the partitions before; blocks take them in turn.
+    """
+    part, number = F.spark_partition_id().alias("part"), F.monotonically_increasing_id()  # the partition above 33 bits, the row below
+    sizes = rows.groupBy(part).agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # a row for each partition
+    dealt = rows.select(*rows.columns, part, number.bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+    blocks, at = total // BLOCK_ROWS + 1, F.col("before") + F.col("row")
+    numbered = dealt.join(F.broadcast(offsets), "part").select(*rows.columns, at.alias("number"))
+    return numbered.select(*rows.columns, (F.col("number") % blocks).alias("block"), F.floor(F.col("number") / blocks).cast("int").alias("place"))
 
 
 def shared_level(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -289,7 +297,7 @@ def nearest(
     distinct = numbered.groupBy(*[e.alias(f"e{n}") for n, e in enumerate(equal)]).agg(F.array_sort(F.collect_set("vec_id")).alias("ids"), F.first("embedding").alias("embedding"))
     coded = settled(with_strings(distinct.select("ids", "embedding"), trees))
     total = coded.count()
-    indexed = placed(coded, total)
+    indexed = settled(placed(coded, total))
     asked = rows.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
     queries = settled(with_strings(asked, trees))
     met = settled(candidates(indexed, queries, total, trees, needed(indexed, queries, k, trees, least, recall)))

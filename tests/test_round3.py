@@ -126,3 +126,16 @@ def test_models_learn_from_few_partitions(spark, monkeypatch):
         assert scores.count() == 200 and len(parts) == 2 and max(parts) <= spark.sparkContext.defaultParallelism
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", setting)
+
+
+def test_blocks_follow_the_table_not_its_partitions(spark, monkeypatch):
+    """Vectors lie in blocks of one size in however many partitions a table is dealt anew, and each has a place of its own."""
+    ann = pytest.importorskip("riftline.llm.ann")
+    vectors = spark.range(500).select(F.array("id").alias("ids"), F.col("id").alias("v")).repartition(37)
+    whole = type(vectors).repartition
+    monkeypatch.setattr(type(vectors), "repartition", lambda self, n, *keys: whole(self, max(n, 64) if keys else n, *keys))
+    for rows, blocks in ((20_000, 1), (100, 6)):
+        monkeypatch.setattr(ann, "BLOCK_ROWS", rows)
+        got = ann.placed(vectors, 500).groupBy("block").agg(F.count("*").alias("n"), F.countDistinct("place").alias("k"), F.countDistinct("v").alias("v"), F.max("place").alias("m")).collect()
+        assert len(got) == blocks and sum(r["n"] for r in got) == 500 and max(r["n"] for r in got) == -(-500 // blocks)
+        assert all(r["n"] == r["k"] == r["v"] == r["m"] + 1 for r in got)
