@@ -48,24 +48,27 @@ _NEEDED = [f"needed{share}_{p}_{m}" for m in SIZES for share in (90, 95) for p i
 FACTOR_COLUMNS = [*_SHARES, "share_l1", "procrustes", "angle_max", "angle_mean", *_NEEDED]
 
 
-def correlation_matrix(n: int, products: np.ndarray, first: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
-    """Correlations of the columns of an embedding of centred values.
+def correlation_matrix(n: int | np.ndarray, products: np.ndarray, first: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
+    """Correlations of the columns of an embedding of centred values, of one period or (with a leading dimension) of many at once.
 
     products: sums over the whole period of values times values 0, 1, ... later; first, last: values at its ends, ``size`` or more.
     """
-    w = n - size + 1
-    tail = last[len(last) - size :]
-    heads = lambda d: np.r_[0, np.cumsum(first[: size - 1 - d] * first[d : size - 1])]
-    sums = -np.r_[0, np.cumsum(first[: size - 1])] - np.r_[np.cumsum(tail[::-1])[: size - 1][::-1], 0]
-    out = np.empty((size, size))
-    for d in range(size):
-        ends = tail[1 : size - d] * tail[1 + d : size]  # products that begin at n - size + 1 or later
-        after = np.r_[np.cumsum(ends[::-1])[::-1], 0]
-        for i in range(size - d):
-            out[i, i + d] = out[i + d, i] = products[d] - heads(d)[i] - after[i]
-    out = out / w - np.outer(sums, sums) / w**2
-    s = np.sqrt(np.maximum(np.diag(out), 0)) + 1e-8
-    return out / np.outer(s, s)
+    w = np.asarray(n - size + 1)[..., None, None]
+    head, tail = first[..., : size - 1], last[..., : -size : -1]  # the values before the last column, and from the end those after the first
+    zero = np.zeros((*head.shape[:-1], 1))
+
+    def run(x: np.ndarray) -> np.ndarray:
+        """By distance d and k: the sum of the first k products of values d apart."""
+        later = np.lib.stride_tricks.sliding_window_view(np.concatenate([x, np.zeros((*x.shape[:-1], size))], -1), size - 1, axis=-1)[..., :size, :]
+        return np.concatenate([np.zeros((*x.shape[:-1], size, 1)), np.cumsum(x[..., None, :] * later, -1)], -1)
+
+    i, j = np.indices((size, size))
+    d, low, high = np.abs(i - j), np.minimum(i, j), np.maximum(i, j)
+    out = products[..., d] - run(head)[..., d, low] - run(tail)[..., d, size - 1 - high]
+    sums = -np.concatenate([zero, np.cumsum(head, -1)], -1) - np.concatenate([np.cumsum(tail, -1)[..., ::-1], zero], -1)
+    out = out / w - sums[..., :, None] * sums[..., None, :] / w**2
+    s = np.sqrt(np.maximum(np.diagonal(out, axis1=-2, axis2=-1), 0)) + 1e-8
+    return out / (s[..., :, None] * s[..., None, :])
 
 
 def principal(matrices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,23 +79,32 @@ def principal(matrices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v * np.where(top < 0, -1, 1), values / np.maximum(values.sum(-1, keepdims=True), 1e-300)
 
 
-def _factor_numbers(row: pd.Series) -> list[float | None]:
-    out, spectra = {}, {}
-    for m in SIZES:
-        for p in (0, 1):
-            n = int(row[f"n{p}"] or 0)
-            if n - m + 1 >= (LEAST_WINDOWS if m == max(SIZES) else 10):
-                spectra[p, m] = principal(correlation_matrix(n, *(np.asarray(row[f"{c}{p}"], dtype=float) for c in ("products", "first", "last")), m))
-                for share in (90, 95):
-                    out[f"needed{share}_{p}_{m}"] = 1 + int(np.searchsorted(np.cumsum(spectra[p, m][1]), share / 100))
-    m = max(SIZES)
-    if (0, m) in spectra and (1, m) in spectra:
-        (v0, s0), (v1, s1) = ((v[:FACTORS], s[:FACTORS]) for v, s in (spectra[0, m], spectra[1, m]))
-        out |= {f"share{k + 1}_{p}": s[k] for p, s in ((0, s0), (1, s1)) for k in range(FACTORS)}
+def _factor_numbers(rows: pd.DataFrame) -> pd.DataFrame:
+    """FACTOR_COLUMNS of a batch of series; eigenvectors of all of them are found together."""
+    out, spectra, most = pd.DataFrame(np.nan, index=range(len(rows)), columns=FACTOR_COLUMNS), {}, max(SIZES)
+    for p in (0, 1):
+        n = rows[f"n{p}"].fillna(0).to_numpy(np.int64)
+        for m in SIZES:
+            at = np.flatnonzero(n - m + 1 >= (LEAST_WINDOWS if m == most else 10))
+            if not len(at):
+                continue
+            ends = {"products": slice(m), "first": slice(m - 1), "last": slice(-m, None)}
+            values = [np.stack([np.asarray(x, dtype=float)[cut] for x in rows[f"{c}{p}"].iloc[at]]) for c, cut in ends.items()]
+            vectors, shares = principal(correlation_matrix(n[at], *values, m))
+            for share in (90, 95):
+                out.loc[at, f"needed{share}_{p}_{m}"] = 1.0 + (np.cumsum(shares, -1) < share / 100).sum(-1)
+            if m == most:
+                spectra[p] = dict(zip(at.tolist(), zip(vectors[:, :FACTORS], shares[:, :FACTORS], strict=True), strict=True))
+    both = [k for k in spectra.get(0, {}) if k in spectra.get(1, {})]
+    found = []
+    for k in both:
+        (v0, s0), (v1, s1) = (spectra[p][k] for p in (0, 1))
         u, cosines, w = np.linalg.svd(v1 @ v0.T)
         angles = np.arccos(np.clip(cosines, -1, 1))
-        out |= {"share_l1": np.abs(s1 - s0).sum(), "procrustes": np.linalg.norm((u @ w).T @ v1 - v0), "angle_max": angles.max(), "angle_mean": angles.mean()}
-    return [float(out[c]) if c in out else None for c in FACTOR_COLUMNS]
+        found.append([*s0, *s1, np.abs(s1 - s0).sum(), np.linalg.norm((u @ w).T @ v1 - v0), angles.max(), angles.mean()])
+    if both:
+        out.loc[both, [*_SHARES, "share_l1", "procrustes", "angle_max", "angle_mean"]] = np.array(found)
+    return out
 
 
 def factors(series: DataFrame) -> DataFrame:
@@ -112,8 +124,7 @@ def factors(series: DataFrame) -> DataFrame:
 
     @F.pandas_udf(", ".join(f"{c} double" for c in FACTOR_COLUMNS))
     def numbers(n0: pd.Series, products0: pd.Series, first0: pd.Series, last0: pd.Series, n1: pd.Series, products1: pd.Series, first1: pd.Series, last1: pd.Series) -> pd.DataFrame:
-        whole = pd.DataFrame({"n0": n0.fillna(0), "products0": products0, "first0": first0, "last0": last0, "n1": n1.fillna(0), "products1": products1, "first1": first1, "last1": last1})
-        return pd.DataFrame([_factor_numbers(r) for _, r in whole.iterrows()], columns=FACTOR_COLUMNS)
+        return _factor_numbers(pd.DataFrame({"n0": n0, "products0": products0, "first0": first0, "last0": last0, "n1": n1, "products1": products1, "first1": first1, "last1": last1}))
 
     return rows.select("series_id", numbers(*[f"{k}{p}" for p in (0, 1) for k in names]).alias("f")).select("series_id", "f.*")
 

@@ -1,6 +1,7 @@
 """Embedded series against embeddings that are built, refits and direct transforms."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,36 @@ def test_spectrum_of_segments(spark):
                 continue
             want = np.mean([np.abs(np.fft.rfft(q)) ** 2 / 64 for q in parts], axis=0)[1:]
             assert [rows[k, p, j] for j in range(1, 33)] == pytest.approx(want.tolist())
+
+
+def test_factors_of_a_batch_share_their_eigenvector_calls(monkeypatch):
+    """One call for each size and period of a batch (one for each series before), with the numbers of embeddings that are built."""
+    calls, principal = [], embedding.principal
+    monkeypatch.setattr(embedding, "principal", lambda m: calls.append(m.shape) or principal(m))
+    rng = np.random.default_rng(6)
+    rows, series = [], []
+    for n0, n1 in ((60, 45), (39, 40), (25, 70), (19, 12), (41, 0), (50, 50)):
+        row, both = {}, []
+        for p, n in ((0, n0), (1, n1)):
+            x = rng.normal(size=n).cumsum()
+            x = x - x.mean() if n else x
+            both.append(x)
+            row |= {f"n{p}": float(n) if n else np.nan, f"products{p}": np.array([(x[: n - d] * x[d:]).sum() for d in range(min(20, n))]) if n else None, f"first{p}": x[:40] if n else None, f"last{p}": x[-20:] if n else None}
+        rows.append(row)
+        series.append(both)
+    got = embedding._factor_numbers(pd.DataFrame(rows))
+    assert len(calls) <= 2 * len(embedding.SIZES) and list(got.columns) == embedding.FACTOR_COLUMNS
+    for k, both in enumerate(series):
+        for p, x in enumerate(both):
+            for m in embedding.SIZES:
+                if len(x) - m + 1 < (20 if m == 20 else 10):
+                    assert np.isnan(got.loc[k, f"needed90_{p}_{m}"])
+                    continue
+                e = np.lib.stride_tricks.sliding_window_view(x, m)
+                values = np.linalg.eigvalsh(np.corrcoef(e.T))[::-1]
+                shares = values / values.sum()
+                assert got.loc[k, f"needed90_{p}_{m}"] == 1 + np.searchsorted(np.cumsum(shares), 0.9)
+                if m == 20 and min(map(len, both)) >= 39:
+                    assert np.allclose([got.loc[k, f"share{i}_{p}"] for i in (1, 2, 3)], shares[:3], atol=1e-6)
+        assert np.isnan(got.loc[k, "procrustes"]) == (min(map(len, both)) < 39)
+    assert embedding._factor_numbers(pd.DataFrame(rows).iloc[:0]).empty
