@@ -139,3 +139,19 @@ def test_blocks_follow_the_table_not_its_partitions(spark, monkeypatch):
         got = ann.placed(vectors, 500).groupBy("block").agg(F.count("*").alias("n"), F.countDistinct("place").alias("k"), F.countDistinct("v").alias("v"), F.max("place").alias("m")).collect()
         assert len(got) == blocks and sum(r["n"] for r in got) == 500 and max(r["n"] for r in got) == -(-500 // blocks)
         assert all(r["n"] == r["k"] == r["v"] == r["m"] + 1 for r in got)
+
+
+def test_search_learns_from_few_partitions(spark, monkeypatch):
+    """Every try of the search has the few partitions of its rows, too."""
+    from riftline.plans import selection
+
+    setting, parts, fit = spark.conf.get("spark.sql.shuffle.partitions"), [], features.fit
+    monkeypatch.setattr(features, "fit", lambda m, *a, **k: parts.append(m.rdd.getNumPartitions()) or fit(m, *a, **k))
+    monkeypatch.setattr(selection, "SPACE", selection.SPACE | {"maxIter": (1, 2, True, True)})
+    rows = [(i, float(i % 2), float(x)) for i, x in enumerate(np.random.default_rng(5).normal(size=100))]
+    spark.conf.set("spark.sql.shuffle.partitions", 32)
+    try:
+        found = selection.search_trees(spark.createDataFrame(rows, "series_id long, label double, x double"), tries=1, first=1)
+        assert found.count() == 1 and len(parts) == 2 and max(parts) <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", setting)
