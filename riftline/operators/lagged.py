@@ -73,7 +73,7 @@ def fits(series: DataFrame, lags: tuple[int, ...]) -> DataFrame:
     flat = lambda f: co(k, k, f) <= SINGULAR * F.col(f"p{k}_{k}_{f}")
     in_lags = lambda f: F.transform(f"slopes_{f}", lambda b, i: F.when(flat(f), 0.0).otherwise(b - F.when(i > 0, F.get(f"slopes_{f}", i - 1)).otherwise(-1.0)))
     right = lambda f: F.transform(f"rows_{f}", lambda r: F.get(r, k))
-    out = g.select("*", *[x for f in FITS for x in (centre(f).alias(f"centre_{f}"), F.greatest(co(0, 0, f) - dot(F.col(f"slopes_{f}"), right(f)), F.lit(0.0)).alias(f"rss_{f}"))])
+    out = g.select("*", *[x for f in FITS for x in (centre(f).alias(f"centre_{f}"), F.when(F.col(f"n_{f}") > 0, F.greatest(co(0, 0, f) - dot(F.col(f"slopes_{f}"), right(f)), F.lit(0.0))).alias(f"rss_{f}"))])
     at_rest = lambda f: F.col("mean") + over(F.col(f"s0_{f}") + F.col(f"s{k}_{f}") + sum((F.col(f"s{j}_{f}") for j in range(1, k)), F.lit(0.0)), F.col(f"n_{f}"))
     return out.select("*", *[x for f in FITS for x in (in_lags(f).alias(f"beta_{f}"), F.when(flat(f), at_rest(f)).otherwise(F.col(f"centre_{f}") - F.col("mean") * F.get(f"slopes_{f}", k - 1)).alias(f"intercept_{f}"))])
 
@@ -83,14 +83,17 @@ def first_lags(k: int) -> tuple[int, ...]:
 
 
 def chow(series: DataFrame, lags: tuple[int, ...]) -> DataFrame:
-    """Chow's F with its p-value, sums of squares and the distance between the coefficients of the two periods."""
+    """Chow's F with its p-value, sums of squares and the distance between the coefficients of the two periods.
+
+    F is infinite where both periods are fitted without a rest, and null where a period has no rows.
+    """
     f, m = fits(series, lags), len(lags) + 1
     d2, split = F.col("n_0") + F.col("n_1") - 2 * m, F.col("rss_0") + F.col("rss_1")
     gain = F.col("rss_full") - split
-    value = F.when((d2 > 0) & (gain > 0), over(gain / m, over(split, d2)))
+    value = F.when((d2 > 0) & (gain > 0), F.when(split == 0, F.lit(float("inf"))).otherwise(over(gain / m, over(split, d2))))
     apart = F.sqrt(F.aggregate(F.zip_with("beta_0", "beta_1", lambda a, b: (a - b) ** 2), (F.col("intercept_0") - F.col("intercept_1")) ** 2, lambda s, x: s + x))
     f = f.select("series_id", *[F.col(f"n_{x}").cast("long").alias(f"n_{x}") for x in FITS], *[f"rss_{x}" for x in FITS], value.alias("chow_f"), d2.alias("df2"), apart.alias("coef_distance"))
-    return f.withColumn("chow_p", f_p("chow_f", F.lit(float(m)), "df2"))
+    return f.withColumn("chow_p", F.when(F.col("chow_f") == float("inf"), 0.0).otherwise(f_p("chow_f", F.lit(float(m)), "df2")))
 
 
 def cusum(series: DataFrame, lags: tuple[int, ...]) -> DataFrame:
