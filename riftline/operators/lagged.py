@@ -141,12 +141,23 @@ def residuals(series: DataFrame, lags: tuple[int, ...]) -> DataFrame:
 
 
 def period_residuals(series: DataFrame, lags: tuple[int, ...]) -> DataFrame:
-    """Residuals of each period's own fit, in the form of a series, for the tests on distributions."""
-    f = fits(series, lags).select("series_id", *[f"{c}_{p}" for c in ("centre", "slopes") for p in (0, 1)])
-    z = F.array(*[F.col(f"z{j}") for j in range(1, len(lags) + 1)])
+    """Residuals of each period's own fit, in the form of a series, for the tests on distributions.
+
+    What the normal equations leave is fitted once more and taken off: their rounding would otherwise give the residuals of a period with as
+    many rows as coefficients, which are all 0, an order.
+    """
+    k = len(lags)
+    f = fits(series, lags).select("series_id", *[f"{c}_{p}" for c in ("centre", "slopes", "rows") for p in (0, 1)])
+    z = F.array(*[F.col(f"z{j}") for j in range(1, k + 1)])
     own = lambda c: F.when(F.col("period") == 0, F.col(f"{c}_0")).otherwise(F.col(f"{c}_1"))
     rows = with_lags(series, lags).where("own").join(f, "series_id")
-    return rows.select("series_id", "t", (F.col("z0") - own("centre") - dot(own("slopes"), z)).alias("value"), "period").where("value IS NOT NULL")
+    e = rows.select("series_id", "t", "period", z.alias("z"), own("rows").alias("rows"), (F.col("z0") - own("centre") - dot(own("slopes"), z)).alias("e")).where("e IS NOT NULL")
+    x = lambda j: F.get("z", j)
+    g = e.groupBy("series_id", "period").agg(F.first("rows").alias("rows"), F.avg("e").alias("e"), F.array(*[F.avg(x(j)) for j in range(k)]).alias("z"), F.array(*[F.sum(F.col("e") * x(j)) for j in range(k)]).alias("p"), F.sum("e").alias("s"))
+    right = F.zip_with("p", "z", lambda p, m: p - m * F.col("s"))
+    g = g.select("series_id", "period", F.col("e").alias("mean"), F.col("z").alias("means"), solved(F.zip_with("rows", right, lambda r, b: F.concat(F.slice(r, 1, k), F.array(b))), k).alias("slopes"))
+    g = g.select("series_id", "period", "slopes", (F.col("mean") - dot(F.col("slopes"), F.col("means"))).alias("centre"))
+    return e.join(g, ["series_id", "period"]).select("series_id", "t", (F.col("e") - F.col("centre") - dot(F.col("slopes"), F.col("z"))).alias("value"), "period")
 
 
 def diagnostics(series: DataFrame, lags: tuple[int, ...]) -> DataFrame:

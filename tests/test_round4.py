@@ -32,3 +32,10 @@ def test_chow_of_short_periods_and_of_exact_fits_is_the_sql(spark, tmp_path):
     assert not differing(spark, folder, "chow_f_lags")
     rows = {(r["series_id"], r["lags"]): r for r in QUERIES["chow_f_lags"](spark, folder).collect()}
     assert rows[0, 5]["n_1"] == 0 and rows[0, 5]["rss_1"] is None and rows[0, 5]["chow_f"] is None and (2, 5) not in rows and rows[3, 1]["chow_f"] == float("inf")
+
+
+def test_residuals_of_as_many_rows_as_coefficients_have_no_order(spark, tmp_path):
+    """The second period's six rows are fitted exactly by five lags: the residuals are ties, however close to one plane the lags lie."""
+    before = [9.73, 0.76, 33.37, 3.41, 39.91, 26.32, 1.91, 64.19, 72.06, 10.66, 12.22, 32.95, 61.83, 109.67, 20.71, 75.5, 59.25, 36.97, 7.1, 1.24, 74.75, 183.46, 82.54, 58.24, 2.46, 13.73, 20.7, 138.07, 12.95, 5.97, 301.53, 24.83, 8.15, 188.51, 59.54, 42.71, 15.57, 126.84, 18.11]
+    after = [16.18, 241.89, 34.84, 8.52, 18.21, 24.24, 81.5, 0.84, 10.37, 111.24, 88.26]
+    assert not differing(spark, stored(tmp_path, {118: (before, after)}), "residual5_cramervonmises")
