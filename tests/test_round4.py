@@ -4,9 +4,11 @@ import random
 from fractions import Fraction
 
 import duckdb
+import pytest
 
 from riftline.catalog import ORACLES, QUERIES
 from riftline.operators import shape
+from riftline.plans import features
 
 
 def stored(folder, series: dict[int, tuple[list, list]]) -> str:
@@ -60,3 +62,18 @@ def test_regimes_of_equal_spreads_at_the_quartile_are_exact(spark):
             want[k] = sum(a != b for a, b in zip(above, above[1:]))
     got = {x["series_id"]: x["flips"] for x in shape.spread_regimes(spark.createDataFrame(rows, "series_id long, t long, value double, period int")).collect()}
     assert len(want) > 6 and all(got[k] == n for k, n in want.items())
+
+
+class Asked(Exception):
+    """Thrown in place of the matrix, with the extractors asked for."""
+
+
+@pytest.mark.parametrize("name", ["five_models_auc", "augmented_gain", "cv_metrics", "stacked_auc"])
+def test_models_learn_from_all_extractors(spark, monkeypatch, name):
+    def asked(series, names=tuple(features.EXTRACTORS)):
+        raise Asked(*names)
+
+    monkeypatch.setattr(features, "feature_matrix", asked)
+    with pytest.raises(Asked) as e:
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert e.value.args == tuple(features.EXTRACTORS)
