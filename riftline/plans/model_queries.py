@@ -57,18 +57,18 @@ def _grouped(source, function, names):
     return lambda spark, sf_dir: rounded(grouped.per_series(source(spark, sf_dir), function, names))
 
 
+def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of all extractors."""
+    return features.labelled(planted(spark, sf_dir))
+
+
 def cross_validated(kind: str, k: int = 3):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return features.fold_auc(features.out_of_fold(features.labelled(planted(spark, sf_dir), ("descriptive", "distances", "cusum")), k, kind), k)
+        return features.fold_auc(features.out_of_fold(_matrix(spark, sf_dir), k, kind), k)
 
     return run
 
 
-def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of all extractors."""
-    return features.labelled(planted(spark, sf_dir))
-
-
 def null_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = planted(spark, sf_dir)
     labels = datasets.labels_of(series).select("series_id", F.col("has_break").cast("int").alias("label"))

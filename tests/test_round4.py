@@ -68,7 +68,7 @@ class Asked(Exception):
     """Thrown in place of the matrix, with the extractors asked for."""
 
 
-@pytest.mark.parametrize("name", ["five_models_auc", "augmented_gain", "cv_metrics", "stacked_auc"])
+@pytest.mark.parametrize("name", ["five_models_auc", "augmented_gain", "cv_metrics", "stacked_auc", "logistic_cv_auc", "gbt_cv_auc"])
 def test_models_learn_from_all_extractors(spark, monkeypatch, name):
     def asked(series, names=tuple(features.EXTRACTORS)):
         raise Asked(*names)
