@@ -5,10 +5,11 @@ from fractions import Fraction
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from riftline.catalog import ORACLES, QUERIES
 from riftline.operators import shape
-from riftline.plans import features
+from riftline.plans import features, model_queries
 
 
 def stored(folder, series: dict[int, tuple[list, list]]) -> str:
@@ -77,3 +78,15 @@ def test_models_learn_from_all_extractors(spark, monkeypatch, name):
     with pytest.raises(Asked) as e:
         QUERIES[name](spark, "/root/testdata/sf0.001")
     assert e.value.args == tuple(features.EXTRACTORS)
+
+
+def test_search_has_the_tries_and_folds_of_the_reference(spark, monkeypatch):
+    """Twenty tries, of which the first eight are drawn evenly and scored together, each in five folds."""
+    tried, together = [], []
+    monkeypatch.setattr(model_queries, "_matrix", lambda *a: spark.createDataFrame([(k, float(k % 2), k * 0.1) for k in range(10)], "series_id long, label double, x double"))
+    monkeypatch.setattr(features, "in_folds", lambda m, k: m)
+    monkeypatch.setattr(features, "scored", lambda m, k, kind, **p: tried.append(k) or m)
+    monkeypatch.setattr(features.evaluation, "auc", lambda scores: spark.range(1).select(F.lit(0.5).alias("auc")))
+    monkeypatch.setattr(features, "together", lambda spark, run, items: together.append(len(items)) or [run(x) for x in items])
+    rows = QUERIES["tpe_auc"](spark, "").collect()
+    assert [r["try"] for r in rows] == list(range(20)) and tried == [5] * 20 and together == [8] + [1] * 12
